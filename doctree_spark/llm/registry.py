@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from doctree_spark.llm import secrets, token_counts
+from doctree_spark.llm import fingerprints, mixing, secrets, token_counts, warc
 
 QUERIES = {
+    "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op4_mixing": mixing.op4_mixing,
+    "op5_warc": warc.op5_warc,
     "op6_secret_scans": secrets.op6_secret_scans,
     "op7_token_counts": token_counts.op7_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_mixing": mixing.OP4_SQL,
+    "op5_warc": warc.OP5_SQL,
+}
