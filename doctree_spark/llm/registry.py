@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from doctree_spark.llm import fingerprints, mixing, secrets, token_counts, warc
+from doctree_spark.llm import fingerprints, mixing, near_dedup, secrets, token_counts, warc
 
 QUERIES = {
     "op2_fingerprints": fingerprints.op2_fingerprints,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_secret_scans": secrets.op6_secret_scans,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
 }
 ORACLE_SQL = {
     "op4_mixing": mixing.OP4_SQL,
