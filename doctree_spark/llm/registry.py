@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from doctree_spark.llm import fingerprints, mixing, near_dedup, secrets, token_counts, warc
+from doctree_spark.llm import fingerprints, mixing, near_dedup, quality, secrets, token_counts, warc
 
 QUERIES = {
     "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_mixing": mixing.op4_mixing,
     "op5_warc": warc.op5_warc,
     "op6_secret_scans": secrets.op6_secret_scans,
