@@ -149,7 +149,7 @@ def train(docs: DataFrame, rated: DataFrame, grades: int, sample: int = SAMPLE)
     """
     chosen = rated.filter("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    schema = T.StructType().add("doc_id", "long").add("grade", "int").add("index", T.ArrayType(T.IntegerType())).add("value", T.ArrayType(T.FloatType()))
+    schema = T.StructType().add("doc_id", "long").add("grade", "integer").add("index", T.ArrayType(T.IntegerType())).add("value", T.ArrayType(T.FloatType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
