@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from doctree_spark.llm import fingerprints, mixing, near_dedup, quality, secrets, token_counts, warc
+from doctree_spark.llm import fingerprints, licenses, mixing, near_dedup, quality, secrets, token_counts, warc
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_mixing": mixing.op4_mixing,
