@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -259,19 +260,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         ``answer`` (share of the answer's). Null or empty texts and items have no rows; ids may
         repeat. An empty corpus or benchmark gives no rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     schema = T.StructType([rows.schema[0], *FOUND])
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"), (F.col(answer_col) if answer_col else F.lit(None)).cast("string").alias("a"))
-    space = latent_space(corpus_gram(rows.select("__text")))
-    size = items.agg(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("a"), F.lit(0)))).head()[0]
-    if space is None or not size:
-        return spark.createDataFrame([], schema)
-    blocks = math.ceil(size / BLOCK_BYTES)
     out = None
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()
-        sent = spark.sparkContext.broadcast((space, [tuple(r) for r in part]))
+    for sent in _blocks(docs, benchmark, text_col, item_col, item_text, answer_col):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             finder, hashes = Finder(*sent.value), _Hashes()
@@ -287,7 +279,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         scan = rows.mapInArrow(run, schema)
         out = scan if out is None else out.union(scan)
-    return out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None) -> DataFrame:
+    """Rows of ``docs``, unchanged, in which ``find_leaks`` finds no item; null texts stay."""
+    place = docs.columns.index(text_col)
+    for sent in _blocks(docs, benchmark, text_col, item_col, item_text, answer_col):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            finder, hashes = Finder(*sent.value), _Hashes()
+            for batch in batches:
+                yield batch.filter(pa.array([not finder.find(_ids(text.as_py() or "", hashes)) for text in batch.column(place)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, answer_col: str | None) -> list[Broadcast]:
+    """Latent space and items for the scans: one broadcast for each block of at most about ``BLOCK_BYTES`` of items."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"), (F.col(answer_col) if answer_col else F.lit(None)).cast("string").alias("a"))
+    size = items.agg(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("a"), F.lit(0)))).head()[0]
+    space = latent_space(corpus_gram(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")))) if size else None
+    if space is None:
+        return []
+    n = math.ceil(size / BLOCK_BYTES)
+    parts = (items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t").collect() for k in range(n))
+    return [docs.sparkSession.sparkContext.broadcast((space, [tuple(r) for r in part])) for part in parts]
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

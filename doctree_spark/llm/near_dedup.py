@@ -225,5 +225,24 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, unchanged, without those that ``link`` doesn't keep.
+
+    Of rows that repeat an id the one with the first text stays. Rows with a null id stay.
+    What goes is written first: while it is small, Spark broadcasts it and texts don't move.
+    """
+    linked = written(link(docs, id_col, text_col).select("doc_id", "kept").filter("doc_id IS NOT NULL"))
+    key = docs[id_col].cast("long")
+    gone = written(linked.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
+    out = docs.join(gone, key == gone["__gone"], "left_anti")
+    again = written(linked.filter("kept").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again")))
+    if again.isEmpty():
+        return out
+    marked = out.join(again, out[id_col].cast("long") == again["__again"], "left")
+    first = F.row_number().over(Window.partitionBy("__again").orderBy(text_col)) == 1
+    repeated = marked.filter(F.col("__again").isNotNull()).withColumn("__first", first).filter("__first")
+    return marked.filter(F.col("__again").isNull()).select(docs.columns).union(repeated.select(docs.columns))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))

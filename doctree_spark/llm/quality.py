@@ -192,6 +192,22 @@ def score(docs: DataFrame, model: Model | None, grades: int, id_col: str = "doc_
     return rows.mapInArrow(run, schema)
 
 
+def select_documents(docs: DataFrame, model: Model | None, grade: int, least: float, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, unchanged, whose probability of ``grade`` or better is ``least`` or more; all of them without a model."""
+    if model is None:
+        return docs
+    sent, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, fitted = Features(), sent.value
+        for batch in batches:
+            found = [features(text.as_py() or "") for text in batch.column(place)]
+            s = np.array([fitted.weights[index] @ value for index, value in found])
+            yield batch.filter(pa.array(fitted.tail(s.reshape(-1))[:, grade - 1] >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def grades_of(labels: DataFrame) -> DataFrame:
     """``doc_id, grade``: one step for quality, one for not being toxic; the best grade is 2."""
     return labels.select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
