@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from doctree_spark.llm import decontamination, fingerprints, licenses, mixing, near_dedup, quality, secrets, token_counts, warc
+from doctree_spark.llm import decontamination, fingerprints, licenses, mixing, near_dedup, quality, secrets, suffix_model, token_counts, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_secret_scans": secrets.op6_secret_scans,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_near_dedup": near_dedup.op8_near_dedup,
+    "op9_suffix_model": suffix_model.op9_suffix_model,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLE_SQL = {
