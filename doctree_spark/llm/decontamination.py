@@ -8,9 +8,9 @@
 2. A second pass looks for passages close to benchmark items in the latent space, and confirms
    them by their longest common subsequence with the item and by its answer.
 
-A passage that reaches the least common subsequence must hold at least one of the item's rarest
-words, as many of them as the subsequence may miss and one more. So cosines are only computed
-where such a word stands; no passage that could be confirmed is left out by that.
+A passage that reaches the least common subsequence must hold three of the item's rarest words,
+if as many of these are looked for as the subsequence may miss and three more. So cosines are
+only computed where three stand together; no passage that could be confirmed is left out by that.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from doctree_spark.llm.shared import table
 
 #: Hashed terms, test vectors and singular vectors kept.
 TERMS = 1 << 14
-TEST_VECTORS = 24
-RANK = 20
+TEST_VECTORS = 16
+RANK = 12
 #: Words in a passage of the SVD.
 PASSAGE = 32
 #: Terms in a larger share of passages than this carry no weight.
@@ -43,6 +43,8 @@ LEAST_COMMON = 0.75
 LEAST_ANSWER = 0.6
 #: Items with fewer words must stand in a text word for word.
 SHORT = 8
+#: Rare words of an item that must stand together before a passage is looked at.
+ANCHORS = 3
 #: Benchmark text that one scan takes to every task; more is scanned in several blocks.
 BLOCK_BYTES = 32 << 20
 CACHE_WORDS = 500_000
@@ -94,11 +96,14 @@ class _Gram:
         passage = np.concatenate([first[k] + np.arange(len(t)) // PASSAGE for k, t in enumerate(texts)])
         term = (np.concatenate(texts) & np.uint32(TERMS - 1)).astype(np.int64)
         n = int(first[-1])
+        pairs = passage * TERMS + term
+        pairs = np.sort(pairs.astype(np.int32) if n * TERMS < 2**31 else pairs)
+        once = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
         self.passages += n
-        self.having += np.bincount(np.unique(passage * TERMS + term) & (TERMS - 1), minlength=TERMS)
+        self.having += np.bincount(once & (TERMS - 1), minlength=TERMS)
         rows = np.bincount(passage * TEST_VECTORS + self.column[term], self.sign[term], minlength=n * TEST_VECTORS).reshape(n, TEST_VECTORS)
-        for j in range(TEST_VECTORS):
-            self.product[j] += np.bincount(term, rows[:, j][passage], minlength=TERMS)
+        for j, column in enumerate(np.ascontiguousarray(rows.T)):
+            self.product[j] += np.bincount(term, column[passage], minlength=TERMS)
 
 
 def corpus_gram(texts: DataFrame) -> DataFrame:
@@ -198,48 +203,79 @@ class Finder:
 
     def __init__(self, space: Space, items: list[tuple[int, str, str | None]]) -> None:
         self.space, hashes = space, _Hashes()
-        self.items = []
-        self.anchors: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.items, anchors, self.together, self.reach = [], [], [], []
         for item_id, text, answer in items:
             ids = _ids(text or "", hashes)
             m = len(ids)
             if not m:
                 continue
             need = m if m < SHORT else math.ceil(LEAST_COMMON * m)
-            rare = np.argsort(-space.idf[ids & np.uint32(TERMS - 1)], kind="stable")[: m - need + 1]
-            for offset in rare.tolist():
-                self.anchors[int(ids[offset])].append((len(self.items), offset))
+            together = min(ANCHORS, need)
+            rare = np.argsort(-space.idf[ids & np.uint32(TERMS - 1)], kind="stable")[: m - need + together]
+            anchors += [(int(ids[offset]), len(self.items), offset) for offset in rare.tolist()]
             latent = space.of(ids)
             tail = _ids(answer, hashes) if answer else ids[-max(3, m // 5) :]
-            self.items.append((item_id, ids.tolist(), need, latent / max(float(np.linalg.norm(latent)), 1e-12), tail.tolist()))
+            slack = 0 if m < SHORT else m // 4
+            self.items.append((item_id, ids.tolist(), need, slack, latent / max(float(np.linalg.norm(latent)), 1e-12), tail.tolist()))
+            self.together.append(together)
+            self.reach.append(m + 2 * slack)
+        anchors.sort()
+        self.words, self.first = np.unique(np.array([a[0] for a in anchors], np.uint32), return_index=True)
+        self.first = np.append(self.first, len(anchors))
+        self.item, self.offset = (np.array([a[k] for a in anchors], np.int64) for k in (1, 2))
+        self.together, self.reach = np.array(self.together, np.int64), np.array(self.reach, np.int64)
         self.seen = np.zeros(1 << 20, bool)
-        self.seen[np.fromiter(self.anchors, np.uint32, len(self.anchors)) & np.uint32((1 << 20) - 1)] = True
+        self.seen[self.words & np.uint32((1 << 20) - 1)] = True
+
+    def starts(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """(item, start) of the regions in which enough of an item's rarest words stand together."""
+        at = np.flatnonzero(self.seen[ids & np.uint32((1 << 20) - 1)])
+        if not len(at):
+            return []
+        place = np.minimum(np.searchsorted(self.words, ids[at]), len(self.words) - 1)
+        real = self.words[place] == ids[at]
+        at, place = at[real], place[real]
+        counts = self.first[place + 1] - self.first[place]
+        entry = np.repeat(self.first[place] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        item, at, offset = self.item[entry], np.repeat(at, counts), self.offset[entry]
+        # a word that stands several times in an item is one occurrence in the text
+        order = np.lexsort((at, item))
+        item, at, offset = item[order], at[order], offset[order]
+        new = np.concatenate([[True], (item[1:] != item[:-1]) | (at[1:] != at[:-1])]) if len(item) else np.zeros(0, bool)
+        of, where = item[new], at[new]
+        enough = np.zeros(len(of), bool)
+        for k in range(1, ANCHORS + 1):
+            n = len(of) - k + 1
+            if n > 0:
+                fits = (of[k - 1 :] == of[:n]) & (where[k - 1 :] - where[:n] < self.reach[of[:n]]) & (self.together[of[:n]] == k)
+                for j in range(k):
+                    enough[j : j + n] |= fits
+        chosen = enough[np.cumsum(new) - 1]
+        return list(zip(item[chosen].tolist(), (at[chosen] - offset[chosen]).tolist(), strict=True))
 
     def find(self, ids: np.ndarray) -> list[dict]:
         best: dict[int, dict] = {}
         tried = set()
-        for at in np.flatnonzero(self.seen[ids & np.uint32((1 << 20) - 1)]).tolist():
-            for k, offset in self.anchors.get(int(ids[at]), ()):
-                item_id, words, need, latent, answer = self.items[k]
-                m = len(words)
-                # anchors of one passage agree about where it starts, give or take what it skips
-                start, slack = at - offset, 0 if m < SHORT else m // 4
-                mark = (k, start // max(1, slack))
-                if mark in tried or best.get(k, {}).get("common") == 1.0:
-                    continue
-                tried.add(mark)
-                here = self.space.of(ids[max(0, start) : start + m])
-                cosine = float(here @ latent) / max(float(np.linalg.norm(here)), 1e-12)
-                if cosine < LEAST_COSINE and latent.any():
-                    continue
-                a, b = max(0, start - slack), min(len(ids), start + m + slack)
-                region = ids[a:b].tolist()
-                common = common_subsequence(words, region)
-                if common < need:
-                    continue
-                said = common_subsequence(answer, region) / len(answer)
-                if said >= LEAST_ANSWER and common / m > best.get(k, {"common": 0})["common"]:
-                    best[k] = {"item_id": item_id, "first_word": a, "last_word": b - 1, "cosine": min(1.0, cosine), "common": common / m, "answer": said}
+        for k, start in self.starts(ids):
+            item_id, words, need, slack, latent, answer = self.items[k]
+            m = len(words)
+            # anchors of one passage agree about where it starts, give or take what it skips
+            mark = (k, start // max(1, slack))
+            if mark in tried or best.get(k, {}).get("common") == 1.0:
+                continue
+            tried.add(mark)
+            here = self.space.of(ids[max(0, start) : start + m])
+            cosine = float(here @ latent) / max(float(np.linalg.norm(here)), 1e-12)
+            if cosine < LEAST_COSINE and latent.any():
+                continue
+            a, b = max(0, start - slack), min(len(ids), start + m + slack)
+            region = ids[a:b].tolist()
+            common = common_subsequence(words, region)
+            if common < need:
+                continue
+            said = common_subsequence(answer, region) / len(answer)
+            if said >= LEAST_ANSWER and common / m > best.get(k, {"common": 0})["common"]:
+                best[k] = {"item_id": item_id, "first_word": a, "last_word": b - 1, "cosine": min(1.0, cosine), "common": common / m, "answer": said}
         return list(best.values())
 
 
