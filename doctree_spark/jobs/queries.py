@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from doctree_spark.functions.text import sentences, token_count
 from doctree_spark.jobs import derived as d
-from doctree_spark.operators import analytics, chunk, classify, context, embed, ingest, retrieve, tree
+from doctree_spark.operators import analytics, build, chunk, classify, cluster, context, embed, ingest, retrieve, tree
 from doctree_spark.sources import store
 from doctree_spark.sources.lineage import cut, prepare
 
@@ -375,6 +375,20 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.resume_pending(contexts, kept, ["document_id", "cluster"]).select("document_id", "cluster", "context_hash")
 
 
+@query
+def cluster_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the forest's leaves, those over 1,000 tokens divided."""
+    leaves = cut(d.forest(spark, sf_dir).filter("layer = 0"))
+    return cluster.split_overflow(cluster.cluster_layer(leaves), leaves, 1000)
+
+
+@query
+def build_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of all documents."""
+    nodes, trees = build.build_forest(chunk.chunk_documents(d.sectioned(spark, sf_dir)))
+    return nodes.join(trees.select("document_id", "num_layers"), "document_id").select("document_id", "node_id", "layer", "token_count", "children", "num_layers")
+
+
 # -- reports
 
 
