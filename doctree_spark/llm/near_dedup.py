@@ -6,11 +6,12 @@ copies cost one row each. A node gets two small collections of ``PARTS`` hashes,
 2 * PARTS * ROWS minhashes make PARTS squared keys of 2 * ROWS minhashes.
 
 Nodes under one key aren't all compared. Under each key the most central node, the one that
-shares most keys with others, is held against the rest, and what is linked becomes one
-component. Nodes left outside the leader's component lead in later rounds, in blocks that grow
-fourfold, against all that are in another component, until none is left. So a group of
-thousands of variants costs about one comparison each, and no candidate pair is dropped: a pair
-goes uncompared only when both are in one component already or their sizes rule a link out.
+shares most keys with others, leads: it is held against the rest, and what is linked becomes one
+component. Members left outside their leader's component are compared with all other members of its group,
+in blocks, from the shingles in which they differ from the leader: with h the leader's shingles,
+|x and y| = |x and h| + |y and h| - |h| + |dx and dy|. So a group of thousands of variants costs
+about one comparison each, pairs that aren't links never become rows, and no link that shares a
+key is lost.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ PERCENT = 75
 #: Chance of a shared key at similarity 0.75: 0.99, at 0.85: 0.9997.
 PARTS = 6
 ROWS = 2
-FIRST_LEADERS = 8
+#: Differing shingles of the members that one task holds against a slice of their group.
+BLOCK_SHINGLES = 250_000
 CACHE_WORDS = 500_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -143,23 +145,70 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``a, b`` pairs whose whole sets are similar enough."""
-    of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    either = F.size("a_set") + F.size("b_set") - both
-    return pairs.join(of("a"), "a").join(of("b"), "b").filter(100 * both >= PERCENT * either).select("a", "b")
-
-
-def _placed(led: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members of keys with more than two, their components ``c`` and their leaders'."""
+def _placed(star: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members of leaders' groups with their components ``c`` and their leaders'."""
     label = lambda c, out: comp.select(F.col("node").alias(c), F.col("component").alias(out))
-    placed = led.filter("members > 2").join(label("node", "c"), "node", "left").join(label("leader", "leader_c"), "leader", "left")
+    placed = star.join(label("node", "c"), "node", "left").join(label("leader", "leader_c"), "leader", "left")
     return placed.withColumn("c", F.coalesce("c", "node")).withColumn("leader_c", F.coalesce("leader_c", "leader"))
 
 
-def _outside(led: DataFrame, comp: DataFrame) -> DataFrame:
-    return _placed(led, comp).filter("c <> leader_c")
+def _links_outside(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` between members outside their leader's component and other members of its group.
+
+    Both sides are dealt into blocks by how many differing shingles they have, so neither a
+    block of members outside nor a slice of the group grows with the group.
+    """
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
+    df = placed.withColumn("x", F.col("c") != F.col("leader_c")).withColumn("size", F.col("n") + F.col("leader_n") - 2 * F.col("both"))
+    blocks = df.groupBy("leader").agg(F.ceil(F.sum(F.when(F.col("x"), F.col("size"))) / BLOCK_SHINGLES).alias("xs"), F.ceil(F.sum("size") / (4 * BLOCK_SHINGLES)).alias("ys"))
+    df = df.join(blocks.filter("xs > 0"), "leader").join(of("node"), "node").join(of("leader"), "leader")
+    df = df.withColumn("differ", F.concat(F.array_except("node_set", "leader_set"), F.array_except("leader_set", "node_set"))).drop("node_set", "leader_set")
+    deal = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    columns = ["leader", "xb", "yb", "side", "node", "n", "both", "leader_n", "c", "differ"]
+    left = df.filter("x").withColumn("xb", deal("xs", 1)).withColumn("yb", every("ys")).withColumn("side", F.lit(0))
+    right = df.withColumn("xb", every("xs")).withColumn("yb", deal("ys", 2)).withColumn("side", F.lit(1))
+    dealt = left.select(columns).union(right.select(columns)).repartition("leader", "xb", "yb").sortWithinPartitions("leader", "xb", "yb", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, outside, index = None, [], None
+        for batch in batches:
+            a, b = [], []
+            numbers = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(9)]).tolist() if batch.num_rows else []
+            for row, differ in zip(numbers, batch.column(9), strict=True):
+                if row[:3] != key:
+                    key, outside, index = row[:3], [], None
+                differ = np.asarray(differ.values)
+                if row[3] == 0:
+                    outside.append((row, differ))
+                    continue
+                index = index or _Outside(outside)
+                for x in index.links(row, differ):
+                    a.append(min(x, row[4]))
+                    b.append(max(x, row[4]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+class _Outside:
+    """A block of members outside, by the shingles in which they differ from the leader."""
+
+    def __init__(self, rows: list[tuple[list, np.ndarray]]) -> None:
+        self.node, self.n, self.both, self.c = (np.array([r[k] for r, _ in rows], np.int64) for k in (4, 5, 6, 8))
+        shingles = np.concatenate([d for _, d in rows]) if rows else np.empty(0, np.int64)
+        order = np.argsort(shingles, kind="stable")
+        self.shingles, self.owner = shingles[order], np.repeat(np.arange(len(rows)), [len(d) for _, d in rows])[order]
+
+    def links(self, row: list, differ: np.ndarray) -> list[int]:
+        """Nodes of the block, in other components, that are similar enough to the member ``row``."""
+        node, n, both, leader_n, c = row[4:9]
+        low, high = (np.searchsorted(self.shingles, differ, side) for side in ("left", "right"))
+        times = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+        common = self.both + both - leader_n + np.bincount(self.owner[at], minlength=len(self.node))
+        good = (100 * common >= PERCENT * (self.n + n - common)) & (self.c != c) & (self.node != node)
+        return self.node[good].tolist()
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS, rows: int = ROWS) -> DataFrame:
@@ -187,35 +236,24 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
 
     central = members.groupBy("node").agg(F.sum("members").alias("central"))
     ranked = members.join(central, "node")
-    best = ranked.groupBy("key").agg(F.max(F.struct("central", "node", "n")).alias("best")).select("key", F.col("best.node").alias("leader"), F.col("best.n").alias("leader_n"))
-    near = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
-    ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    led = written(ranked.join(best, "key"))
-    pairs = led.filter("node <> leader").filter(near(F.col("n"), F.col("leader_n"))).select(F.col("node").alias("x"), F.col("leader").alias("y")).select(*ordered).distinct()
+    best = ranked.groupBy("key").agg(F.max(F.struct("central", "node")).alias("best")).select("key", F.col("best.node").alias("leader"))
+    led = written(ranked.join(best, "key").select("node", "n", "leader").distinct())
 
     wanted = led.select("node").distinct().join(nodes.select("node", F.col("least").alias("doc_id"), "signature"), "node")
     texts = named.join(wanted.select("node", "doc_id").hint("shuffle_hash"), named["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
     sets = written(_sets(texts))
 
-    edges = written(_confirmed(pairs, sets))
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
+    common = F.size(F.array_intersect("node_set", "leader_set"))
+    star = led.filter("node <> leader").join(of("node"), "node").join(of("leader"), "leader")
+    star = written(star.select("leader", "node", "n", common.alias("both"), F.size("leader_set").alias("leader_n")))
+    linked = 100 * F.col("both") >= PERCENT * (F.col("n") + F.col("leader_n") - F.col("both"))
+    edges = written(star.filter(linked).select(F.col("leader").alias("a"), F.col("node").alias("b")))
     comp = components(edges)
-    # those outside the leader's component lead in turn: blocks by a hash, no group is ordered
-    outside = _outside(led, comp)
-    counts = outside.groupBy("key").agg(F.count("*").alias("__outside"))
-    share = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30)
-    turns = written(outside.join(counts, "key").select("key", "node", F.floor(share * F.col("__outside")).alias("turn")))
-    last = turns.agg(F.max("turn")).head()[0]
-    done, block = 0, FIRST_LEADERS
-    while last is not None and done <= last:
-        now = turns.filter((F.col("turn") >= done) & (F.col("turn") < done + block))
-        leading = _outside(led, comp).join(now, ["key", "node"]).select("key", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("c").alias("x_c"))
-        others = _placed(led, comp).filter("node <> leader").select("key", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("c").alias("y_c"))
-        pairs = leading.join(others, "key").filter("x_c <> y_c").filter(near(F.col("x_n"), F.col("y_n"))).select(*ordered).distinct()
-        found = written(_confirmed(pairs, sets))
-        if not found.isEmpty():
-            edges = written(edges.union(found))
-            comp = components(edges)
-        done, block = done + block, 4 * block
+
+    found = written(_links_outside(_placed(star, comp), sets).distinct())
+    if not found.isEmpty():
+        comp = components(edges.union(found))
 
     least = nodes.join(comp, "node", "left").select("signature", "least", F.coalesce("component", "node").alias("component"))
     smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))
