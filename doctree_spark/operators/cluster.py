@@ -85,15 +85,21 @@ def bic(likelihood: float, n: int, d: int, k: int) -> float:
 
 
 def best_mixture(x: np.ndarray, most: int = MAX_CLUSTERS) -> np.ndarray:
-    """Memberships with the number of clusters of the smallest BIC, the smaller number on ties; failed fits don't count."""
-    n = len(x)
+    """Memberships with the number of clusters of the smallest BIC, the smaller number on ties; failed fits don't count.
+
+    The ridge bounds every density, so numbers whose BIC can't be smaller aren't fitted.
+    """
+    n, d = x.shape
+    densest = -0.5 * d * np.log(2 * np.pi * RIDGE) * n
     best, member = np.inf, np.ones((n, 1))
     for k in range(1, min(most, n - 1) + 1):
+        if bic(densest, n, d, k) >= best:
+            break
         try:
             likelihood, fitted = fit_mixture(x, k)
         except np.linalg.LinAlgError:
             continue
-        value = bic(likelihood, n, x.shape[1], k)
+        value = bic(likelihood, n, d, k)
         if value < best:
             best, member = value, fitted
     return member
