@@ -102,16 +102,17 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(index: list[np.ndarray], value: list[np.ndarray], grade: np.ndarray, grades: int, features: int, least: int = LEAST_DOCS, rounds: int = ROUNDS, ridge: float = RIDGE) -> Model:
-    """Maximum likelihood with a ridge, by full-batch steps of adaptive size; the same rows in the same order give the same model."""
-    sizes = np.array([len(i) for i in index])
-    flat, x = np.concatenate(index), np.concatenate(value)
-    row = np.repeat(np.arange(len(index)), sizes)
+def fit(sizes: np.ndarray, flat: np.ndarray, x: np.ndarray, grade: np.ndarray, grades: int, features: int, least: int = LEAST_DOCS, rounds: int = ROUNDS, ridge: float = RIDGE) -> Model:
+    """Maximum likelihood with a ridge, by full-batch steps of adaptive size; the same rows in the same order give the same model.
+
+    ``flat`` and ``x`` are the buckets and values of all rows behind each other, ``sizes`` of each.
+    """
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     seen = np.bincount(flat, minlength=features)
     # of the word buckets, those whose documents' mean grade is far from the overall mean
     apart = np.abs(np.bincount(flat, grade[row] - grade.mean(), minlength=features)) / (np.sqrt(np.maximum(seen, 1)) * max(grade.std(), 1e-9))
     use = ((seen >= least) & (apart >= APART) | (np.arange(features) >= features - _SHAPES))[flat]
-    flat, x, row = flat[use], x[use], row[use]
+    flat, x, row = flat[use], x[use].astype(float), row[use]
     own, flat = np.unique(flat, return_inverse=True)
     n, m = len(grade), grades - 1
     w = np.zeros(len(own))
@@ -162,8 +163,8 @@ def train(docs: DataFrame, rated: DataFrame, grades: int, sample: int = SAMPLE)
     got = rows.mapInArrow(run, schema).toArrow().combine_chunks().sort_by("doc_id")
     if not got.num_rows:
         return None
-    index, value = ([np.asarray(v.values) for v in got.column(c)] for c in ("index", "value"))
-    return fit([i.astype(np.int64) for i in index], [v.astype(float) for v in value], got.column("grade").to_numpy().astype(np.int64), grades, Features().size)
+    index, value = (got.column(c).combine_chunks() for c in ("index", "value"))
+    return fit(index.value_lengths().to_numpy(), index.flatten().to_numpy(), value.flatten().to_numpy(), got.column("grade").to_numpy().astype(np.int64), grades, Features().size)
 
 
 def score(docs: DataFrame, model: Model | None, grades: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
