@@ -55,11 +55,14 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     df = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     df = df.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", base32_sha1(F.encode("html", "UTF-8")))
-    # one small row for each payload that repeats; the pages with their text move once
-    first = df.filter(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    df = df.join(first, "digest", "left")
+    # only ids and digests move; what revisits is written, and while it is small the pages with their text stay in place
+    named = df.filter(F.col("bytes") >= min_bytes).select("id", "digest")
+    first = named.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     # with no id at all in the group, there is none to refer to
-    revisit = (F.col("bytes") >= min_bytes) & F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
+    again = named.join(first, "digest").filter(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))).distinct()
+    again = written(again.select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), "first"))
+    df = df.join(again, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
+    revisit = F.col("first").isNotNull()
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     seconds = F.lit(FIRST_CAPTURE) + F.coalesce(F.pmod(F.col("id"), F.lit(1_000_000_000)), F.lit(0))
