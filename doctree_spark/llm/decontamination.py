@@ -5,12 +5,13 @@
    random sparse test matrix. Blocks of rows of that product are summed by a shuffle. From the
    sum, which has a fixed size, follow the singular values and right singular vectors of the
    TF-IDF matrix (a single-view randomised SVD).
-2. A second pass looks for passages close to benchmark items in the latent space, and confirms
-   them by their longest common subsequence with the item and by its answer.
+2. A second pass looks for regions where rare words of a benchmark item stand together, rejects
+   those whose latent cosine with it is low, and confirms the others by their longest common
+   subsequence with the whole item or with one of its passages, and by its answer where one is given.
 
-A passage that reaches the least common subsequence must hold three of the item's rarest words,
+A region that reaches the least common subsequence must hold three of the passage's rarest words,
 if as many of these are looked for as the subsequence may miss and three more. So cosines are
-only computed where three stand together; no passage that could be confirmed is left out by that.
+only computed where three stand together; nothing that the subsequence could confirm is left out by that.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ TEST_VECTORS = 16
 RANK = 12
 #: Words in a passage of the SVD.
 PASSAGE = 32
+#: Words in a passage of an item, and from one passage's first to the next's. With a least common
+#: share of 0.75 any 24 words of an item in a row fill one.
+ITEM_PASSAGE, ITEM_STEP = 32, 8
 #: Terms in a larger share of passages than this carry no weight.
 TOO_COMMON = 0.5
 LEAST_COSINE = 0.6
@@ -198,27 +202,34 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def item_passages(n: int) -> list[tuple[int, int]]:
+    """Spans of an item of ``n`` words that are looked for: the whole item and, if it is longer than one, its passages."""
+    if n <= ITEM_PASSAGE:
+        return [(0, n)] if n else []
+    return [(0, n), *((k, k + ITEM_PASSAGE) for k in [*range(0, n - ITEM_PASSAGE, ITEM_STEP), n - ITEM_PASSAGE])]
+
+
 class Finder:
     """Items by their rarest words, and the checks of a candidate."""
 
     def __init__(self, space: Space, items: list[tuple[int, str, str | None]]) -> None:
         self.space, hashes = space, _Hashes()
         self.items, anchors, self.together, self.reach = [], [], [], []
-        for item_id, text, answer in items:
-            ids = _ids(text or "", hashes)
-            m = len(ids)
-            if not m:
-                continue
-            need = m if m < SHORT else math.ceil(LEAST_COMMON * m)
-            together = min(ANCHORS, need)
-            rare = np.argsort(-space.idf[ids & np.uint32(TERMS - 1)], kind="stable")[: m - need + together]
-            anchors += [(int(ids[offset]), len(self.items), offset) for offset in rare.tolist()]
-            latent = space.of(ids)
-            tail = _ids(answer, hashes) if answer else ids[-max(3, m // 5) :]
-            slack = 0 if m < SHORT else m // 4
-            self.items.append((item_id, ids.tolist(), need, slack, latent / max(float(np.linalg.norm(latent)), 1e-12), tail.tolist()))
-            self.together.append(together)
-            self.reach.append(m + 2 * slack)
+        for number, (item_id, text, answer) in enumerate(items):
+            whole = _ids(text or "", hashes)
+            said = _ids(answer, hashes).tolist() if answer else []
+            for first, last in item_passages(len(whole)):
+                ids = whole[first:last]
+                m = len(ids)
+                need = m if m < SHORT else math.ceil(LEAST_COMMON * m)
+                together = min(ANCHORS, need)
+                rare = np.argsort(-space.idf[ids & np.uint32(TERMS - 1)], kind="stable")[: m - need + together]
+                anchors += [(int(ids[offset]), len(self.items), offset) for offset in rare.tolist()]
+                latent = space.of(ids)
+                slack = 0 if m < SHORT else m // 4
+                self.items.append((number, item_id, ids.tolist(), need, slack, latent / max(float(np.linalg.norm(latent)), 1e-12), said, first, len(whole)))
+                self.together.append(together)
+                self.reach.append(m + 2 * slack)
         anchors.sort()
         self.words, self.first = np.unique(np.array([a[0] for a in anchors], np.uint32), return_index=True)
         self.first = np.append(self.first, len(anchors))
@@ -257,25 +268,29 @@ class Finder:
         best: dict[int, dict] = {}
         tried = set()
         for k, start in self.starts(ids):
-            item_id, words, need, slack, latent, answer = self.items[k]
+            number, item_id, words, need, slack, latent, answer, before, whole = self.items[k]
             m = len(words)
             # anchors of one passage agree about where it starts, give or take what it skips
             mark = (k, start // max(1, slack))
-            if mark in tried or best.get(k, {}).get("common") == 1.0:
+            if mark in tried or best.get(number, {"words": 0})["words"] >= m:
                 continue
-            tried.add(mark)
             here = self.space.of(ids[max(0, start) : start + m])
             cosine = float(here @ latent) / max(float(np.linalg.norm(here)), 1e-12)
             if cosine < LEAST_COSINE and latent.any():
                 continue
+            tried.add(mark)
             a, b = max(0, start - slack), min(len(ids), start + m + slack)
             region = ids[a:b].tolist()
             common = common_subsequence(words, region)
-            if common < need:
+            if common < need or common <= best.get(number, {"words": 0})["words"]:
                 continue
-            said = common_subsequence(answer, region) / len(answer)
-            if said >= LEAST_ANSWER and common / m > best.get(k, {"common": 0})["common"]:
-                best[k] = {"item_id": item_id, "first_word": a, "last_word": b - 1, "cosine": min(1.0, cosine), "common": common / m, "answer": said}
+            said = None
+            if answer:
+                # a passage's answer may stand wherever the whole item would
+                around = whole // 4
+                said = common_subsequence(answer, ids[max(0, min(a, start - before - around)) : max(b, start - before + whole + around)].tolist()) / len(answer)
+            if said is None or said >= LEAST_ANSWER:
+                best[number] = {"item_id": item_id, "first_word": a, "last_word": b - 1, "cosine": min(1.0, cosine), "common": common / m, "answer": said, "words": common}
         return list(best.values())
 
 
@@ -287,13 +302,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     Args:
         docs: the corpus; the latent space is made of all its texts.
-        benchmark: items. Their answer is ``answer_col`` or, without one, the item's last
-            fifth (three words at least).
+        benchmark: items. Where ``answer_col`` gives an answer, a region must hold it too.
 
     Returns:
         ``id_col, item_id, first_word, last_word`` (of the region looked at), ``cosine`` in the
-        latent space, ``common`` (longest common subsequence, share of the item's words) and
-        ``answer`` (share of the answer's). Null or empty texts and items have no rows; ids may
+        latent space, ``common`` (longest common subsequence, share of the words of the item or
+        the passage of it that was confirmed) and ``answer`` (share of the answer's, null without one). Null or empty texts and items have no rows; ids may
         repeat. An empty corpus or benchmark gives no rows.
     """
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
