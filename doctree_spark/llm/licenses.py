@@ -3,11 +3,13 @@
 A block of text that states a license compresses much better once the compressor has seen the
 license's wording. Candidate blocks are compressed alone and with each template as a raw
 Zstandard dictionary; templates are ranked by how much smaller the block gets, and the best are
-confirmed by their exact wording: words of the template that the block lacks or has otherwise.
+confirmed by their exact wording: words of the template that the block lacks or has otherwise. Blocks long for a template
+are looked through in overlapping windows around cues, sized by the template.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Mapping
 from difflib import SequenceMatcher
@@ -59,12 +61,12 @@ TEMPLATES = {
 
 #: A line with one of these may be part of a license statement.
 CUE = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|public domain"
-#: A template stays in the race when it saves this share of a block's compressed size.
+#: A template's wording is looked at when it saves this share of a block's compressed size or of its own, ...
 LEAST_SAVED = 0.2
-#: Confirmed when at most this share of the template's words differ ...
+#: ... and confirmed when at most this share of the template's words differ.
 MOST_DIFFERENT = 0.1
-#: ... and no more than so many ranked templates are looked at word by word.
-RANKED = 4
+#: A template's windows in longer blocks reach so many of its lengths around a cue; the next has a cue so many lengths on.
+REACH, STEP = 2, 0.5
 
 _CUE = re.compile(CUE)
 _WORD = re.compile(r"\w+(?:[.\-+]\w+)*")
@@ -101,39 +103,87 @@ class Scanner:
         dictionary = lambda t: zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.given = {k: zstandard.ZstdCompressor(level=3, dict_data=dictionary(t)) for k, t in self.templates.items()}
         self.words = {k: _words(t) for k, t in self.templates.items()}
+        self.own = {k: len(self.alone.compress(t.encode())) for k, t in self.templates.items()}
         self.longest = max((len(t) for t in self.templates.values()), default=0)
 
-    def passages(self, text: str) -> Iterator[tuple[int, int]]:
-        """Blocks of a text: each line with a cue, and each run of lines around cues as long as the longest template."""
-        seen = set()
+    def passages(self, text: str) -> Iterator[tuple[int, int, list[str]]]:
+        """Blocks of a text and the templates they are held against.
+
+        These are each line with a cue, each run of lines around cues as long as the longest
+        template and, for templates short against such a run, windows around its cues.
+        """
+        seen, every = set(), list(self.templates)
         for a, b in candidate_blocks(text, self.longest):
-            for m in _CUE.finditer(text, a, b):
+            cues = list(_CUE.finditer(text, a, b))
+            for m in cues:
                 line = (max(a, text.rfind("\n", 0, m.start()) + 1), b if (e := text.find("\n", m.end(), b)) < 0 else e)
                 # a line without end, as in a text of one line, is cut around the cue
                 line = max(line[0], m.start() - self.longest), min(line[1], m.end() + self.longest)
                 if line not in seen:
                     seen.add(line)
-                    yield line
+                    yield *line, every
             if (a, b) not in seen and b - a <= 4 * self.longest:
                 seen.add((a, b))
-                yield a, b
+                yield a, b, every
+            for name, template in self.templates.items():
+                if b - a > 2 * REACH * len(template):
+                    last = -math.inf
+                    for m in cues:
+                        if m.start() >= last + STEP * len(template):
+                            last = m.start()
+                            yield max(a, m.start() - REACH * len(template)), min(b, m.end() + REACH * len(template)), [name]
 
     def scan(self, text: str) -> list[dict]:
         found = []
-        for a, b in self.passages(text):
+        for a, b, names in self.passages(text):
             block = text[a:b].encode("utf-8", "surrogatepass")
             plain = len(self.alone.compress(block))
-            sizes = sorted((len(c.compress(block)), k) for k, c in self.given.items())
-            rank = 0
-            for size, name in sizes:
-                saved = 1 - size / plain
-                if saved < LEAST_SAVED or rank == RANKED:
-                    break
-                rank += 1
-                start, end, different = self.wording(name, text, a, b)
-                found.append({"start": start, "end": end, "license": name, "alone": plain, "with_template": size, "saved": saved, "rank": rank, "different": different, "confirmed": different <= MOST_DIFFERENT * len(self.words[name])})
+            size = {k: len(self.given[k].compress(block)) for k in names}
+            # short templates, of which no word may differ, save a few bytes only: any saving will do
+            least = {k: LEAST_SAVED * min(plain, self.own[k]) if MOST_DIFFERENT * len(self.words[k]) >= 1 else 1 for k in names}
+            near = [k for k in names if plain - size[k] >= least[k]]
+            if not near:
+                continue
+            have = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text, a, b)]
+            matcher = SequenceMatcher(None, [], [h[0] for h in have], autojunk=False)
+            for name in near:
+                sure = self.statements(name, have, matcher)
+                spans = [(*x, True) for x in sure]
+                if not sure and plain - size[name] >= LEAST_SAVED * plain:
+                    start, end, different = self.wording(name, text, a, b)
+                    spans = [(start, end, different, different <= MOST_DIFFERENT * len(self.words[name]))]
+                if not spans:
+                    continue
+                if len(size) < len(self.given):
+                    size = {k: len(c.compress(block)) for k, c in self.given.items()}
+                rank = 1 + sum((n, k) < (size[name], name) for k, n in size.items())
+                found += [{"start": start, "end": end, "license": name, "alone": plain, "with_template": size[name], "saved": 1 - size[name] / plain, "rank": rank, "different": different, "confirmed": confirmed} for start, end, different, confirmed in spans]
         return _distinct(found)
 
+    def statements(self, name: str, have: list[tuple[str, int, int]], matcher: SequenceMatcher) -> list[tuple[int, int, int]]:
+        """Span and differing words of each statement of the template that its wording confirms, among the words of a block."""
+        want = self.words[name]
+        most = int(MOST_DIFFERENT * len(want))
+        # words in a row that a statement with the most differences still has
+        least = max(1, (len(want) - most) // (most + 1))
+        matcher.set_seq1(want)
+        out, parts = [], [(0, len(have))]
+        while parts:
+            low, high = parts.pop()
+            i, j, size = matcher.find_longest_match(0, len(want), low, high)
+            if size < least:
+                continue
+            a, b = max(low, j - i - most), min(high, j - i + len(want) + most)
+            blocks = [x for x in SequenceMatcher(None, want, [h[0] for h in have[a:b]], autojunk=False).get_matching_blocks() if x.size]
+            first, last = a + blocks[0].b, a + blocks[-1].b + blocks[-1].size
+            different = max(len(want), last - first) - sum(x.size for x in blocks)
+            if different <= most:
+                out.append((have[first][1], have[last - 1][2], different))
+            else:
+                first, last = j, j + size
+            parts += [(low, first), (last, high)]
+        return out
+
     def wording(self, name: str, text: str, a: int, b: int) -> tuple[int, int, int]:
         """Span of the template's words in the block, and how many words are missing, added or other there."""
         want = self.words[name]

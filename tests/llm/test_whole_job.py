@@ -1,8 +1,9 @@
 """Cases that a part of the job, instead of all of it, would miss."""
 
 import random
+import textwrap
 
-from doctree_spark.llm import decontamination
+from doctree_spark.llm import decontamination, licenses
 
 
 def made_words(seed, n):
@@ -22,3 +23,28 @@ def test_parts_of_items_are_leaks(spark):
     assert all(r.answer is None for r in rows)
     assert {r.doc_id for r in decontamination.drop_leaks(docs, benchmark).collect()} == {4, 5}
     assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, benchmark, answer_col="said").collect()} == {(2, 2)}
+
+
+def licenses_of(text):
+    return [f["license"] for f in licenses.Scanner(licenses.TEMPLATES).scan(text) if f["confirmed"]]
+
+
+def test_licenses_in_long_blocks():
+    lines = lambda text: [text[k : k + 60] for k in range(0, len(text), 60)]
+    other = lambda seed: " ".join(made_words(seed, 40)) + " copyright of nobody"
+    for name in ("MIT-text", "BSD-text", "GPL-3.0-text", "Apache-2.0-text"):
+        wrapped = textwrap.wrap(licenses.TEMPLATES[name], 60)
+        body = [x for k in range(8) for x in [*lines(other(k)), ""]] + [*wrapped, ""] + [x for k in range(8, 16) for x in [*lines(other(k)), ""]]
+        assert licenses_of("\r\n".join(body)).count(name) == 1, name
+        assert licenses_of("\n".join(f"# {x}" for x in body)).count(name) == 1, name
+    twice = [*textwrap.wrap(licenses.TEMPLATES["MIT-text"], 60), *lines(other(20)), *lines(other(21)), *lines(other(22))] * 3
+    assert licenses_of("\r\n".join(twice)).count("MIT-text") == 3
+
+
+def test_short_notices_in_long_lines_and_many_in_one():
+    short = [k for k, t in licenses.TEMPLATES.items() if len(t) < 100]
+    for name in short:
+        line = " ".join([*made_words(40, 60), licenses.TEMPLATES[name], *made_words(41, 60)])
+        assert name in licenses_of(line), name
+    line = " ".join(x for k, name in enumerate(short) for x in [*made_words(60 + k, 3), licenses.TEMPLATES[name]])
+    assert set(short) <= set(licenses_of(line))
