@@ -2,9 +2,10 @@
 
 A block of text that states a license compresses much better once the compressor has seen the
 license's wording. Candidate blocks are compressed alone and with each template as a raw
-Zstandard dictionary; templates are ranked by how much smaller the block gets, and the best are
-confirmed by their exact wording: words of the template that the block lacks or has otherwise. Blocks long for a template
-are looked through in overlapping windows around cues, sized by the template.
+Zstandard dictionary; templates are ranked by how much smaller the block gets, and all that save
+enough are confirmed by their exact wording: words of the template that the block lacks or has otherwise.
+Blocks long for a template are looked through in overlapping windows around cues, sized by the
+template.
 """
 
 from __future__ import annotations
