@@ -30,8 +30,8 @@ from doctree_spark.llm.shared import table, written
 
 SHINGLE = 5
 PERCENT = 75
-#: Chance of a shared key at similarity 0.75: 0.99, at 0.85: 0.9997.
-PARTS = 6
+#: Chance of a shared key at similarity 0.75: 0.9995, at 0.85: 0.999995.
+PARTS = 10
 ROWS = 2
 #: Differing shingles of the members that one task holds against a slice of their group.
 BLOCK_SHINGLES = 250_000

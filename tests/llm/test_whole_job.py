@@ -3,7 +3,7 @@
 import random
 import textwrap
 
-from doctree_spark.llm import decontamination, licenses
+from doctree_spark.llm import decontamination, licenses, near_dedup
 
 
 def made_words(seed, n):
@@ -48,3 +48,10 @@ def test_short_notices_in_long_lines_and_many_in_one():
         assert name in licenses_of(line), name
     line = " ".join(x for k, name in enumerate(short) for x in [*made_words(60 + k, 3), licenses.TEMPLATES[name]])
     assert set(short) <= set(licenses_of(line))
+
+
+def test_pairs_at_the_threshold_are_linked(spark):
+    pairs = [made_words(1000 + k, 204) for k in range(1000)]
+    rows = [(2 * k + half, " ".join(w[: 154 if half else 204])) for k, w in enumerate(pairs) for half in (0, 1)]
+    got = {r.doc_id: r.component_id for r in near_dedup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k] != got[2 * k + 1] for k in range(1000)) <= 3
