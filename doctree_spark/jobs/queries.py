@@ -11,7 +11,7 @@ from doctree_spark.functions.text import sentences, token_count
 from doctree_spark.jobs import derived as d
 from doctree_spark.operators import analytics, build, chunk, classify, cluster, context, embed, ingest, retrieve, tree
 from doctree_spark.sources import store
-from doctree_spark.sources.lineage import cut, prepare
+from doctree_spark.sources.lineage import cut, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,10 +169,7 @@ def tree_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def forest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forest saved to the shared folder and loaded again."""
-    import uuid
-
-    prepare(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/forest-{uuid.uuid4().hex}"
+    path = shared_dir(spark)
     nodes, trees, _ = _forest(spark, sf_dir)
     store.save_forest(nodes, trees, path)
     loaded, headers = store.load_forest(spark, path, d.MODEL)
@@ -421,10 +418,7 @@ def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query records appended in two parts, read back and looked up by document."""
-    import uuid
-
-    prepare(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/log-{uuid.uuid4().hex}"
+    path = shared_dir(spark)
     nodes, _, asked = _forest(spark, sf_dir)
     found = cut(retrieve.retrieve_collapsed(asked, nodes, SMALL_BUDGET))
     records = found.groupBy("query_id", "document_id").agg(F.array_sort(F.collect_list("node_id")).alias("nodes"))

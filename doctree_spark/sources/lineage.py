@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def prepare(spark: SparkSession) -> None:
-    """Points checkpoints to ``spark.checkpoint.dir``; only a local master may go without it."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if sc.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="doctree-")
-    sc.setCheckpointDir(root)
+def shared_root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one below the warehouse, which is shared too.
+
+    Nothing here deletes what jobs leave there: checkpoints go with their DataFrames where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, tables when the folder's owner
+    clears it.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.shared"
+    return root.rstrip("/")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage and is computed once."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder."""
-    prepare(df.sparkSession)
+    """``df`` computed once and checkpointed in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
