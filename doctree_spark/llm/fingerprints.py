@@ -2,8 +2,9 @@
 
 A sketch keeps every shingle hash in the lowest ``1/scale`` of the hash range, so its size
 follows the document and sketches of very unequal documents stay comparable: the kept hashes of
-a part are kept in the whole too. Sketches merge by union. The smallest hash is always kept, so
-that no text with words has an empty sketch; under a union the smallest of both stays right.
+a part are kept in the whole too. The smallest hash is always kept, so that no text with words
+has an empty sketch. Sketches merge by union, after which only the smallest of all may lie above
+the fraction: what results is the sketch of both documents' shingles together.
 
 Everything is built from Spark's own functions.
 """
@@ -33,9 +34,13 @@ def with_sketch(df: DataFrame, text: str, out: str, scale: int = SCALE, shingle:
     hashes = F.transform(starts, lambda x, i: F.xxhash64(x, *(F.get(F.col(w), i + k) for k in range(1, shingle))))
     df = df.withColumn(w, words(F.col(text)))
     df = df.withColumn(h, F.when(n >= shingle, hashes).when(n > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>")))
-    kept = F.filter(h, lambda x: x < LOWEST + 2**64 // scale) if scale > 1 else F.col(h)
-    kept = F.when(F.size(h) > 0, F.array_sort(F.array_union(kept, F.array(F.array_min(h))))).otherwise(F.col(h))
-    return df.withColumn(out, kept).drop(w, h)
+    return df.withColumn(out, _kept(F.col(h), scale)).drop(w, h)
+
+
+def _kept(hashes: Column, scale: int) -> Column:
+    """Distinct hashes in the lowest ``1/scale`` of the range, and the smallest of all, sorted."""
+    low = F.filter(hashes, lambda x: x < LOWEST + 2**64 // scale) if scale > 1 else hashes
+    return F.when(F.size(hashes) > 0, F.array_sort(F.array_union(low, F.array(F.array_min(hashes))))).otherwise(hashes)
 
 
 def resemblance(a: Column, b: Column) -> Column:
@@ -50,9 +55,9 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def merged(a: Column, b: Column) -> Column:
-    """Sketch of the union of two documents' shingles (the smallest kept hash of each stays)."""
-    return F.array_sort(F.array_union(a, b))
+def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Sketch of the union of two documents' shingles, from their sketches of the same ``scale``."""
+    return _kept(F.array_union(a, b), scale)
 
 
 def as_text(sketch: Column) -> Column:
@@ -70,9 +75,11 @@ def with_next(docs: DataFrame, id_col: str, bucket_rows: int = 256, max_buckets:
 
     The first row of a bucket stands once more at the end of the one before it, and the first
     row of all at the end of the last, each marked ``__again``: drop those after the window.
-    So no bucket needs another, and no task all rows. Bucket bounds are quantiles of the ids
-    (their number, at most ``max_buckets``, is all that reaches the driver). Null ids come
-    first; rows with equal ids follow in the order of ``__text``.
+    So no bucket needs another, and no task all rows. Bucket bounds are quantiles of the ids;
+    these, at most ``max_buckets`` numbers, are all that reaches the driver. Over ``bucket_rows *
+    max_buckets`` rows buckets get longer, which Spark sorts with spilling; nothing else changes.
+    Null ids come first; rows with equal ids, always in one bucket, follow in the order of
+    ``__text``.
     """
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOWEST))
     rows = docs.select(F.count("*")).head()[0]
