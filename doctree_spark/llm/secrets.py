@@ -34,12 +34,15 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as without the length
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----([A-Za-z0-9+/=\s]*)-----END \1-----", re.A)
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _ANY_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
-_JWT = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+# the first part begins its run, so that no run is read from each of its characters
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+")
+#: No sequence of a private key has more elements.
+MOST_PARTS = 10
 #: How DER sequences with long lengths and OpenSSH keys begin in base64.
 _BEGINS = re.compile(r"MI[GHI]|b3BlbnNzaC1rZXk")
 
 
-def _element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+def _element(data: bytes | Encoded, at: int, end: int) -> tuple[int, int, int] | None:
     """Tag, first and end offset of the DER element at ``at``, when it fits before ``end``."""
     if at + 2 > end:
         return None
@@ -55,26 +58,52 @@ def _element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (data[at], start, start + size) if start + size <= end else None
 
 
-def _children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
+def _children(data: bytes | Encoded, start: int, end: int) -> list[tuple[int, int, int]] | None:
     """The elements that fill start to end exactly."""
     found = []
     while start < end:
-        if not (e := _element(data, start, end)) or len(found) > 64:
+        if not (e := _element(data, start, end)) or len(found) > MOST_PARTS:
             return None
         found.append(e)
         start = e[2]
     return found
 
 
-def _algorithm(data: bytes, e: tuple[int, int, int]) -> bool:
+def _algorithm(data: bytes | Encoded, e: tuple[int, int, int]) -> bool:
     """A sequence that starts with an object identifier."""
     inner = _children(data, e[1], e[2]) if e[0] == 0x30 else None
     return bool(inner) and inner[0][0] == 0x06
 
 
-def is_private_key(data: bytes) -> bool:
-    """Whether bytes begin with a private key in DER or are one in the OpenSSH format."""
-    if data.startswith(b"openssh-key-v1\0"):
+class Encoded:
+    """The bytes that base64 text from ``start`` on stands for, decoded only where they are looked at.
+
+    Takes base64 and base64url, with or without padding; what doesn't decode has no bytes.
+    """
+
+    def __init__(self, text: str, start: int = 0) -> None:
+        self.text, self.start = text, start
+        n = len(text.rstrip("=")) - start
+        self.size = n // 4 * 3 + (0, 0, 1, 2)[n % 4]
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at: int | slice) -> int | bytes:
+        first, last = (at, at + 1) if isinstance(at, int) else (at.start, min(at.stop, self.size))
+        if first >= last:
+            return b""
+        a, b = first // 3 * 4, -(-last // 3) * 4
+        data = _decoded(self.text[self.start + a : self.start + b])[first - a // 4 * 3 : last - a // 4 * 3]
+        return data[0] if isinstance(at, int) else data
+
+
+def is_private_key(data: bytes | Encoded) -> bool:
+    """Whether bytes begin with a private key in DER or are one in the OpenSSH format.
+
+    Looks at headers and short numbers only, whatever the length.
+    """
+    if data[0:15] == b"openssh-key-v1\0":
         at = 15
         for _ in range(3):  # cipher, derivation, its options
             if at + 4 > len(data):
@@ -85,10 +114,11 @@ def is_private_key(data: bytes) -> bool:
         keys = int.from_bytes(data[at : at + 4], "big")
         return 1 <= keys <= 16 and at + 8 + int.from_bytes(data[at + 4 : at + 8], "big") <= len(data)
     top = _element(data, 0, len(data))
-    if not top or top[0] != 0x30 or not (inner := _children(data, top[1], top[2])):
+    # a version of one byte or, where the key is encrypted, an algorithm comes first
+    if not top or top[0] != 0x30 or data[top[1] : top[1] + 1] not in (b"\x02", b"\x30") or not (inner := _children(data, top[1], top[2])):
         return False
     tags = [e[0] for e in inner]
-    number = int.from_bytes(data[inner[0][1] : inner[0][2]], "big") if tags[0] == 0x02 and inner[0][2] - inner[0][1] == 1 else None
+    number = data[inner[0][1]] if tags[0] == 0x02 and inner[0][2] - inner[0][1] == 1 else None
     if number is None:  # encrypted: algorithm and content
         return tags == [0x30, 0x04] and _algorithm(data, inner[0])
     if number in (0, 1) and tags[1:3] == [0x30, 0x04]:
@@ -130,11 +160,15 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
             if is_private_key(_decoded(re.sub(r"\s+", "", m[2]))):
                 spans.append(("key", *m.span()))
                 pem.append(m.span())
+    covered = iter([*pem, (len(text), len(text))])
+    a, b = next(covered)
     for m in _BASE64.finditer(text):
-        if any(a <= m.start() < b for a, b in pem):
+        while b <= m.start() < len(text):
+            a, b = next(covered)
+        if a <= m.start():
             continue
         for start in dict.fromkeys([0, *(b.start() for b in _BEGINS.finditer(m[0]))]):
-            if is_private_key(_decoded(m[0][start:])):
+            if is_private_key(Encoded(m[0], start)):
                 spans.append(("key", m.start() + start, m.end()))
                 break
     for m in _ANY_HEX.finditer(text):

@@ -73,6 +73,14 @@ def test_sketches_merge(spark):
     assert r.inside == r.both == 1.0
 
 
+def test_a_merge_is_the_sketch_of_the_union(spark):
+    draw = random.Random(8)
+    rows = [[[draw.getrandbits(64) - 2**63 for _ in range(draw.randint(0, 5))] for _ in range(2)] for _ in range(200)]
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").withColumn("c", F.array_union("a", "b"))
+    sketch = {c: fingerprints._kept(F.col(c), fingerprints.SCALE) for c in "abc"}
+    assert df.filter(fingerprints.merged(sketch["a"], sketch["b"]) != sketch["c"]).count() == 0
+
+
 def test_ordinal_model_learns_and_orders_its_thresholds(spark):
     draw = random.Random(5)
     texts = prose(3, 600)
@@ -166,6 +174,69 @@ def test_secret_spans():
     assert clean.startswith("é [secret]' [secret] x [secret] ") and not secrets.find_secrets(clean)
 
 
+def base_spans(text):
+    """The three base kinds by going through a text character by character."""
+    word = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    run = lambda at, signs: next((k for k in range(at, len(text)) if text[k] not in signs), len(text))
+    skip = lambda at, signs: at + (at < len(text) and text[at] in signs)
+
+    def assign(at):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name, at):
+                k = run(skip(at + len(name), "\"'"), " ")
+                if k < len(text) and text[k] in ":=":
+                    k = skip(run(k + 1, " "), "\"'")
+                    end = run(k, word)
+                    if end > k:
+                        return end, end - k >= 6
+        return None
+
+    def access(at):
+        end = run(at + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+        return (end, end - at >= 20) if text.startswith("AKIA", at) and end > at + 4 else None
+
+    def digits(at):
+        end = run(at, set("0123456789abcdef"))
+        return (end, end - at >= 24) if end > at else None
+
+    spans = []
+    for rank, (kind, match) in enumerate([("assign", assign), ("access", access), ("hex", digits)]):
+        at = 0
+        while at < len(text):
+            if found := match(at):
+                if found[1]:
+                    spans.append((at, rank, found[0], kind))
+                at = found[0]
+            else:
+                at += 1
+    return [(kind, a, b) for a, _, b, kind in sorted(spans)]
+
+
+def test_base_spans_equal_a_plain_scan():
+    draw = random.Random(4)
+    parts = ["password", "Secret", "api_key", "APIKEY", "token", "AKIA", "AKIAAKIA", "0123456789abcdef", "deadbeef", "é", "ſ", " ", "  ", ":", "=", "'", '"', "\n", "\t", "Z9", "a", "-", "_", ".", "+/", "ABCDEFGHIJKLMNOP"]
+    for _ in range(4000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 14)))
+        assert [s for s in secrets.find_secrets(text) if s[0] in secrets.BASE_KINDS] == base_spans(text), repr(text)
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    rsa = der(0x30, der(2, b"\0"), *(der(2, b"\x01" * 120) for _ in range(8)))
+    body = base64.b64encode(rsa).decode()
+    for part in ("a", "eyJh", "MIIE", "MIIEvQIBADAN", "0", "token ", "secret=", "-----BEGIN A-----", "AKIA", "a.b.", "eyJhbGciOi.", "b3BlbnNzaC1rZXk", body[:-8]):
+        began = time.perf_counter()
+        secrets.find_secrets(part * (1_000_000 // len(part)))
+        assert time.perf_counter() - began < 20, part
+    assert ("key", 1_000_000, 1_000_000 + len(body)) in secrets.find_secrets("b" * 1_000_000 + body)
+    for start in range(8):
+        text = "x" * start + body
+        view = secrets.Encoded(text, start)
+        assert len(view) == len(rsa) and view[0 : len(view)] == rsa and all(view[k] == rsa[k] for k in range(0, len(rsa), 7)) and view[5:9] == rsa[5:9]
+
+
 def test_failing_matches_hide_what_they_cover():
     assert secrets.find_secrets("secret=token:abcdef") == []
     assert secrets.find_secrets("ſecret=abcdefgh") == []
