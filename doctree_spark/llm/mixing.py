@@ -4,9 +4,10 @@ Each source gets a target of words. Its documents stand in a fixed order; the ru
 their expected copies, from one random offset, emits a document once for each whole number it
 passes. Expected copies are the same for all documents of a source, so the running sum is that
 number times the document's place, and the places are found without any source in one task:
-documents are dealt into cells (source, band of size, salt), cells are counted, and the counts
-summed before are a cell's first place. Bands put documents of like size side by side, so the
-words taken come near the target.
+documents are dealt into cells (source, band of size, salt), and cells into blocks of
+``BLOCK_SALTS`` salts. Prefix sums run over a source's blocks (one for some three million of its
+documents), a block's cells and a cell's documents. Bands put documents of like size side by
+side, so the words taken come near the target.
 
 Everything is built from Spark's own functions.
 """
@@ -19,16 +20,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from doctree_spark.llm.shared import table, words
+from doctree_spark.llm.shared import table, words, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL = 1.5
 MOST_COPIES = 2
 CELL_ROWS = 3000
+BLOCK_SALTS = 1024
 SEED = 17
 
 _SOURCE = ["__no_source", "__source"]
-_CELL = [*_SOURCE, "__band", "__salt"]
+_BLOCK = [*_SOURCE, "__band", "__block"]
+_CELL = [*_BLOCK, "__salt"]
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, most: float = MOST_COPIES) -> DataFrame:
@@ -65,8 +68,9 @@ def mix(docs: DataFrame, source_col: str, size_col: str, id_col: str, weights: S
 
     Returns:
         ``row struct`` (all columns of ``docs``), ``size, source_size long, target double,
-        copies long``. Null is a source of its own. Rows of equal id and size are
-        interchangeable. The same rows give the same copies whatever their partitions.
+        copies long``. Null is a source of its own. Rows of equal id and size follow a hash of
+        all their columns (maps aside); where that is equal too, so are the rows. The same rows
+        give the same copies whatever their partitions.
     """
     salts = max(1, math.ceil(docs.select(F.count("*")).head()[0] / cell_rows))
     digits = F.substring(F.md5(F.coalesce(F.col("row")[id_col].cast("string"), F.lit(""))), 1, 8)
@@ -74,15 +78,20 @@ def mix(docs: DataFrame, source_col: str, size_col: str, id_col: str, weights: S
     df = df.withColumn("__no_source", F.col("row")[source_col].isNull()).withColumn("__source", F.coalesce(F.col("row")[source_col].cast("string"), F.lit("")))
     bits = F.bin("size")
     df = df.withColumn("__band", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 3)))
-    df = df.withColumn("__salt", F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(salts))).repartition(*_CELL)
-
-    cells = df.groupBy(*_CELL).agg(F.count("*").alias("__rows"), F.sum("size").alias("__size"))
-    sizes = cells.groupBy(*_SOURCE).agg(F.sum("__size").alias("source_size"))
-    before = Window.partitionBy(*_SOURCE).orderBy("__band", "__salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("__first", F.coalesce(F.sum("__rows").over(before), F.lit(0))).drop("__rows", "__size")
-    cells = cells.join(source_targets(sizes, weights, total, most), _SOURCE)
-
-    place = F.row_number().over(Window.partitionBy(*_CELL).orderBy("size", F.col("row")[id_col]))
+    df = df.withColumn("__salt", F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(salts)))
+    df = df.withColumn("__block", F.floor(F.col("__salt") / BLOCK_SALTS)).repartition(*_CELL)
+
+    # one small row a cell, kept, so that rows are dealt out once for it and once for their places
+    cells = written(df.groupBy(*_CELL).agg(F.count("*").alias("__rows"), F.sum("size").alias("__size")))
+    blocks = cells.groupBy(*_BLOCK).agg(F.sum("__rows").alias("__rows"), F.sum("__size").alias("__size"))
+    targets = source_targets(blocks.groupBy(*_SOURCE).agg(F.sum("__size").alias("source_size")), weights, total, most)
+    before = lambda group, *order: F.coalesce(F.sum("__rows").over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("__before", before(_SOURCE, "__band", "__block")).join(targets, _SOURCE).drop("__rows", "__size")
+    cells = cells.withColumn("__inside", before(_BLOCK, "__salt")).drop("__rows", "__size").join(blocks, _BLOCK)
+    cells = cells.withColumn("__first", F.col("__before") + F.col("__inside"))
+
+    plain = [F.col("row")[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    place = F.row_number().over(Window.partitionBy(*_CELL).orderBy("size", F.col("row")[id_col], F.xxhash64(*plain)))
     df = df.withColumn("__place", place).join(cells, _CELL)
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("__no_source").cast("string"), F.col("__source"))), 1, 8), 16, 10).cast("double") / float(2**32)
@@ -98,7 +107,7 @@ def with_copies(mixed: DataFrame) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    docs = written(table(spark, sf_dir, "documents").select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size")))
     mixed = mix(docs, "source", "size", "doc_id")
     return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
