@@ -5,15 +5,17 @@ A record is one string whose line separator is the record's end, so Spark's text
 the archives, on any file system and with task commits.
 
 Reading: every archive is parsed by the lengths in its headers, never by searching for
-separators, and gives one run of index lines sorted by URL key and time. The runs are written;
-ranges of keys deal them out, and in each range a tree of losers merges the runs' pieces. The
-ranges in turn are one capture history in global order.
+separators, and gives one run of index lines sorted by URL key and time, each with its place in
+the run. The runs are written; ranges of keys deal them out, and in each range a tree of losers
+merges the runs' pieces, which places alone put back in order. The ranges in turn are one capture
+history in global order.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -24,8 +26,11 @@ from pyspark.sql import types as T
 
 from doctree_spark.llm.shared import shared_dir, table, written
 
-#: Most records in one archive file.
+#: Most records in one archive file, and about the most bytes, unless one record has more.
 ARCHIVE_RECORDS = 2000
+ARCHIVE_BYTES = 128 << 20
+#: About the most index lines in one range of a merge.
+RANGE_LINES = 250_000
 #: Captures without a time of their own are taken to be seconds after this one.
 FIRST_CAPTURE = 1_704_067_200
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -34,7 +39,7 @@ INDEX = (
     T.StructType()
     .add("run", "string").add("url_key", "string").add("captured_at", "string").add("page_id", "long")
     .add("offset", "long").add("length", "long").add("payload_bytes", "long").add("payload_digest", "string")
-    .add("record_type", "string").add("refers_to", "long")
+    .add("record_type", "string").add("refers_to", "long").add("place", "long")
 )
 _ORDER = ["url_key", "captured_at", "page_id"]
 
@@ -66,7 +71,10 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     seconds = F.lit(FIRST_CAPTURE) + F.coalesce(F.pmod(F.col("id"), F.lit(1_000_000_000)), F.lit(0))
-    when = F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # days and seconds are counted in UTC, whatever the session's time zone
+    two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+    day, second = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")), F.pmod(seconds, F.lit(86400))
+    when = F.concat(day.cast("string"), F.lit("T"), two(second / 3600), F.lit(":"), two(second % 3600 / 60), F.lit(":"), two(second % 60), F.lit("Z"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), line("Content-Length", F.col("bytes").cast("string")), F.lit("\r\n"))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -87,8 +95,19 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def write_archives(records: DataFrame, path: str) -> None:
-    """Archives of ``records`` below ``path``; the text writer's separator ends each record."""
-    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    """Archives of ``records`` below ``path``; the text writer's separator ends each record.
+
+    Records are written in classes of size, each with as many to a file as ``ARCHIVE_BYTES``
+    allow, so that a few long pages don't make all archives small, nor one too large to read.
+    A class with no records costs a scan, and is left out where none is that long.
+    """
+    size = F.octet_length("record")
+    longest = records.agg(F.max(size)).head()[0] or 0
+    bounds = [b for b in (ARCHIVE_BYTES // ARCHIVE_RECORDS, 4 << 20) if b < longest] + [None]
+    for low, high in zip([-1, *bounds], bounds, strict=False):
+        part = records if len(bounds) == 1 else records.filter((size > low) & (F.lit(True) if high is None else size <= high))
+        each = max(1, min(ARCHIVE_RECORDS, ARCHIVE_BYTES // (high or max(1, longest))))
+        part.write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", each).text(path)
 
 
 def url_key(url: str) -> str:
@@ -154,7 +173,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 lines = sorted(parse_archive(content.as_py(), name.as_py().rpartition("/")[2]), key=_key)
                 if lines:
-                    yield pa.RecordBatch.from_pylist(lines, schema=schema)
+                    yield pa.RecordBatch.from_pylist([{**line, "place": k} for k, line in enumerate(lines)], schema=schema)
 
     schema = _arrow(INDEX)
     return spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "content").mapInArrow(parse, INDEX)
@@ -202,8 +221,9 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     """The runs as one index in global order of URL key, time and page id.
 
     Range partitioning deals key ranges to tasks (a URL with very many captures is dealt out by
-    time and page), each with its piece of every run, sorted by run; the task merges the pieces.
-    A task holds the index lines of its range, not payloads.
+    time and page), each with its piece of every run; run and place put a piece's lines back into
+    the run's order, and the task merges the pieces. There are as many ranges as keep each near
+    ``RANGE_LINES`` lines, which is what a task holds, without payloads.
     """
     schema = _arrow(INDEX)
 
@@ -219,7 +239,9 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         order = [starts[r] + i for r, i in merge_sorted(pieces)]
         yield from held.take(pa.array(order, pa.int64())).combine_chunks().to_batches(max_chunksize=10_000)
 
-    dealt = runs.select(INDEX.fieldNames()).repartitionByRange(*_ORDER).sortWithinPartitions("run", *_ORDER)
+    session = runs.sparkSession
+    ranges = max(int(session.conf.get("spark.sql.shuffle.partitions")), math.ceil(runs.count() / RANGE_LINES))
+    dealt = runs.select(INDEX.fieldNames()).repartitionByRange(ranges, *_ORDER).sortWithinPartitions("run", "place")
     return dealt.mapInArrow(merge, INDEX)
 
 

@@ -7,6 +7,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from datetime import UTC, datetime
 
 import pytest
 import xxhash
@@ -97,7 +98,8 @@ def test_ordinal_model_learns_and_orders_its_thresholds(spark):
     assert sum(round(r.expected_grade) == r.grade for r in scored) > 0.9 * len(scored)
 
 
-def test_mixing_takes_near_targets(spark):
+def test_mixing_takes_near_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_SALTS", 7)
     draw = random.Random(7)
     rows = [(k, draw.choice(["a"] * 6 + ["b", "c", "dd", None]), draw.randint(0, 200)) for k in range(20000)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long").repartition(9), "source", "size", "doc_id", cell_rows=500).collect()
@@ -117,6 +119,10 @@ def test_mixing_takes_near_targets(spark):
     for s in own:
         assert target[s] == pytest.approx(min(2 * own[s], level * weight[s]), rel=1e-6)
         assert abs(taken[s] - target[s]) < 0.01 * target[s] + 200
+    # places run on across blocks: as many documents before as were counted
+    for s in own:
+        ordered = sorted(r.copies for r in got if r.row.source == s)
+        assert sum(ordered) == pytest.approx(target[s] / own[s] * len(ordered), abs=1)
     again = mixing.mix(spark.createDataFrame(rows[::-1], "doc_id long, source string, size long"), "source", "size", "doc_id", cell_rows=500).collect()
     assert {r.row.doc_id: r.copies for r in again} == {r.row.doc_id: r.copies for r in got}
 
@@ -147,6 +153,23 @@ def test_archives_round_trip_in_global_order(spark, tmp_path):
         assert (r.record_type, r.refers_to) == (("response", None) if head == r.page_id else ("revisit", head))
 
 
+def test_archives_are_bounded_by_bytes_and_dates_are_utc(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 100_000)
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 50)
+    start = 1_710_054_000 - warc.FIRST_CAPTURE  # the hours around the change to summer time in New York
+    rows = [(start + 600 * k, f"http://a/{k}", f"{k} " + "x" * (30_000 if k % 10 == 0 else 200)) for k in range(120)]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        warc.write_archives(warc.warc_records(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)), f"{tmp_path}/w")
+        index = warc.merge_runs(warc.read_runs(spark, f"{tmp_path}/w")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert {r.page_id: r.captured_at for r in index} == {k: datetime.fromtimestamp(warc.FIRST_CAPTURE + k, UTC).strftime("%Y-%m-%dT%H:%M:%SZ") for k, _, _ in rows}
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("part-*")]
+    assert max(sizes) < 100_000 and len(sizes) >= 4
+    assert all(r.place >= 0 for r in index)
+
+
 def der(tag, *parts):
     body = b"".join(parts)
     size = bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")
