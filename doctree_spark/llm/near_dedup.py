@@ -11,7 +11,8 @@ component. Members left outside their leader's component are compared with all o
 in blocks, from the shingles in which they differ from the leader: with h the leader's shingles,
 |x and y| = |x and h| + |y and h| - |h| + |dx and dy|. So a group of thousands of variants costs
 about one comparison each, pairs that aren't links never become rows, and no link that shares a
-key is lost.
+key is lost. Keys and leaders with many members are salted: the one row that all of them meet is
+repeated for every ``SALT_MEMBERS`` of them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +36,8 @@ PARTS = 10
 ROWS = 2
 #: Differing shingles of the members that one task holds against a slice of their group.
 BLOCK_SHINGLES = 250_000
+#: Members of a key or a leader that meet it under one salt.
+SALT_MEMBERS = 500
 CACHE_WORDS = 500_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -155,13 +158,15 @@ def _placed(star: DataFrame, comp: DataFrame) -> DataFrame:
 def _links_outside(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """Links ``a, b`` between members outside their leader's component and other members of its group.
 
-    Both sides are dealt into blocks by how many differing shingles they have, so neither a
+    ``placed`` has the ``members`` of each node's group as ``link`` counts them, by which it is
+    salted; a leader's own count is at least as large. Both sides are dealt into blocks by how many differing shingles they have, so neither a
     block of members outside nor a slice of the group grows with the group.
     """
     of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
     df = placed.withColumn("x", F.col("c") != F.col("leader_c")).withColumn("size", F.col("n") + F.col("leader_n") - 2 * F.col("both"))
-    blocks = df.groupBy("leader").agg(F.ceil(F.sum(F.when(F.col("x"), F.col("size"))) / BLOCK_SHINGLES).alias("xs"), F.ceil(F.sum("size") / (4 * BLOCK_SHINGLES)).alias("ys"))
-    df = df.join(blocks.filter("xs > 0"), "leader").join(of("node"), "node").join(of("leader"), "leader")
+    blocks = df.groupBy("leader").agg(F.ceil(F.sum(F.when(F.col("x"), F.col("size"))) / BLOCK_SHINGLES).alias("xs"), F.ceil(F.sum("size") / (4 * BLOCK_SHINGLES)).alias("ys"), F.max("members").alias("members"))
+    blocks = blocks.filter("xs > 0").join(of("leader"), "leader").select("leader", "leader_set", "xs", "ys", _every_salt(F.col("members")))
+    df = df.withColumn("salt", _salt(F.col("members"))).join(blocks, ["leader", "salt"]).join(of("node"), "node")
     df = df.withColumn("differ", F.concat(F.array_except("node_set", "leader_set"), F.array_except("leader_set", "node_set"))).drop("node_set", "leader_set")
     deal = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
@@ -211,6 +216,16 @@ class _Outside:
         return self.node[good].tolist()
 
 
+def _salt(members: Column) -> Column:
+    """A node's salt among those of a group of ``members``."""
+    return F.pmod(F.xxhash64("node"), F.ceil(members / SALT_MEMBERS))
+
+
+def _every_salt(members: Column) -> Column:
+    """All salts of a group of ``members``, a row each."""
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(members / SALT_MEMBERS) - 1)).alias("salt")
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS, rows: int = ROWS) -> DataFrame:
     """Near-duplicate components of documents.
 
@@ -236,8 +251,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
 
     central = members.groupBy("node").agg(F.sum("members").alias("central"))
     ranked = members.join(central, "node")
-    best = ranked.groupBy("key").agg(F.max(F.struct("central", "node")).alias("best")).select("key", F.col("best.node").alias("leader"))
-    led = written(ranked.join(best, "key").select("node", "n", "leader").distinct())
+    best = ranked.groupBy("key").agg(F.max(F.struct("central", "node")).alias("best"), F.first("members").alias("members"))
+    best = best.select("key", F.col("best.node").alias("leader"), _every_salt(F.col("members")))
+    met = members.withColumn("salt", _salt(F.col("members"))).join(best, ["key", "salt"])
+    led = written(met.groupBy("node", "n", "leader").agg(F.max("members").alias("members")))
 
     wanted = led.select("node").distinct().join(nodes.select("node", F.col("least").alias("doc_id"), "signature"), "node")
     texts = named.join(wanted.select("node", "doc_id").hint("shuffle_hash"), named["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
@@ -245,8 +262,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
 
     of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
     common = F.size(F.array_intersect("node_set", "leader_set"))
-    star = led.filter("node <> leader").join(of("node"), "node").join(of("leader"), "leader")
-    star = written(star.select("leader", "node", "n", common.alias("both"), F.size("leader_set").alias("leader_n")))
+    leaders = led.groupBy("leader").agg(F.max("members").alias("members")).join(of("leader"), "leader").select("leader", "leader_set", _every_salt(F.col("members")))
+    star = led.filter("node <> leader").withColumn("salt", _salt(F.col("members"))).join(of("node"), "node").join(leaders, ["leader", "salt"])
+    star = written(star.select("leader", "node", "n", "members", common.alias("both"), F.size("leader_set").alias("leader_n")))
     linked = 100 * F.col("both") >= PERCENT * (F.col("n") + F.col("leader_n") - F.col("both"))
     edges = written(star.filter(linked).select(F.col("leader").alias("a"), F.col("node").alias("b")))
     comp = components(edges)
@@ -266,17 +284,19 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, unchanged, without those that ``link`` doesn't keep.
 
-    Of rows that repeat an id the one with the first text stays. Rows with a null id stay.
-    What goes is written first: while it is small, Spark broadcasts it and texts don't move.
+    Of rows that repeat an id the one with the first text stays. Rows without an id go by a hash
+    of their text that is larger than ids below 2^62: of equal or similar ones one stays, and
+    none where a row with an id is similar. What goes is written first: while it is small, Spark
+    broadcasts it and texts don't move.
     """
-    linked = written(link(docs, id_col, text_col).select("doc_id", "kept").filter("doc_id IS NOT NULL"))
-    key = docs[id_col].cast("long")
+    key = F.coalesce(docs[id_col].cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(docs[text_col]), F.lit(1 << 61)))
+    linked = written(link(docs.select(key.alias("__id"), docs[text_col].alias("__text")), "__id", "__text").select("doc_id", "kept"))
     gone = written(linked.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
     out = docs.join(gone, key == gone["__gone"], "left_anti")
     again = written(linked.filter("kept").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again")))
     if again.isEmpty():
         return out
-    marked = out.join(again, out[id_col].cast("long") == again["__again"], "left")
+    marked = out.join(again, key == again["__again"], "left")
     first = F.row_number().over(Window.partitionBy("__again").orderBy(text_col)) == 1
     repeated = marked.filter(F.col("__again").isNotNull()).withColumn("__first", first).filter("__first")
     return marked.filter(F.col("__again").isNull()).select(docs.columns).union(repeated.select(docs.columns))

@@ -315,8 +315,10 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert len(wrong) <= 0.01 * len(texts), wrong
 
 
-def test_hub_groups_lose_no_variant(spark):
+@pytest.mark.parametrize("salt", [7, 500])
+def test_hub_groups_lose_no_variant(spark, monkeypatch, salt):
     """Variants that are near the hub only, and some that are near other variants only."""
+    monkeypatch.setattr(near_dedup, "SALT_MEMBERS", salt)
     draw = random.Random(2)
     hub = [f"h{k}" for k in range(150)]
     texts = {0: " ".join(hub)}

@@ -94,6 +94,8 @@ def test_near_dedup(docs, none):
     assert near_dedup.link(none).count() == 0
     kept = near_dedup.deduplicated(docs)
     assert kept.columns == docs.columns and kept.count() == len(ROWS) - 1
+    more = docs.unionByName(docs.filter("doc_id IS NULL")).unionByName(docs.filter("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    assert near_dedup.deduplicated(more).filter("doc_id IS NULL").count() == 1
     assert near_dedup.deduplicated(none).count() == 0
 
 
