@@ -1,11 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. One pass over the corpus cuts every text into passages and adds up, task by task, how many
-   passages have each hashed term and the product of the term matrix's Gram matrix with a
-   random sparse test matrix. Blocks of rows of that product are summed by a shuffle. From the
-   sum, which has a fixed size, follow the singular values and right singular vectors of the
-   TF-IDF matrix (a single-view randomised SVD).
-2. A second pass looks for regions where rare words of a benchmark item stand together, rejects
+1. Two passes over the corpus cut every text into passages and add up, task by task, the product
+   of the terms' Gram matrix with test vectors, random ones first, then a basis of what came of
+   these. Blocks of rows of the product are summed by a shuffle. From the sums, which have a
+   fixed size, follow the singular values and right singular vectors of the TF-IDF matrix (a
+   randomised SVD with a power step).
+2. A last pass looks for regions where rare words of a benchmark item stand together, rejects
    those whose latent cosine with it is low, and confirms the others by their longest common
    subsequence with the whole item or with one of its passages, and by its answer where one is given.
 
@@ -17,7 +17,6 @@ only computed where three stand together; nothing that the subsequence could con
 from __future__ import annotations
 
 import math
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doctree_spark.llm.shared import table
+from doctree_spark.llm.shared import byte_table, hashed_words, table, written
 
-#: Hashed terms, test vectors and singular vectors kept.
+#: Hashed terms, test vectors (twice as many as are kept) and singular vectors kept.
 TERMS = 1 << 14
-TEST_VECTORS = 16
+TEST_VECTORS = 24
 RANK = 12
 #: Words in a passage of the SVD.
 PASSAGE = 32
@@ -51,85 +50,76 @@ SHORT = 8
 ANCHORS = 3
 #: Benchmark text that one scan takes to every task; more is scanned in several blocks.
 BLOCK_BYTES = 32 << 20
-CACHE_WORDS = 500_000
 _BLOCKS = 64
+_WIDTH = TERMS // _BLOCKS
 
+#: Letters, digits and whatever isn't ASCII make words.
+_LETTERS = byte_table(bytes(c for c in range(128) if not chr(c).isalnum()))
 
-def _letters() -> bytes:
-    """Byte table: A-Z become small, other ASCII that is no letter or digit becomes a blank."""
-    return bytes((c | 32) if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
+def _ids(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of some texts at a time as 32-bit numbers, and where each text's begin."""
+    for hashes, begin in hashed_words(texts, _LETTERS):
+        yield (hashes >> np.uint64(32)).astype(np.uint32), begin
 
-_LETTERS = _letters()
 
+def _each(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Words of each text as numbers."""
+    for ids, begin in _ids(texts):
+        for k in range(len(begin) - 1):
+            yield ids[begin[k] : begin[k + 1]]
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = zlib.crc32(word)
-        return value
 
-
-def _ids(text: str, hashes: _Hashes) -> np.ndarray:
-    words = text.encode("utf-8", "surrogatepass").translate(_LETTERS).split()
-    return np.fromiter(map(hashes.__getitem__, words), np.uint32, len(words))
-
-
-def _test_matrix() -> tuple[np.ndarray, np.ndarray]:
-    """Column and sign of the one entry in each row of the sparse test matrix."""
-    draw = np.random.default_rng(7)
-    return draw.integers(0, TEST_VECTORS, TERMS), draw.choice([-1.0, 1.0], TERMS)
+def sign_matrix() -> np.ndarray:
+    """Random signs, by terms and test vectors."""
+    return np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (TERMS, TEST_VECTORS))
 
 
 class _Gram:
-    """Sums over passages: term counts by passage, and Gram matrix times test matrix."""
+    """Sums over passages: how many have each term, and the matrix of terms by terms times ``vectors``."""
 
-    def __init__(self) -> None:
+    def __init__(self, vectors: np.ndarray) -> None:
         self.passages = 0
         self.having = np.zeros(TERMS, np.int64)
-        self.product = np.zeros((TEST_VECTORS, TERMS))
-        self.column, self.sign = _test_matrix()
+        self.vectors = np.ascontiguousarray(vectors, np.float32)
+        self.product = np.zeros((vectors.shape[1], TERMS))
 
-    def add(self, texts: list[np.ndarray]) -> None:
-        texts = [t for t in texts if len(t)]
-        if not texts:
+    def add(self, ids: np.ndarray, begin: np.ndarray) -> None:
+        if not len(ids):
             return
-        counts = np.array([-(-len(t) // PASSAGE) for t in texts])
+        lengths = np.diff(begin)
+        counts = -(-lengths // PASSAGE)
         first = np.concatenate([[0], np.cumsum(counts)])
-        passage = np.concatenate([first[k] + np.arange(len(t)) // PASSAGE for k, t in enumerate(texts)])
-        term = (np.concatenate(texts) & np.uint32(TERMS - 1)).astype(np.int64)
-        n = int(first[-1])
-        pairs = passage * TERMS + term
-        pairs = np.sort(pairs.astype(np.int32) if n * TERMS < 2**31 else pairs)
+        starts = np.repeat(begin[:-1], counts) + (np.arange(first[-1]) - np.repeat(first[:-1], counts)) * PASSAGE
+        n = len(starts)
+        passage = np.repeat(np.arange(n), np.diff(np.append(starts, len(ids))))
+        term = (ids & np.uint32(TERMS - 1)).astype(np.int64)
+        pairs = np.sort(passage * TERMS + term)
         once = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
         self.passages += n
         self.having += np.bincount(once & (TERMS - 1), minlength=TERMS)
-        rows = np.bincount(passage * TEST_VECTORS + self.column[term], self.sign[term], minlength=n * TEST_VECTORS).reshape(n, TEST_VECTORS)
+        rows = np.add.reduceat(self.vectors[term], starts, axis=0)
         for j, column in enumerate(np.ascontiguousarray(rows.T)):
             self.product[j] += np.bincount(term, column[passage], minlength=TERMS)
 
 
-def corpus_gram(texts: DataFrame) -> DataFrame:
-    """Sums of ``_Gram`` over all ``text`` rows: ``block, passages, having, product``, one row a block of terms.
+def corpus_gram(texts: DataFrame, vectors: np.ndarray) -> tuple[int, np.ndarray, np.ndarray] | None:
+    """Number of passages of all ``text`` rows, passages by term, and A'A times ``vectors``, A the term counts by passage.
 
-    Each task sends its blocks once; a block's pieces are added as they stream in.
+    Each task sends its sums once, in blocks of terms; a block's pieces are added as they stream
+    in. What arrives has ``TERMS`` rows whatever the corpus. None for a corpus without words.
     """
     schema = T.StructType().add("block", "integer").add("passages", "long").add("having", "binary").add("product", "binary")
-    width = TERMS // _BLOCKS
+    arrow = pa.schema([("block", pa.int32()), ("passages", pa.int64()), ("having", pa.binary()), ("product", pa.binary())])
+    sent, wide = texts.sparkSession.sparkContext.broadcast(vectors), vectors.shape[1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, hashes, held, size = _Gram(), _Hashes(), [], 0
+        gram = _Gram(sent.value)
         for batch in batches:
-            for text in batch.column(0):
-                held.append(_ids(text.as_py(), hashes))
-                size += len(held[-1])
-                if size > 200_000:
-                    gram.add(held)
-                    held, size = [], 0
-        gram.add(held)
+            for ids, begin in _ids(batch.column(0)):
+                gram.add(ids, begin)
         if gram.passages:
-            cut = lambda a, k: np.ascontiguousarray(a[..., k * width : (k + 1) * width]).tobytes()
+            cut = lambda a, k: np.ascontiguousarray(a[..., k * _WIDTH : (k + 1) * _WIDTH]).tobytes()
             rows = [{"block": k, "passages": gram.passages, "having": cut(gram.having, k), "product": cut(gram.product.astype(np.float32), k)} for k in range(_BLOCKS)]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
@@ -137,19 +127,23 @@ def corpus_gram(texts: DataFrame) -> DataFrame:
         sums: dict[int, list] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                having, product = np.frombuffer(row["having"], np.int64), np.frombuffer(row["product"], np.float64 if len(row["product"]) == 8 * width * TEST_VECTORS else np.float32)
-                s = sums.setdefault(row["block"], [0, np.zeros(width, np.int64), np.zeros(width * TEST_VECTORS)])
+                having, product = np.frombuffer(row["having"], np.int64), np.frombuffer(row["product"], np.float64 if len(row["product"]) == 8 * _WIDTH * wide else np.float32)
+                s = sums.setdefault(row["block"], [0, np.zeros(_WIDTH, np.int64), np.zeros(_WIDTH * wide)])
                 s[0] += row["passages"]
                 s[1] += having
                 s[2] += product
         if sums:
             yield pa.RecordBatch.from_pylist([{"block": k, "passages": s[0], "having": s[1].tobytes(), "product": s[2].tobytes()} for k, s in sums.items()], schema=arrow)
 
-    arrow = pa.schema([("block", pa.int32()), ("passages", pa.int64()), ("having", pa.binary()), ("product", pa.binary())])
     pieces = texts.mapInArrow(count, schema)
     # first within a few groups a block, then over these
     some = pieces.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(8))).repartition("block", "part").drop("part").mapInArrow(add, schema)
-    return some.repartition("block").mapInArrow(add, schema)
+    rows = sorted(some.repartition("block").mapInArrow(add, schema).collect(), key=lambda r: r["block"])
+    sent.unpersist()
+    if not rows:
+        return None
+    having = np.concatenate([np.frombuffer(r["having"], np.int64) for r in rows])
+    return rows[0]["passages"], having, np.concatenate([np.frombuffer(r["product"], np.float64).reshape(wide, _WIDTH).T for r in rows])
 
 
 @dataclass
@@ -164,27 +158,24 @@ class Space:
         return self.vectors[ids & np.uint32(TERMS - 1)].sum(axis=0)
 
 
-def latent_space(gram: DataFrame, rank: int = RANK) -> Space | None:
-    """Singular vectors of the corpus's TF-IDF matrix from its sums; None for a corpus without words.
+def latent_space(texts: DataFrame, rank: int = RANK) -> Space | None:
+    """Singular vectors of the TF-IDF matrix of all passages of ``text`` rows; None without words.
 
-    The sums have ``TERMS`` rows whatever the corpus, so they fit on the driver.
+    A randomised SVD in two passes over the corpus: the first takes the matrix of terms by terms
+    to random test vectors, the second to an orthonormal basis of what comes out (the power
+    step); a small eigenproblem in that basis gives the vectors. The test vectors are left
+    unweighted, as document frequencies are known after the first pass only.
     """
-    rows = sorted(gram.collect(), key=lambda r: r["block"])
-    if not rows:
+    found = corpus_gram(texts, sign_matrix())
+    if found is None:
         return None
-    width = TERMS // _BLOCKS
-    having = np.concatenate([np.frombuffer(r["having"], np.int64) for r in rows])
-    product = np.concatenate([np.frombuffer(r["product"], np.float64).reshape(TEST_VECTORS, width).T for r in rows])
-    n = rows[0]["passages"]
+    n, having, product = found
     idf = np.where((having > 0) & (having <= TOO_COMMON * n), np.log((n + 1) / (having + 1)), 0.0)
     if not idf.any():
         idf = np.where(having > 0, 1.0, 0.0)
-    column, sign = _test_matrix()
-    test = np.zeros((TERMS, TEST_VECTORS))
-    test[np.arange(TERMS), column] = np.divide(sign, idf, out=np.zeros(TERMS), where=idf > 0)
-    weighted = idf[:, None] * product  # Gram matrix of the weighted rows, times the test matrix
-    base, _ = np.linalg.qr(weighted)
-    small = np.linalg.lstsq((base.T @ test).T, (base.T @ weighted).T, rcond=None)[0].T
+    base, _ = np.linalg.qr(idf[:, None] * product)
+    _, _, product = corpus_gram(texts, idf[:, None] * base)
+    small = base.T @ (idf[:, None] * product)
     value, vector = np.linalg.eigh((small + small.T) / 2)
     top = np.argsort(-value)[:rank]
     return Space(idf, (idf[:, None] * (base @ vector[:, top])).astype(np.float32), np.sqrt(np.maximum(value[top], 0)))
@@ -213,11 +204,11 @@ class Finder:
     """Items by their rarest words, and the checks of a candidate."""
 
     def __init__(self, space: Space, items: list[tuple[int, str, str | None]]) -> None:
-        self.space, hashes = space, _Hashes()
+        self.space = space
         self.items, anchors, self.together, self.reach = [], [], [], []
-        for number, (item_id, text, answer) in enumerate(items):
-            whole = _ids(text or "", hashes)
-            said = _ids(answer, hashes).tolist() if answer else []
+        wholes, answers = (_each(pa.array([item[k] for item in items], pa.string())) for k in (1, 2))
+        for (item_id, _, _), whole, said in zip(items, wholes, answers, strict=True):
+            said = said.tolist()
             for first, last in item_passages(len(whole)):
                 ids = whole[first:last]
                 m = len(ids)
@@ -227,7 +218,7 @@ class Finder:
                 anchors += [(int(ids[offset]), len(self.items), offset) for offset in rare.tolist()]
                 latent = space.of(ids)
                 slack = 0 if m < SHORT else m // 4
-                self.items.append((number, item_id, ids.tolist(), need, slack, latent / max(float(np.linalg.norm(latent)), 1e-12), said, first, len(whole)))
+                self.items.append((item_id, ids.tolist(), need, slack, latent / max(float(np.linalg.norm(latent)), 1e-12), said, first, len(whole)))
                 self.together.append(together)
                 self.reach.append(m + 2 * slack)
         anchors.sort()
@@ -265,32 +256,36 @@ class Finder:
         return list(zip(item[chosen].tolist(), (at[chosen] - offset[chosen]).tolist(), strict=True))
 
     def find(self, ids: np.ndarray) -> list[dict]:
-        best: dict[int, dict] = {}
+        """The best region of each item in a text.
+
+        Starts in one bucket of a passage are looked at as one region, which reaches as far as
+        the passage, with what it may skip or add, would from any of them.
+        """
+        best: dict[int | None, dict] = {}
         tried = set()
         for k, start in self.starts(ids):
-            number, item_id, words, need, slack, latent, answer, before, whole = self.items[k]
-            m = len(words)
-            # anchors of one passage agree about where it starts, give or take what it skips
-            mark = (k, start // max(1, slack))
-            if mark in tried or best.get(number, {"words": 0})["words"] >= m:
+            item_id, words, need, slack, latent, answer, before, whole = self.items[k]
+            m, wide = len(words), max(1, slack)
+            mark = (k, start // wide)
+            if mark in tried or best.get(item_id, {"words": 0})["words"] >= m:
                 continue
-            here = self.space.of(ids[max(0, start) : start + m])
+            here = self.space.of(ids[max(0, start) : max(0, start + m)])
             cosine = float(here @ latent) / max(float(np.linalg.norm(here)), 1e-12)
             if cosine < LEAST_COSINE and latent.any():
                 continue
             tried.add(mark)
-            a, b = max(0, start - slack), min(len(ids), start + m + slack)
-            region = ids[a:b].tolist()
-            common = common_subsequence(words, region)
-            if common < need or common <= best.get(number, {"words": 0})["words"]:
+            low = mark[1] * wide
+            a, b = max(0, low - slack), min(len(ids), low + wide - 1 + m + slack)
+            common = common_subsequence(words, ids[a:b].tolist())
+            if common < need or common <= best.get(item_id, {"words": 0})["words"]:
                 continue
             said = None
             if answer:
                 # a passage's answer may stand wherever the whole item would
                 around = whole // 4
-                said = common_subsequence(answer, ids[max(0, min(a, start - before - around)) : max(b, start - before + whole + around)].tolist()) / len(answer)
+                said = common_subsequence(answer, ids[max(0, min(a, low - before - around)) : max(b, low - before + whole + around)].tolist()) / len(answer)
             if said is None or said >= LEAST_ANSWER:
-                best[number] = {"item_id": item_id, "first_word": a, "last_word": b - 1, "cosine": min(1.0, cosine), "common": common / m, "answer": said, "words": common}
+                best[item_id] = {"item_id": item_id, "first_word": a, "last_word": b - 1, "cosine": min(1.0, cosine), "common": common / m, "answer": said, "words": common}
         return list(best.values())
 
 
@@ -312,50 +307,65 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     schema = T.StructType([rows.schema[0], *FOUND])
-    out = None
-    for sent in _blocks(docs, benchmark, text_col, item_col, item_text, answer_col):
+    kinds = {"bigint": pa.int64(), "double": pa.float64()}
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            finder, hashes = Finder(*sent.value), _Hashes()
-            kinds = {"bigint": pa.int64(), "double": pa.float64()}
+    def scan(sent: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = Finder(*sent.value)
             for batch in batches:
                 of, found = [], []
-                for n, text in enumerate(batch.column(1)):
-                    got = finder.find(_ids(text.as_py(), hashes))
+                for n, ids in enumerate(_each(batch.column(1))):
+                    got = finder.find(ids)
                     found += got
                     of += [n] * len(got)
                 columns = [pa.array([f[c.name] for f in found], kinds[c.dataType.simpleString()]) for c in FOUND]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *columns], names=schema.fieldNames())
 
-        scan = rows.mapInArrow(run, schema)
-        out = scan if out is None else out.union(scan)
+        return rows.mapInArrow(run, schema)
+
+    out = None
+    for sent, last in _blocks(docs, benchmark, text_col, item_col, item_text, answer_col):
+        found = scan(sent) if last and out is None else written(scan(sent))
+        out = found if out is None else out.union(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None) -> DataFrame:
     """Rows of ``docs``, unchanged, in which ``find_leaks`` finds no item; null texts stay."""
-    place = docs.columns.index(text_col)
-    for sent in _blocks(docs, benchmark, text_col, item_col, item_text, answer_col):
+    place, first = docs.columns.index(text_col), docs
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            finder, hashes = Finder(*sent.value), _Hashes()
+    def without(rows: DataFrame, sent: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = Finder(*sent.value)
             for batch in batches:
-                yield batch.filter(pa.array([not finder.find(_ids(text.as_py() or "", hashes)) for text in batch.column(place)], pa.bool_()))
+                yield batch.filter(pa.array([not finder.find(ids) for ids in _each(batch.column(place))], pa.bool_()))
+
+        return rows.mapInArrow(run, rows.schema)
 
-        docs = docs.mapInArrow(run, docs.schema)
+    for sent, last in _blocks(docs, benchmark, text_col, item_col, item_text, answer_col):
+        rest = without(docs, sent)
+        docs = rest if last and docs is first else written(rest)
     return docs
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, answer_col: str | None) -> list[Broadcast]:
-    """Latent space and items for the scans: one broadcast for each block of at most about ``BLOCK_BYTES`` of items."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"), (F.col(answer_col) if answer_col else F.lit(None)).cast("string").alias("a"))
+def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, answer_col: str | None) -> Iterator[tuple[Broadcast, bool]]:
+    """Latent space and items for the scans: a broadcast for each block of about ``BLOCK_BYTES`` of items, and whether it is the last.
+
+    Rows that repeat an item are one. Of several blocks one is there at a time: a scan must have
+    been written before the next is asked for.
+    """
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"), (F.col(answer_col) if answer_col else F.lit(None)).cast("string").alias("a")).distinct()
     size = items.agg(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("a"), F.lit(0)))).head()[0]
-    space = latent_space(corpus_gram(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")))) if size else None
+    space = latent_space(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))) if size else None
     if space is None:
-        return []
+        return
     n = math.ceil(size / BLOCK_BYTES)
-    parts = (items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t").collect() for k in range(n))
-    return [docs.sparkSession.sparkContext.broadcast((space, [tuple(r) for r in part])) for part in parts]
+    for k in range(n):
+        part = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k).orderBy("i", "t", "a").collect()]
+        sent = docs.sparkSession.sparkContext.broadcast((space, part))
+        yield sent, k == n - 1
+        if n > 1:
+            sent.unpersist()
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

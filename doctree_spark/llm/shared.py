@@ -1,13 +1,17 @@
-"""What the operators of this package share: tables, cut lineage, word splitting."""
+"""What the operators of this package share: tables, cut lineage, words and their hashes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doctree_spark.sources.lineage import shared_dir, written
 
-__all__ = ["WORD_GAP", "ascii_lower", "shared_dir", "table", "words", "written"]
+__all__ = ["SPACE", "WORD_GAP", "byte_table", "hashed_words", "shared_dir", "table", "words", "written"]
 
 #: Words are maximal runs of characters other than ASCII white space.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -22,5 +26,68 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Bytes of text hashed at a time, unless one text has more.
+HASH_BYTES = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_powers = np.ones((2, 1), np.uint64)
+
+
+def byte_table(gaps: bytes) -> np.ndarray:
+    """Byte table for ``hashed_words``: A-Z become small, ``gaps`` 0, and zero 255, which no UTF-8 has."""
+    return np.array([0 if c in gaps else c | 32 if 65 <= c <= 90 else c or 255 for c in range(256)], np.uint8)
+
+
+#: White space between words, as in ``WORD_GAP``.
+SPACE = bytes([32, *range(9, 14)])
+
+
+def _powers_up_to(n: int) -> np.ndarray:
+    """Powers of an odd number modulo 2^64, and of its inverse."""
+    global _powers
+    if _powers.shape[1] < n:
+        steps = np.full((2, 1 << (n - 1).bit_length()), [[_BASE], [pow(_BASE, -1, 1 << 64)]], np.uint64)
+        steps[:, 0] = 1
+        _powers = np.cumprod(steps, axis=1, dtype=np.uint64)
+    return _powers
+
+
+def hashed_words(texts: pa.Array, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """64-bit hashes of the words of the texts, some texts at a time.
+
+    ``table`` says which bytes stand between words (0) and which count as equal. A word's hash is
+    a polynomial of its bytes, taken from running sums over all bytes, so that no word is
+    handled alone.
+
+    Yields:
+        Hashes of all words of the next texts, and where each text's begin among them (one
+        number more than texts). A null text has no words.
+    """
+    texts = texts.cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + HASH_BYTES, "right")) - 1)
+        edges = ends[at : to + 1] - ends[at]
+        yield _hashed(table[data[ends[at] : ends[to]]], edges)
+        at = to
+
+
+def _hashed(low: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(low)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(edges), np.int64)
+    word = low != 0
+    before, behind = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    before[1:], behind[:-1] = word, word
+    before[edges], behind[edges] = False, False
+    first, last = np.flatnonzero(word & ~before[:-1]), np.flatnonzero(word & ~behind[1:])
+    power, inverse = _powers_up_to(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(low * power[:n], out=sums[1:])
+    h = (sums[last + 1] - sums[first]) * inverse[first]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32)), np.searchsorted(first, edges)

@@ -9,11 +9,13 @@ import zlib
 from collections import Counter, defaultdict
 from datetime import UTC, datetime
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from doctree_spark.llm import decontamination, fingerprints, licenses, mixing, near_dedup, quality, secrets, suffix_model, token_counts, warc
+from doctree_spark.llm import decontamination, fingerprints, licenses, mixing, near_dedup, quality, secrets, shared, suffix_model, token_counts, warc
 
 
 def prose(seed, n, words=400):
@@ -379,6 +381,83 @@ def test_subsequences_by_bits():
         assert decontamination.common_subsequence(a, b) == plain(a, b)
 
 
+def test_word_hashes_follow_words(monkeypatch):
+    draw, seen = random.Random(1), {}
+    texts = [*("".join(draw.choice("abC dé\n\t\0") for _ in range(draw.randint(0, 30))) for _ in range(500)), None, "", " "]
+    for size in (50, 1 << 20):
+        monkeypatch.setattr(shared, "HASH_BYTES", size)
+        got = [h[b[i] : b[i + 1]].tolist() for h, b in shared.hashed_words(pa.array(texts)[3:], shared.byte_table(shared.SPACE)) for i in range(len(b) - 1)]
+        assert [len(g) for g in got] == [len(words(t)) for t in texts[3:]]
+        for t, g in zip(texts[3:], got, strict=True):
+            assert all(seen.setdefault(w, h) == h for w, h in zip(words(t), g, strict=True))
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_latent_space_is_that_of_an_exact_decomposition(spark):
+    draw = random.Random(6)
+    topics = [prose(100 + k, 1, 30)[0].split() or ["x"] for k in range(8)]
+    texts = [" ".join(draw.choice(topics[k % 8] if draw.random() < 0.8 else ["the", "of", "and", "to"]) for _ in range(draw.randint(1, 90))) for k in range(400)]
+    space = decontamination.latent_space(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), 7)
+    rows = []
+    for ids in decontamination._each(pa.array(texts)):
+        rows += [np.bincount((ids[k : k + 32] & np.uint32(decontamination.TERMS - 1)).astype(int), minlength=decontamination.TERMS) for k in range(0, len(ids), 32)]
+    counts = np.array(rows, float)
+    n, having = len(counts), (counts > 0).sum(axis=0)
+    idf = np.where((having > 0) & (having <= n / 2), np.log((n + 1) / (having + 1)), 0.0)
+    assert np.allclose(space.idf, idf)
+    used = np.flatnonzero(idf)
+    _, value, vector = np.linalg.svd(counts[:, used] * idf[used], full_matrices=False)
+    assert np.allclose(space.singular, value[:7], rtol=0.02)
+    ours = space.vectors[used] / idf[used, None]
+    # eight topics make eight like values, so the last ones turn among each other
+    assert np.linalg.svd(vector[:10] @ ours)[1].min() > 0.97 and np.linalg.svd(vector[:6] @ ours)[1][:5].min() > 0.97
+
+
+def test_regions_equal_a_search_of_all_windows(spark):
+    """Every window that the least common subsequence confirms is found, for whole items and passages."""
+    draw = random.Random(31)
+    vocabulary = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(600)]
+    items = [[draw.choice(vocabulary) for _ in range(n)] for n in (5, 9, 16, 24, 32, 40, 57)]
+    texts = []
+    for _ in range(300):
+        item = draw.choice(items)
+        part = list(item[(a := draw.randrange(len(item))) : a + draw.randint(5, len(item) + 5)] if draw.random() < 0.3 else item)
+        share = draw.choice([0, 0.1, 0.2, 0.3])
+        part = [w for w in part if draw.random() >= share] if draw.random() < 0.5 else [w if draw.random() >= share else draw.choice(vocabulary) for w in part]
+        around = lambda: [draw.choice(vocabulary) for _ in range(draw.randint(0, 40))]  # noqa: B023, E731
+        texts.append(around() + part + around())
+
+    def window_has(item, text):
+        for first, last in decontamination.item_passages(len(item)):
+            want = item[first:last]
+            m = len(want)
+            slack = 0 if m < decontamination.SHORT else m // 4
+            need = m if m < decontamination.SHORT else math.ceil(decontamination.LEAST_COMMON * m)
+            for start in range(-slack, len(text)):
+                if decontamination.common_subsequence(want, text[max(0, start - slack) : start + m + slack]) >= need:
+                    return True
+        return False
+
+    want = {(k, i) for k, t in enumerate(texts) for i, item in enumerate(items) if window_has(item, t)}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] * 2, "item_id long, text string")
+    rows = [(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, benchmark).collect()]
+    assert len(rows) == len(set(rows)) and len(want) > 150
+    # a region reaches a little further than a window does
+    assert len(set(rows) - want) <= 0.05 * len(want)
+    assert len(want & set(rows)) >= 0.98 * len(want), sorted(want - set(rows))
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    texts, items = prose(24, 30, 3000), [" ".join(t.split()[:40]) for t in prose(25, 30, 3000) if len(t.split()) >= 40][:6]
+    docs = spark.createDataFrame([(k, f"{t} {items[k % 6] if k % 3 == 0 else ''} {t}") for k, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    whole = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, benchmark).collect()}
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 500)
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, benchmark).collect()} == whole == {(k, k % 6) for k in range(0, 30, 3)}
+    assert {r.doc_id for r in decontamination.drop_leaks(docs, benchmark).collect()} == {k for k in range(30) if k % 3}
+
+
 def test_leaks_and_paraphrases_are_found(spark):
     draw = random.Random(21)
     texts, items = prose(22, 200, 3000), [" ".join(t.split()[:40]) for t in prose(23, 30, 3000) if len(t.split()) >= 40][:10]
