@@ -22,12 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doctree_spark.llm.shared import table, written
+from doctree_spark.llm.shared import SPACE, byte_table, hashed_words, table, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -38,18 +37,10 @@ ROWS = 2
 BLOCK_SHINGLES = 250_000
 #: Members of a key or a leader that meet it under one salt.
 SALT_MEMBERS = 500
-CACHE_WORDS = 500_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+_WORDS = byte_table(SPACE)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -57,22 +48,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * _STEP
 
 
-def shingle_set(text: str, hashes: dict[bytes, int], size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text.
+def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of each text.
 
     A-Z are lower-cased; words are runs without ASCII white space. Fewer than ``size`` words
     are one shingle; none make the empty set.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    width = min(n, size)
-    out = np.full(n - width + 1, width, np.uint64)
-    for k in range(width):
-        out = out * _MIX + h[k : n - width + 1 + k]
-    return np.unique(_mixed(out))
+    for hashes, begin in hashed_words(texts, _WORDS):
+        for k in range(len(begin) - 1):
+            h = hashes[begin[k] : begin[k + 1]]
+            n = len(h)
+            if not n:
+                yield np.empty(0, np.uint64)
+                continue
+            width = min(n, size)
+            out = np.full(n - width + 1, width, np.uint64)
+            for j in range(width):
+                out = out * _MIX + h[j : n - width + 1 + j]
+            yield np.unique(_mixed(out))
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,11 +87,10 @@ def _sketches(docs: DataFrame, parts: int, rows: int) -> DataFrame:
     schema = T.StructType().add("doc_id", "long").add("n_shingles", "long").add("signature", "binary").add("parts", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (a, b) = _WordHashes(), _multipliers(2 * parts * rows)
+        a, b = _multipliers(2 * parts * rows)
         for batch in batches:
             size, signature, part = [], [], []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), hashes)
+            for s in shingle_sets(batch.column(1)):
                 size.append(len(s))
                 signature.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 part.append(collections(s, a, b, rows) if len(s) else [])
@@ -112,9 +104,8 @@ def _sets(docs: DataFrame) -> DataFrame:
     schema = T.StructType().add("node", "long").add("shingles", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
         for batch in batches:
-            sets = [shingle_set(text.as_py(), hashes).view(np.int64) for text in batch.column(1)]
+            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
