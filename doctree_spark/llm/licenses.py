@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 
 from doctree_spark.llm.shared import table
 
-#: Wording of common notices. Public texts, stated as they are; a name and year are left out.
+# Wording of common notices. Public texts, stated as they are; a name and year are
+# left out. Long texts stand in the parts in which they are quoted.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-text": (
@@ -53,6 +54,96 @@ TEMPLATES = {
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution."
     ),
+    "MIT-warranty": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+        "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-text": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
+    "LGPL-2.1-text": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0-text": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-text": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."
+    ),
+    "BSD-3-Clause-endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission."
+    ),
+    "BSD-warranty": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+        "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies."
+    ),
+    "ISC-warranty": (
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES '
+        "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR "
+        "ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS "
+        "ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "Zlib-text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be "
+        "misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the "
+        "product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be "
+        "misrepresented as being the original software. This notice may not be removed or altered from any source distribution."
+    ),
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "BSL-1.0-text": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        'documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to '
+        "prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the "
+        "following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the "
+        "following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, "
+        "unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."
+    ),
+    "Unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "MPL-2.0-text": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "EPL-2.0-text": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-4.0-text": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-text": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0-text": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
@@ -60,18 +151,25 @@ TEMPLATES = {
     "CC0-1.0": "Released into the public domain under CC0 1.0.",
 }
 
+# Words that tell licenses apart. A statement that has one more or one less than the
+# template is no statement of it; nor is one that lacks a number of the template.
+NAMES = ("affero", "apache", "boost", "bsd", "commons", "eclipse", "general", "gnu", "isc", "lesser", "library", "mit", "mozilla", "noncommercial", "noderivatives", "sharealike", "not")
+
 #: A line with one of these may be part of a license statement.
 CUE = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|public domain"
 #: A template's wording is looked at when it saves this share of a block's compressed size or of its own, ...
 LEAST_SAVED = 0.2
-#: ... and confirmed when at most this share of the template's words differ.
+#: ... and confirmed when at most this share of the template's words differ, and none that tells licenses apart.
 MOST_DIFFERENT = 0.1
 #: A template's windows in longer blocks reach so many of its lengths around a cue; the next has a cue so many lengths on.
 REACH, STEP = 2, 0.5
 
 _CUE = re.compile(CUE)
 _WORD = re.compile(r"\w+(?:[.\-+]\w+)*")
-MATCH = T.StructType().add("start", "long").add("end", "long").add("license", "string").add("alone", "long").add("with_template", "long").add("saved", "double").add("rank", "integer").add("different", "long").add("confirmed", "boolean")
+_NUMBER, _PART = re.compile(r"\d"), re.compile(r"[.\-+]")
+#: Start, end, number of differing words, missing words, added words.
+Wording = tuple[int, int, int, list[str], list[str]]
+MATCH = T.StructType().add("start", "long").add("end", "long").add("license", "string").add("alone", "long").add("with_template", "long").add("saved", "double").add("rank", "integer").add("different", "long").add("missing", T.ArrayType(T.StringType())).add("added", T.ArrayType(T.StringType())).add("confirmed", "boolean")
 
 
 def candidate_blocks(text: str, longest: int) -> Iterator[tuple[int, int]]:
@@ -150,19 +248,19 @@ class Scanner:
             for name in near:
                 sure = self.statements(name, have, matcher)
                 spans = [(*x, True) for x in sure]
-                if not sure and plain - size[name] >= LEAST_SAVED * plain:
-                    start, end, different = self.wording(name, text, a, b)
-                    spans = [(start, end, different, different <= MOST_DIFFERENT * len(self.words[name]))]
+                if not sure and plain - size[name] >= LEAST_SAVED * plain and have:
+                    spans = [(*self.wording(name, have), False)]
                 if not spans:
                     continue
                 if len(size) < len(self.given):
                     size = {k: len(c.compress(block)) for k, c in self.given.items()}
                 rank = 1 + sum((n, k) < (size[name], name) for k, n in size.items())
-                found += [{"start": start, "end": end, "license": name, "alone": plain, "with_template": size[name], "saved": 1 - size[name] / plain, "rank": rank, "different": different, "confirmed": confirmed} for start, end, different, confirmed in spans]
+                for start, end, different, missing, added, confirmed in spans:
+                    found.append({"start": start, "end": end, "license": name, "alone": plain, "with_template": size[name], "saved": 1 - size[name] / plain, "rank": rank, "different": different, "missing": missing, "added": added, "confirmed": confirmed})
         return _distinct(found)
 
-    def statements(self, name: str, have: list[tuple[str, int, int]], matcher: SequenceMatcher) -> list[tuple[int, int, int]]:
-        """Span and differing words of each statement of the template that its wording confirms, among the words of a block."""
+    def statements(self, name: str, have: list[tuple[str, int, int]], matcher: SequenceMatcher) -> list[Wording]:
+        """Each statement of the template that its wording confirms, among the words of a block."""
         want = self.words[name]
         most = int(MOST_DIFFERENT * len(want))
         # words in a row that a statement with the most differences still has
@@ -174,27 +272,28 @@ class Scanner:
             i, j, size = matcher.find_longest_match(0, len(want), low, high)
             if size < least:
                 continue
-            a, b = max(low, j - i - most), min(high, j - i + len(want) + most)
-            blocks = [x for x in SequenceMatcher(None, want, [h[0] for h in have[a:b]], autojunk=False).get_matching_blocks() if x.size]
-            first, last = a + blocks[0].b, a + blocks[-1].b + blocks[-1].size
-            different = max(len(want), last - first) - sum(x.size for x in blocks)
-            if different <= most:
-                out.append((have[first][1], have[last - 1][2], different))
+            first, last, different, missing, added = self.compared(want, have, max(low, j - i - most), min(high, j - i + len(want) + most))
+            if different <= most and not any(part in NAMES for w in [*missing, *added] for part in _PART.split(w)) and not any(_NUMBER.search(w) for w in missing):
+                out.append((have[first][1], have[last - 1][2], different, missing, added))
             else:
                 first, last = j, j + size
             parts += [(low, first), (last, high)]
         return out
 
-    def wording(self, name: str, text: str, a: int, b: int) -> tuple[int, int, int]:
-        """Span of the template's words in the block, and how many words are missing, added or other there."""
-        want = self.words[name]
-        have = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text, a, b)]
-        blocks = [x for x in SequenceMatcher(None, want, [h[0] for h in have], autojunk=False).get_matching_blocks() if x.size]
+    def wording(self, name: str, have: list[tuple[str, int, int]]) -> Wording:
+        """Where the template's words stand in a block, and how they differ there."""
+        first, last, *how = self.compared(self.words[name], have, 0, len(have))
+        return (have[first][1], have[last - 1][2], *how)
+
+    def compared(self, want: list[str], have: list[tuple[str, int, int]], a: int, b: int) -> tuple[int, int, int, list[str], list[str]]:
+        """First and last place of the template's words in a to b, how many words differ there, which are missing, and which are added."""
+        blocks = [x for x in SequenceMatcher(None, want, [h[0] for h in have[a:b]], autojunk=False).get_matching_blocks() if x.size]
         if not blocks:
-            return a, b, len(want)
-        first, last = blocks[0].b, blocks[-1].b + blocks[-1].size
-        same = sum(x.size for x in blocks)
-        return have[first][1], have[last - 1][2], max(len(want), last - first) - same
+            return a, b, len(want), want, []
+        first, last = a + blocks[0].b, a + blocks[-1].b + blocks[-1].size
+        mine, theirs = ({k for x in blocks for k in range(at(x), at(x) + x.size)} for at in (lambda x: x.a, lambda x: a + x.b))
+        missing, added = [w for k, w in enumerate(want) if k not in mine], [have[k][0] for k in range(first, last) if k not in theirs]
+        return first, last, max(len(want), last - first) - len(mine), missing, added
 
 
 def _words(text: str) -> list[str]:
@@ -217,7 +316,8 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_
     Returns:
         ``id_col, start, end`` (code points, end exclusive), ``license``, ``alone`` and
         ``with_template`` (compressed bytes), ``saved`` (share), ``rank`` among templates,
-        ``different`` (words), ``confirmed``. Texts without a cue, null and empty ones have no
+        ``different`` (how many words), ``missing`` and ``added`` (these words; a replaced one
+        is one of each), ``confirmed``. Texts without a cue, null and empty ones have no
         rows. Ids may repeat or be null. No shuffle; texts without a cue never reach Python.
     """
     sent = dict(templates)
@@ -230,7 +330,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_
                 found = scanner.scan(text.as_py())
                 rows += found
                 ids += [i] * len(found)
-            kinds = {"long": pa.int64(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
+            kinds = {"long": pa.int64(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
             columns = [pa.array([r[f.name] for r in rows], kinds[f.dataType.simpleString()]) for f in MATCH]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *columns], names=[id_col, *MATCH.fieldNames()])
 

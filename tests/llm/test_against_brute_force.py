@@ -485,3 +485,57 @@ def test_licenses_by_wording():
         wrapped = template.replace(". ", ".\n")
         assert name in {f["license"] for f in scanner.scan(f"x\n\n{wrapped}\n\ny") if f["confirmed"]}, name
     assert not [f for f in scanner.scan("My driving license was lost, and no permission was given.") if f["confirmed"]]
+
+
+def test_versions_and_names_of_licenses_must_agree():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    sure = lambda text: {f["license"] for f in scanner.scan(text) if f["confirmed"]}
+    for a, b in [("GPL-3.0", "GPL-2.0"), ("GPL-3.0", "LGPL-3.0"), ("GPL-3.0-text", "GPL-2.0-text"), ("GPL-3.0-text", "LGPL-3.0-text"), ("LGPL-3.0-text", "AGPL-3.0-text"), ("CC-BY-SA-4.0-text", "CC-BY-4.0-text")]:
+        assert sure(licenses.TEMPLATES[a]) == {a} and sure(licenses.TEMPLATES[b]) == {b}
+    other = licenses.TEMPLATES["GPL-3.0-text"].replace("version 3", "version 1").replace("useful", "helpful")
+    rows = [f for f in scanner.scan(other) if f["license"] == "GPL-3.0-text"]
+    assert rows and not any(f["confirmed"] for f in rows) and {"3", "useful"} <= set(rows[0]["missing"]) and {"1", "helpful"} <= set(rows[0]["added"])
+    text = " ".join([licenses.TEMPLATES["MIT-text"]] * 5)
+    import textwrap
+
+    assert len([f for f in scanner.scan("\n".join(textwrap.wrap(text, 72))) if f["confirmed"] and f["license"] == "MIT-text"]) == 5
+
+
+def test_licenses_equal_a_comparison_with_every_window():
+    """Short templates in texts of a small vocabulary against all windows of words."""
+    draw = random.Random(17)
+    vocabulary = ["license", "copy", "of", "the", "work", "and", "use", "it", "gnu", "version", "2", "3", "may", "you", "freely"]
+    templates = {f"t{k}": " ".join(["permission", *(draw.choice(vocabulary) for _ in range(n))]) for k, n in enumerate((5, 12, 25, 30))}
+    scanner = licenses.Scanner(templates)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row, last = [0], row
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    def best(want, have):
+        most = int(licenses.MOST_DIFFERENT * len(want))
+        return min((max(len(want), n) - common(want, have[a : a + n]) for n in range(max(1, len(want) - most), len(want) + most + 1) for a in range(len(have) - n + 1)), default=99) - most
+
+    wrong = 0
+    for _ in range(150):
+        name = draw.choice(list(templates))
+        w = templates[name].split()
+        for _ in range(draw.choice([0, 0, 1, 2, 3])):
+            at = draw.randrange(1, len(w))
+            w[at : at + draw.randint(0, 1)] = draw.choice([["other"], []])
+        around = lambda: [draw.choice(["plain", "prose", "here", "stands"]) for _ in range(draw.randint(0, 15))]
+        have = around() + w + around()
+        got = {f["license"] for f in scanner.scan(" ".join(have)) if f["confirmed"]}
+        for k, t in templates.items():
+            want = t.split()
+            if k not in got:
+                # what is within the bound but not confirmed differs in a name or a number
+                numbers = lambda words: Counter(x for x in words if x in ("2", "3", "gnu"))
+                wrong += best(want, have) <= 0 and (k != name or numbers(w) == numbers(want))
+            else:
+                assert best(want, have) <= 0
+    assert wrong <= 2

@@ -31,7 +31,7 @@ def vocabulary():
 
 def test_licenses(docs, none):
     rows = licenses.scan_licenses(docs).collect()
-    assert [(r.doc_id, r.license, r.start, r.end, r.different, r.confirmed) for r in rows] == [(5, "MIT", 0, 30, 0, True)]
+    assert [(r.doc_id, r.license, r.start, r.end, r.different, r.missing, r.added, r.confirmed) for r in rows] == [(5, "MIT", 0, 30, 0, [], [], True)]
     assert licenses.scan_licenses(none).count() == 0
 
 
