@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from doctree_spark.sources.lineage import shared_dir, written
 
-__all__ = ["SPACE", "WORD_GAP", "byte_table", "hashed_words", "shared_dir", "table", "words", "written"]
+__all__ = ["SPACE", "WORD_GAP", "byte_table", "hashed_words", "shared_dir", "table", "words", "words_of", "written"]
 
 #: Words are maximal runs of characters other than ASCII white space.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -51,17 +52,33 @@ def _powers_up_to(n: int) -> np.ndarray:
     return _powers
 
 
-def hashed_words(texts: pa.Array, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """64-bit hashes of the words of the texts, some texts at a time.
+@dataclass
+class Words:
+    """Words of some texts: hashes, where each text's begin among them (one number more than texts), and their bytes.
+
+    Word k is ``low[first[k] : last[k] + 1]``.
+    """
+
+    hashes: np.ndarray
+    begin: np.ndarray
+    low: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+    @property
+    def text(self) -> np.ndarray:
+        """Number of each word's text."""
+        return np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin))
+
+
+def words_of(texts: pa.Array, table: np.ndarray, size: int | None = None) -> Iterator[Words]:
+    """The words of the texts, as many texts at a time as have ``size`` bytes, one at least.
 
     ``table`` says which bytes stand between words (0) and which count as equal. A word's hash is
     a polynomial of its bytes, taken from running sums over all bytes, so that no word is
-    handled alone.
-
-    Yields:
-        Hashes of all words of the next texts, and where each text's begin among them (one
-        number more than texts). A null text has no words.
+    handled alone. A null text has no words.
     """
+    size = size or HASH_BYTES
     texts = texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
@@ -70,24 +87,27 @@ def hashed_words(texts: pa.Array, table: np.ndarray) -> Iterator[tuple[np.ndarra
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + HASH_BYTES, "right")) - 1)
-        edges = ends[at : to + 1] - ends[at]
-        yield _hashed(table[data[ends[at] : ends[to]]], edges)
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
+        yield _words_of(table[data[ends[at] : ends[to]]], ends[at : to + 1] - ends[at])
         at = to
 
 
-def _hashed(low: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words_of(low: np.ndarray, edges: np.ndarray) -> Words:
     n = len(low)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(edges), np.int64)
     word = low != 0
     before, behind = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
     before[1:], behind[:-1] = word, word
     before[edges], behind[edges] = False, False
     first, last = np.flatnonzero(word & ~before[:-1]), np.flatnonzero(word & ~behind[1:])
-    power, inverse = _powers_up_to(n)
+    power, inverse = _powers_up_to(max(1, n))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(low * power[:n], out=sums[1:])
     h = (sums[last + 1] - sums[first]) * inverse[first]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32)), np.searchsorted(first, edges)
+    return Words(h ^ (h >> np.uint64(32)), np.searchsorted(first, edges), low, first, last)
+
+
+def hashed_words(texts: pa.Array, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the words of some texts at a time, and where each text's begin (``words_of``)."""
+    for w in words_of(texts, table):
+        yield w.hashes, w.begin

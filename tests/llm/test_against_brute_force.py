@@ -340,7 +340,7 @@ def test_components_of_a_chain(spark):
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
 
 
-def test_base_scores_and_normalised_model(spark):
+def test_base_scores(spark):
     texts = dict(enumerate([*prose(4, 80, 60), "", "unseen words only here"]))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("out", F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
     counts = Counter()
@@ -355,15 +355,118 @@ def test_base_scores_and_normalised_model(spark):
         assert r.score < 0
 
 
-def test_trees_are_distributions_and_use_context(spark):
+def class_of(word):
+    return int.from_bytes(word[-2:], "big") % suffix_model.CLASSES
+
+
+def plain_tree(lines, depth, symbols):
+    """Suffix tree of (starts, sequence, end) lines as dicts: state -> probabilities of all symbols."""
+    counts = defaultdict(Counter)
+    for start, sequence, end in lines:
+        whole = [start] * depth + list(sequence) + [end]
+        for k in range(depth, len(whole)):
+            for d in range(depth + 1):
+                counts[tuple(whole[k - d : k])][whole[k]] += 1
+    total = sum(counts[()].values())
+    frequent = {c for c in counts if sum(counts[c].values()) >= total * suffix_model.CONTEXT_SHARE}
+    kept = {()}
+    for c in frequent - {()}:
+        n, up = counts[c], counts[c[1:]]
+        size, above = sum(n.values()), sum(up.values())
+        gain = sum(m * math.log((m / size) / (up[x] / above)) for x, m in n.items())
+        if gain > 0.5 * len(n) * math.log(size):
+            kept |= {c[k:] for k in range(len(c) + 1)}
+    p = {}
+    for c in sorted(kept, key=len):
+        above, n = p[c[1:]] if c else [1 / symbols] * symbols, counts[c]
+        size = sum(n.values())
+        weight = max(suffix_model.LEAST_WEIGHT, len(n) / (size + len(n))) if n else 1.0
+        p[c] = [(1 - weight) * n[x] / max(1, size) + weight * above[x] for x in range(symbols)]
+    return p
+
+
+def in_state(tree, past, symbol):
+    return tree[next(past[k:] for k in range(len(past) + 1) if past[k:] in tree)][symbol]
+
+
+def test_scores_equal_a_plain_suffix_tree(spark):
+    """All of the model once more, in dicts: counts, contexts kept, smoothing, spellings, scores."""
+    texts = [*prose(4, 60, 60), "rare words Once", "", "unseen qqq zz only"]
+    held = [k % 7 == 2 for k in range(len(texts))]
+    held[-1] = True
+    learnt = [words(t) for t, out in zip(texts, held, strict=True) if not out]
+    counts = Counter(w for line in learnt for w in line)
+    tokens = sum(counts.values()) + len(learnt)
+    least = suffix_model.least_count(tokens)
+    symbols = {w: suffix_model.FIRST_WORD + k for k, w in enumerate(w for w, n in counts.items() if n >= max(least, tokens * suffix_model.SYMBOL_SHARE))}
+    symbol = lambda w: symbols.get(w, suffix_model.FIRST_CLASS + class_of(w))
+    word_tree = plain_tree([(suffix_model.START, [symbol(w) for w in line], suffix_model.END) for line in learnt], suffix_model.WORD_DEPTH, suffix_model.FIRST_WORD + len(symbols))
+    rare = [w for w, n in counts.items() if n < least]
+    letter_tree = plain_tree([(suffix_model.LETTER_START + class_of(w), w[::-1], suffix_model.LETTER_END) for w in rare], suffix_model.LETTER_DEPTH, suffix_model.LETTER_START)
+    once, twice = (sum(n == k for n in counts.values()) for k in (1, 2))
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+
+    def spelled(w):
+        line = [suffix_model.LETTER_START + class_of(w)] * suffix_model.LETTER_DEPTH + list(w[::-1]) + [suffix_model.LETTER_END]
+        steps = [(tuple(line[k - suffix_model.LETTER_DEPTH : k]), line[k]) for k in range(suffix_model.LETTER_DEPTH, len(line))]
+        known, plain = math.prod(in_state(letter_tree, *x) for x in steps), math.prod(letter_tree[()][x] for _, x in steps)
+        return (1 - suffix_model.ANY_LETTERS) * known + suffix_model.ANY_LETTERS * plain
+
+    def in_class(w):
+        own = {x: n for x, n in counts.items() if x not in symbols and class_of(x) == class_of(w)}
+        size = sum(own.values())
+        if not size:
+            return spelled(w)
+        # a frequent word's spelling is left out
+        return max(0, own.get(w, 0) - discount) / size + (discount * len(own) / size * spelled(w) if own.get(w, 0) < least else 0)
+
+    def plain_score(line):
+        whole = [suffix_model.START] * suffix_model.WORD_DEPTH + [symbol(w) for w in line] + [suffix_model.END]
+        tree = sum(math.log10(in_state(word_tree, tuple(whole[k - suffix_model.WORD_DEPTH : k]), whole[k])) for k in range(suffix_model.WORD_DEPTH, len(whole)))
+        return tree + sum(math.log10(in_class(w)) for w in line if w not in symbols)
+
+    docs = spark.createDataFrame([(k, t, out) for k, (t, out) in enumerate(zip(texts, held, strict=True))], "doc_id long, text string, out boolean")
+    got = {r.doc_id: r.score for r in suffix_model.score(docs.repartition(3), "out").collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == pytest.approx(plain_score(words(t)), rel=1e-4), k
+    # no state has deeper contexts than the corpus shows
+    assert len(word_tree) > 1 and len(letter_tree) > 1
+
+
+def test_probabilities_of_all_words_sum_to_one_at_most(spark):
+    texts = [*prose(14, 50, 80), "a b ab ba", "zz"]
+    model, spelling, counts = suffix_model.train(spark.createDataFrame([(False, t) for t in texts], "held_out boolean, text string"))
+    known = {bytes(r.word): r.n for r in counts.collect()}
+    frequent = {w for w, n in known.items() if n >= suffix_model.least_count(model.tokens)}
+    every = sorted({bytes([a]) for a in range(1, 256)} | {bytes([a, b]) for a in range(1, 256) for b in range(1, 256)} | set(known))
+    classes, n = np.array([class_of(w) for w in every]), np.array([known.get(w, 0) for w in every])
+    p = 10 ** spelling.log_in_class(pa.array(every, pa.binary()), classes, n)
+    place = {h: k for k, h in enumerate(model.hashes.tolist())}
+    own = {bytes(r.word): place[r.h % 2**64] for r in counts.collect() if bytes(r.word) in frequent}
+    for k, w in enumerate(every):
+        if w in own:
+            p[k] = 0.0 if model.symbols[own[w]] >= suffix_model.FIRST_WORD else 10 ** model.emissions[own[w]]
+    mass = np.bincount(classes, p, minlength=suffix_model.CLASSES)
+    assert mass.max() <= 1 + 1e-6 and mass.max() > 0.5
+    for tree in (model.word_tree, spelling.letter_tree):
+        assert (10.0 ** tree.logs.astype(float)).sum(axis=1) == pytest.approx(1, abs=1e-4)
+
+
+def test_many_unseen_words_share_what_is_left(spark):
+    """However many words there are that nothing has seen, together they weigh less than one."""
+    texts = [f"w{k % 400} w{k % 37}" for k in range(2000)]
+    _, spelling, _ = suffix_model.train(spark.createDataFrame([(False, t) for t in texts], "held_out boolean, text string"))
+    unseen = [f"x{k:06d}".encode() for k in range(150_000)]
+    classes = np.array([class_of(w) for w in unseen])
+    mass = np.bincount(classes, 10 ** spelling.log_in_class(pa.array(unseen, pa.binary()), classes, np.zeros(len(unseen), int)))
+    assert mass.max() < 1
+
+
+def test_trees_use_context(spark):
     text = "a b " * 500 + "c c c c "
-    model, _ = suffix_model.train(spark.createDataFrame([(text * 20,)], "text string"))
-    tree = model.word_tree
-    assert (10.0 ** tree.logs.astype(float)).sum(axis=1) == pytest.approx(1)
-    scorer = suffix_model.Scorer(model)
-    assert scorer.text("a b a b a b")[3] > scorer.text("a a a b b b")[3] + 2
-    spelled = sum(10 ** scorer.spelling([w])[0] for w in (b"x", b"y", b"xy"))
-    assert 0 < spelled < 1
+    docs = spark.createDataFrame([(0, text * 20, False), (1, "a b a b a b", True), (2, "a a a b b b", True)], "doc_id long, text string, out boolean")
+    got = {r.doc_id: r.score for r in suffix_model.score(docs, "out").collect()}
+    assert got[1] > got[2] + 2
 
 
 def test_subsequences_by_bits():
