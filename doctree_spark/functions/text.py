@@ -36,5 +36,6 @@ def shortened(text: Column, most: int = 800) -> Column:
 
 
 def truncated(text: Column, most: int = 800) -> Column:
-    """The first ``most`` characters and three dots, however short the text is."""
-    return F.concat(F.substring(text, 1, most), F.lit("..."))
+    """The first ``most`` characters, white space collapsed, and three dots, however short the text is."""
+    flat = strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.concat(F.substring(flat, 1, most), F.lit("..."))

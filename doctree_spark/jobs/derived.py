@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from doctree_spark.functions.text import shortened, token_count
 from doctree_spark.functions.vector import added, doubles, unit
+from doctree_spark.operators.chunk import chunk_documents
 from doctree_spark.operators.embed import embed
 from doctree_spark.operators.ingest import with_document_id
+from doctree_spark.sources.lineage import cut
 
 DIMENSIONS = 64
 MODEL = "hash-64"
@@ -91,15 +93,15 @@ def leaf_clusters(leaves: DataFrame) -> DataFrame:
 
 
 def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of ten trees of three layers."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("text"))
-    vectors = table(spark, sf_dir, "embeddings")
-    leaves = vectors.join(docs, F.col("vec_id") % 200 == F.col("doc_id")).select(
-        F.concat(F.lit("d"), (F.col("vec_id") % 10).cast("string")).alias("document_id"), F.floor(F.col("vec_id") / 10).cast("int").alias("node_id"), F.lit(0).alias("layer"), "text",
-        doubles(F.col("embedding")).alias("embedding"), F.array().cast("array<int>").alias("children"), token_count(F.col("text")).alias("token_count"),
+    """Nodes of a tree of three layers for every document with chunks: its chunks, whole, and two layers above them."""
+    chunks = embed(chunk_documents(sectioned(spark, sf_dir)), "text")
+    leaves = chunks.select(
+        F.concat(F.lit("d"), F.col("document_id").cast("string")).alias("document_id"), F.col("chunk_no").alias("node_id"), F.lit(0).alias("layer"), "text",
+        "embedding", F.array().cast("array<int>").alias("children"), "token_count",
     )
+    leaves = cut(leaves)
     sizes = leaves.groupBy("document_id").agg(F.count("*").alias("leaves"))
-    layer1 = _parents(leaves, leaf_clusters(leaves), sizes.select("document_id", F.col("leaves").alias("first")), 1)
+    layer1 = cut(_parents(leaves, leaf_clusters(leaves), sizes.select("document_id", F.col("leaves").alias("first")), 1))
     sized = layer1.join(sizes, "document_id")
     groups = sized.select("document_id", "node_id", F.floor((F.col("node_id") - F.col("leaves")) / 4).cast("int").alias("cluster"))
     layer2 = _parents(layer1, groups, sizes.select("document_id", (F.col("leaves") + F.ceil(F.col("leaves") / 4)).alias("first")), 2)
@@ -135,6 +137,18 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.concat(F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("query_id"), F.get(forms, (F.col("conv_id") % 8).cast("int")).alias("query"))
 
 
+def asked_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_id, document_id, query``: the questions, each about the document of its conversation's number."""
+    return questions(spark, sf_dir).withColumn("document_id", F.concat(F.lit("d"), F.substring_index("query_id", "_", 1)))
+
+
+def question_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as external snippets of the first question of each conversation."""
+    first = questions(spark, sf_dir).groupBy(F.substring_index("query_id", "_", 1).alias("conv")).agg(F.min("query_id").alias("query_id"))
+    pages = snippets(spark, sf_dir).withColumn("conv", F.floor(F.col("pos") / 4).cast("string")).drop("query_id")
+    return pages.join(first, "conv").select("query_id", "pos", "title", "body", "href")
+
+
 def examples(spark: SparkSession) -> DataFrame:
     df = spark.createDataFrame([(k, t, label) for k, (t, label) in enumerate(EXAMPLES)], "example_id int, text string, label string")
     return embed(df, "text")
@@ -149,7 +163,7 @@ def memberships(leaves: DataFrame) -> DataFrame:
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as external snippets of the forest's queries, dealt by number."""
+    """Pages as external snippets, four for the first query of each document while there are pages."""
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    body = F.substring(F.regexp_replace("html", "<[^>]*>", ""), 1, 80)
-    return table(spark, sf_dir, "pages").select(F.concat(F.lit("d"), (F.col("page_id") % 10).cast("string"), F.lit("_"), (F.floor(F.col("page_id") / 10) % 10 * 5).cast("string")).alias("query_id"), F.col("page_id").alias("pos"), title.alias("title"), body.alias("body"), F.col("url").alias("href"))
+    body = F.regexp_replace("html", "<[^>]*>", "")
+    return table(spark, sf_dir, "pages").select(F.concat(F.lit("d"), F.floor(F.col("page_id") / 4).cast("string"), F.lit("_0")).alias("query_id"), F.col("page_id").alias("pos"), title.alias("title"), body.alias("body"), F.col("url").alias("href"))

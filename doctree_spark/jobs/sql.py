@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from doctree_spark.jobs.derived import EXAMPLES
 from doctree_spark.operators.chunk import EMPTY
-from doctree_spark.operators.classify import RULES
+from doctree_spark.operators.classify import RULES, VERSUS
 from doctree_spark.operators.context import NO_RESULT, REASONS, REFUSAL
 
+#: Limits of the queries that ask from text to prompt; their questions are far from chunks.
+ASK_LAYER, ASK_RELEVANCE, ASK_INSUFFICIENT = 0.02, 0.05, 0.12
 TOKEN = r"\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+"
 
 
@@ -85,8 +87,16 @@ def _embedded(name: str, source: str, key: str) -> str:
 {name} AS (SELECT {key}, place, s / nullif(sqrt(sum(s * s) OVER (PARTITION BY {key})), 0) AS v FROM {name}_s)"""
 
 
-FOREST = f"""leaf AS MATERIALIZED (SELECT 'd' || (vec_id % 10) AS document_id, CAST(vec_id // 10 AS INTEGER) AS node_id, embedding::DOUBLE[] AS e, substr(text, 1, 400) AS text
-  FROM embeddings JOIN documents ON doc_id = vec_id % 200),
+def _vectors(name: str, source: str, key: str) -> str:
+    """CTE ``name``: key and e, the 64 numbers of each text in ``source``, all 0 without tokens."""
+    return f"""{_embedded(f'{name}_v', source, key)},
+{name} AS MATERIALIZED (SELECT {key}, list(coalesce(v, 0) ORDER BY g.place) AS e FROM (SELECT DISTINCT {key} FROM {source}) CROSS JOIN (SELECT unnest(range(64)) AS place) g LEFT JOIN {name}_v USING ({key}, place) GROUP BY {key})"""
+
+
+NODES = f"""{CHUNKS},
+leaf_text AS MATERIALIZED (SELECT 'd' || document_id AS document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY no) - 1 AS INTEGER) AS node_id, text FROM chunks WHERE token_count >= 40),
+leaf_key AS (SELECT (document_id, node_id) AS key, text FROM leaf_text), {_vectors('leaf_e', 'leaf_key', 'key')},
+leaf AS MATERIALIZED (SELECT document_id, node_id, e, text FROM leaf_text JOIN leaf_e ON key = (document_id, node_id)),
 sizes AS (SELECT document_id, CAST(count(*) AS INTEGER) AS n, CAST(ceil(count(*) / 4.0) AS INTEGER) AS p FROM leaf GROUP BY document_id),
 member AS (SELECT document_id, node_id, node_id // 4 AS cluster FROM leaf UNION ALL
   SELECT document_id, node_id, node_id // 4 + 1 FROM leaf JOIN sizes USING (document_id) WHERE node_id % 8 = 3 AND node_id // 4 + 1 < p),
@@ -100,7 +110,9 @@ dir2 AS (SELECT document_id, cluster, list(x ORDER BY d) AS s FROM vec2 GROUP BY
 layer2 AS (SELECT document_id, n + p + cluster AS node_id, {_shortened('texts')} AS text, list_transform(s, lambda x: x / sqrt(list_dot_product(s, s))) AS e, children FROM sum2 JOIN dir2 USING (document_id, cluster) JOIN sizes USING (document_id)),
 nodes AS MATERIALIZED (SELECT *, {_tokens('text')} AS token_count FROM (
   SELECT document_id, node_id, 0 AS layer, text, e, CAST([] AS INTEGER[]) AS children FROM leaf UNION ALL
-  SELECT document_id, node_id, 1, text, e, children FROM layer1 UNION ALL SELECT document_id, node_id, 2, text, e, children FROM layer2)),
+  SELECT document_id, node_id, 1, text, e, children FROM layer1 UNION ALL SELECT document_id, node_id, 2, text, e, children FROM layer2))"""
+
+FOREST = f"""{NODES},
 asked0 AS (SELECT l.document_id, l.node_id, list_transform(list_zip(l.e, o.e), lambda z: 0.8 * z[1] + 0.6 * z[2]) AS s
   FROM leaf l JOIN sizes USING (document_id) JOIN leaf o ON o.document_id = l.document_id AND o.node_id = (l.node_id + 1) % n WHERE l.node_id % 5 = 0),
 asked AS MATERIALIZED (SELECT document_id || '_' || node_id AS query_id, document_id, list_transform(s, lambda x: x / sqrt(list_dot_product(s, s))) AS q FROM asked0),
@@ -118,12 +130,12 @@ def _fill(name: str, source: str, budget: int) -> str:
 {name} AS MATERIALIZED (SELECT query_id, document_id, node_id, layer, score, token_count, CAST(row_number() OVER (PARTITION BY query_id ORDER BY i) AS INTEGER) AS rank FROM {name}_o JOIN {name}_w USING (query_id, i) WHERE taken)"""
 
 
-def _traversal(name: str, asked: str, least: float) -> str:
+def _traversal(name: str, asked: str, least: float, scored: str = "scored") -> str:
     """CTE ``name``: three unrolled layers."""
     parts, frontier = [], f"SELECT query_id, document_id, node_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY node_id) AS BIGINT) AS pos FROM {asked} JOIN nodes USING (document_id) WHERE layer = 2"
     for k in range(3):
         parts.append(f"""{name}_s{k} AS (SELECT f.query_id, f.document_id, f.node_id, f.pos, s.layer, s.score, s.token_count, max(s.score) OVER (PARTITION BY f.query_id) AS best
-  FROM ({frontier}) f JOIN scored s USING (query_id, node_id)),
+  FROM ({frontier}) f JOIN {scored} s USING (query_id, node_id)),
 {name}_c{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos DESC) AS r FROM {name}_s{k} WHERE best >= {least}) WHERE r <= 3)""")
         frontier = f"SELECT query_id, document_id, child AS node_id, r * 4294967296 + place AS pos FROM (SELECT c.query_id, c.document_id, c.r, unnest(n.children) AS child, generate_subscripts(n.children, 1) AS place FROM {name}_c{k} c JOIN nodes n USING (document_id, node_id))"
     union = " UNION ALL ".join(f"SELECT *, {k} AS level FROM {name}_c{k}" for k in range(3))
@@ -201,8 +213,8 @@ assembled AS (SELECT query_id, coalesce(string_agg(text, {_SEP} ORDER BY i) FILT
 _FOUND = "query_id, document_id, node_id, layer, score, token_count, rank"
 
 
-def _best(asked: str, threshold: float) -> str:
-    return f"flags AS (SELECT f.query_id, max(round(list_dot_product(q, e), 6)) AS best, max(round(list_dot_product(q, e), 6)) < {threshold} AS insufficient FROM {asked} f JOIN asked a USING (query_id) JOIN nodes n ON n.document_id = f.document_id AND n.node_id = f.node_id GROUP BY f.query_id)"
+def _best(found: str, threshold: float, asked: str = "asked") -> str:
+    return f"flags AS (SELECT f.query_id, max(round(list_dot_product(q, e), 6)) AS best, max(round(list_dot_product(q, e), 6)) < {threshold} AS insufficient FROM {found} f JOIN {asked} a USING (query_id) JOIN nodes n ON n.document_id = f.document_id AND n.node_id = f.node_id GROUP BY f.query_id)"
 
 
 _STARTS = " OR ".join(f"starts_with(lower(query), '{r}')" for r in REASONS)
@@ -219,6 +231,45 @@ def _ws(c: str) -> str:
 
 _LONGER = f"CASE WHEN len({_ws('a')}) < len({_ws('b')}) THEN a || ' ' || array_to_string(list_slice({_ws('b')}, len({_ws('a')}) + 1, len({_ws('b')})), ' ') ELSE a END"
 
+
+
+def _decomposed(source: str) -> str:
+    """CTE ``subs``: query_id, part, sub_query of the comparative questions in ``source``."""
+    return f"""r AS (SELECT query_id, query, {_CLEAN} AS low, {_REST} AS rest FROM ({source})),
+ab AS (SELECT *, {_strip("regexp_extract(rest, '^(.*) and (.*)$', 1)")} AS a, {_strip("regexp_extract(rest, '^(.*) and (.*)$', 2)")} AS b, regexp_matches(rest, '^.* and .*$') AS split,
+  {_strip(f"regexp_extract(low, '{VERSUS}', 1)")} AS v1, {_strip(f"regexp_extract(low, '{VERSUS}', 2)")} AS v2, regexp_matches(low, '{VERSUS}') AS versus FROM r),
+c AS (SELECT *, {_LONGER} AS longer FROM ab),
+p AS (SELECT query_id, CASE WHEN split THEN [{_ask('longer')}, {_ask('b')}] WHEN versus THEN [{_ask('v1')}, {_ask('v2')}] ELSE [query] END AS parts FROM c),
+subs AS MATERIALIZED (SELECT query_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS part, unnest(parts) AS sub_query FROM p)"""
+
+
+#: CTE ``merged``: both halves in ``subs`` traversed, filtered and merged; half keys are query_id#part.
+_COMPARED = f"""sub_text AS (SELECT query_id || '#' || part AS query_id, sub_query AS text FROM subs), {_vectors('sub_e', 'sub_text', 'query_id')},
+half AS MATERIALIZED (SELECT query_id, 'd' || split_part(query_id, '_', 1) AS document_id, e AS q FROM sub_e),
+half_scored AS MATERIALIZED (SELECT query_id, h.document_id, node_id, layer, round(list_dot_product(q, e), 6) AS score, token_count FROM half h JOIN nodes USING (document_id)),
+{_traversal('half_found', 'half', ASK_LAYER, 'half_scored')}, {_in_scope('half_kept', 'half_found', ASK_RELEVANCE)}, {_distinct('half_few', 'half_kept', 0.45)},
+half_once AS (SELECT *, row_number() OVER (PARTITION BY query_id, node_id ORDER BY part, rank) AS nth FROM (SELECT * REPLACE (split_part(query_id, '#', 1) AS query_id), CAST(split_part(query_id, '#', 2) AS INTEGER) AS part FROM half_few)),
+merged AS MATERIALIZED (SELECT query_id, document_id, node_id, layer, score, token_count, part, CAST(row_number() OVER (PARTITION BY query_id ORDER BY part, rank) AS INTEGER) AS rank FROM half_once WHERE nth = 1)"""
+#: CTE ``found``: nodes behind every question.
+_ASKED = f"""{CLASSIFIED}, {_decomposed("SELECT query_id, query FROM classified WHERE query_type = 'comparative'").replace("subs AS MATERIALIZED", "every_sub AS")},
+subs AS MATERIALIZED (SELECT * FROM every_sub WHERE query_id IN (SELECT query_id FROM every_sub GROUP BY query_id HAVING count(*) = 2)), {_COMPARED},
+one_text AS (SELECT query_id, query AS text FROM classified), {_vectors('one_e', 'one_text', 'query_id')},
+one_q AS MATERIALIZED (SELECT query_id, 'd' || conv_id AS document_id, e AS q, coalesce(override, CASE WHEN query_type = 'broad' THEN 'collapsed' ELSE 'traversal' END) AS strategy FROM one_e JOIN classified USING (query_id)),
+one AS MATERIALIZED (SELECT * FROM one_q WHERE query_id NOT IN (SELECT query_id FROM subs)),
+one_down AS (SELECT query_id, document_id FROM one WHERE strategy = 'traversal'),
+one_scored AS MATERIALIZED (SELECT query_id, o.document_id, node_id, layer, round(list_dot_product(q, e), 6) AS score, token_count FROM one o JOIN nodes USING (document_id)),
+one_flat AS (SELECT s.* FROM one_scored s JOIN one USING (query_id) WHERE strategy = 'collapsed'), {_fill('flat', 'one_flat', 500)}, {_traversal('down', 'one_down', ASK_LAYER, 'one_scored')},
+both_ways AS (SELECT {_FOUND} FROM flat UNION ALL SELECT {_FOUND} FROM down), {_in_scope('kept', 'both_ways', ASK_RELEVANCE)}, {_distinct('few_nodes', 'kept', 0.45)},
+found AS MATERIALIZED (SELECT {_FOUND} FROM few_nodes UNION ALL SELECT {_FOUND} FROM merged)"""
+_HEAD = "chr(10) || chr(10) || '=== Web Search Results ===' || chr(10)"
+#: CTE ``block``: the first snippets in ``sn`` of queries that ``flags`` says need them.
+_BLOCK = f"""few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS r FROM sn) WHERE r <= 3),
+block AS (SELECT query_id, string_agg({_strip("coalesce(title, '') || '. ' || coalesce(body, '') || ' (Source: ' || coalesce(href, '') || ')'")}, chr(10) || chr(10) ORDER BY pos) AS b FROM few WHERE query_id IN (SELECT query_id FROM flags WHERE insufficient) GROUP BY query_id)"""
+#: CTE ``prompted``: modes and prompts of the questions in ``g``.
+_PROMPTED = f"""m AS (SELECT *, query_type IN ('broad', 'comparative') OR {_STARTS} AS inferential, {_strip('context')} IN ('', '{NO_RESULT}') AS none FROM g),
+prompted AS (SELECT *, CASE WHEN inferential THEN 'inferential' ELSE 'factual' END AS mode, CASE WHEN inferential THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS temperature,
+  CASE WHEN NOT none THEN 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query END AS prompt, CASE WHEN none THEN '{REFUSAL}' END AS answer FROM m)"""
+
 ORACLE_SQL = {
     "document_ids": f"WITH {UPLOADS} SELECT doc_id, document_id FROM uploads",
     "dedupe_uploads": f"WITH {UPLOADS} SELECT * FROM firsts",
@@ -226,7 +277,7 @@ ORACLE_SQL = {
     "fold_status": """WITH users AS (SELECT CAST(user_id AS VARCHAR) AS document_id, min(ts) AS upload_time FROM events WHERE user_id % 3 <> 0 GROUP BY user_id),
 e AS (SELECT CAST(user_id AS VARCHAR) AS document_id, count(*) AS changes, arg_max(CASE event_type WHEN 'signup' THEN 'uploaded' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed: error' ELSE 'processing' END, (ts, event_id)) AS status FROM events GROUP BY user_id)
 SELECT u.document_id, coalesce(e.status, 'uploaded') AS status, upload_time, coalesce(changes, 0) AS changes FROM users u LEFT JOIN e USING (document_id)""",
-    "document_counts": f"WITH {FOREST} SELECT document_id, count(*) AS num_chunks, count(*) AS num_nodes, count(*) FILTER (layer = 0) AS num_leaves FROM nodes GROUP BY document_id",
+    "document_counts": f"WITH RECURSIVE {FOREST} SELECT document_id, count(*) AS num_chunks, count(*) AS num_nodes, count(*) FILTER (layer = 0) AS num_leaves FROM nodes GROUP BY document_id",
     "display_names": """WITH u AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS document_id, source || '_' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.txt' WHEN 2 THEN '.md' ELSE '.docx' END AS filename FROM documents),
 s AS (SELECT *, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN document_id WHEN 2 THEN document_id || '.pdf' ELSE document_id || '_' || filename END AS stored, CASE WHEN doc_id % 5 = 0 THEN 'own ' || filename END AS own FROM u),
 b AS (SELECT *, regexp_replace(CASE WHEN starts_with(stored, document_id) THEN substr(stored, length(document_id) + 1) ELSE stored END, '^_+', '') AS bare FROM s)
@@ -245,63 +296,58 @@ n AS (SELECT document_id, count(*) AS sections FROM sections GROUP BY document_i
 SELECT document_id, CAST(coalesce(sections, 0) AS INTEGER) AS sections, CAST(coalesce(chunks, 0) AS INTEGER) AS chunks, CAST(coalesce(dropped, 0) AS INTEGER) AS dropped, CAST(coalesce(oversize, 0) AS INTEGER) AS oversize FROM sectioned LEFT JOIN n USING (document_id) LEFT JOIN c USING (document_id) LEFT JOIN o USING (document_id)""",
     "hash_embed": f"WITH {_embedded('v', 'documents', 'doc_id')} SELECT doc_id, CAST(place AS INTEGER) AS place, round(v, 6) AS value FROM v WHERE round(v, 6) <> 0",
     "flat_ip_topn": f"WITH RECURSIVE {FOREST}, best AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id DESC) AS r FROM scored) WHERE r <= 100), {_fill('found', 'best', 2000)} SELECT {_FOUND} FROM found",
-    "children_of": f"""WITH {FOREST}, partial_nodes AS (SELECT * FROM nodes WHERE NOT (layer = 0 AND node_id IN (3, 8))), edges AS (SELECT document_id, node_id AS parent_id, unnest(children) AS child_id, generate_subscripts(children, 1) - 1 AS pos FROM partial_nodes)
+    "children_of": f"""WITH RECURSIVE {FOREST}, partial_nodes AS (SELECT * FROM nodes WHERE NOT (layer = 0 AND node_id IN (3, 8))), edges AS (SELECT document_id, node_id AS parent_id, unnest(children) AS child_id, generate_subscripts(children, 1) - 1 AS pos FROM partial_nodes)
 SELECT e.document_id, parent_id, CAST(pos AS INTEGER) AS pos, child_id, layer AS child_layer FROM edges e JOIN partial_nodes s ON s.document_id = e.document_id AND s.node_id = e.child_id""",
-    "all_nodes": f"WITH {FOREST} SELECT document_id, node_id, layer, text, token_count, children FROM nodes WHERE document_id <> 'd3'",
-    "tree_summary": f"""WITH {FOREST}, l AS (SELECT document_id, layer AS level, count(*) FILTER (len(children) > 0) AS num_clusters FROM nodes GROUP BY ALL), t AS (SELECT document_id, count(*) AS total_nodes, max(layer) AS max_depth FROM nodes GROUP BY ALL)
+    "all_nodes": f"WITH RECURSIVE {FOREST} SELECT document_id, node_id, layer, text, token_count, children FROM nodes WHERE document_id <> 'd3'",
+    "tree_summary": f"""WITH RECURSIVE {FOREST}, l AS (SELECT document_id, layer AS level, count(*) FILTER (len(children) > 0) AS num_clusters FROM nodes GROUP BY ALL), t AS (SELECT document_id, count(*) AS total_nodes, max(layer) AS max_depth FROM nodes GROUP BY ALL)
 SELECT document_id, total_nodes, max_depth, level, num_clusters FROM l JOIN t USING (document_id) WHERE num_clusters > 0""",
-    "forest_round_trip": f"WITH {FOREST} SELECT document_id, node_id, layer, 3 AS num_layers, token_count, CAST(len(children) AS INTEGER) AS num_children, 64 AS dimensions, round(e[1]::FLOAT::DOUBLE, 5) AS first_value FROM nodes",
-    "tree_json": f"WITH {FOREST} SELECT document_id, node_id, layer, text, children, token_count FROM nodes",
+    "forest_round_trip": f"WITH RECURSIVE {FOREST} SELECT document_id, node_id, layer, 3 AS num_layers, token_count, CAST(len(children) AS INTEGER) AS num_children, 64 AS dimensions, round(e[1]::FLOAT::DOUBLE, 5) AS first_value FROM nodes",
+    "tree_json": f"WITH RECURSIVE {FOREST} SELECT document_id, node_id, layer, text, children, token_count FROM nodes",
     "query_prefix": f"WITH {QUESTIONS}, {_PREFIXED} SELECT query_id, override, query FROM prefixed WHERE query <> ''",
     "classify_rules": f"WITH {QUESTIONS} SELECT query_id, {_RULE} AS query_type FROM questions",
     "classify_nearest": f"WITH {QUESTIONS}, {_nearest('questions')} SELECT * FROM nearest",
     "route": f"WITH {CLASSIFIED} SELECT query_id, override, query_type, confidence, coalesce(override, CASE WHEN query_type = 'broad' THEN 'collapsed' ELSE 'traversal' END) AS strategy FROM classified",
-    "decompose_comparative": f"""WITH {QUESTIONS}, r AS (SELECT query_id, query, {_CLEAN} AS low, {_REST} AS rest FROM questions WHERE {_RULE} = 'comparative'),
-ab AS (SELECT *, {_strip("regexp_extract(rest, '^(.*) and (.*)$', 1)")} AS a, {_strip("regexp_extract(rest, '^(.*) and (.*)$', 2)")} AS b, regexp_matches(rest, '^.* and .*$') AS split,
-  {_strip("regexp_extract(low, '(.+?)\\s+(?:vs|versus)\\s+(.+)', 1)")} AS v1, {_strip("regexp_extract(low, '(.+?)\\s+(?:vs|versus)\\s+(.+)', 2)")} AS v2, regexp_matches(low, '(.+?)\\s+(?:vs|versus)\\s+(.+)') AS versus FROM r),
-c AS (SELECT *, {_LONGER} AS longer FROM ab),
-p AS (SELECT query_id, CASE WHEN split THEN [{_ask('longer')}, {_ask('b')}] WHEN versus THEN [{_ask('v1')}, {_ask('v2')}] ELSE [query] END AS parts FROM c)
-SELECT query_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS part, unnest(parts) AS sub_query FROM p""",
+    "decompose_comparative": f"WITH {QUESTIONS}, {_decomposed(f'SELECT query_id, query FROM questions WHERE {_RULE} = $$comparative$$')} SELECT * FROM subs",
     "retrieve_collapsed": f"WITH RECURSIVE {FOREST}, {_TOP} SELECT {_FOUND} FROM found",
-    "retrieve_traversal": f"WITH {FOREST}, {_traversal('found', 'asked', 0.1)} SELECT {_FOUND} FROM found",
-    "retrieve_traversal_strict": f"WITH {FOREST}, {_traversal('found', 'asked', 0.3)} SELECT {_FOUND} FROM found",
+    "retrieve_traversal": f"WITH RECURSIVE {FOREST}, {_traversal('found', 'asked', 0.1)} SELECT {_FOUND} FROM found",
+    "retrieve_traversal_strict": f"WITH RECURSIVE {FOREST}, {_traversal('found', 'asked', 0.3)} SELECT {_FOUND} FROM found",
     "relevant_and_distinct": f"WITH RECURSIVE {FOREST}, {_TOP}, {_in_scope('kept', 'found', 0.8)}, {_distinct('few', 'kept', 0.45)} SELECT {_FOUND} FROM few",
     "retrieve_routed": f"""WITH RECURSIVE {FOREST}, asked_c AS (SELECT * FROM asked WHERE length(query_id) % 2 = 0), asked_t AS (SELECT * FROM asked WHERE length(query_id) % 2 <> 0),
 scored_c AS (SELECT s.* FROM scored s SEMI JOIN asked_c USING (query_id)), {_fill('flat', 'scored_c', 500)}, {_traversal('down', 'asked_t', 0.1)},
 both_ways AS (SELECT {_FOUND} FROM flat UNION ALL SELECT {_FOUND} FROM down), {_in_scope('kept', 'both_ways', 0.45)}, {_distinct('few', 'kept', 0.45)}
 SELECT {_FOUND}, CASE WHEN length(query_id) % 2 = 0 THEN 'collapsed' ELSE 'traversal' END AS strategy FROM few""",
-    "comparative_merge": f"""WITH {FOREST}, two AS (SELECT query_id, document_id, q, coalesce(lead(q) OVER (PARTITION BY document_id ORDER BY query_id), q) AS other FROM asked),
-halves AS (SELECT query_id, document_id, 0 AS part, q FROM two UNION ALL SELECT query_id, document_id, 1, other FROM two),
-s AS (SELECT h.query_id, h.part, h.document_id, node_id, layer, round(list_dot_product(q, e), 6) AS score, token_count FROM halves h JOIN nodes USING (document_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id, part ORDER BY score DESC, node_id DESC) AS rank0 FROM s),
-one AS (SELECT *, row_number() OVER (PARTITION BY query_id, node_id ORDER BY part, rank0) AS nth FROM r WHERE rank0 <= 5)
-SELECT query_id, part, document_id, node_id, layer, score, token_count, CAST(row_number() OVER (PARTITION BY query_id ORDER BY part, rank0) AS INTEGER) AS rank FROM one WHERE nth = 1""",
-    "insufficiency": f"WITH {FOREST}, {_traversal('found', 'asked', 0.3)}, {_best('found', 0.35)} SELECT * FROM flags",
+    "comparative_merge": f"WITH RECURSIVE {NODES}, {QUESTIONS}, {_decomposed(f'SELECT query_id, query FROM questions WHERE {_RULE} = $$comparative$$')}, {_COMPARED} SELECT query_id, document_id, node_id, layer, score, token_count, part, rank FROM merged",
+    "ask_nodes": f"WITH RECURSIVE {NODES}, {_ASKED} SELECT {_FOUND} FROM found",
+    "ask_batch": f"""WITH RECURSIVE {NODES}, {_ASKED}, {_ASSEMBLE}, {_best('found', ASK_INSUFFICIENT, 'one_q')},
+firsts_q AS (SELECT conv_id, min(query_id) AS query_id FROM questions GROUP BY conv_id),
+sn AS (SELECT query_id, page_id AS pos, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_replace(html, '<[^>]*>', '', 'g') AS body, url AS href FROM pages JOIN firsts_q ON conv_id = page_id // 4),
+{_BLOCK},
+g AS (SELECT c.query_id, 'd' || conv_id AS document_id, query, query_type, confidence, coalesce(override, CASE WHEN query_type = 'broad' THEN 'collapsed' ELSE 'traversal' END) AS strategy,
+  CASE WHEN context IS NULL THEN '{NO_RESULT}' WHEN b IS NULL THEN context ELSE context || {_HEAD} || b END AS context, b IS NOT NULL AS external FROM classified c LEFT JOIN assembled USING (query_id) LEFT JOIN block USING (query_id)),
+{_PROMPTED} SELECT query_id, document_id, query, query_type, confidence, strategy, context, external, mode, temperature, prompt, answer FROM prompted""",
+    "insufficiency": f"WITH RECURSIVE {FOREST}, {_traversal('found', 'asked', 0.3)}, {_best('found', 0.35)} SELECT * FROM flags",
     "assemble_context": f"WITH RECURSIVE {FOREST}, {_TOP}, {_ASSEMBLE} SELECT * FROM assembled",
     "append_snippets": f"""WITH RECURSIVE {FOREST}, {_SMALL}, {_ASSEMBLE}, {_best('found', 0.82)},
-sn AS (SELECT 'd' || (page_id % 10) || '_' || (page_id // 10 % 10 * 5) AS query_id, page_id AS pos, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, substr(regexp_replace(html, '<[^>]*>', '', 'g'), 1, 80) AS body, url AS href FROM pages),
-few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS r FROM sn) WHERE r <= 3),
-block AS (SELECT query_id, string_agg({_strip("coalesce(title, '') || '. ' || coalesce(body, '') || ' (Source: ' || coalesce(href, '') || ')'")}, chr(10) || chr(10) ORDER BY pos) AS b FROM few WHERE query_id IN (SELECT query_id FROM flags WHERE insufficient) GROUP BY query_id)
-SELECT query_id, CASE WHEN b IS NULL THEN context ELSE context || chr(10) || chr(10) || '=== Web Search Results ===' || chr(10) || b END AS context, b IS NOT NULL AS external FROM assembled LEFT JOIN block USING (query_id)""",
-    "answer_prompts": f"""WITH {CLASSIFIED}, g AS (SELECT query_id, query, query_type, CASE WHEN conv_id % 5 = 0 THEN '' WHEN conv_id % 5 = 1 THEN '{NO_RESULT}' ELSE substr(said, 1, 60) END AS context FROM classified),
-m AS (SELECT *, query_type IN ('broad', 'comparative') OR {_STARTS} AS inferential, {_strip('context')} IN ('', '{NO_RESULT}') AS none FROM g)
-SELECT query_id, query AS question, query_type, context, CASE WHEN inferential THEN 'inferential' ELSE 'factual' END AS mode, CASE WHEN inferential THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS temperature,
-  CASE WHEN NOT none THEN 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query END AS prompt, CASE WHEN none THEN '{REFUSAL}' END AS answer FROM m""",
-    "soft_assign": f"""WITH {FOREST}, w AS (SELECT document_id, node_id, j, (1 + (node_id * (j + 1) * 7) % 11)::DOUBLE AS x FROM leaf CROSS JOIN range(5) AS r(j)),
+sn AS (SELECT 'd' || (page_id // 4) || '_0' AS query_id, page_id AS pos, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_replace(html, '<[^>]*>', '', 'g') AS body, url AS href FROM pages),
+{_BLOCK}
+SELECT query_id, CASE WHEN b IS NULL THEN context ELSE context || {_HEAD} || b END AS context, b IS NOT NULL AS external FROM assembled LEFT JOIN block USING (query_id)""",
+    "answer_prompts": f"""WITH {CLASSIFIED}, g AS (SELECT query_id, query, query_type, CASE WHEN conv_id % 5 = 0 THEN '' WHEN conv_id % 5 = 1 THEN '{NO_RESULT}' ELSE said END AS context FROM classified),
+{_PROMPTED} SELECT query_id, query AS question, query_type, context, mode, temperature, prompt, answer FROM prompted""",
+    "soft_assign": f"""WITH RECURSIVE {FOREST}, w AS (SELECT document_id, node_id, j, (1 + (node_id * (j + 1) * 7) % 11)::DOUBLE AS x FROM leaf CROSS JOIN range(5) AS r(j)),
 p AS (SELECT *, round(x / sum(x) OVER (PARTITION BY document_id, node_id), 6) AS pr FROM w)
 SELECT document_id, node_id, CAST(dense_rank() OVER (PARTITION BY document_id ORDER BY j) - 1 AS INTEGER) AS cluster FROM p WHERE pr > 0.1""",
-    "overflow_clusters": f"WITH {FOREST}, {_LEAVES} SELECT document_id, cluster, count(*) AS members, CAST(sum(t) AS BIGINT) AS tokens FROM members GROUP BY ALL HAVING sum(t) > 250 AND count(*) > 1",
-    "cluster_context": f"WITH {FOREST}, {_context(100)} SELECT * FROM contexts",
-    "fallback_summary": f"SELECT doc_id, {_shortened('text')} AS summary, substr(text, 1, 800) || '...' AS plain FROM documents",
-    "summarize_clusters": f"WITH {FOREST}, {_context(3000)} SELECT document_id, cluster, {_shortened('context')} AS summary FROM contexts",
+    "overflow_clusters": f"WITH RECURSIVE {FOREST}, {_LEAVES} SELECT document_id, cluster, count(*) AS members, CAST(sum(t) AS BIGINT) AS tokens FROM members GROUP BY ALL HAVING sum(t) > 250 AND count(*) > 1",
+    "cluster_context": f"WITH RECURSIVE {FOREST}, {_context(100)} SELECT * FROM contexts",
+    "fallback_summary": f"SELECT doc_id, {_shortened('text')} AS summary, substr({_strip("regexp_replace(text, '\\s+', ' ', 'g')")}, 1, 800) || '...' AS plain FROM documents",
+    "summarize_clusters": f"WITH RECURSIVE {FOREST}, {_context(3000)} SELECT document_id, cluster, {_shortened('context')} AS summary FROM contexts",
     "verdicts": f"""WITH v AS (SELECT item_id, {_strip("CASE item_id % 4 WHEN 0 THEN 'PASS' WHEN 1 THEN 'pass, fine' WHEN 2 THEN 'FAIL: ' || text ELSE text END")} AS v FROM benchmark)
 SELECT item_id, starts_with(upper(v), 'PASS') AS passed, CASE WHEN starts_with(upper(v), 'PASS') THEN NULL WHEN starts_with(upper(v), 'FAIL:') THEN {_strip('substr(v, 6)')} ELSE v END AS claim FROM v""",
-    "verify_summaries": f"""WITH {FOREST}, {_context(100)}, a AS (SELECT *, CASE WHEN length(context) <= 250 THEN 1 ELSE 2 END AS attempt FROM contexts),
+    "verify_summaries": f"""WITH RECURSIVE {FOREST}, {_context(100)}, a AS (SELECT *, CASE WHEN length(context) <= 250 THEN 1 ELSE 2 END AS attempt FROM contexts),
 s AS (SELECT *, substr(context, 1, CAST(ceil(length(context) / attempt::DOUBLE) AS BIGINT)) AS summary FROM a)
 SELECT document_id, cluster, attempt, length(summary) <= 250 AS passed, CASE WHEN length(summary) > 250 THEN {_strip('substr(summary, 1, 20)')} END AS claim FROM s""",
-    "make_parents": f"""WITH {FOREST}, {_context(3000)}, s AS (SELECT document_id, cluster, {_shortened('context')} AS text FROM contexts)
+    "make_parents": f"""WITH RECURSIVE {FOREST}, {_context(3000)}, s AS (SELECT document_id, cluster, {_shortened('context')} AS text FROM contexts)
 SELECT document_id, n + cluster AS node_id, 1 AS layer, text, (SELECT list(node_id ORDER BY node_id) FROM member m WHERE m.document_id = s.document_id AND m.cluster = s.cluster) AS children, {_tokens('text')} AS token_count FROM s JOIN sizes USING (document_id)""",
-    "resume_pending": f"WITH {FOREST}, {_context(100)} SELECT document_id, cluster, sha256(context) AS context_hash FROM contexts WHERE cluster % 2 <> 0 OR cluster % 6 = 0",
+    "resume_pending": f"WITH RECURSIVE {FOREST}, {_context(100)} SELECT document_id, cluster, sha256(context) AS context_hash FROM contexts WHERE cluster % 2 <> 0 OR cluster % 6 = 0",
     "retrieved_by_level": f"""WITH RECURSIVE {FOREST}, {_SMALL} SELECT f.query_id, count(*) OVER (PARTITION BY f.query_id) AS total_retrieved, CAST(dense_rank() OVER (PARTITION BY f.query_id ORDER BY f.layer DESC) - 1 AS INTEGER) AS level_no, f.layer AS level,
   CAST(row_number() OVER (PARTITION BY f.query_id, f.layer ORDER BY rank) - 1 AS INTEGER) AS node_no, CAST(f.node_id AS VARCHAR) AS node_id, score AS similarity, len(children) > 0 AS has_summary FROM found f JOIN nodes n ON n.document_id = f.document_id AND n.node_id = f.node_id""",
     "retrieval_summary": f"WITH RECURSIVE {FOREST}, {_SMALL} SELECT query_id, layer AS level, count(*) AS nodes, CAST(sum(count(*)) OVER (PARTITION BY query_id) AS BIGINT) AS total FROM found GROUP BY query_id, layer",

@@ -22,6 +22,10 @@ BROAD = (
 )
 DEFINITIONAL = r"^(what is|what are|define|explain what)"
 SPECIFIC = r"^(why|how does|how do|what causes|what role|what happens|how is|how are|what is the role|what is the function|what is the density|how many|when does)"
+# Words before both concepts of a comparative question, words behind them, words between them.
+COMPARING = r"(?:difference between|compare|contrast|how do|how does)\s+(.+)"
+DIFFERING = r"\s+differs?$"
+VERSUS = r"(.+?)\s+(?:vs|versus)\s+(.+)"
 RULES = ((COMPARATIVE, "comparative"), (BROAD, "broad"), (DEFINITIONAL, "definitional"), (SPECIFIC, "specific"))
 
 
@@ -46,11 +50,12 @@ def rule_type(query: Column) -> Column:
     return out
 
 
-def nearest_example(queries: DataFrame, examples: DataFrame) -> DataFrame:
-    """``query_id, label, confidence`` of the closest of the labelled ``examples`` (``example_id, label, embedding``).
+def with_nearest(queries: DataFrame, examples: DataFrame, asked: Column | None = None) -> DataFrame:
+    """Adds ``label, confidence`` of the closest of the labelled ``examples`` (``example_id, label, embedding``), in the row.
 
     The examples are a model, not data: up to ``MAX_EXAMPLES`` go to the tasks, more are
-    refused. Of equally close ones the first counts.
+    refused. Of equally close ones the first counts. Rows without an embedding, and those where
+    ``asked`` doesn't hold, get nulls.
     """
     rows = examples.select("example_id", "label", "embedding").orderBy("example_id").limit(MAX_EXAMPLES + 1).collect()
     if not 0 < len(rows) <= MAX_EXAMPLES:
@@ -59,29 +64,40 @@ def nearest_example(queries: DataFrame, examples: DataFrame) -> DataFrame:
 
     @F.pandas_udf(T.StructType().add("label", "string").add("confidence", "double"))
     def nearest(embeddings: pd.Series) -> pd.DataFrame:
-        near = np.round(np.array(embeddings.tolist(), float).reshape(len(embeddings), -1) @ vectors.T, 6) if len(embeddings) else np.zeros((0, 1))
-        best = near.argmax(axis=1)
-        return pd.DataFrame({"label": [labels[k] for k in best], "confidence": near.max(axis=1)})
+        out = pd.DataFrame({"label": pd.Series([None] * len(embeddings), dtype=object), "confidence": np.nan})
+        have = embeddings.notna().to_numpy()
+        if have.any():
+            near = np.round(np.array(embeddings[have].tolist(), float) @ vectors.T, 6)
+            out.loc[have, "label"] = [labels[k] for k in near.argmax(axis=1)]
+            out.loc[have, "confidence"] = near.max(axis=1)
+        return out
+
+    vector = F.col("embedding") if asked is None else F.when(asked, F.col("embedding"))
+    best = queries.withColumn("__best", nearest(vector))
+    confidence = F.when(F.col("__best.label").isNotNull(), F.col("__best.confidence"))
+    return best.withColumn("label", F.col("__best.label")).withColumn("confidence", confidence).drop("__best")
 
-    return queries.select("query_id", nearest("embedding").alias("best")).select("query_id", "best.label", "best.confidence")
+
+def nearest_example(queries: DataFrame, examples: DataFrame) -> DataFrame:
+    """``query_id, label, confidence`` of each query's closest example (``with_nearest``)."""
+    return with_nearest(queries, examples).select("query_id", "label", "confidence")
 
 
 def classify(queries: DataFrame, examples: DataFrame, least: float = LEAST_CONFIDENCE) -> DataFrame:
-    """Adds ``query_type, confidence, strategy``.
+    """Adds ``query_type, confidence, strategy``, a row for each row.
 
     An override is its own type. A rule is certain; else the nearest example decides, and below
     ``least`` the type is specific. Overrides choose the strategy; broad questions are
     collapsed, all others traversed.
     """
+    own = queries.columns
     ruled = queries.withColumn("__rule", F.when(F.col("override").isNull(), rule_type(F.col("query"))))
-    open_ = ruled.filter("override IS NULL AND __rule IS NULL")
-    near = nearest_example(open_, examples).withColumnRenamed("confidence", "__confidence")
-    df = ruled.join(near, "query_id", "left")
-    confidence = F.when(F.col("override").isNotNull() | F.col("__rule").isNotNull(), F.lit(1.0)).otherwise(F.col("__confidence"))
-    label = F.when(F.col("__confidence") < least, "specific").otherwise(F.col("label"))
+    df = with_nearest(ruled, examples, F.col("override").isNull() & F.col("__rule").isNull())
+    label = F.when(F.col("confidence") < least, "specific").otherwise(F.col("label"))
     kind = F.when(F.col("override").isNotNull(), "override").otherwise(F.coalesce("__rule", label, F.lit("specific")))
-    df = df.withColumn("query_type", kind).withColumn("confidence", confidence)
-    return df.withColumn("strategy", route(F.col("override"), F.col("query_type"))).drop("__rule", "__confidence", "label")
+    certain = F.col("override").isNotNull() | F.col("__rule").isNotNull()
+    df = df.select(*own, kind.alias("query_type"), F.when(certain, F.lit(1.0)).otherwise(F.col("confidence")).alias("confidence"))
+    return df.withColumn("strategy", route(F.col("override"), F.col("query_type")))
 
 
 def route(override: Column, query_type: Column) -> Column:
@@ -95,16 +111,15 @@ def decompose_comparative(queries: DataFrame) -> DataFrame:
     gets the second's further words. Otherwise it is cut at "vs" or "versus".
     """
     low = clean(F.col("query"))
-    rest = strip(F.regexp_extract(low, r"(?:difference between|compare|contrast|how do|how does)\s+(.+)", 1))
-    rest = strip(F.regexp_replace(rest, r"\s+differs?$", ""))
+    rest = strip(F.regexp_extract(low, COMPARING, 1))
+    rest = strip(F.regexp_replace(rest, DIFFERING, ""))
     df = queries.withColumn("__rest", rest).withColumn("__low", low)
     df = df.withColumn("__a", strip(F.regexp_extract("__rest", r"^(.*) and (.*)$", 1))).withColumn("__b", strip(F.regexp_extract("__rest", r"^(.*) and (.*)$", 2)))
     split = F.col("__rest").rlike(r"^.* and .*$")
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     more = F.size(words("__b")) - F.size(words("__a"))
     longer = F.when(more > 0, F.concat("__a", F.lit(" "), F.array_join(F.slice(words("__b"), F.size(words("__a")) + 1, F.greatest(more, F.lit(1))), " "))).otherwise(F.col("__a"))
-    versus = r"(.+?)\s+(?:vs|versus)\s+(.+)"
     ask = lambda c: F.when(F.rtrim(c).endswith("s"), F.concat(F.lit("what are "), c)).otherwise(F.concat(F.lit("what is "), c))
-    second = F.array(*(ask(strip(F.regexp_extract("__low", versus, i))) for i in (1, 2)))
-    parts = F.when(split, F.array(ask(longer), ask(F.col("__b")))).when(F.col("__low").rlike(versus), second).otherwise(F.array("query"))
+    second = F.array(*(ask(strip(F.regexp_extract("__low", VERSUS, i))) for i in (1, 2)))
+    parts = F.when(split, F.array(ask(longer), ask(F.col("__b")))).when(F.col("__low").rlike(VERSUS), second).otherwise(F.array("query"))
     return df.select("query_id", F.posexplode(parts).alias("part", "sub_query"))

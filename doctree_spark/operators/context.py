@@ -11,12 +11,13 @@ from pyspark.sql import types as T
 
 from doctree_spark.functions.text import strip, token_count
 
-SEPARATOR = "\n\n---\n\n"
 SNIPPETS = 3
+# What stands between texts and before snippets, what is said without a context, and
+# beginnings of questions that ask for reasons.
+SEPARATOR = "\n\n---\n\n"
 SNIPPET_HEAD = "\n\n=== Web Search Results ===\n"
 NO_RESULT = "No relevant information found in the document for this query."
 REFUSAL = "The document does not contain information about this topic."
-# Beginnings of questions that ask for reasons.
 REASONS = ("why", "how", "what causes", "what role", "what happens", "explain", "describe", "design", "compare", "contrast", "interact")
 Generator = Callable[[list[str]], list[str]]
 
