@@ -195,9 +195,10 @@ def forest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tree_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trees written as JSON and parsed again."""
-    nodes = _nodes(spark, sf_dir)
-    return store.parse_tree_json(store.tree_json(nodes, d.trees(nodes)))
+    """Trees written as JSON files and read again."""
+    nodes, path = _nodes(spark, sf_dir), shared_dir(spark)
+    store.write_tree_json(nodes, d.trees(nodes), path)
+    return store.read_tree_json(spark, path)
 
 
 # -- questions
@@ -410,7 +411,32 @@ def cluster_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees of all documents."""
     nodes, trees = build.build_forest(chunk.chunk_documents(d.sectioned(spark, sf_dir)))
-    return nodes.join(trees.select("document_id", "num_layers"), "document_id").select("document_id", "node_id", "layer", "token_count", "children", "num_layers")
+    return nodes.join(trees.select("document_id", "num_layers", "complete"), "document_id").select("document_id", "node_id", "layer", "token_count", "children", "num_layers", "complete")
+
+
+@query
+def forest_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of all documents, built, by what must hold of each: leaves as chunks, dense ids, edges one layer apart, parents all the way up."""
+    nodes, trees = build.build_forest(chunk.chunk_documents(d.sectioned(spark, sf_dir)))
+    nodes = cut(nodes)
+    flat = nodes.groupBy("document_id").agg(F.count_if(F.col("layer") == 0).alias("leaves"), F.count("*").alias("n"), F.min("node_id").alias("low"), F.max("node_id").alias("high"), F.countDistinct("node_id").alias("ids"))
+    edges = nodes.select("document_id", "layer", F.explode("children").alias("child")).join(nodes.select("document_id", F.col("node_id").alias("child"), F.col("layer").alias("below")), ["document_id", "child"], "left")
+    edges = edges.groupBy("document_id").agg(F.count_if(~F.coalesce(F.col("below") == F.col("layer") - 1, F.lit(False))).alias("wrong"))
+    df = flat.join(edges, "document_id", "left").join(trees, "document_id")
+    dense = (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("ids") == F.col("n"))
+    return df.select("document_id", "leaves", dense.alias("dense"), F.coalesce("wrong", F.lit(0)).alias("wrong_edges"), (F.size("root_ids") > 0).alias("rooted"))
+
+
+@query
+def cluster_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the forest's leaves by what must hold: every document has some, numbered densely, of its own leaves only, and large ones are single or undivided."""
+    leaves = _nodes(spark, sf_dir).filter("layer = 0")
+    clusters = cluster.cluster_layer(leaves)
+    whole = leaves.groupBy("document_id").agg(F.count("*").alias("leaves"))
+    found = clusters.join(leaves.select("document_id", "node_id", F.lit(1).alias("own")), ["document_id", "node_id"], "left")
+    found = found.groupBy("document_id").agg(F.countDistinct("cluster").alias("kinds"), F.max("cluster").alias("last"), F.count_if(F.col("own").isNull()).alias("strange"))
+    df = whole.join(found, "document_id", "left")
+    return df.select("document_id", "leaves", (F.col("kinds") == F.col("last") + 1).alias("dense"), "strange")
 
 
 # -- reports

@@ -10,41 +10,87 @@ from pyspark.sql import functions as F
 from doctree_spark.operators import cluster, tree
 from doctree_spark.operators.embed import Embedder, embed, hash_embedder
 from doctree_spark.sources.lineage import cut
+from doctree_spark.sources.store import remove
 
 LEAST_NODES = 2
 MOST_LAYERS = 12
 NODE = ["document_id", "node_id", "layer", "text", "embedding", "children", "token_count"]
+_KEY = ["document_id", "layer", "cluster"]
 
 
 def build_forest(
-    chunks: DataFrame, make_embedder: Callable[[], Embedder] = hash_embedder, make_summarizer: Callable[[], tree.Summarizer] | None = None, least_nodes: int = LEAST_NODES,
-    max_context_tokens: int = tree.MAX_CONTEXT_TOKENS, max_cluster_tokens: int = cluster.MAX_CLUSTER_TOKENS, most_layers: int = MOST_LAYERS, model: str = "hash-64",
+    chunks: DataFrame, make_embedder: Callable[[], Embedder] = hash_embedder, make_summarizer: Callable[[], tree.Summarizer] | None = None, make_verifier: Callable[[], tree.Verifier] | None = None,
+    retries: int = 1, attempts: int = 2, kept: str | None = None, least_nodes: int = LEAST_NODES, max_context_tokens: int = tree.MAX_CONTEXT_TOKENS,
+    max_cluster_tokens: int = cluster.MAX_CLUSTER_TOKENS, most_layers: int = MOST_LAYERS, model: str = "hash-64",
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes and trees of ``document_id, chunk_no, text, token_count`` rows.
 
     While a document's top layer has more than ``least_nodes`` nodes and more than one cluster,
-    its clusters become the next layer. Layers are kept in the shared folder as they are made, so
-    no later failure makes a model summarise them again. ``most_layers`` ends trees that soft
-    clusters keep from shrinking.
+    its clusters become the next layer. ``most_layers`` ends trees that soft clusters keep from
+    shrinking; these have ``complete`` false. Summaries that ``make_verifier``'s model doesn't
+    pass are made anew, up to ``attempts`` in all; ``failures`` counts those that never passed.
+
+    Args:
+        kept: folder in which summaries are kept as they are made, by document, layer, cluster
+            and a hash of their context. A build that died is resumed with the same folder: it
+            calls no model for a context whose summary is there. Removed when the build is done.
     """
+    if kept:
+        _saved(chunks, []).write.mode("append").parquet(kept)
     top = cut(tree.leaf_nodes(embed(chunks, "text", make=make_embedder)).select(NODE))
-    layers = top
-    for _ in range(1, most_layers):
+    layers, failures, complete = top, None, False
+    for layer in range(1, most_layers):
         sizes = top.groupBy("document_id").agg(F.count("*").alias("__n")).filter(F.col("__n") > least_nodes)
-        growing = cut(top.join(sizes.select("document_id"), "document_id", "left_semi"))
+        growing = top.join(sizes.select("document_id"), "document_id", "left_semi")
         if growing.isEmpty():
+            complete = True
             break
         clusters = cluster.split_overflow(cluster.cluster_layer(growing), growing, max_cluster_tokens)
         several = clusters.groupBy("document_id").agg(F.max("cluster").alias("__last")).filter("__last > 0").select("document_id")
         clusters = cut(clusters.join(several, "document_id", "left_semi"))
         members = clusters.join(growing.select("document_id", "node_id", "layer", "text"), ["document_id", "node_id"])
-        said = tree.summarize_clusters(tree.cluster_context(members, max_context_tokens), make_summarizer).select("document_id", "cluster", "summary")
+        contexts = tree.cluster_context(members, max_context_tokens).withColumn("layer", F.lit(layer))
+        said = _summaries(contexts, make_summarizer, make_verifier, retries, attempts, kept)
+        failed = said.groupBy("document_id").agg(F.count_if(~F.col("passed")).alias("failures"))
+        failures = failed if failures is None else failures.union(failed)
         next_ids = layers.groupBy("document_id").agg(F.count("*").alias("next_id"))
-        parents = tree.make_parents(members.join(said, ["document_id", "cluster"]), next_ids)
+        parents = tree.make_parents(members.join(said.select("document_id", "cluster", "summary"), ["document_id", "cluster"]), next_ids)
         top = cut(embed(parents, "text", make=make_embedder).select(NODE))
         if top.isEmpty():
+            complete = True
             break
         layers = layers.union(top)
     last = layers.groupBy("document_id").agg(F.max("layer").alias("__top"))
-    roots = layers.join(last, "document_id").groupBy("document_id").agg(F.array_sort(F.collect_list(F.when(F.col("layer") == F.col("__top"), F.col("node_id")))).alias("root_ids"), (F.max("__top") + 1).alias("num_layers"))
-    return layers, roots.withColumn("embed_model", F.lit(model)).withColumn("source", F.lit(None).cast("string"))
+    trees = layers.join(last, "document_id").groupBy("document_id").agg(F.array_sort(F.collect_list(F.when(F.col("layer") == F.col("__top"), F.col("node_id")))).alias("root_ids"), (F.max("__top") + 1).alias("num_layers"))
+    trees = trees.withColumn("embed_model", F.lit(model)).withColumn("source", F.lit(None).cast("string"))
+    trees = trees.withColumn("complete", F.lit(True) if complete else (F.col("num_layers") < most_layers) | (F.size("root_ids") <= least_nodes))
+    lost = failures.groupBy("document_id").agg(F.sum("failures").alias("failures")) if failures is not None else None
+    trees = trees.join(lost, "document_id", "left").withColumn("failures", F.coalesce("failures", F.lit(0))) if lost is not None else trees.withColumn("failures", F.lit(0).cast("long"))
+    trees = cut(trees)
+    if kept:
+        remove(chunks.sparkSession, kept)
+    return layers, trees
+
+
+def _saved(df: DataFrame, rows: list) -> DataFrame:
+    kind = df.schema["document_id"].dataType.simpleString()
+    return df.sparkSession.createDataFrame(rows, f"document_id {kind}, layer int, cluster int, context_hash string, summary string, passed boolean")
+
+
+def _summaries(contexts: DataFrame, make_summarizer: Callable | None, make_verifier: Callable | None, retries: int, attempts: int, kept: str | None) -> DataFrame:
+    """``document_id, layer, cluster, context_hash, summary, passed``, each made once: kept ones are read, the others made and kept."""
+    spark = contexts.sparkSession
+    saved = spark.read.schema(_saved(contexts, []).schema).parquet(kept) if kept else None
+    pending = tree.resume_pending(contexts, saved, _KEY) if kept else contexts.withColumn("context_hash", F.sha2("context", 256))
+    summarize = lambda df, attempt: tree.summarize_clusters(df, make_summarizer, retries, sentence=False)
+    if make_verifier:
+        made, _ = tree.verify_summaries(cut(pending), summarize, tree.judged(make_verifier), attempts)
+    else:
+        made = summarize(pending, 1).withColumn("passed", F.lit(True))
+    made = made.select(*_KEY, "context_hash", "summary", "passed")
+    if not kept:
+        return cut(made)
+    made.write.mode("append").parquet(kept)
+    every = spark.read.schema(saved.schema).parquet(kept)
+    hashed = contexts.select(*_KEY, F.sha2("context", 256).alias("context_hash"))
+    return every.join(hashed, [*_KEY, "context_hash"], "left_semi")

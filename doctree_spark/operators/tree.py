@@ -16,6 +16,7 @@ PROBABILITY = 0.1
 MAX_CLUSTER_TOKENS = 8000
 MAX_CONTEXT_TOKENS = 3000
 Summarizer = Callable[[list[str]], list[str]]
+Verifier = Callable[[list[tuple[str, str]]], list[str]]
 
 
 def children_of(nodes: DataFrame) -> DataFrame:
@@ -103,14 +104,16 @@ def fallback_summary(df: DataFrame, text_col: str, out_col: str = "summary", mos
     return df.withColumn(out_col, shortened(text, most) if sentence else truncated(text, most))
 
 
-def summarize_clusters(contexts: DataFrame, make: Callable[[], Summarizer] | None = None, retries: int = 1, parallel: int | None = None) -> DataFrame:
-    """Adds ``summary``: the model's, or the extractive one where it fails or says nothing ``retries`` times.
+def summarize_clusters(contexts: DataFrame, make: Callable[[], Summarizer] | None = None, retries: int = 1, parallel: int | None = None, sentence: bool = True) -> DataFrame:
+    """Adds ``summary``: the model's, or an extractive one where it fails or says nothing ``retries`` times, and ``generated``, whether it is the model's.
 
     ``make`` builds the model once in each worker; ``parallel`` is how many tasks call it at a
-    time. The result is kept, so that nothing calls the model twice.
+    time. The result is kept, so that nothing calls the model twice. What stands in for a model
+    that fails is cut behind a sentence or, without ``sentence``, plain first characters;
+    without any model it is cut behind a sentence.
     """
     if make is None:
-        return fallback_summary(contexts, "context")
+        return fallback_summary(contexts, "context").withColumn("generated", F.lit(False))
 
     @F.pandas_udf(T.StringType())
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -119,7 +122,9 @@ def summarize_clusters(contexts: DataFrame, make: Callable[[], Summarizer] | Non
             yield pd.Series([_tried(model, t, retries) for t in s], dtype=object)
 
     df = contexts.repartition(parallel) if parallel else contexts
-    return cut(df.withColumn("summary", F.coalesce(run("context"), shortened(F.col("context")))))
+    plain = shortened(F.col("context")) if sentence else truncated(F.col("context"))
+    df = cut(df.withColumn("summary", run("context")))
+    return df.withColumn("generated", F.col("summary").isNotNull()).withColumn("summary", F.coalesce("summary", plain))
 
 
 def _tried(model: Summarizer, text: str, retries: int) -> str | None:
@@ -158,6 +163,28 @@ def verify_summaries(contexts: DataFrame, summarize: Callable[[DataFrame, int],
     return done, done.groupBy("document_id").agg(F.count_if(~F.col("passed")).alias("failures"))
 
 
+def judged(make: Callable[[], Verifier]) -> Callable[[DataFrame], DataFrame]:
+    """A step that adds ``verdict`` to rows with ``context, summary, generated``; ``make`` builds the model once in each worker.
+
+    Extractive summaries aren't judged; a model that fails leaves a null verdict.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = make()
+        for contexts, summaries in parts:
+            yield pd.Series([None if s is None else _verdict(model, c, s) for c, s in zip(contexts, summaries, strict=True)], dtype=object)
+
+    return lambda df: df.withColumn("verdict", run("context", F.when(F.col("generated"), F.col("summary"))))
+
+
+def _verdict(model: Verifier, context: str, summary: str) -> str | None:
+    try:
+        return model([(context, summary)])[0]
+    except Exception:  # a model may fail in any way; then the summary passes
+        return None
+
+
 def make_parents(clusters: DataFrame, next_ids: DataFrame) -> DataFrame:
     """Parents of ``document_id, cluster, node_id, layer`` rows with ``summary`` (one a cluster): ids follow ``next_id`` in cluster order.
 

@@ -61,3 +61,20 @@ def parse_tree_json(trees: DataFrame) -> DataFrame:
     """Nodes, without embeddings, from ``document_id, json``."""
     df = trees.select("document_id", F.from_json("json", TREE_JSON).alias("t")).select("document_id", F.explode("t.nodes").alias("id", "n"))
     return df.select("document_id", F.col("id").cast("int").alias("node_id"), "n.layer", "n.text", "n.children", "n.token_count")
+
+
+def write_tree_json(nodes: DataFrame, trees: DataFrame, path: str) -> None:
+    """Trees below ``path`` as text, one JSON document a line, in directories by document."""
+    tree_json(nodes, trees).write.partitionBy("document_id").text(path)
+
+
+def read_tree_json(spark: SparkSession, path: str) -> DataFrame:
+    """Nodes, without embeddings, of the trees that ``write_tree_json`` wrote."""
+    files = spark.read.schema("value string, document_id string").option("recursiveFileLookup", "false").text(path)
+    return parse_tree_json(files.withColumnRenamed("value", "json"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes what jobs have kept below ``path``, on whatever file system that is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doctree_spark.functions.text import sentences, shortened, token_count
-from doctree_spark.operators import analytics, build, chunk, classify, cluster, context, embed, ingest, retrieve, tree
+from doctree_spark.operators import analytics, ask, build, chunk, classify, cluster, context, embed, ingest, retrieve, tree
 from doctree_spark.sources import store
 
 NODES = "document_id string, node_id int, layer int, text string, embedding array<double>, children array<int>, token_count int"
@@ -214,14 +214,180 @@ def test_forest_properties(spark):
     assert all(layer["d0", i] == head["d0"].num_layers - 1 for i in head["d0"].root_ids)
 
 
-def test_large_groups_use_sparks_mixtures(spark, monkeypatch):
-    monkeypatch.setattr(cluster, "LARGE", 50)
-    monkeypatch.setattr(cluster, "LARGE_KS", (2, 3))
-    monkeypatch.setattr(cluster, "COMPONENTS", 3)
+def test_groups_of_any_size_are_fitted_alike(spark, monkeypatch):
     draw = np.random.default_rng(1)
-    rows = [("d", n, draw.normal(9 * (n % 2), 0.2, 5).tolist()) for n in range(80)]
-    got = cluster.cluster_layer(spark.createDataFrame(rows, "document_id string, node_id int, embedding array<double>"))
-    assert {r.node_id for r in got.collect()} == set(range(80))
+    cases = {
+        "one": draw.normal(size=(120, 3)), "low": draw.normal(size=(90, 1)) + 9 * draw.integers(0, 2, (90, 1)), "four": np.concatenate([draw.normal(9 * k, 0.3, (40, 12)) for k in range(4)]),
+        "same": np.ones((70, 4)), "few": draw.normal(size=(3, 5)), "single": np.ones((1, 2)),
+    }
+    rows = [(d, n, [float(x) for x in v]) for d, m in cases.items() for n, v in enumerate(m)]
+    nodes = spark.createDataFrame(rows, "document_id string, node_id int, embedding array<double>").repartition(3)
+    monkeypatch.setattr(cluster, "MAX_CLUSTERS", 8)
+    monkeypatch.setattr(cluster, "SEED_ROWS", 50)
+    in_tasks = sorted(map(tuple, cluster.cluster_layer(nodes).collect()))
+    monkeypatch.setattr(cluster, "LARGE", 60)
+    monkeypatch.setattr(cluster, "WAVE", 2)
+    monkeypatch.setattr(cluster, "_ROWS", 17)
+    assert sorted(map(tuple, cluster.cluster_layer(nodes).collect())) == in_tasks
+    assert {d: len({c for e, c, _ in in_tasks if e == d}) for d in ("one", "low", "same", "single")} == {"one": 1, "low": 2, "same": 1, "single": 1}
+
+
+def forest_chunks(spark, n=24):
+    draw = np.random.default_rng(3)
+    kinds = [[f"t{k}w{j}" for j in range(12)] for k in range(6)]
+    rows = [("d", k, " ".join(draw.choice(kinds[k % 6], 50)), 50) for k in range(n)]
+    return spark.createDataFrame(rows, "document_id string, chunk_no int, text string, token_count int")
+
+
+def test_summaries_that_fail_are_made_again(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "MAX_CLUSTERS", 8)
+    chunks = forest_chunks(spark)
+    said = lambda: lambda ts: [f"about {t.split()[0]}" for t in ts]
+    never = lambda: lambda pairs: ["FAIL: made up" for _ in pairs]
+    nodes, trees = build.build_forest(chunks, make_summarizer=said, make_verifier=never)
+    parents = nodes.filter("layer > 0").collect()
+    assert parents and all(r.text.startswith("about ") for r in parents)
+    assert [(r.failures, r.complete) for r in trees.collect()] == [(len(parents), True)]
+    _, trees = build.build_forest(chunks, make_summarizer=said, make_verifier=lambda: lambda pairs: ["pass" for _ in pairs])
+    assert [r.failures for r in trees.collect()] == [0]
+
+    def broken():
+        def run(texts):
+            raise ValueError
+
+        return run
+
+    # what stands in for a failed summary isn't judged, and is the plain first characters
+    nodes, trees = build.build_forest(chunks, make_summarizer=broken, make_verifier=never)
+    assert [r.failures for r in trees.collect()] == [0] and all(r.text.endswith("...") for r in nodes.filter("layer > 0").collect())
+    _, trees = build.build_forest(chunks, most_layers=1)
+    assert [r.complete for r in trees.collect()] == [False]
+
+
+def test_a_build_that_died_is_resumed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cluster, "MAX_CLUSTERS", 8)
+    chunks, calls, kept = forest_chunks(spark, 48), tmp_path / "calls", f"{tmp_path}/kept"
+
+    def make(log=str(calls)):
+        def run(texts):
+            with open(log, "a") as f:
+                f.write("".join(f"{t.splitlines()[0]}\n" for t in texts))
+            return [" ".join(t.split()[:40]) for t in texts]
+
+        return run
+
+    def said():
+        lines = calls.read_text().splitlines() if calls.exists() else []
+        calls.write_text("")
+        return lines
+
+    want, _ = build.build_forest(chunks, make_summarizer=make)
+    whole, want = said(), sorted(map(repr, want.drop("embedding").collect()))
+    layers, right = [0], cluster.cluster_layer
+
+    def dies(*args, **kw):
+        layers[0] += 1
+        if layers[0] == 2:
+            raise RuntimeError("lost")
+        return right(*args, **kw)
+
+    monkeypatch.setattr(cluster, "cluster_layer", dies)
+    with pytest.raises(RuntimeError, match="lost"):
+        build.build_forest(chunks, make_summarizer=make, kept=kept)
+    before = said()
+    assert before and spark.read.parquet(kept).count() == len(before)
+    got, _ = build.build_forest(chunks, make_summarizer=make, kept=kept)
+    after = said()
+    assert sorted(before + after) == sorted(whole) and len(after) < len(whole)
+    assert sorted(map(repr, got.drop("embedding").collect())) == want
+    assert not (tmp_path / "kept").exists()
+
+
+def test_scores_by_blocks_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "BLOCK_NODES", 7)
+    monkeypatch.setattr(retrieve, "SALT_QUERIES", 3)
+    monkeypatch.setattr(retrieve, "QUERIES_AT_ONCE", 2)
+    draw = np.random.default_rng(2)
+    nodes = [(f"d{k % 3}", k // 3, 0, "t", [round(x, 1) for x in draw.normal(size=3).tolist()], [], int(draw.integers(0, 30))) for k in range(90)]
+    asked = [(f"q{k}", f"d{k % 4}", [round(x, 1) for x in draw.normal(size=3).tolist()]) for k in range(30)] + [("none", "d0", None)]
+    n, q = spark.createDataFrame(nodes, NODES), spark.createDataFrame(asked, "query_id string, document_id string, embedding array<double>")
+    want = {(a, r[1]): round(float(np.dot(v, r[4])), 6) + 0.0 for a, d, v in asked if v for r in nodes if r[0] == d}
+    got = {(r.query_id, r.node_id): r.score for r in retrieve.score(q, n).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+    full = [tuple(r) for r in retrieve.budget_fill(retrieve.score(q, n), 60).collect()]
+    assert sorted(full) == sorted(tuple(r) for r in retrieve.retrieve_collapsed(q, n, 60).collect())
+    assert retrieve.score(q, n, most=2).groupBy("query_id").count().filter("count > 10").count() == 0
+
+
+def test_classification_keeps_rows_that_repeat_an_id(spark):
+    asked = spark.createDataFrame([("q", "why x", None), ("q", "x y", None), ("q", "x", "collapsed")], "query_id string, query string, override string")
+    examples = spark.createDataFrame([(0, "broad", [1.0, 0.0]), (1, "specific", [0.0, 1.0])], "example_id int, label string, embedding array<double>")
+    rows = classify.classify(asked.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0))), examples).collect()
+    assert [(r.query_type, r.confidence, r.strategy) for r in rows] == [("specific", 1.0, "traversal"), ("broad", 1.0, "collapsed"), ("override", 1.0, "collapsed")]
+
+
+def test_questions_end_to_end(spark):
+    text = ["red apples grow on trees", "blue boats sail on seas", "green hills rise over plains"]
+    leaves = embed.embed(spark.createDataFrame([("d", k, t, 5) for k, t in enumerate(text)], "document_id string, chunk_no int, text string, token_count int"), "text")
+    nodes = tree.leaf_nodes(leaves)
+    trees = spark.createDataFrame([("d", [0, 1, 2], 1, "m", None)], "document_id string, root_ids array<int>, num_layers int, embed_model string, source string")
+    examples = embed.embed(spark.createDataFrame([(0, "which one", "specific")], "example_id int, text string, label string"), "text")
+    asked = spark.createDataFrame([("a", "d", "red apples vs blue boats"), ("b", "d", "collapsed: green hills"), ("c", "d", "zebra"), ("e", "other", "red"), ("f", "d", "  ")], "query_id string, document_id string, query string")
+    snippets = spark.createDataFrame([("a", 1, "T", "B", "H"), ("c", 1, "T", "B", "H")], "query_id string, pos long, title string, body string, href string")
+    answers, found = ask.ask(asked, examples, nodes, trees, snippets, k=1, relevance=0.4, insufficient=0.9, make_generator=lambda: lambda ps: [p.upper() for p in ps])
+    rows = {r.query_id: r for r in answers.collect()}
+    got = {q: [r.node_id for r in found.orderBy("rank").collect() if r.query_id == q] for q in rows}
+    assert got == {"a": [0, 1], "b": [2], "c": [], "e": []}
+    assert rows["a"].query_type == "comparative" and rows["a"].external and "T. B (Source: H)" in rows["a"].context and rows["a"].mode == "inferential"
+    assert rows["b"].strategy == "collapsed" and rows["b"].answer == rows["b"].prompt.upper() and not rows["b"].external
+    assert rows["c"].answer == context.REFUSAL == rows["e"].answer and rows["c"].prompt is None and not rows["c"].external
+
+
+def test_empty_tables(spark, small):
+    nodes, trees = small
+    asked = spark.createDataFrame([], "query_id string, document_id string, embedding array<double>")
+    for found in (retrieve.retrieve_collapsed(asked, nodes), retrieve.retrieve_flat(asked, nodes), retrieve.retrieve_traversal(asked, nodes, trees), retrieve.retrieve(asked.withColumn("strategy", F.lit("traversal")), nodes, trees)):
+        assert found.count() == 0 and {"query_id", "node_id", "rank"} <= set(found.columns)
+    one = spark.createDataFrame([("q", "d", [1.0, 0.0])], asked.schema)
+    assert retrieve.retrieve_collapsed(one, nodes.limit(0)).count() == retrieve.retrieve_traversal(one, nodes, trees.limit(0)).count() == 0
+    docs = spark.createDataFrame([], "document_id string, text string")
+    assert chunk.chunk_documents(docs).count() == chunk.split_sections(docs).count() == chunk.chunk_report(docs).count() == 0
+    none, heads = build.build_forest(chunk.chunk_documents(docs))
+    assert none.count() == heads.count() == 0
+    assert cluster.cluster_layer(nodes.limit(0)).count() == tree.tree_summary(nodes.limit(0)).count() == tree.children_of(nodes.limit(0)).count() == 0
+    assert tree.cluster_context(spark.createDataFrame([], "document_id string, cluster int, node_id int, text string")).count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark, small):
+    nodes, trees = small
+    extra = {c: F.lit("x") for c in ("score", "rank", "v", "__n", "best", "label", "confidence", "text2", "strategy")}
+    asked = spark.createDataFrame([("q", "d", [1.0, 0.0])], "query_id string, document_id string, embedding array<double>")
+    more = asked.withColumns(extra)
+    wide = nodes.withColumns({k: v for k, v in extra.items() if k != "strategy"})
+    assert retrieve.retrieve_collapsed(more, wide).collect() == retrieve.retrieve_collapsed(asked, nodes).collect()
+    plain = [tuple(r) for r in retrieve.retrieve_traversal(asked, nodes, trees).orderBy("rank").collect()]
+    assert [tuple(r) for r in retrieve.retrieve_traversal(more, wide, trees.withColumn("score", F.lit(1))).orderBy("rank").collect()] == plain
+    docs = spark.createDataFrame([("d", words(50) + ".", 1, 2)], "document_id string, text string, sections int, chunk_no int")
+    assert chunk.chunk_documents(docs).count() == 1
+    assert tree.make_parents(nodes.withColumn("cluster", F.lit(0)).withColumn("summary", F.lit("s")).withColumn("children", F.lit(0)), spark.createDataFrame([("d", 5)], "document_id string, next_id int")).count() == 1
+
+
+def test_repeated_and_null_rows(spark):
+    ups = spark.createDataFrame([("a.txt", "x", 1)] * 3 + [(None, None, None)], "filename string, content string, upload_time long")
+    assert ingest.dedupe_uploads(ups).count() == 2
+    df = spark.createDataFrame([("d", None), ("d", None), (None, "T\n\nx")], "document_id string, text string")
+    assert chunk.split_sections(df).count() == 4 and chunk.chunk_documents(df).count() == 0
+    rows = spark.createDataFrame([("d", 0, 0, None), ("d", 0, 0, "a b")], "document_id string, cluster int, node_id int, text string")
+    assert tree.cluster_context(rows).count() == 1
+    assert tree.verdicts(spark.createDataFrame([(None,), ("",)], "verdict string")).filter("passed").count() == 1
+
+
+def test_tree_files(spark, small, tmp_path):
+    nodes, trees = small
+    store.write_tree_json(nodes, trees, f"{tmp_path}/t")
+    got = store.read_tree_json(spark, f"{tmp_path}/t")
+    columns = ["document_id", "node_id", "layer", "text", "children", "token_count"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, nodes.select(columns).collect()))
 
 
 def test_store_checks(spark, small, tmp_path):
