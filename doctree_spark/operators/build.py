@@ -21,7 +21,7 @@ _KEY = ["document_id", "layer", "cluster"]
 def build_forest(
     chunks: DataFrame, make_embedder: Callable[[], Embedder] = hash_embedder, make_summarizer: Callable[[], tree.Summarizer] | None = None, make_verifier: Callable[[], tree.Verifier] | None = None,
     retries: int = 1, attempts: int = 2, kept: str | None = None, least_nodes: int = LEAST_NODES, max_context_tokens: int = tree.MAX_CONTEXT_TOKENS,
-    max_cluster_tokens: int = cluster.MAX_CLUSTER_TOKENS, most_layers: int = MOST_LAYERS, model: str = "hash-64",
+    max_cluster_tokens: int = cluster.MAX_CLUSTER_TOKENS, most_clusters: int = cluster.MAX_CLUSTERS, most_layers: int = MOST_LAYERS, model: str = "hash-64",
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes and trees of ``document_id, chunk_no, text, token_count`` rows.
 
@@ -45,7 +45,7 @@ def build_forest(
         if growing.isEmpty():
             complete = True
             break
-        clusters = cluster.split_overflow(cluster.cluster_layer(growing), growing, max_cluster_tokens)
+        clusters = cluster.split_overflow(cluster.cluster_layer(growing, most=most_clusters), growing, max_cluster_tokens, most=most_clusters)
         several = clusters.groupBy("document_id").agg(F.max("cluster").alias("__last")).filter("__last > 0").select("document_id")
         clusters = cut(clusters.join(several, "document_id", "left_semi"))
         members = clusters.join(growing.select("document_id", "node_id", "layer", "text"), ["document_id", "node_id"])

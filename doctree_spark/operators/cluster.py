@@ -213,20 +213,20 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def _fit_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _fit_groups(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
     """``keys, node_id, probabilities`` of ``keys, node_id, embedding`` rows."""
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", node_id int, probabilities array<double>"
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node_id")
         x, ids = np.array(pdf["embedding"].tolist(), float), pdf["node_id"].to_numpy()
-        member = best_mixture(reduce(x), ids) if len(x) > 1 else np.ones((len(x), 1))
+        member = best_mixture(reduce(x), ids, most) if len(x) > 1 else np.ones((len(x), 1))
         return pdf[[*keys, "node_id"]].assign(probabilities=member.tolist())
 
     large = _large(df, keys)
     out = df.join(large, list(keys), "left_anti").groupBy(*keys).applyInPandas(fit, schema)
     for some in _waves(large):
-        out = out.unionByName(_fit_across(df, some, keys))
+        out = out.unionByName(_fit_across(df, some, keys, most))
     return out
 
 
@@ -283,7 +283,7 @@ def _summed(rows: DataFrame, held: dict[int, dict[int, object]], sums: object) -
     return {(r["g"], r["k"]): Sums.from_bytes(r["sums"], r["k"]) for r in out}
 
 
-def _fit_across(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _fit_across(df: DataFrame, groups: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
     """``_fit_groups`` for larger groups, a wave of them, all rounds across tasks."""
     sizes = {r["__g"]: r["__n"] for r in groups.collect()}
     rows = df.join(F.broadcast(groups.drop("__n")), list(keys)).select("__g", *keys, F.col("node_id").cast("int").alias("node_id"), F.col("embedding").cast("array<double>").alias("x"))
@@ -299,7 +299,7 @@ def _fit_across(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFr
     order = Window.partitionBy("__g").orderBy(_hash(F.col("node_id").cast("long")), "node_id")
     some = reduced.withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= SEED_ROWS)
     drawn = some.select("__g", "node_id", "x").toPandas()
-    centres = {g: seeds(np.array(part["x"].tolist()), part["node_id"].to_numpy(), min(MAX_CLUSTERS, sizes[g] - 1)) for g, part in drawn.groupby("__g")}
+    centres = {g: seeds(np.array(part["x"].tolist()), part["node_id"].to_numpy(), min(most, sizes[g] - 1)) for g, part in drawn.groupby("__g")}
     first = _summed(reduced, {g: {k: c[:k] for k in range(1, len(c) + 1)} for g, c in centres.items()}, lambda c, x: Sums.of(x, nearest(x, c)))
     fits = {gk: Fit(s, sizes[gk[0]]) for gk, s in first.items()}
     while going := {gk: f for gk, f in fits.items() if not f.done}:
@@ -342,11 +342,11 @@ def _numbered(df: DataFrame, key: str, parts: Sequence[str]) -> DataFrame:
     return df.join(named, [key, *parts]).select(key, "cluster", "node_id")
 
 
-def cluster_layer(nodes: DataFrame, key: str = "document_id", threshold: float = PROBABILITY) -> DataFrame:
+def cluster_layer(nodes: DataFrame, key: str = "document_id", threshold: float = PROBABILITY, most: int = MAX_CLUSTERS) -> DataFrame:
     """``key, cluster, node_id``: clusters of each ``key``'s ``node_id, embedding`` rows, in two passes.
 
     A node joins every cluster in which its membership is over ``threshold``. The second pass
-    divides each cluster of the first. Where a key's rows fit in a task, so do both passes.
+    divides each cluster of the first. Each tries up to ``most`` clusters. Where a key's rows fit in a task, so do both passes.
     """
     rows = nodes.select(key, "node_id", "embedding")
 
@@ -354,8 +354,8 @@ def cluster_layer(nodes: DataFrame, key: str = "document_id", threshold: float =
         pdf = pdf.sort_values("node_id")
         x, ids = np.array(pdf["embedding"].tolist(), float), pdf["node_id"].to_numpy()
         out, number = [], 0
-        for members in _parts(x, ids, threshold):
-            for part in _parts(x[members], ids[members], threshold):
+        for members in _parts(x, ids, threshold, most):
+            for part in _parts(x[members], ids[members], threshold, most):
                 out.append(pd.DataFrame({key: pdf[key].iloc[0], "cluster": number, "node_id": ids[members[part]]}))
                 number += 1
         return pd.concat(out) if out else pd.DataFrame({key: pdf[key].iloc[:0], "cluster": [], "node_id": []})
@@ -365,22 +365,23 @@ def cluster_layer(nodes: DataFrame, key: str = "document_id", threshold: float =
     out = rows.join(large, key, "left_anti").groupBy(key).applyInPandas(both, schema)
     if not large.isEmpty():
         big = rows.join(large, key, "left_semi")
-        first = cut(_assigned(_fit_groups(big, [key]), [key], "__global", threshold))
-        second = _fit_groups(first.join(big, [key, "node_id"]), [key, "__global"])
+        first = cut(_assigned(_fit_groups(big, [key], most), [key], "__global", threshold))
+        second = _fit_groups(first.join(big, [key, "node_id"]), [key, "__global"], most)
         out = out.unionByName(_numbered(_assigned(second, [key, "__global"], "__local", threshold), key, ["__global", "__local"]))
     return cut(out)
 
 
-def _parts(x: np.ndarray, ids: np.ndarray, threshold: float) -> list[np.ndarray]:
+def _parts(x: np.ndarray, ids: np.ndarray, threshold: float, most: int) -> list[np.ndarray]:
     """Places of the members of each cluster that has some."""
-    member = best_mixture(reduce(x), ids) if len(x) > 1 else np.ones((len(x), 1))
+    member = best_mixture(reduce(x), ids, most) if len(x) > 1 else np.ones((len(x), 1))
     return [at for m in member.T if len(at := np.flatnonzero(m > threshold))]
 
 
-def split_overflow(clusters: DataFrame, nodes: DataFrame, max_tokens: int = MAX_CLUSTER_TOKENS, rounds: int = SPLIT_ROUNDS) -> DataFrame:
+def split_overflow(clusters: DataFrame, nodes: DataFrame, max_tokens: int = MAX_CLUSTER_TOKENS, rounds: int = SPLIT_ROUNDS, most: int = MAX_CLUSTERS) -> DataFrame:
     """Clusters over ``max_tokens`` clustered again, up to ``rounds`` times; one that doesn't divide stays whole.
 
-    Clusters are numbered anew, parts in their cluster's place.
+    Clusters are numbered anew, parts in their cluster's place. ``overflow_clusters`` of what
+    comes out lists those that the rounds left.
     """
     df = clusters.select("document_id", "node_id", F.array(F.col("cluster")).alias("__path"), F.lit(False).alias("__whole"))
     tokens = nodes.select("document_id", "node_id", "embedding", "token_count")
@@ -390,7 +391,7 @@ def split_overflow(clusters: DataFrame, nodes: DataFrame, max_tokens: int = MAX_
         if over.isEmpty():
             break
         again = df.join(over, ["document_id", "__path"])
-        parts = cluster_layer(again.join(tokens, ["document_id", "node_id"]), "__key")
+        parts = cluster_layer(again.join(tokens, ["document_id", "node_id"]), "__key", most=most)
         divided = parts.groupBy("__key").agg((F.max("cluster") > 0).alias("__divided"))
         fresh = parts.join(over, "__key").join(divided, "__key")
         fresh = fresh.select("document_id", "node_id", F.when(F.col("__divided"), F.concat("__path", F.array("cluster"))).otherwise(F.col("__path")).alias("__path"), (~F.col("__divided")).alias("__whole"))

@@ -21,22 +21,37 @@ Embedder = Callable[[list[str]], list]
 _CACHE = 200_000
 
 
+class _WordVectors(dict):
+    """Places of words in a table of their tokens' sums; tokens never span white space."""
+
+    def __init__(self) -> None:
+        self.token, self.table = regex.compile(TOKEN), np.zeros((1024, DIMENSIONS))
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        if place == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        for t in self.token.findall(word):
+            h = hashlib.md5(t.encode()).hexdigest()
+            self.table[place, int(h[:8], 16) % DIMENSIONS] += 1.0 if int(h[8], 16) % 2 == 0 else -1.0
+        return place
+
+
 def hash_embedder() -> Embedder:
-    """Default model: a token adds a sign at a place, both from its MD5; vectors have length one, or zero without tokens."""
-    token, places = regex.compile(TOKEN), {}
+    """Default model: a token adds a sign at a place, both from its MD5; vectors have length one, or zero without tokens.
+
+    Words are cut into tokens and hashed once, up to ``_CACHE`` of them at a time.
+    """
+    known = _WordVectors()
 
     def embed(texts: list[str]) -> list:
+        nonlocal known
         out = []
         for text in texts:
-            v = np.zeros(DIMENSIONS)
-            for t in token.findall(text.lower()):
-                found = places.get(t)
-                if found is None:
-                    if len(places) >= _CACHE:
-                        places.clear()
-                    h = hashlib.md5(t.encode()).hexdigest()
-                    found = places[t] = (int(h[:8], 16) % DIMENSIONS, 1.0 if int(h[8], 16) % 2 == 0 else -1.0)
-                v[found[0]] += found[1]
+            if len(known) > _CACHE:
+                known = _WordVectors()
+            places = list(map(known.__getitem__, text.lower().split()))
+            v = known.table[places].sum(axis=0)
             size = math.sqrt(float(v @ v))
             out.append(v / size if size else v)
         return out

@@ -222,13 +222,12 @@ def test_groups_of_any_size_are_fitted_alike(spark, monkeypatch):
     }
     rows = [(d, n, [float(x) for x in v]) for d, m in cases.items() for n, v in enumerate(m)]
     nodes = spark.createDataFrame(rows, "document_id string, node_id int, embedding array<double>").repartition(3)
-    monkeypatch.setattr(cluster, "MAX_CLUSTERS", 8)
-    monkeypatch.setattr(cluster, "SEED_ROWS", 50)
-    in_tasks = sorted(map(tuple, cluster.cluster_layer(nodes).collect()))
+    in_tasks = sorted(map(tuple, cluster.cluster_layer(nodes, most=6).collect()))
     monkeypatch.setattr(cluster, "LARGE", 60)
-    monkeypatch.setattr(cluster, "WAVE", 2)
-    monkeypatch.setattr(cluster, "_ROWS", 17)
-    assert sorted(map(tuple, cluster.cluster_layer(nodes).collect())) == in_tasks
+    monkeypatch.setattr(cluster, "WAVE", 3)
+    assert sorted(map(tuple, cluster.cluster_layer(nodes, most=6).collect())) == in_tasks
+    ids = spark.range(0, 2**31 - 1, 99_999_989).withColumn("h", cluster._hash(F.col("id"))).toPandas()
+    assert (cluster._hash(ids["id"].to_numpy()) == ids["h"]).all()
     assert {d: len({c for e, c, _ in in_tasks if e == d}) for d in ("one", "low", "same", "single")} == {"one": 1, "low": 2, "same": 1, "single": 1}
 
 
@@ -239,16 +238,15 @@ def forest_chunks(spark, n=24):
     return spark.createDataFrame(rows, "document_id string, chunk_no int, text string, token_count int")
 
 
-def test_summaries_that_fail_are_made_again(spark, monkeypatch):
-    monkeypatch.setattr(cluster, "MAX_CLUSTERS", 8)
+def test_summaries_that_fail_are_made_again(spark):
     chunks = forest_chunks(spark)
     said = lambda: lambda ts: [f"about {t.split()[0]}" for t in ts]
     never = lambda: lambda pairs: ["FAIL: made up" for _ in pairs]
-    nodes, trees = build.build_forest(chunks, make_summarizer=said, make_verifier=never)
+    nodes, trees = build.build_forest(chunks, most_clusters=8, make_summarizer=said, make_verifier=never)
     parents = nodes.filter("layer > 0").collect()
     assert parents and all(r.text.startswith("about ") for r in parents)
     assert [(r.failures, r.complete) for r in trees.collect()] == [(len(parents), True)]
-    _, trees = build.build_forest(chunks, make_summarizer=said, make_verifier=lambda: lambda pairs: ["pass" for _ in pairs])
+    _, trees = build.build_forest(chunks, most_clusters=8, make_summarizer=said, make_verifier=lambda: lambda pairs: ["pass" for _ in pairs])
     assert [r.failures for r in trees.collect()] == [0]
 
     def broken():
@@ -258,14 +256,13 @@ def test_summaries_that_fail_are_made_again(spark, monkeypatch):
         return run
 
     # what stands in for a failed summary isn't judged, and is the plain first characters
-    nodes, trees = build.build_forest(chunks, make_summarizer=broken, make_verifier=never)
+    nodes, trees = build.build_forest(chunks, most_clusters=8, make_summarizer=broken, make_verifier=never)
     assert [r.failures for r in trees.collect()] == [0] and all(r.text.endswith("...") for r in nodes.filter("layer > 0").collect())
     _, trees = build.build_forest(chunks, most_layers=1)
     assert [r.complete for r in trees.collect()] == [False]
 
 
 def test_a_build_that_died_is_resumed(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(cluster, "MAX_CLUSTERS", 8)
     chunks, calls, kept = forest_chunks(spark, 48), tmp_path / "calls", f"{tmp_path}/kept"
 
     def make(log=str(calls)):
@@ -281,7 +278,7 @@ def test_a_build_that_died_is_resumed(spark, tmp_path, monkeypatch):
         calls.write_text("")
         return lines
 
-    want, _ = build.build_forest(chunks, make_summarizer=make)
+    want, _ = build.build_forest(chunks, most_clusters=8, make_summarizer=make)
     whole, want = said(), sorted(map(repr, want.drop("embedding").collect()))
     layers, right = [0], cluster.cluster_layer
 
@@ -293,10 +290,10 @@ def test_a_build_that_died_is_resumed(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(cluster, "cluster_layer", dies)
     with pytest.raises(RuntimeError, match="lost"):
-        build.build_forest(chunks, make_summarizer=make, kept=kept)
+        build.build_forest(chunks, most_clusters=8, make_summarizer=make, kept=kept)
     before = said()
     assert before and spark.read.parquet(kept).count() == len(before)
-    got, _ = build.build_forest(chunks, make_summarizer=make, kept=kept)
+    got, _ = build.build_forest(chunks, most_clusters=8, make_summarizer=make, kept=kept)
     after = said()
     assert sorted(before + after) == sorted(whole) and len(after) < len(whole)
     assert sorted(map(repr, got.drop("embedding").collect())) == want
@@ -334,10 +331,10 @@ def test_questions_end_to_end(spark):
     examples = embed.embed(spark.createDataFrame([(0, "which one", "specific")], "example_id int, text string, label string"), "text")
     asked = spark.createDataFrame([("a", "d", "red apples vs blue boats"), ("b", "d", "collapsed: green hills"), ("c", "d", "zebra"), ("e", "other", "red"), ("f", "d", "  ")], "query_id string, document_id string, query string")
     snippets = spark.createDataFrame([("a", 1, "T", "B", "H"), ("c", 1, "T", "B", "H")], "query_id string, pos long, title string, body string, href string")
-    answers, found = ask.ask(asked, examples, nodes, trees, snippets, k=1, relevance=0.4, insufficient=0.9, make_generator=lambda: lambda ps: [p.upper() for p in ps])
+    answers, found = ask.ask(asked, examples, nodes, trees, snippets, k=1, relevance=0.2, layer_score=0.1, insufficient=0.9, make_generator=lambda: lambda ps: [p.upper() for p in ps])
     rows = {r.query_id: r for r in answers.collect()}
     got = {q: [r.node_id for r in found.orderBy("rank").collect() if r.query_id == q] for q in rows}
-    assert got == {"a": [0, 1], "b": [2], "c": [], "e": []}
+    assert got == {"a": [0, 1], "b": got["b"], "c": [], "e": []} and got["b"][0] == 2 and set(got["b"]) == {0, 1, 2}
     assert rows["a"].query_type == "comparative" and rows["a"].external and "T. B (Source: H)" in rows["a"].context and rows["a"].mode == "inferential"
     assert rows["b"].strategy == "collapsed" and rows["b"].answer == rows["b"].prompt.upper() and not rows["b"].external
     assert rows["c"].answer == context.REFUSAL == rows["e"].answer and rows["c"].prompt is None and not rows["c"].external
