@@ -100,6 +100,36 @@ def test_ordinal_model_learns_and_orders_its_thresholds(spark):
     assert sum(round(r.expected_grade) == r.grade for r in scored) > 0.9 * len(scored)
 
 
+def test_ordinal_fit_is_the_likeliest():
+    """The fit, run long enough, against plain descent on the written-out likelihood."""
+    draw = np.random.default_rng(3)
+    n, dims = 300, 4
+    dense = draw.normal(size=(n, dims))
+    s = dense @ np.array([1.0, -0.7, 0.4, 0.0])
+    grade = (s + draw.logistic(size=n) > -0.5).astype(int) + (s + draw.logistic(size=n) > 0.8).astype(int)
+    features = quality._SHAPES
+    model = quality.fit(np.full(n, dims), np.tile(np.arange(dims), n), dense.ravel(), grade, 3, features, rounds=4000, ridge=2.0)
+
+    def loss(p):
+        s, (a, b) = dense @ p[:dims], p[dims:]
+        below = lambda c: 1 / (1 + np.exp(-(c - s)))
+        chance = np.select([grade == 0, grade == 1], [below(a), below(b) - below(a)], 1 - below(b))
+        return -np.log(np.maximum(chance, 1e-12)).sum() + 2.0 / 2 * (p[:dims] ** 2).sum()
+
+    p, step = np.array([0.0] * dims + [-1.0, 1.0]), 1e-3
+    for _ in range(3000):
+        slope = np.array([(loss(p + h) - loss(p - h)) / 2e-5 for h in 1e-5 * np.eye(len(p))])
+        while loss(p - step * slope) > loss(p):
+            step /= 2
+        p, step = p - step * slope, step * 1.2
+        if np.abs(slope).max() < 1e-4:
+            break
+    ours = np.concatenate([model.weights[:dims], model.thresholds])
+    assert loss(ours) - loss(p) < 1e-2 and np.abs(ours - p).max() < 0.03
+    tail = model.tail(dense @ model.weights[:dims])
+    assert (tail[:, 0] >= tail[:, 1]).all() and abs(tail.sum(axis=1).mean() - grade.mean()) < 0.05
+
+
 def test_mixing_takes_near_targets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_SALTS", 7)
     draw = random.Random(7)
