@@ -231,7 +231,7 @@ def test_groups_of_any_size_are_fitted_alike(spark, monkeypatch):
     assert {d: len({c for e, c, _ in in_tasks if e == d}) for d in ("one", "low", "same", "single")} == {"one": 1, "low": 2, "same": 1, "single": 1}
 
 
-def forest_chunks(spark, n=24):
+def forest_chunks(spark, n=12):
     draw = np.random.default_rng(3)
     kinds = [[f"t{k}w{j}" for j in range(12)] for k in range(6)]
     rows = [("d", k, " ".join(draw.choice(kinds[k % 6], 50)), 50) for k in range(n)]
@@ -242,12 +242,10 @@ def test_summaries_that_fail_are_made_again(spark):
     chunks = forest_chunks(spark)
     said = lambda: lambda ts: [f"about {t.split()[0]}" for t in ts]
     never = lambda: lambda pairs: ["FAIL: made up" for _ in pairs]
-    nodes, trees = build.build_forest(chunks, most_clusters=8, make_summarizer=said, make_verifier=never)
+    nodes, trees = build.build_forest(chunks, most_clusters=5, make_summarizer=said, make_verifier=never)
     parents = nodes.filter("layer > 0").collect()
     assert parents and all(r.text.startswith("about ") for r in parents)
     assert [(r.failures, r.complete) for r in trees.collect()] == [(len(parents), True)]
-    _, trees = build.build_forest(chunks, most_clusters=8, make_summarizer=said, make_verifier=lambda: lambda pairs: ["pass" for _ in pairs])
-    assert [r.failures for r in trees.collect()] == [0]
 
     def broken():
         def run(texts):
@@ -256,14 +254,14 @@ def test_summaries_that_fail_are_made_again(spark):
         return run
 
     # what stands in for a failed summary isn't judged, and is the plain first characters
-    nodes, trees = build.build_forest(chunks, most_clusters=8, make_summarizer=broken, make_verifier=never)
+    nodes, trees = build.build_forest(chunks, most_clusters=5, make_summarizer=broken, make_verifier=never)
     assert [r.failures for r in trees.collect()] == [0] and all(r.text.endswith("...") for r in nodes.filter("layer > 0").collect())
     _, trees = build.build_forest(chunks, most_layers=1)
     assert [r.complete for r in trees.collect()] == [False]
 
 
 def test_a_build_that_died_is_resumed(spark, tmp_path, monkeypatch):
-    chunks, calls, kept = forest_chunks(spark, 48), tmp_path / "calls", f"{tmp_path}/kept"
+    chunks, calls, kept = forest_chunks(spark, 24), tmp_path / "calls", f"{tmp_path}/kept"
 
     def make(log=str(calls)):
         def run(texts):
@@ -278,7 +276,7 @@ def test_a_build_that_died_is_resumed(spark, tmp_path, monkeypatch):
         calls.write_text("")
         return lines
 
-    want, _ = build.build_forest(chunks, most_clusters=8, make_summarizer=make)
+    want, _ = build.build_forest(chunks, most_clusters=5, make_summarizer=make)
     whole, want = said(), sorted(map(repr, want.drop("embedding").collect()))
     layers, right = [0], cluster.cluster_layer
 
@@ -290,10 +288,10 @@ def test_a_build_that_died_is_resumed(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(cluster, "cluster_layer", dies)
     with pytest.raises(RuntimeError, match="lost"):
-        build.build_forest(chunks, most_clusters=8, make_summarizer=make, kept=kept)
+        build.build_forest(chunks, most_clusters=5, make_summarizer=make, kept=kept)
     before = said()
     assert before and spark.read.parquet(kept).count() == len(before)
-    got, _ = build.build_forest(chunks, most_clusters=8, make_summarizer=make, kept=kept)
+    got, _ = build.build_forest(chunks, most_clusters=5, make_summarizer=make, kept=kept)
     after = said()
     assert sorted(before + after) == sorted(whole) and len(after) < len(whole)
     assert sorted(map(repr, got.drop("embedding").collect())) == want
