@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from doctree_spark.functions.text import sentences, token_count
 from doctree_spark.jobs import derived as d
 from doctree_spark.jobs.sql import ASK_INSUFFICIENT, ASK_LAYER, ASK_RELEVANCE
-from doctree_spark.operators import analytics, ask, build, chunk, classify, cluster, context, embed, ingest, retrieve, tree
+from doctree_spark.operators import analytics, ask, build, chunk, classify, cluster, context, embed, ingest, library, retrieve, tree
 from doctree_spark.sources import store
 from doctree_spark.sources.lineage import cut, shared_dir
 
@@ -100,6 +100,17 @@ def find_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.find_documents(catalog, requests)
 
 
+@query
+def library_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog of a library after every second upload, then all of them, were taken in; trees are their leaves."""
+    path, ups = shared_dir(spark), d.uploads(spark, sf_dir)
+    library.add_uploads(ups.filter("doc_id % 2 = 0"), path, most_layers=1)
+    done = library.add_uploads(ups, path, most_layers=1)
+    nodes, _ = library.forest(spark, path, d.MODEL)
+    found = nodes.groupBy("document_id").agg(F.sum("token_count").alias("tokens"))
+    return done.join(found, "document_id", "left").select("document_id", "filename", "status", "num_leaves", "batch", "tokens")
+
+
 # -- chunks
 
 
@@ -468,9 +479,8 @@ def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.top_sources(cut(retrieve.retrieve_collapsed(asked, nodes, SMALL_BUDGET)), nodes)
 
 
-@query
-def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query records appended in two parts, read back and looked up by document."""
+def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Query records appended in two parts and read back; and what was retrieved."""
     path = shared_dir(spark)
     nodes, _, asked = _forest(spark, sf_dir)
     found = cut(retrieve.retrieve_collapsed(asked, nodes, SMALL_BUDGET))
@@ -478,7 +488,19 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     early = F.crc32("document_id") % 2 == 0
     analytics.log_queries(records.filter(early), path)
     analytics.log_queries(records.filter(~early), path)
-    return spark.read.parquet(path).select("query_id", "document_id", F.size("nodes").alias("num_nodes"))
+    return spark.read.parquet(path), found
+
+
+@query
+def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _log(spark, sf_dir)[0].select("query_id", "document_id", F.size("nodes").alias("num_nodes"))
+
+
+@query
+def find_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's records of queries whose best node is a leaf."""
+    log, found = _log(spark, sf_dir)
+    return analytics.find_queries(log, found.filter("rank = 1 AND layer = 0")).select("query_id", "document_id", F.explode("nodes").alias("node_id"))
 
 
 @query

@@ -6,6 +6,7 @@ from doctree_spark.jobs.derived import EXAMPLES
 from doctree_spark.operators.chunk import EMPTY
 from doctree_spark.operators.classify import RULES, VERSUS
 from doctree_spark.operators.context import NO_RESULT, REASONS, REFUSAL
+from doctree_spark.operators.library import NO_CHUNKS
 
 #: Limits of the queries that ask from text to prompt; their questions are far from chunks.
 ASK_LAYER, ASK_RELEVANCE, ASK_INSUFFICIENT = 0.02, 0.05, 0.12
@@ -285,6 +286,12 @@ SELECT document_id, coalesce(own, CASE WHEN bare = '' OR starts_with(bare, '.')
     "supported_files": f"WITH {UPLOADS} SELECT filename, regexp_matches(filename, '\\.(pdf|txt|md)$') AS accepted FROM uploads",
     "find_documents": f"""WITH {UPLOADS}, named AS (SELECT filename, arg_min(document_id, (upload_time, document_id)) AS document_id, arg_min(status, (upload_time, document_id)) AS status FROM catalog GROUP BY filename)
 SELECT doc_id AS request_id, document_id, status FROM uploads JOIN catalog USING (document_id) WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, n.document_id, n.status FROM uploads u JOIN named n USING (filename) WHERE doc_id % 2 <> 0""",
+    "library_batches": f"""WITH RECURSIVE {UPLOADS}, good AS (SELECT u.*, text FROM uploads u JOIN documents d USING (doc_id) WHERE regexp_matches(filename, '\\.(pdf|txt|md)$')),
+{CHUNKS.replace(SECTIONED, "sectioned AS (SELECT document_id, any_value(text) AS text FROM good GROUP BY document_id)")},
+n AS (SELECT document_id, count(*) AS leaves, CAST(sum(token_count) AS BIGINT) AS tokens FROM chunks WHERE token_count >= 40 GROUP BY document_id),
+b AS (SELECT document_id, arg_min(filename, (upload_time, filename)) AS every, arg_min(filename, (upload_time, filename)) FILTER (doc_id % 2 = 0) AS half, any_value(text) AS text FROM good GROUP BY document_id)
+SELECT document_id, CASE WHEN half IS NOT NULL AND leaves > 0 THEN half ELSE every END AS filename, CASE WHEN {_strip('text')} = '' THEN '{EMPTY}' WHEN leaves IS NULL THEN '{NO_CHUNKS}' ELSE 'completed' END AS status,
+  coalesce(leaves, 0) AS num_leaves, CASE WHEN half IS NOT NULL AND leaves > 0 THEN 1 ELSE 2 END AS batch, tokens FROM b LEFT JOIN n USING (document_id)""",
     "body_text": f"WITH {BLOCKS}, {_body('', 0.75)} SELECT * FROM bodies",
     "empty_documents": f"WITH {BLOCKS}, {_body('WHERE block_no > 0', 0.125)} SELECT document_id, '{EMPTY}' AS status FROM bodies WHERE {_strip('text')} = ''",
     "split_sections": f"WITH {SECTIONS} SELECT document_id, section_no, text FROM sections",
@@ -359,6 +366,7 @@ SELECT document_id, level, num_clusters, coalesce(retrieved, 0) AS retrieved FRO
 SELECT query_id, CAST(place AS INTEGER) AS place, r.node_id, r.layer AS level, CAST(round(score * 100) AS INTEGER) AS percent, CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.8 THEN 'medium' ELSE 'low' END AS band,
   CASE WHEN len(children) > 0 THEN text ELSE substr(text, 1, 100) || '...' END AS snippet FROM r JOIN nodes n ON n.document_id = r.document_id AND n.node_id = r.node_id WHERE place <= 3""",
     "query_log": f"WITH RECURSIVE {FOREST}, {_SMALL} SELECT query_id, document_id, CAST(count(*) AS INTEGER) AS num_nodes FROM found GROUP BY ALL",
+    "find_queries": f"WITH RECURSIVE {FOREST}, {_SMALL} SELECT query_id, document_id, node_id FROM found WHERE query_id IN (SELECT query_id FROM found WHERE rank = 1 AND layer = 0)",
     "conversation_list": "SELECT conv_id, count(*) AS messages FROM conversations GROUP BY conv_id",
     "conversation_messages": "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INTEGER) AS place, turn, role, text FROM conversations",
 }

@@ -15,6 +15,11 @@ def find_query(log: DataFrame, query_id: str) -> DataFrame:
     return log.filter(F.col("query_id") == query_id)
 
 
+def find_queries(log: DataFrame, requests: DataFrame) -> DataFrame:
+    """The log's records of the ``query_id`` in ``requests``."""
+    return log.join(requests.select("query_id").distinct(), "query_id", "left_semi")
+
+
 def retrieved_by_level(retrieved: DataFrame, nodes: DataFrame) -> DataFrame:
     """``query_id, total_retrieved, levels``: levels descending, nodes of each in rank order.
 

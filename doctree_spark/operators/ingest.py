@@ -54,9 +54,9 @@ def display_names(catalog: DataFrame, sidecars: DataFrame) -> DataFrame:
     """``document_id, display_name``: the sidecar's name, or else the stored name without the id before it.
 
     What is left empty or begins with a dot falls back to the stored name; without any name it
-    is "Unknown Document".
+    is "Unknown Document". Of several sidecars of a document the first name counts.
     """
-    df = catalog.join(sidecars.select("document_id", "original_filename"), "document_id", "left")
+    df = catalog.join(sidecars.groupBy("document_id").agg(F.min("original_filename").alias("original_filename")), "document_id", "left")
     bare = F.when(F.startswith("stored_name", "document_id"), F.substr("stored_name", F.length("document_id") + 1)).otherwise(F.col("stored_name"))
     bare = F.regexp_replace(bare, "^_+", "")
     bare = F.when((bare == "") | bare.startswith("."), F.col("stored_name")).otherwise(bare)

@@ -25,21 +25,27 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.meta\.json$", "").alias("document_id"), found["original_filename"].alias("original_filename"))
 
 
-def save_forest(nodes: DataFrame, trees: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Nodes and trees below ``path``, nodes in directories by a hash of the document."""
+def save_forest(nodes: DataFrame, trees: DataFrame, path: str, buckets: int = BUCKETS, batch: int | None = None) -> None:
+    """Nodes and trees below ``path``, nodes in directories by a hash of the document.
+
+    With a ``batch``, in a directory of its own, over what the same batch may have left there.
+    """
+    part, mode = ("", "error") if batch is None else (f"/batch={batch}", "overwrite")
     bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
     dealt = nodes.withColumn("embedding", F.col("embedding").cast("array<float>")).withColumn("bucket", bucket)
-    dealt.repartition("bucket", F.pmod(F.xxhash64("document_id", "node_id"), F.lit(8))).sortWithinPartitions("bucket", "document_id", "node_id").write.partitionBy("bucket").parquet(f"{path}/nodes")
-    trees.write.parquet(f"{path}/trees")
+    dealt.repartition("bucket", F.pmod(F.xxhash64("document_id", "node_id"), F.lit(8))).sortWithinPartitions("bucket", "document_id", "node_id").write.mode(mode).partitionBy("bucket").parquet(f"{path}/nodes{part}")
+    trees.write.mode(mode).parquet(f"{path}/trees{part}")
 
 
-def load_forest(spark: SparkSession, path: str, active_model: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and trees saved at ``path``.
+def load_forest(spark: SparkSession, path: str, active_model: str | None = None, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and trees saved at ``path``, of all batches; with ``only``, those of its ``document_id``.
 
     Raises ValueError for trees of another model than ``active_model``, trees without nodes,
     nodes without a tree, and nodes without an embedding.
     """
-    nodes, trees = spark.read.parquet(f"{path}/nodes").drop("bucket"), spark.read.parquet(f"{path}/trees")
+    nodes, trees = spark.read.parquet(f"{path}/nodes").drop("bucket", "batch"), spark.read.parquet(f"{path}/trees").drop("batch")
+    if only is not None:
+        nodes, trees = nodes.join(only, "document_id", "left_semi"), trees.join(only, "document_id", "left_semi")
     if active_model is not None and (other := trees.filter(~F.col("embed_model").eqNullSafe(active_model)).head(1)):
         raise ValueError(f"{other[0]['document_id']} was embedded by {other[0]['embed_model']}, not {active_model}")
     if missing := nodes.filter("embedding IS NULL").select("document_id", "node_id").head(1):
@@ -74,6 +80,13 @@ def read_tree_json(spark: SparkSession, path: str) -> DataFrame:
     return parse_tree_json(files.withColumnRenamed("value", "json"))
 
 
+def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at ``path``, or an empty one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Removes what jobs have kept below ``path``, on whatever file system that is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

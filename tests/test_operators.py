@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doctree_spark.functions.text import sentences, shortened, token_count
-from doctree_spark.operators import analytics, ask, build, chunk, classify, cluster, context, embed, ingest, retrieve, tree
+from doctree_spark.operators import analytics, ask, build, chunk, classify, cluster, context, embed, ingest, library, retrieve, tree
 from doctree_spark.sources import store
 
 NODES = "document_id string, node_id int, layer int, text string, embedding array<double>, children array<int>, token_count int"
@@ -423,3 +423,16 @@ def test_reports(spark, small):
     r = analytics.retrieved_by_level(rows, nodes).head()
     assert r.total_retrieved == 2 and [(x.level, [(n.node_id, n.similarity, n.summary) for n in x.nodes]) for x in r.levels] == [(1, [("3", 0.85, "ab")]), (0, [("0", 0.0, None)])]
     assert [(x.place, x.percent, x.band, x.snippet) for x in analytics.top_sources(rows, nodes).orderBy("place").collect()] == [(1, 85, "medium", "ab"), (2, 0, "low", "a...")]
+
+
+def test_a_library_grows_by_batches(spark, tmp_path):
+    path = f"{tmp_path}/library"
+    rows = [("a.txt", f"{words(50)}.", 1), ("again.md", f"{words(50)}.", 2), ("b.md", " \n", 3), ("c.doc", words(60), 4), ("d.txt", "short", 5), ("e.txt", None, 6)]
+    ups = spark.createDataFrame(rows, "filename string, content string, upload_time long").withColumn("upload_time", F.timestamp_seconds("upload_time"))
+    first = {r.filename: (r.status, r.num_leaves, r.batch) for r in library.add_uploads(ups, path, most_layers=1).collect()}
+    assert first == {"a.txt": ("completed", 1, 1), "b.md": (chunk.EMPTY, 0, 1), "d.txt": (library.NO_CHUNKS, 0, 1), "e.txt": (chunk.EMPTY, 0, 1)}
+    more = ups.union(spark.createDataFrame([("f.txt", f"{words(60)}.", 7)], "filename string, content string, n long").withColumn("n", F.timestamp_seconds("n")))
+    second = {r.filename: r.batch for r in library.add_uploads(more, path, most_layers=1).collect()}
+    assert second == {"a.txt": 1, "b.md": 2, "d.txt": 2, "e.txt": 2, "f.txt": 2}
+    nodes, trees = library.forest(spark, path, "hash-64")
+    assert nodes.count() == trees.count() == 2
