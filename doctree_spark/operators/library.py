@@ -29,13 +29,14 @@ def forest(spark: SparkSession, library: str, active_model: str | None = None) -
 def add_uploads(uploads: DataFrame, library: str, **how: object) -> DataFrame:
     """Takes a batch of uploads (``filename, content, upload_time``) into the library and returns its catalog.
 
-    Unsupported names are left out, equal contents are one document, and what the catalog has as
+    Unsupported names are left out, a null content is empty, equal contents are one document, and what the catalog has as
     completed isn't processed again; documents that failed are. Trees are built with
     ``build_forest``'s arguments ``how``. A batch that died is processed again as a whole: its
     trees are written over, and summaries it had are reused.
     """
     spark = uploads.sparkSession
-    good, _ = ingest.supported(uploads)
+    content = F.coalesce("content", F.lit("").cast(uploads.schema["content"].dataType))
+    good, _ = ingest.supported(uploads.withColumn("content", content))
     known = catalog(spark, library)
     batch = (known.agg(F.max("batch")).head()[0] or 0) + 1
     new = cut(ingest.pending_documents(good, known))
