@@ -216,7 +216,7 @@ def grades_of(labels: DataFrame) -> DataFrame:
 
 GRADES = 3
 #: Documents less likely than this to have the best grade are rejected.
-KEEP_FROM = 0.8
+KEEP_FROM = 0.65
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
