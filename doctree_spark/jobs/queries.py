@@ -42,6 +42,18 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_SAVED[key])
 
 
+def _built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and trees of all documents as ``build_forest`` grows them; the first query of a session that needs them builds them."""
+    key = spark.sparkContext.applicationId, f"{sf_dir}#built"
+    if key not in _SAVED:
+        path = shared_dir(spark)
+        nodes, trees = build.build_forest(chunk.chunk_documents(d.sectioned(spark, sf_dir)))
+        nodes.write.parquet(f"{path}/nodes")
+        trees.write.parquet(f"{path}/trees")
+        _SAVED[key] = path
+    return spark.read.parquet(f"{_SAVED[key]}/nodes"), spark.read.parquet(f"{_SAVED[key]}/trees")
+
+
 def _forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes = _nodes(spark, sf_dir)
     return nodes, d.trees(nodes), d.forest_queries(nodes)
@@ -201,7 +213,8 @@ def forest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     loaded, headers = store.load_forest(spark, path, d.MODEL)
     df = loaded.join(headers.select("document_id", "num_layers"), "document_id")
     first = F.round(F.get("embedding", F.lit(0)).cast("double"), 5)
-    return df.select("document_id", "node_id", "layer", "num_layers", "token_count", F.size("children").alias("num_children"), F.size("embedding").alias("dimensions"), first.alias("first_value"))
+    every = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return df.select("document_id", "node_id", "layer", "num_layers", "token_count", F.size("children").alias("num_children"), F.size("embedding").alias("dimensions"), first.alias("first_value"), F.round(every, 3).alias("every_value"))
 
 
 @query
@@ -421,15 +434,14 @@ def cluster_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def build_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees of all documents."""
-    nodes, trees = build.build_forest(chunk.chunk_documents(d.sectioned(spark, sf_dir)))
+    nodes, trees = _built(spark, sf_dir)
     return nodes.join(trees.select("document_id", "num_layers", "complete"), "document_id").select("document_id", "node_id", "layer", "token_count", "children", "num_layers", "complete")
 
 
 @query
 def forest_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees of all documents, built, by what must hold of each: leaves as chunks, dense ids, edges one layer apart, parents all the way up."""
-    nodes, trees = build.build_forest(chunk.chunk_documents(d.sectioned(spark, sf_dir)))
-    nodes = cut(nodes)
+    nodes, trees = _built(spark, sf_dir)
     flat = nodes.groupBy("document_id").agg(F.count_if(F.col("layer") == 0).alias("leaves"), F.count("*").alias("n"), F.min("node_id").alias("low"), F.max("node_id").alias("high"), F.countDistinct("node_id").alias("ids"))
     edges = nodes.select("document_id", "layer", F.explode("children").alias("child")).join(nodes.select("document_id", F.col("node_id").alias("child"), F.col("layer").alias("below")), ["document_id", "child"], "left")
     edges = edges.groupBy("document_id").agg(F.count_if(~F.coalesce(F.col("below") == F.col("layer") - 1, F.lit(False))).alias("wrong"))

@@ -308,7 +308,7 @@ SELECT e.document_id, parent_id, CAST(pos AS INTEGER) AS pos, child_id, layer AS
     "all_nodes": f"WITH RECURSIVE {FOREST} SELECT document_id, node_id, layer, text, token_count, children FROM nodes WHERE document_id <> 'd3'",
     "tree_summary": f"""WITH RECURSIVE {FOREST}, l AS (SELECT document_id, layer AS level, count(*) FILTER (len(children) > 0) AS num_clusters FROM nodes GROUP BY ALL), t AS (SELECT document_id, count(*) AS total_nodes, max(layer) AS max_depth FROM nodes GROUP BY ALL)
 SELECT document_id, total_nodes, max_depth, level, num_clusters FROM l JOIN t USING (document_id) WHERE num_clusters > 0""",
-    "forest_round_trip": f"WITH RECURSIVE {FOREST} SELECT document_id, node_id, layer, 3 AS num_layers, token_count, CAST(len(children) AS INTEGER) AS num_children, 64 AS dimensions, round(e[1]::FLOAT::DOUBLE, 5) AS first_value FROM nodes",
+    "forest_round_trip": f"WITH RECURSIVE {FOREST} SELECT document_id, node_id, layer, 3 AS num_layers, token_count, CAST(len(children) AS INTEGER) AS num_children, 64 AS dimensions, round(e[1]::FLOAT::DOUBLE, 5) AS first_value, round(list_sum(list_transform(e, lambda x, i: x::FLOAT::DOUBLE * i)), 3) AS every_value FROM nodes",
     "tree_json": f"WITH RECURSIVE {FOREST} SELECT document_id, node_id, layer, text, children, token_count FROM nodes",
     "query_prefix": f"WITH {QUESTIONS}, {_PREFIXED} SELECT query_id, override, query FROM prefixed WHERE query <> ''",
     "classify_rules": f"WITH {QUESTIONS} SELECT query_id, {_RULE} AS query_type FROM questions",

@@ -61,24 +61,23 @@ def split_sections(docs: DataFrame, id_col: str = "document_id", text_col: str =
 def _with_chunks(docs: DataFrame, chunk_tokens: int, text_col: str) -> DataFrame:
     """Adds ``sections``, ``__sents`` and ``__chunks`` (structs of section and text), before small chunks go.
 
-    One fold numbers the chunks: a new one begins with a section, where the budget is spent, and
-    at and behind a sentence that is over it alone.
+    One fold finds where chunks begin: with a section, where the budget is spent, and at and
+    behind a sentence that is over it alone.
     """
     df = with_sections(docs, text_col)
     own = F.transform("sections", lambda s, k: F.transform(sentences(s), lambda x: F.struct(k.alias("section"), x.alias("text"), token_count(x).alias("tokens"))))
     df = df.withColumn("__sents", F.flatten(own))
-    start = F.struct(F.lit(-1).alias("no"), F.lit(-1).alias("used"), F.lit(-1).alias("section"), F.array().cast("array<int>").alias("nos"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("used"), F.lit(-1).alias("section"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc: Column, s: Column) -> Column:
         over = s.tokens > chunk_tokens
         new = over | (acc.used < 0) | (acc.used + s.tokens > chunk_tokens) | (acc.section != s.section)
-        no = acc.no + new.cast("int")
         used = F.when(over, F.lit(-1)).when(new, s.tokens).otherwise(acc.used + s.tokens)
-        return F.struct(no.alias("no"), used.alias("used"), s.section.alias("section"), F.array_append(acc.nos, no).alias("nos"))
+        # only a new chunk copies the list
+        starts = F.when(new, F.array_append(acc.starts, acc.i)).otherwise(acc.starts)
+        return F.struct((acc.i + 1).alias("i"), used.alias("used"), s.section.alias("section"), starts.alias("starts"))
 
-    df = df.withColumn("__nos", F.aggregate("__sents", start, step, lambda acc: acc.nos))
-    first = F.transform("__nos", lambda n, i: F.when((i == 0) | (F.get("__nos", i - 1) != n), i))
-    df = df.withColumn("__starts", F.array_compact(first))
+    df = df.withColumn("__starts", F.aggregate("__sents", start, step, lambda acc: acc.starts))
     end = lambda k: F.coalesce(F.get("__starts", k + 1), F.size("__sents"))
     text = lambda s, k: F.array_join(F.transform(F.slice("__sents", s + 1, end(k) - s), lambda x: x.text), " ")
     return df.withColumn("__chunks", F.transform("__starts", lambda s, k: F.struct(F.get("__sents", s).section.alias("section_no"), text(s, k).alias("text"))))
