@@ -16,8 +16,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Length one; a zero vector stays."""
-    size = F.sqrt(dot(v, v))
-    return F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(doubles(v))
+    # bound by an outer lambda, the length is computed once and not for every number
+    sized = F.array(F.struct(doubles(v).alias("v"), F.sqrt(dot(v, v)).alias("size")))
+    return F.get(F.transform(sized, lambda t: F.when(t['size'] > 0, F.transform(t.v, lambda x: x / t['size'])).otherwise(t.v)), F.lit(0))
 
 
 def added(vectors: Column, size: int) -> Column:

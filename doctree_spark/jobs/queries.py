@@ -37,9 +37,10 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _SAVED:
         path = shared_dir(spark)
-        d.forest(spark, sf_dir).write.parquet(path)
+        d.forest(spark, sf_dir).write.parquet(f"{path}/nodes")
+        d.forest_queries(spark.read.parquet(f"{path}/nodes")).write.parquet(f"{path}/queries")
         _SAVED[key] = path
-    return spark.read.parquet(_SAVED[key])
+    return spark.read.parquet(f"{_SAVED[key]}/nodes")
 
 
 def _built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -56,7 +57,7 @@ def _built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes = _nodes(spark, sf_dir)
-    return nodes, d.trees(nodes), d.forest_queries(nodes)
+    return nodes, d.trees(nodes), spark.read.parquet(f"{_SAVED[spark.sparkContext.applicationId, sf_dir]}/queries")
 
 
 # -- ingest

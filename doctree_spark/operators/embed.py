@@ -25,15 +25,20 @@ class _WordVectors(dict):
     """Places of words in a table of their tokens' sums; tokens never span white space."""
 
     def __init__(self) -> None:
-        self.token, self.table = regex.compile(TOKEN), np.zeros((1024, DIMENSIONS))
+        self.token, self.signs, self.table = regex.compile(TOKEN), {}, np.zeros((1024, DIMENSIONS))
 
     def __missing__(self, word: str) -> int:
         place = self[word] = len(self)
         if place == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        row = self.table[place]
         for t in self.token.findall(word):
-            h = hashlib.md5(t.encode()).hexdigest()
-            self.table[place, int(h[:8], 16) % DIMENSIONS] += 1.0 if int(h[8], 16) % 2 == 0 else -1.0
+            found = self.signs.get(t)
+            if found is None:
+                # place by the first eight hex digits, sign by the ninth
+                h = hashlib.md5(t.encode()).digest()
+                found = self.signs[t] = (int.from_bytes(h[:4], "big") % DIMENSIONS, -1.0 if h[4] & 16 else 1.0)
+            row[found[0]] += found[1]
         return place
 
 
