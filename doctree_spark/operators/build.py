@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from doctree_spark.operators import cluster, tree
 from doctree_spark.operators.embed import Embedder, embed, hash_embedder
-from doctree_spark.sources.lineage import cut
+from doctree_spark.sources.lineage import cut, written
 from doctree_spark.sources.store import remove
 
 LEAST_NODES = 2
@@ -37,7 +37,8 @@ def build_forest(
     """
     if kept:
         _saved(chunks, []).write.mode("append").parquet(kept)
-    top = cut(tree.leaf_nodes(embed(chunks, "text", make=make_embedder)).select(NODE))
+    # tables, not checkpoints: these would carry what Spark knows of each layer's expressions into the next, whose planning takes ever longer
+    top = written(tree.leaf_nodes(embed(chunks, "text", make=make_embedder)).select(NODE))
     layers, failures, complete = top, None, False
     for layer in range(1, most_layers):
         sizes = top.groupBy("document_id").agg(F.count("*").alias("__n")).filter(F.col("__n") > least_nodes)
@@ -53,9 +54,9 @@ def build_forest(
         said = _summaries(contexts, make_summarizer, make_verifier, retries, attempts, kept)
         failed = said.groupBy("document_id").agg(F.count_if(~F.col("passed")).alias("failures"))
         failures = failed if failures is None else failures.union(failed)
-        next_ids = layers.groupBy("document_id").agg(F.count("*").alias("next_id"))
+        next_ids = growing.groupBy("document_id").agg((F.max("node_id") + F.lit(1).cast("long")).alias("next_id"))
         parents = tree.make_parents(members.join(said.select("document_id", "cluster", "summary"), ["document_id", "cluster"]), next_ids)
-        top = cut(embed(parents, "text", make=make_embedder).select(NODE))
+        top = written(embed(parents, "text", make=make_embedder).select(NODE))
         if top.isEmpty():
             complete = True
             break

@@ -33,10 +33,11 @@ TOLERANCE = 1e-3
 LARGE = 5000
 #: Rows of a group among which first centres are drawn, those with the smallest hashes of their ids.
 SEED_ROWS = 1000
-_SCATTER = 2_654_435_761
 #: Larger groups whose sums the driver holds at a time.
 WAVE = 32
 SPLIT_ROUNDS = 5
+#: Tasks that fit groups, as a multiple of the session's shuffle partitions.
+TASKS = 2
 _ROWS = 1000
 _SCATTER = 2_654_435_761
 
@@ -224,12 +225,21 @@ def _fit_groups(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
         return pdf[[*keys, "node_id"]].assign(probabilities=member.tolist())
 
     large = _large(df, keys)
-    out = df.join(large, list(keys), "left_anti").groupBy(*keys).applyInPandas(fit, schema)
+    out = _spread(df.join(large, list(keys), "left_anti"), keys).groupBy(*keys).applyInPandas(fit, schema)
     for some in _waves(large):
         out = out.unionByName(_fit_across(df, some, keys, most))
     return out
 
 
+def _spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows by ``keys`` in ``TASKS`` times the session's shuffle partitions.
+
+    Adaptive execution merges tasks by bytes, but fitting costs far more than its bytes; a number
+    of its own keeps this shuffle from being dropped for an earlier one by the same keys.
+    """
+    return df.repartition(TASKS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _large(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``keys, __n`` of groups over ``LARGE`` rows."""
     return cut(df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > LARGE))
@@ -362,7 +372,7 @@ def cluster_layer(nodes: DataFrame, key: str = "document_id", threshold: float =
 
     large = _large(rows, [key])
     schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, cluster int, node_id int"
-    out = rows.join(large, key, "left_anti").groupBy(key).applyInPandas(both, schema)
+    out = _spread(rows.join(large, key, "left_anti"), [key]).groupBy(key).applyInPandas(both, schema)
     if not large.isEmpty():
         big = rows.join(large, key, "left_semi")
         first = cut(_assigned(_fit_groups(big, [key], most), [key], "__global", threshold))
