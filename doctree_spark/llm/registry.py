@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from doctree_spark.llm import decontamination, fingerprints, licenses, mixing, near_dedup, quality, secrets, suffix_model, token_counts, warc
+from doctree_spark.llm import bpe_transducer, conversation_repair, decontamination, fingerprints, licenses, mixing, near_dedup, quality, secrets, spelling, suffix_model, token_counts, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_suffix_model": suffix_model.op9_suffix_model,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_bpe_transducer": bpe_transducer.op12_bpe_transducer,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 ORACLE_SQL = {
     "op4_mixing": mixing.OP4_SQL,
