@@ -1,10 +1,13 @@
-"""Secret scans: patterns, and encoded candidates confirmed by their structure.
+r"""Secret scans: patterns, and encoded candidates confirmed by their structure.
 
 Base kinds are patterns. The structural kinds decode what looks encoded and look inside before
 they report it:
 
-* ``key``: base64 (also between PEM lines) or hex that decodes to a private key: DER with
-  nested lengths that agree, in one of the shapes of private keys, or the OpenSSH format.
+* ``key``: base64 or hex that decodes to a private key: DER with nested lengths that agree, in
+  one of the shapes of private keys, or the OpenSSH format. It may begin anywhere in a run, stand
+  between PEM lines, be wrapped over lines (real ones or ``\n`` in a string) that begin with
+  quote or comment marks, or be hex with colons, blanks or dashes. PEM lines whose headers name
+  a cipher are a key that is encrypted, so that only its size can be looked at.
 * ``jwt``: three dotted base64url parts, the first a JSON header that names an algorithm, the
   second JSON.
 """
@@ -13,8 +16,10 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,15 +36,26 @@ SPANS = T.ArrayType(T.StructType().add("kind", T.StringType()).add("start", T.In
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as without the length
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----([A-Za-z0-9+/=\s]*)-----END \1-----", re.A)
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*)-----")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _ANY_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
+#: Where a line of an encoding ends and the next one begins; in strings both may be escaped.
+_WRAP = r"[\"',+\x20\t]{0,4}+(?:\\[rn]|[\r\n])++(?:[\x20\t>#*;\"'|]|//(?=\x20))*+"
+_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{24,}}+={{0,2}}+(?:{_WRAP}(?!--)[A-Za-z0-9+/_-]++={{0,2}}+)++")
+_HEX_LINES = re.compile(rf"(?<![0-9A-Fa-f])[0-9A-Fa-f]{{24,}}+(?:{_WRAP}[0-9A-Fa-f]++)++")
+_LINE_END = re.compile(rf"={{0,2}}{_WRAP}")
+_PAIRS = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{2}(?:[:\x20-]\s*+[0-9A-Fa-f]{2}){47,}+")
+_PAIR_END = re.compile(r"[:\x20-]\s*")
+#: PEM headers, and those of an encrypted body.
+_HEADER = re.compile(r"[A-Za-z][A-Za-z-]*:\x20[^\r\n\\]*")
+_CIPHER = re.compile(r"DEK-Info:\x20*[A-Z0-9-]+,[0-9A-Fa-f]{16,64}")
 # the first part begins its run, so that no run is read from each of its characters
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+")
 #: No sequence of a private key has more elements.
 MOST_PARTS = 10
-#: How DER sequences with long lengths and OpenSSH keys begin in base64.
-_BEGINS = re.compile(r"MI[GHI]|b3BlbnNzaC1rZXk")
+#: How DER sequences and OpenSSH keys begin in base64, and in hex at any digit.
+_BEGINS = re.compile(r"M[A-I]|b3BlbnNzaC1rZXk")
+_HEX_BEGINS = re.compile(r"(?=30(?:8[1-4]|[2-7][0-9A-Fa-f])|6f70656e7373682d6b6579)", re.I)
 
 
 def _element(data: bytes | Encoded, at: int, end: int) -> tuple[int, int, int] | None:
@@ -93,13 +109,33 @@ class Encoded:
         first, last = (at, at + 1) if isinstance(at, int) else (at.start, min(at.stop, self.size))
         if first >= last:
             return b""
-        a, b = first // 3 * 4, -(-last // 3) * 4
-        data = _decoded(self.text[self.start + a : self.start + b])[first - a // 4 * 3 : last - a // 4 * 3]
+        data = self.bytes(first, last)
         return data[0] if isinstance(at, int) else data
 
+    def bytes(self, first: int, last: int) -> bytes:
+        a, b = first // 3 * 4, -(-last // 3) * 4
+        return _decoded(self.text[self.start + a : self.start + b])[first - a // 4 * 3 : last - a // 4 * 3]
+
+    def letters(self, n: int) -> int:
+        """Letters that the first ``n`` bytes take."""
+        return -(-n * 4 // 3)
+
+
+class Hex(Encoded):
+    """The same for hex digits."""
+
+    def __init__(self, text: str, start: int = 0) -> None:
+        self.text, self.start, self.size = text, start, (len(text) - start) // 2
+
+    def bytes(self, first: int, last: int) -> bytes:
+        return bytes.fromhex(self.text[self.start + 2 * first : self.start + 2 * last])
 
-def is_private_key(data: bytes | Encoded) -> bool:
-    """Whether bytes begin with a private key in DER or are one in the OpenSSH format.
+    def letters(self, n: int) -> int:
+        return 2 * n
+
+
+def is_private_key(data: bytes | Encoded) -> int:
+    """How many bytes a private key has with which ``data`` begins, in DER or the OpenSSH format; 0 if with none.
 
     Looks at headers and short numbers only, whatever the length.
     """
@@ -107,25 +143,28 @@ def is_private_key(data: bytes | Encoded) -> bool:
         at = 15
         for _ in range(3):  # cipher, derivation, its options
             if at + 4 > len(data):
-                return False
+                return 0
             at += 4 + int.from_bytes(data[at : at + 4], "big")
         if at + 8 > len(data):
-            return False
+            return 0
         keys = int.from_bytes(data[at : at + 4], "big")
-        return 1 <= keys <= 16 and at + 8 + int.from_bytes(data[at + 4 : at + 8], "big") <= len(data)
+        end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "big")
+        return end if 1 <= keys <= 16 and end <= len(data) else 0
     top = _element(data, 0, len(data))
     # a version of one byte or, where the key is encrypted, an algorithm comes first
     if not top or top[0] != 0x30 or data[top[1] : top[1] + 1] not in (b"\x02", b"\x30") or not (inner := _children(data, top[1], top[2])):
-        return False
+        return 0
     tags = [e[0] for e in inner]
     number = data[inner[0][1]] if tags[0] == 0x02 and inner[0][2] - inner[0][1] == 1 else None
     if number is None:  # encrypted: algorithm and content
-        return tags == [0x30, 0x04] and _algorithm(data, inner[0])
-    if number in (0, 1) and tags[1:3] == [0x30, 0x04]:
-        return _algorithm(data, inner[1])
-    if number == 1 and tags[1:2] == [0x04]:  # elliptic curve
-        return all(t in (0xA0, 0xA1) for t in tags[2:]) and inner[1][2] - inner[1][1] >= 16
-    return number == 0 and set(tags) == {0x02} and len(tags) in (6, 9)
+        good = tags == [0x30, 0x04] and _algorithm(data, inner[0])
+    elif number in (0, 1) and tags[1:3] == [0x30, 0x04]:
+        good = _algorithm(data, inner[1])
+    elif number == 1 and tags[1:2] == [0x04]:  # elliptic curve
+        good = all(t in (0xA0, 0xA1) for t in tags[2:]) and inner[1][2] - inner[1][1] >= 16
+    else:
+        good = number == 0 and set(tags) == {0x02} and len(tags) in (6, 9)
+    return top[2] if good else 0
 
 
 def _decoded(text: str) -> bytes:
@@ -146,6 +185,75 @@ def _is_json(part: str, key: str | None = None) -> bool:
     return isinstance(value, dict) and (key is None or isinstance(value.get(key), str))
 
 
+def _pem_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of PEM blocks, from a BEGIN line to the next mark if that is its END, that hold a private key."""
+    begun = None
+    for m in _MARK.finditer(text):
+        if m[1] == "END" and begun and begun[2] == m[2]:
+            body = text[begun.end() : m.start()]
+            bare = re.sub(r"\\[rn]|//(?=\x20)|[^A-Za-z0-9+/=]", "", _HEADER.sub("", body))
+            if is_private_key(_decoded(bare)) or m[2].endswith("PRIVATE KEY") and _CIPHER.search(body) and len(_decoded(bare)) >= 16:
+                yield begun.start(), m.end()
+        begun = m if m[1] == "BEGIN" else None
+
+
+def _in_run(letters: str, kind: type[Encoded], begins: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Where keys begin and end in letters without gaps."""
+    end = 0
+    for start in dict.fromkeys([0, *(b.start() for b in begins.finditer(letters))]):
+        if start >= end and (n := is_private_key(data := kind(letters, start))):
+            end = start + data.letters(n)
+            yield start, end
+
+
+def _over_gaps(text: str, a: int, b: int, gap: re.Pattern, kind: type[Encoded], begins: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Spans of keys in text whose letters stand between gaps."""
+    parts, places, at, n = [], [], a, 0
+    for m in [*gap.finditer(text, a, b), None]:
+        end = m.start() if m else b
+        parts.append(text[at:end])
+        places.append((n, at))
+        n += end - at
+        at = m.end() if m else b
+    firsts = [p[0] for p in places]
+
+    def place(k: int) -> int:
+        first, where = places[bisect.bisect_right(firsts, k) - 1]
+        return where + k - first
+
+    for start, end in _in_run("".join(parts), kind, begins):
+        yield place(start), place(end - 1) + 1
+
+
+def _keys(text: str) -> list[tuple[int, int]]:
+    """Spans of private keys, none inside another: PEM blocks, then runs, then what is wrapped or spaced."""
+    found = list(_pem_keys(text)) if "-----BEGIN " in text else []
+    runs = [(*m.span(), m[0]) for m in _BASE64.finditer(text)]
+    candidates: list[tuple[int, int]] = []
+    for a, b, run in runs:
+        # a run's key takes in what follows it there
+        first = next(_in_run(run, Encoded, _BEGINS), None)
+        if first:
+            candidates.append((a + first[0], b))
+    for m in _ANY_HEX.finditer(text):
+        candidates += [(m.start() + a, m.start() + b) for a, b in _in_run(m[0], Hex, _HEX_BEGINS)]
+    for m in _LINES.finditer(text):
+        candidates += _over_gaps(text, *m.span(), _LINE_END, Encoded, _BEGINS)
+    for m in _HEX_LINES.finditer(text):
+        candidates += _over_gaps(text, *m.span(), _LINE_END, Hex, _HEX_BEGINS)
+    for m in _PAIRS.finditer(text):
+        candidates += _over_gaps(text, *m.span(), _PAIR_END, Hex, _HEX_BEGINS)
+    # those found first stay; later ones that touch them go
+    starts = [a for a, _ in sorted(found)]
+    for a, b in candidates:
+        k = bisect.bisect_left(starts, b)
+        if not any(x < b and a < y for x, y in found[max(0, k - 1) : k]):
+            at = bisect.bisect_left(starts, a)
+            starts.insert(at, a)
+            found.insert(at, (a, b))
+    return found
+
+
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span, by start and then kind."""
     spans = []
@@ -154,26 +262,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         spans += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    pem: list[tuple[int, int]] = []
-    if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            if is_private_key(_decoded(re.sub(r"\s+", "", m[2]))):
-                spans.append(("key", *m.span()))
-                pem.append(m.span())
-    covered = iter([*pem, (len(text), len(text))])
-    a, b = next(covered)
-    for m in _BASE64.finditer(text):
-        while b <= m.start() < len(text):
-            a, b = next(covered)
-        if a <= m.start():
-            continue
-        for start in dict.fromkeys([0, *(b.start() for b in _BEGINS.finditer(m[0]))]):
-            if is_private_key(Encoded(m[0], start)):
-                spans.append(("key", m.start() + start, m.end()))
-                break
-    for m in _ANY_HEX.finditer(text):
-        if is_private_key(bytes.fromhex(m[0][: len(m[0]) // 2 * 2])):
-            spans.append(("key", *m.span()))
+    spans += [("key", a, b) for a, b in _keys(text)]
     if "." in text and "ey" in text:
         for m in _JWT.finditer(text):
             head, body, _ = m[0].split(".")

@@ -1,9 +1,12 @@
 """Transducer, conversation repair and spelling variants against plain versions and the tokenizers' own library."""
 
+import base64
 import hashlib
 import itertools
 import random
 import re
+import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from doctree_spark.llm import bpe_transducer, conversation_repair, spelling
+from doctree_spark.llm import bpe_transducer, conversation_repair, secrets, spelling
 
 # ---- transducer
 
@@ -318,3 +321,68 @@ def test_spelling_small_cases(spark):
     assert spelling.group_variants(spelling.word_counts(docs.limit(0))).count() == 0
     chain = spark.createDataFrame([("aaaaaa" + "b" * 0, 5), ("aaaaab", 25), ("aaaabb", 125), ("aaabbb", 625), ("aabbbb", 3125), (None, 7)], "word string, n int").withColumn("form", F.lit(1))
     assert {r.word: r.root for r in spelling.group_variants(chain).collect()} == {w: "aabbbb" for w in ("aaaaaa", "aaaaab", "aaaabb", "aaabbb", "aabbbb")}
+
+
+# ---- secrets
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x80 + (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + size + body
+
+
+def made_keys():
+    draw = random.Random(9)
+    number = lambda n: der(2, b"\0" + bytes([128 + draw.randrange(128)]) + draw.randbytes(n - 1))
+    rsa = der(0x30, der(2, b"\0"), number(256), der(2, b"\1\0\1"), number(256), *(number(128) for _ in range(5)))
+    pkcs8 = der(0x30, der(2, b"\0"), der(0x30, der(6, bytes.fromhex("2a864886f70d010101")), der(5)), der(4, rsa))
+    short = der(0x30, der(2, b"\0"), der(0x30, der(6, bytes.fromhex("2b6570"))), der(4, der(4, draw.randbytes(32))))
+    return rsa, pkcs8, short
+
+
+def test_keys_in_many_encodings():
+    rsa, pkcs8, short = made_keys()
+    text = base64.b64encode(pkcs8).decode()
+    lines = textwrap.wrap(text, 64)
+    pem = ["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"]
+    hexes, cipher = pkcs8.hex(), base64.b64encode(random.Random(1).randbytes(1200)).decode()
+    encrypted = ["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", "", *textwrap.wrap(cipher, 64), "-----END RSA PRIVATE KEY-----"]
+    kinds = {
+        "pem": "\n".join(pem), "json": '{"private_key": "' + "\\n".join(pem) + '\\n"}', "quoted": "\n".join(f"> {x}" for x in pem), "comment": "\n".join(f"// {x}" for x in pem), "encrypted": "\r\n".join(encrypted), "encrypted in json": "\\n".join(encrypted),
+        "run": text, "url": text.replace("+", "-").replace("/", "_"), "wrapped": "\n".join(lines), "wrapped, quoted": "\r\n".join(f">> {x}" for x in lines), "strings": " +\n".join(f'"{x}"' for x in lines), "escaped": "\\n".join(lines), "behind a path": "keys/" + text,
+        "hex": hexes, "wrapped hex": "\n".join(textwrap.wrap(hexes, 64)), "colons": ":".join(textwrap.wrap(hexes, 2)), "colons in lines": ":\n    ".join(":".join(x) for x in itertools.batched(textwrap.wrap(hexes, 2), 15)), "blanks": " ".join(textwrap.wrap(hexes, 2)),
+        "behind two digits": "fa" + hexes, "behind one digit": "f" + hexes.upper(), "short": base64.b64encode(short).decode(), "short behind a path": "keys/" + base64.b64encode(short).decode(), "short hex": short.hex(), "old": base64.b64encode(rsa).decode(),
+    }
+    for name, secret in kinds.items():
+        whole = f"some words before\n\n{secret}\n\nand some behind it"
+        found = [(a, b) for k, a, b in secrets.find_secrets(whole) if k == "key"]
+        assert len(found) == 1, (name, found)
+        at = whole.index(secret)
+        assert at <= found[0][0] <= at + 20 and at + len(secret) - 4 <= found[0][1] <= at + len(secret), (name, found, at, at + len(secret))
+        assert "MII" not in secrets.redacted(whole) and hexes[200:240] not in secrets.redacted(whole)
+        both = [k for k, _, _ in secrets.find_secrets(f"{whole}\n{whole}") if k == "key"]
+        assert len(both) == 2, name
+
+
+def test_what_only_looks_like_a_key_is_none():
+    rsa, _, _ = made_keys()
+    broken = bytearray(rsa)
+    broken[3] ^= 1
+    public = der(0x30, der(0x30, der(6, b"\x2a\x86\x48"), der(5)), der(3, b"\0" + rsa[:200]))
+    for data in (bytes(broken), public, rsa[:-1], random.Random(2).randbytes(900)):
+        text = base64.b64encode(data).decode().rstrip("=")
+        for secret in (text, "\n".join(textwrap.wrap(text, 64)), data.hex(), ":".join(textwrap.wrap(data.hex(), 2)), "-----BEGIN X-----\n" + text + "\n-----END X-----"):
+            assert not [k for k, _, _ in secrets.find_secrets(secret) if k == "key"], secret[:60]
+
+
+def test_time_follows_length():
+    for unit in ("A" * 63 + "\n", "30", "3082", "MIIE", "ab:", "-----BEGIN A-----\n", "x" * 30 + "\\n", "M" * 23 + " ", "0 " * 10):
+        took = []
+        for n in (100_000, 400_000):
+            text = unit * (n // len(unit))
+            began = time.process_time()
+            secrets.find_secrets(text)
+            took.append(time.process_time() - began)
+        assert took[1] < 0.5 + 10 * took[0], (unit, took)
