@@ -94,7 +94,7 @@ def leaf_clusters(leaves: DataFrame) -> DataFrame:
 
 def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of a tree of three layers for every document with chunks: its chunks, whole, and two layers above them."""
-    chunks = embed(chunk_documents(sectioned(spark, sf_dir)), "text")
+    chunks = embed(chunk_documents(sectioned(spark, sf_dir)), "text", deal=True)
     leaves = chunks.select(
         F.concat(F.lit("d"), F.col("document_id").cast("string")).alias("document_id"), F.col("chunk_no").alias("node_id"), F.lit(0).alias("layer"), "text",
         "embedding", F.array().cast("array<int>").alias("children"), "token_count",

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doctree_spark.functions import plugins
 from doctree_spark.functions.text import sentences, token_count
 from doctree_spark.jobs import derived as d
+from doctree_spark.jobs import standins
 from doctree_spark.jobs.sql import ASK_INSUFFICIENT, ASK_LAYER, ASK_RELEVANCE
 from doctree_spark.operators import analytics, ask, build, chunk, classify, cluster, context, embed, ingest, library, retrieve, tree
+from doctree_spark.operators.models import Calls
 from doctree_spark.sources import store
-from doctree_spark.sources.lineage import cut, shared_dir
+from doctree_spark.sources.lineage import cut, shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,10 +40,11 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _SAVED:
         path = shared_dir(spark)
-        d.forest(spark, sf_dir).write.parquet(f"{path}/nodes")
-        d.forest_queries(spark.read.parquet(f"{path}/nodes")).write.parquet(f"{path}/queries")
+        nodes = written(d.forest(spark, sf_dir))
+        store.save_forest(nodes, d.trees(nodes), path)
+        d.forest_queries(store.open_nodes(spark, path)).write.parquet(f"{path}/queries")
         _SAVED[key] = path
-    return spark.read.parquet(f"{_SAVED[key]}/nodes")
+    return store.open_nodes(spark, _SAVED[key])
 
 
 def _built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -49,15 +53,15 @@ def _built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     if key not in _SAVED:
         path = shared_dir(spark)
         nodes, trees = build.build_forest(chunk.chunk_documents(d.sectioned(spark, sf_dir)))
-        nodes.write.parquet(f"{path}/nodes")
-        trees.write.parquet(f"{path}/trees")
+        store.save_forest(nodes, trees, path)
         _SAVED[key] = path
-    return spark.read.parquet(f"{_SAVED[key]}/nodes"), spark.read.parquet(f"{_SAVED[key]}/trees")
+    return store.open_nodes(spark, _SAVED[key]), spark.read.parquet(f"{_SAVED[key]}/trees")
 
 
 def _forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes = _nodes(spark, sf_dir)
-    return nodes, d.trees(nodes), spark.read.parquet(f"{_SAVED[spark.sparkContext.applicationId, sf_dir]}/queries")
+    path = _SAVED[spark.sparkContext.applicationId, sf_dir]
+    return nodes, spark.read.parquet(f"{path}/trees"), spark.read.parquet(f"{path}/queries")
 
 
 # -- ingest
@@ -159,6 +163,12 @@ def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk_documents(d.sectioned(spark, sf_dir))
 
 
+@query
+def pack_chunks_plugged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with callables that count tokens and split sentences."""
+    return chunk.chunk_documents(d.sectioned(spark, sf_dir), tokens=plugins.counting(standins.quarter_lengths), split=plugins.splitting(standins.at_commas))
+
+
 @query
 def chunk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk_report(d.sectioned(spark, sf_dir))
@@ -174,7 +184,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(embed.embed(d.table(spark, sf_dir, "documents").select("doc_id", "text"), "text"))
+    return _rounded(embed.embed(d.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", deal=True))
 
 
 @query
@@ -254,6 +264,13 @@ def route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir).select("query_id", "override", "query_type", "confidence", "strategy")
 
 
+@query
+def classify_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question types by rules and, where none matches, by a model's label and score."""
+    asked = classify.query_prefix(d.questions(spark, sf_dir))
+    return classify.classify(asked, None, make=standins.by_length, calls=Calls(items=32)).select("query_id", "query_type", "confidence", "strategy")
+
+
 @query
 def decompose_comparative(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = d.questions(spark, sf_dir)
@@ -354,6 +371,14 @@ def answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.prepare_answers(kinds.join(given, "query_id"))
 
 
+@query
+def generated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a model called in batches, which breaks at some prompts."""
+    kinds = _classified(spark, sf_dir).select("query_id", F.col("query").alias("question"), "query_type")
+    given = d.table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.concat(F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("query_id"), F.when(F.col("conv_id") % 5 == 0, "").otherwise(F.col("text")).alias("context"))
+    return context.prepare_answers(kinds.join(given, "query_id"), standins.sized_answers, calls=Calls(items=8, attempts=2, parallel=8)).select("query_id", "answer", "answer_error")
+
+
 # -- building
 
 
@@ -388,6 +413,13 @@ def summarize_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.summarize_clusters(tree.cluster_context(_members(_nodes(spark, sf_dir)), 3000)).select("document_id", "cluster", "summary")
 
 
+@query
+def model_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries by a model called in batches, which breaks some calls and answers some texts only when asked again."""
+    contexts = tree.cluster_context(_members(_nodes(spark, sf_dir)), 100)
+    return tree.summarize_clusters(contexts, standins.first_words, Calls(items=8, tokens=800, attempts=3, parallel=8)).select("document_id", "cluster", "summary", "generated", "summary_error")
+
+
 @query
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.col("item_id") % 4
@@ -441,26 +473,51 @@ def build_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def forest_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trees of all documents, built, by what must hold of each: leaves as chunks, dense ids, edges one layer apart, parents all the way up."""
+    """Trees of all documents, built, by what must hold of each.
+
+    Leaves are the chunks, ids dense, edges one layer apart, every node below the top has a
+    parent, a parent's text is the summary of its children's, token counts are those of the texts.
+    """
     nodes, trees = _built(spark, sf_dir)
-    flat = nodes.groupBy("document_id").agg(F.count_if(F.col("layer") == 0).alias("leaves"), F.count("*").alias("n"), F.min("node_id").alias("low"), F.max("node_id").alias("high"), F.countDistinct("node_id").alias("ids"))
-    edges = nodes.select("document_id", "layer", F.explode("children").alias("child")).join(nodes.select("document_id", F.col("node_id").alias("child"), F.col("layer").alias("below")), ["document_id", "child"], "left")
-    edges = edges.groupBy("document_id").agg(F.count_if(~F.coalesce(F.col("below") == F.col("layer") - 1, F.lit(False))).alias("wrong"))
-    df = flat.join(edges, "document_id", "left").join(trees, "document_id")
+    leaf = F.col("layer") == 0
+    flat = nodes.groupBy("document_id").agg(
+        F.count_if(leaf).alias("leaves"), F.sum(F.when(leaf, F.col("token_count"))).alias("leaf_tokens"), F.sum(F.when(leaf, F.length("text"))).alias("leaf_letters"), F.count("*").alias("n"), F.min("node_id").alias("low"),
+        F.max("node_id").alias("high"), F.countDistinct("node_id").alias("ids"), F.count_if(F.col("token_count") != token_count(F.col("text"))).alias("wrong_tokens"),
+    )
+    edges = nodes.select("document_id", F.col("node_id").alias("parent"), "layer", F.explode("children").alias("node_id"))
+    below = nodes.select("document_id", "node_id", F.col("layer").alias("below"), "text")
+    met = edges.join(below, ["document_id", "node_id"], "left")
+    wrong = met.groupBy("document_id").agg(F.count_if(~F.coalesce(F.col("below") == F.col("layer") - 1, F.lit(False))).alias("wrong_edges"))
+    lower = nodes.join(trees.select("document_id", "num_layers"), "document_id").filter("layer < num_layers - 1").select("document_id", "node_id")
+    orphans = lower.join(edges.select("document_id", "node_id"), ["document_id", "node_id"], "left_anti").groupBy("document_id").agg(F.count("*").alias("orphans"))
+    said = tree.fallback_summary(tree.cluster_context(met.select("document_id", F.col("parent").alias("cluster"), "node_id", "text")), "context")
+    texts = nodes.filter(~leaf).select("document_id", F.col("node_id").alias("cluster"), "text").join(said, ["document_id", "cluster"], "left")
+    texts = texts.groupBy("document_id").agg(F.count_if(~F.col("text").eqNullSafe(F.col("summary"))).alias("wrong_texts"))
+    df = flat.join(trees, "document_id")
+    for more in (wrong, orphans, texts):
+        df = df.join(more, "document_id", "left")
     dense = (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("ids") == F.col("n"))
-    return df.select("document_id", "leaves", dense.alias("dense"), F.coalesce("wrong", F.lit(0)).alias("wrong_edges"), (F.size("root_ids") > 0).alias("rooted"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return df.select("document_id", "leaves", "leaf_tokens", "leaf_letters", dense.alias("dense"), zero("wrong_tokens"), zero("wrong_edges"), zero("orphans"), zero("wrong_texts"), (F.size("root_ids") > 0).alias("rooted"))
 
 
 @query
 def cluster_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of the forest's leaves by what must hold: every document has some, numbered densely, of its own leaves only, and large ones are single or undivided."""
+    """Clusters of the forest's leaves, those over 1,000 tokens divided, by what must hold.
+
+    Every leaf is in some, they hold their own document's leaves only and are numbered densely;
+    and a leaf's memberships in the first pass are from 0 to 1, one in all.
+    """
     leaves = _nodes(spark, sf_dir).filter("layer = 0")
-    clusters = cluster.cluster_layer(leaves)
-    whole = leaves.groupBy("document_id").agg(F.count("*").alias("leaves"))
+    clusters = cut(cluster.split_overflow(cluster.cluster_layer(leaves), leaves, 1000))
+    whole = leaves.groupBy("document_id").agg(F.count("*").alias("leaves"), F.sum("token_count").alias("leaf_tokens"))
     found = clusters.join(leaves.select("document_id", "node_id", F.lit(1).alias("own")), ["document_id", "node_id"], "left")
-    found = found.groupBy("document_id").agg(F.countDistinct("cluster").alias("kinds"), F.max("cluster").alias("last"), F.count_if(F.col("own").isNull()).alias("strange"))
-    df = whole.join(found, "document_id", "left")
-    return df.select("document_id", "leaves", (F.col("kinds") == F.col("last") + 1).alias("dense"), "strange")
+    found = found.groupBy("document_id").agg(F.countDistinct("cluster").alias("kinds"), F.max("cluster").alias("last"), F.count_if(F.col("own").isNull()).alias("strange"), F.countDistinct(F.when(F.col("own").isNotNull(), F.col("node_id"))).alias("covered"))
+    total = F.aggregate("probabilities", F.lit(0.0), lambda s, p: s + p)
+    bad = F.exists("probabilities", lambda p: (p < 0) | (p > 1 + 1e-9)) | (F.abs(total - 1) > 1e-6)
+    members = cluster.memberships(leaves).groupBy("document_id").agg(F.count_if(bad).alias("wrong_memberships"), F.count("*").alias("with_memberships"))
+    df = whole.join(found, "document_id", "left").join(members, "document_id", "left")
+    return df.select("document_id", "leaves", "leaf_tokens", "covered", "with_memberships", "wrong_memberships", (F.col("kinds") == F.col("last") + 1).alias("dense"), "strange")
 
 
 # -- reports

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from doctree_spark.jobs.derived import EXAMPLES
+from doctree_spark.jobs.standins import BROKEN, WORDS
 from doctree_spark.operators.chunk import EMPTY
 from doctree_spark.operators.classify import RULES, VERSUS
 from doctree_spark.operators.context import NO_RESULT, REASONS, REFUSAL
@@ -80,6 +81,10 @@ made AS (SELECT w.document_id, w.no, min(w.section_no) AS section_no, string_agg
 chunks AS (SELECT *, {_tokens('text')} AS token_count FROM made)"""
 
 
+#: The same with other tokens and sentences: quarters of lengths, parts between commas.
+CHUNKS_PLUGGED = CHUNKS.replace(_tokens("text"), "CAST((length(text) + 3) // 4 AS INTEGER)").replace(_sentences("text"), f"list_filter(list_transform(string_split(text, ','), lambda s: {_strip('s')}), lambda s: s <> '')")
+
+
 def _embedded(name: str, source: str, key: str) -> str:
     """CTE ``name``: key, place (0-63), v from ``source`` with key and text."""
     return f"""{name}_t AS (SELECT {key}, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS t FROM {source}),
@@ -269,7 +274,7 @@ block AS (SELECT query_id, string_agg({_strip("coalesce(title, '') || '. ' || co
 #: CTE ``prompted``: modes and prompts of the questions in ``g``.
 _PROMPTED = f"""m AS (SELECT *, query_type IN ('broad', 'comparative') OR {_STARTS} AS inferential, {_strip('context')} IN ('', '{NO_RESULT}') AS none FROM g),
 prompted AS (SELECT *, CASE WHEN inferential THEN 'inferential' ELSE 'factual' END AS mode, CASE WHEN inferential THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS temperature,
-  CASE WHEN NOT none THEN 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query END AS prompt, CASE WHEN none THEN '{REFUSAL}' END AS answer FROM m)"""
+  CASE WHEN NOT none THEN 'Passages from the document:' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Answer from them alone: ' || query END AS prompt, CASE WHEN none THEN '{REFUSAL}' END AS answer FROM m)"""
 
 ORACLE_SQL = {
     "document_ids": f"WITH {UPLOADS} SELECT doc_id, document_id FROM uploads",
@@ -298,6 +303,7 @@ SELECT document_id, CASE WHEN half IS NOT NULL AND leaves > 0 THEN half ELSE eve
     "sentence_split": f"WITH s AS (SELECT doc_id, {_sentences('text')} AS l FROM documents) SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS sentence_no, unnest(l) AS sentence FROM s",
     "token_counts": f"SELECT doc_id, {_tokens('text')} AS tokens FROM documents",
     "pack_chunks": f"WITH RECURSIVE {CHUNKS} SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY no) - 1 AS INTEGER) AS chunk_no, section_no, text, token_count FROM chunks WHERE token_count >= 40",
+    "pack_chunks_plugged": f"WITH RECURSIVE {CHUNKS_PLUGGED} SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY no) - 1 AS INTEGER) AS chunk_no, section_no, text, token_count FROM chunks WHERE token_count >= 40",
     "chunk_report": f"""WITH RECURSIVE {CHUNKS}, c AS (SELECT document_id, count(*) FILTER (token_count >= 40) AS chunks, count(*) FILTER (token_count < 40) AS dropped FROM chunks GROUP BY document_id),
 n AS (SELECT document_id, count(*) AS sections FROM sections GROUP BY document_id), o AS (SELECT document_id, count(*) FILTER (t > 100) AS oversize FROM numbered GROUP BY document_id)
 SELECT document_id, CAST(coalesce(sections, 0) AS INTEGER) AS sections, CAST(coalesce(chunks, 0) AS INTEGER) AS chunks, CAST(coalesce(dropped, 0) AS INTEGER) AS dropped, CAST(coalesce(oversize, 0) AS INTEGER) AS oversize FROM sectioned LEFT JOIN n USING (document_id) LEFT JOIN c USING (document_id) LEFT JOIN o USING (document_id)""",
@@ -314,6 +320,10 @@ SELECT document_id, total_nodes, max_depth, level, num_clusters FROM l JOIN t US
     "classify_rules": f"WITH {QUESTIONS} SELECT query_id, {_RULE} AS query_type FROM questions",
     "classify_nearest": f"WITH {QUESTIONS}, {_nearest('questions')} SELECT * FROM nearest",
     "route": f"WITH {CLASSIFIED} SELECT query_id, override, query_type, confidence, coalesce(override, CASE WHEN query_type = 'broad' THEN 'collapsed' ELSE 'traversal' END) AS strategy FROM classified",
+    "classify_model": f"""WITH {QUESTIONS}, {_PREFIXED}, ruled AS (SELECT *, CASE WHEN override IS NULL THEN {_RULE} END AS rule, length(query) AS n FROM prefixed WHERE query <> ''),
+typed AS (SELECT query_id, override, CASE WHEN override IS NOT NULL THEN 'override' WHEN rule IS NOT NULL THEN rule WHEN n % 10 / 10.0 < 0.45 THEN 'specific' ELSE ['broad', 'definitional', 'comparative'][n % 3 + 1] END AS query_type,
+  CASE WHEN override IS NOT NULL OR rule IS NOT NULL THEN 1.0::DOUBLE ELSE (n % 10)::DOUBLE / 10 END AS confidence FROM ruled)
+SELECT query_id, query_type, confidence, coalesce(override, CASE WHEN query_type = 'broad' THEN 'collapsed' ELSE 'traversal' END) AS strategy FROM typed""",
     "decompose_comparative": f"WITH {QUESTIONS}, {_decomposed(f'SELECT query_id, query FROM questions WHERE {_RULE} = $$comparative$$')} SELECT * FROM subs",
     "retrieve_collapsed": f"WITH RECURSIVE {FOREST}, {_TOP} SELECT {_FOUND} FROM found",
     "retrieve_traversal": f"WITH RECURSIVE {FOREST}, {_traversal('found', 'asked', 0.1)} SELECT {_FOUND} FROM found",
@@ -340,6 +350,8 @@ sn AS (SELECT 'd' || (page_id // 4) || '_0' AS query_id, page_id AS pos, regexp_
 SELECT query_id, CASE WHEN b IS NULL THEN context ELSE context || {_HEAD} || b END AS context, b IS NOT NULL AS external FROM assembled LEFT JOIN block USING (query_id)""",
     "answer_prompts": f"""WITH {CLASSIFIED}, g AS (SELECT query_id, query, query_type, CASE WHEN conv_id % 5 = 0 THEN '' WHEN conv_id % 5 = 1 THEN '{NO_RESULT}' ELSE said END AS context FROM classified),
 {_PROMPTED} SELECT query_id, query AS question, query_type, context, mode, temperature, prompt, answer FROM prompted""",
+    "generated_answers": f"""WITH {CLASSIFIED}, g AS (SELECT query_id, query, query_type, CASE WHEN conv_id % 5 = 0 THEN '' ELSE said END AS context FROM classified),
+{_PROMPTED} SELECT query_id, CASE WHEN none THEN answer WHEN length(prompt) % {BROKEN} <> 0 THEN format('{{:.1f}}', temperature::DOUBLE) || ' ' || length(prompt) END AS answer, CASE WHEN NOT none AND length(prompt) % {BROKEN} = 0 THEN 'ValueError: broken' END AS answer_error FROM prompted""",
     "soft_assign": f"""WITH RECURSIVE {FOREST}, w AS (SELECT document_id, node_id, j, (1 + (node_id * (j + 1) * 7) % 11)::DOUBLE AS x FROM leaf CROSS JOIN range(5) AS r(j)),
 p AS (SELECT *, round(x / sum(x) OVER (PARTITION BY document_id, node_id), 6) AS pr FROM w)
 SELECT document_id, node_id, CAST(dense_rank() OVER (PARTITION BY document_id ORDER BY j) - 1 AS INTEGER) AS cluster FROM p WHERE pr > 0.1""",
@@ -347,6 +359,8 @@ SELECT document_id, node_id, CAST(dense_rank() OVER (PARTITION BY document_id OR
     "cluster_context": f"WITH RECURSIVE {FOREST}, {_context(100)} SELECT * FROM contexts",
     "fallback_summary": f"SELECT doc_id, {_shortened('text')} AS summary, substr({_strip("regexp_replace(text, '\\s+', ' ', 'g')")}, 1, 800) || '...' AS plain FROM documents",
     "summarize_clusters": f"WITH RECURSIVE {FOREST}, {_context(3000)} SELECT document_id, cluster, {_shortened('context')} AS summary FROM contexts",
+    "model_summaries": f"""WITH RECURSIVE {FOREST}, {_context(100)} SELECT document_id, cluster, CASE WHEN length(context) % {BROKEN} = 0 THEN {_shortened('context')} ELSE array_to_string(list_slice(list_filter(regexp_split_to_array(context, '\\s+'), lambda w: w <> ''), 1, {WORDS}), ' ') END AS summary,
+  length(context) % {BROKEN} <> 0 AS generated, CASE WHEN length(context) % {BROKEN} = 0 THEN 'ValueError: broken' END AS summary_error FROM contexts""",
     "verdicts": f"""WITH v AS (SELECT item_id, {_strip("CASE item_id % 4 WHEN 0 THEN 'PASS' WHEN 1 THEN 'pass, fine' WHEN 2 THEN 'FAIL: ' || text ELSE text END")} AS v FROM benchmark)
 SELECT item_id, starts_with(upper(v), 'PASS') AS passed, CASE WHEN starts_with(upper(v), 'PASS') THEN NULL WHEN starts_with(upper(v), 'FAIL:') THEN {_strip('substr(v, 6)')} ELSE v END AS claim FROM v""",
     "verify_summaries": f"""WITH RECURSIVE {FOREST}, {_context(100)}, a AS (SELECT *, CASE WHEN length(context) <= 250 THEN 1 ELSE 2 END AS attempt FROM contexts),
@@ -355,8 +369,10 @@ SELECT document_id, cluster, attempt, length(summary) <= 250 AS passed, CASE WHE
     "make_parents": f"""WITH RECURSIVE {FOREST}, {_context(3000)}, s AS (SELECT document_id, cluster, {_shortened('context')} AS text FROM contexts)
 SELECT document_id, n + cluster AS node_id, 1 AS layer, text, (SELECT list(node_id ORDER BY node_id) FROM member m WHERE m.document_id = s.document_id AND m.cluster = s.cluster) AS children, {_tokens('text')} AS token_count FROM s JOIN sizes USING (document_id)""",
     "resume_pending": f"WITH RECURSIVE {FOREST}, {_context(100)} SELECT document_id, cluster, sha256(context) AS context_hash FROM contexts WHERE cluster % 2 <> 0 OR cluster % 6 = 0",
-    "forest_invariants": f"WITH RECURSIVE {CHUNKS} SELECT document_id, count(*) AS leaves, true AS dense, CAST(0 AS BIGINT) AS wrong_edges, true AS rooted FROM chunks WHERE token_count >= 40 GROUP BY document_id",
-    "cluster_invariants": f"WITH RECURSIVE {NODES} SELECT document_id, count(*) AS leaves, true AS dense, CAST(0 AS BIGINT) AS strange FROM leaf GROUP BY document_id",
+    "forest_invariants": f"""WITH RECURSIVE {CHUNKS} SELECT document_id, count(*) AS leaves, CAST(sum(token_count) AS BIGINT) AS leaf_tokens, CAST(sum(length(text)) AS BIGINT) AS leaf_letters, true AS dense, CAST(0 AS BIGINT) AS wrong_tokens, CAST(0 AS BIGINT) AS wrong_edges,
+  CAST(0 AS BIGINT) AS orphans, CAST(0 AS BIGINT) AS wrong_texts, true AS rooted FROM chunks WHERE token_count >= 40 GROUP BY document_id""",
+    "cluster_invariants": f"""WITH RECURSIVE {NODES} SELECT document_id, count(*) AS leaves, CAST(sum(token_count) AS BIGINT) AS leaf_tokens, count(DISTINCT node_id) AS covered, count(*) AS with_memberships, CAST(0 AS BIGINT) AS wrong_memberships,
+  true AS dense, CAST(0 AS BIGINT) AS strange FROM nodes WHERE layer = 0 GROUP BY document_id""",
     "retrieved_by_level": f"""WITH RECURSIVE {FOREST}, {_SMALL} SELECT f.query_id, count(*) OVER (PARTITION BY f.query_id) AS total_retrieved, CAST(dense_rank() OVER (PARTITION BY f.query_id ORDER BY f.layer DESC) - 1 AS INTEGER) AS level_no, f.layer AS level,
   CAST(row_number() OVER (PARTITION BY f.query_id, f.layer ORDER BY rank) - 1 AS INTEGER) AS node_no, CAST(f.node_id AS VARCHAR) AS node_id, score AS similarity, len(children) > 0 AS has_summary FROM found f JOIN nodes n ON n.document_id = f.document_id AND n.node_id = f.node_id""",
     "retrieval_summary": f"WITH RECURSIVE {FOREST}, {_SMALL} SELECT query_id, layer AS level, count(*) AS nodes, CAST(sum(count(*)) OVER (PARTITION BY query_id) AS BIGINT) AS total FROM found GROUP BY query_id, layer",

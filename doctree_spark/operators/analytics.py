@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from doctree_spark.sources.store import append_keyed, with_keys
+
 
 def log_queries(records: DataFrame, path: str) -> None:
-    """Appends query records to the log at ``path``."""
-    records.write.mode("append").parquet(path)
+    """Appends query records to the log at ``path``, in which few ids are found without a scan."""
+    append_keyed(records, path, "query_id")
 
 
 def find_query(log: DataFrame, query_id: str) -> DataFrame:
@@ -16,8 +18,8 @@ def find_query(log: DataFrame, query_id: str) -> DataFrame:
 
 
 def find_queries(log: DataFrame, requests: DataFrame) -> DataFrame:
-    """The log's records of the ``query_id`` in ``requests``."""
-    return log.join(requests.select("query_id").distinct(), "query_id", "left_semi")
+    """The log's records of the ``query_id`` in ``requests``; few are a filter of the scan, more a join."""
+    return with_keys(log, "query_id", requests)
 
 
 def retrieved_by_level(retrieved: DataFrame, nodes: DataFrame) -> DataFrame:

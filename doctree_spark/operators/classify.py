@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,9 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doctree_spark.functions.text import strip
+from doctree_spark.operators.models import Calls, call_model
 
 LEAST_CONFIDENCE = 0.45
 MAX_EXAMPLES = 10_000
+#: Gives a label and a score for each question.
+Classifier = Callable[[list[str]], list[tuple[str, float]]]
 
 # Signals of question types, in the order in which they are tried. The missing bar
 # between the last but two alternatives of "broad" belongs to the rules that results must follow.
@@ -83,16 +89,33 @@ def nearest_example(queries: DataFrame, examples: DataFrame) -> DataFrame:
     return with_nearest(queries, examples).select("query_id", "label", "confidence")
 
 
-def classify(queries: DataFrame, examples: DataFrame, least: float = LEAST_CONFIDENCE) -> DataFrame:
+def with_model(queries: DataFrame, make: Callable[[], Classifier], asked: Column, calls: Calls = Calls()) -> DataFrame:  # noqa: B008
+    """Adds ``label, confidence`` as a model gives them for ``query``, where ``asked`` holds; elsewhere, and where it fails, nulls.
+
+    The model is built once in each task and called in batches (``models``); it takes questions and gives
+    pairs of a label and a score.
+    """
+
+    def packed() -> Callable[[list[str]], list[str]]:
+        model = make()
+        return lambda texts: [None if x is None else json.dumps([str(x[0]), float(x[1])]) for x in model(texts)]
+
+    said = call_model(queries, [F.when(asked, F.col("query"))], "__said", packed, calls)
+    found = F.from_json("__said", "array<string>")
+    return said.withColumn("label", F.get(found, F.lit(0))).withColumn("confidence", F.round(F.get(found, F.lit(1)).cast("double"), 6)).drop("__said", "__said_error", "__said_attempts")
+
+
+def classify(queries: DataFrame, examples: DataFrame | None, least: float = LEAST_CONFIDENCE, make: Callable[[], Classifier] | None = None, calls: Calls = Calls()) -> DataFrame:  # noqa: B008
     """Adds ``query_type, confidence, strategy``, a row for each row.
 
-    An override is its own type. A rule is certain; else the nearest example decides, and below
-    ``least`` the type is specific. Overrides choose the strategy; broad questions are
+    An override is its own type. A rule is certain; else ``make``'s model decides or, without
+    one, the nearest example, and below ``least`` the type is specific. Overrides choose the strategy; broad questions are
     collapsed, all others traversed.
     """
     own = queries.columns
     ruled = queries.withColumn("__rule", F.when(F.col("override").isNull(), rule_type(F.col("query"))))
-    df = with_nearest(ruled, examples, F.col("override").isNull() & F.col("__rule").isNull())
+    open_ = F.col("override").isNull() & F.col("__rule").isNull()
+    df = with_model(ruled, make, open_, calls) if make else with_nearest(ruled, examples, open_)
     label = F.when(F.col("confidence") < least, "specific").otherwise(F.col("label"))
     kind = F.when(F.col("override").isNotNull(), "override").otherwise(F.coalesce("__rule", label, F.lit("specific")))
     certain = F.col("override").isNotNull() | F.col("__rule").isNotNull()

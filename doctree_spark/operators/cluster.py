@@ -1,217 +1,31 @@
 """Soft clusters of a layer's nodes: reduced vectors, Gaussian mixtures, their number by BIC, two passes.
 
-Everything about a group is made from sums over its rows: principal components and, in every
-round of expectation and maximisation, the next mixtures. A group of up to ``LARGE`` rows is
-fitted in one task by numpy. The rows of larger ones stay where they are: each round adds up their
-sums across tasks, for all larger groups and all numbers of clusters at a time, and only the
-sums, of a fixed size, reach the driver. Both ways take the same steps from the same first
-centres, so the size of a group decides where it is fitted, not how.
+A group of up to ``LARGE`` rows is fitted in one task by numpy. The rows of larger ones stay
+where they are, and what moves are sums (``grouped``). Both ways take the same steps from the
+same first centres, so the size of a group decides where it is fitted, not how.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from doctree_spark.operators.grouped import fit_grouped
+from doctree_spark.operators.mixture import MAX_CLUSTERS, Mixture, Sums, best_mixture, reduce
 from doctree_spark.operators.tree import MAX_CLUSTER_TOKENS, PROBABILITY, overflow_clusters
-from doctree_spark.sources.lineage import cut, written
-
-COMPONENTS = 10
-MAX_CLUSTERS = 50
-SEED = 42
-RIDGE = 1e-6
-ITERATIONS = 100
-TOLERANCE = 1e-3
+from doctree_spark.sources.lineage import cut
+
+__all__ = ["MAX_CLUSTERS", "Mixture", "Sums", "best_mixture", "cluster_layer", "reduce", "split_overflow"]
+
 #: Rows that one task fits; larger groups are fitted across tasks.
 LARGE = 5000
-#: Rows of a group among which first centres are drawn, those with the smallest hashes of their ids.
-SEED_ROWS = 1000
-#: Larger groups whose sums the driver holds at a time.
-WAVE = 32
 SPLIT_ROUNDS = 5
 #: Tasks that fit groups, as a multiple of the session's shuffle partitions.
 TASKS = 2
-_ROWS = 1000
-_SCATTER = 2_654_435_761
-
-
-@dataclass
-class Sums:
-    """Rows by cluster: how many, their sum, the sum of their outer products; and their log-likelihood."""
-
-    size: np.ndarray
-    total: np.ndarray
-    outer: np.ndarray
-    likelihood: float = 0.0
-
-    @classmethod
-    def of(cls, x: np.ndarray, member: np.ndarray, likelihood: float = 0.0) -> Sums:
-        outer = np.stack([(x * m[:, None]).T @ x for m in member.T]) if member.shape[1] else np.zeros((0, x.shape[1], x.shape[1]))
-        return cls(member.sum(axis=0), member.T @ x, outer, likelihood)
-
-    def __add__(self, other: Sums) -> Sums:
-        return Sums(self.size + other.size, self.total + other.total, self.outer + other.outer, self.likelihood + other.likelihood)
-
-    def to_bytes(self) -> bytes:
-        return np.concatenate([self.size, self.total.ravel(), self.outer.ravel(), [self.likelihood]]).tobytes()
-
-    @classmethod
-    def from_bytes(cls, data: bytes, k: int) -> Sums:
-        flat = np.frombuffer(data)
-        # k * (1 + d + d * d) + 1 numbers
-        d = int(round((np.sqrt(4 * (len(flat) - 1) / k - 3) - 1) / 2))
-        return cls(flat[:k], flat[k : k + k * d].reshape(k, d), flat[k + k * d : -1].reshape(k, d, d), float(flat[-1]))
-
-
-def axes(sums: Sums, components: int = COMPONENTS) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and principal components, by column, of rows summed as one cluster: min(components, n - 2) of them.
-
-    Fewer than one: the rows stay as they are. A component's largest coordinate is positive.
-    """
-    n, d = int(round(sums.size[0])), sums.total.shape[1]
-    k = min(components, n - 2, d)
-    if k < 1:
-        return np.zeros(d), np.eye(d)
-    mean = sums.total[0] / n
-    _, v = np.linalg.eigh(sums.outer[0] / n - np.outer(mean, mean))
-    v = v[:, ::-1][:, :k]
-    return mean, v * np.where(v[np.abs(v).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)
-
-
-def reduce(x: np.ndarray, components: int = COMPONENTS) -> np.ndarray:
-    """The rows along their principal components (``axes``)."""
-    mean, v = axes(Sums.of(x, np.ones((len(x), 1))), components)
-    return (x - mean) @ v
-
-
-def _hash(ids: np.ndarray | Column) -> np.ndarray | Column:
-    """Scattered order of node ids, in arrays and in columns of long."""
-    return ids * _SCATTER % (1 << 32)
-
-
-def seeds(x: np.ndarray, ids: np.ndarray, most: int, seed: int = SEED) -> np.ndarray:
-    """First centres, the first k of them for k clusters: each next one drawn by its squared distance from those before.
-
-    Of many rows, those with the ``SEED_ROWS`` smallest hashes of their ids are drawn from.
-    """
-    x = x[np.lexsort((ids, _hash(ids.astype(np.int64))))[:SEED_ROWS]]
-    draw = np.random.default_rng(seed)
-    chosen = [int(draw.integers(len(x)))]
-    far = ((x - x[chosen[0]]) ** 2).sum(axis=1)
-    for _ in range(1, most):
-        at = draw.random() * far.sum()
-        chosen.append(int(min(np.searchsorted(np.cumsum(far), at, "right"), len(x) - 1)))
-        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
-    return x[chosen]
-
-
-def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Memberships in the nearest of the centres."""
-    member = np.zeros((len(x), len(centres)))
-    member[np.arange(len(x)), ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)] = 1.0
-    return member
-
-
-@dataclass
-class Mixture:
-    """Full-covariance Gaussians: log weights, means, inverse Cholesky factors, and log densities at the means."""
-
-    weight: np.ndarray
-    mean: np.ndarray
-    inverse: np.ndarray
-    top: np.ndarray
-
-    @classmethod
-    def of(cls, sums: Sums, n: int) -> Mixture:
-        """The mixture that rows so summed make likeliest. Raises LinAlgError where a covariance has no factor."""
-        size, d = sums.size + 1e-10, sums.total.shape[1]
-        mean = sums.total / size[:, None]
-        spread = sums.outer / size[:, None, None] - mean[:, :, None] * mean[:, None, :] * (sums.size / size)[:, None, None] + RIDGE * np.eye(d)
-        lower = np.linalg.cholesky(spread)
-        top = -0.5 * d * np.log(2 * np.pi) - np.log(np.diagonal(lower, axis1=1, axis2=2)).sum(axis=1)
-        return cls(np.log(size / n), mean, np.linalg.inv(lower), top)
-
-    def memberships(self, x: np.ndarray) -> tuple[np.ndarray, float]:
-        """Memberships of rows, and their log-likelihood."""
-        log = np.stack([w + t - 0.5 * (((x - m) @ i.T) ** 2).sum(axis=1) for w, m, i, t in zip(self.weight, self.mean, self.inverse, self.top, strict=True)], axis=1)
-        high = log.max(axis=1, keepdims=True)
-        whole = high[:, 0] + np.log(np.exp(log - high).sum(axis=1))
-        return np.exp(log - whole[:, None]), float(whole.sum())
-
-    def sums(self, x: np.ndarray) -> Sums:
-        """Sums of rows by their memberships, some rows at a time."""
-        out = None
-        for at in range(0, len(x), _ROWS):
-            part = x[at : at + _ROWS]
-            now = Sums.of(part, *self.memberships(part))
-            out = now if out is None else out + now
-        return out
-
-
-class Fit:
-    """The rounds of one mixture, from sums to the next mixture, until the likelihood stays."""
-
-    def __init__(self, first: Sums, n: int) -> None:
-        self.n, self.last, self.rounds, self.done = n, -np.inf, 0, False
-        self.likelihood = -np.inf
-        self._step(first)
-
-    def _step(self, sums: Sums) -> None:
-        try:
-            self.mixture = Mixture.of(sums, self.n)
-        except np.linalg.LinAlgError:
-            self.done, self.likelihood = True, -np.inf
-
-    def add(self, sums: Sums) -> None:
-        """Takes a round's sums under the present mixture."""
-        self.rounds += 1
-        self.likelihood = sums.likelihood
-        now = sums.likelihood / self.n
-        if abs(now - self.last) < TOLERANCE or self.rounds == ITERATIONS:
-            self.done = True
-        else:
-            self.last = now
-            self._step(sums)
-
-
-def bic(likelihood: float, n: int, d: int, k: int) -> float:
-    return -2 * likelihood + (k * d + k * d * (d + 1) / 2 + k - 1) * np.log(n)
-
-
-def best_mixture(x: np.ndarray, ids: np.ndarray | None = None, most: int = MAX_CLUSTERS) -> np.ndarray:
-    """Memberships with the number of clusters of the smallest BIC, the smaller number on ties; failed fits don't count.
-
-    The ridge bounds every density, so numbers whose BIC can't be smaller aren't fitted.
-    """
-    n, d = x.shape
-    most = min(most, n - 1)
-    if most < 1:
-        return np.ones((n, 1))
-    ids = np.arange(n) if ids is None else ids
-    first = seeds(x, ids, most)
-    densest = -0.5 * d * np.log(2 * np.pi * RIDGE) * n
-    best, member = np.inf, np.ones((n, 1))
-    for k in range(1, most + 1):
-        if bic(densest, n, d, k) >= best:
-            break
-        fit = Fit(Sums.of(x, nearest(x, first[:k])), n)
-        while not fit.done:
-            fit.add(fit.mixture.sums(x))
-        value = bic(fit.likelihood, n, d, k)
-        if value < best:
-            best, member = value, fit.mixture.memberships(x)[0]
-    return member
-
-
-def _vectors(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
 def _fit_groups(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
@@ -226,9 +40,7 @@ def _fit_groups(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
 
     large = _large(df, keys)
     out = _spread(df.join(large, list(keys), "left_anti"), keys).groupBy(*keys).applyInPandas(fit, schema)
-    for some in _waves(large):
-        out = out.unionByName(_fit_across(df, some, keys, most))
-    return out
+    return out if large.isEmpty() else out.unionByName(fit_grouped(df.join(large, list(keys), "left_semi"), keys, most))
 
 
 def _spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -245,100 +57,6 @@ def _large(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return cut(df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > LARGE))
 
 
-def _waves(large: DataFrame) -> Iterator[DataFrame]:
-    """The larger groups, ``WAVE`` at a time, with a number ``__g`` each."""
-    some: list = []
-    schema = T.StructType([*large.schema, T.StructField("__g", T.IntegerType())])
-    for row in large.toLocalIterator():
-        some.append((*row, len(some)))
-        if len(some) == WAVE:
-            yield large.sparkSession.createDataFrame(some, schema)
-            some = []
-    if some:
-        yield large.sparkSession.createDataFrame(some, schema)
-
-
-def _summed(rows: DataFrame, held: dict[int, dict[int, object]], sums: object) -> dict[tuple[int, int], Sums]:
-    """Sums of all rows of ``__g, x`` by group and number of clusters: ``sums(held[g][k], x)``, added up across tasks."""
-    schema = "g int, k int, sums binary"
-    arrow = pa.schema([("g", pa.int32()), ("k", pa.int32()), ("sums", pa.binary())])
-    sent = rows.sparkSession.sparkContext.broadcast(held)
-
-    def packed(found: dict[tuple[int, int], Sums]) -> Iterator[pa.RecordBatch]:
-        if found:
-            yield pa.RecordBatch.from_pylist([{"g": g, "k": k, "sums": s.to_bytes()} for (g, k), s in found.items()], schema=arrow)
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, int], Sums] = {}
-        for batch in batches:
-            of = batch.column(0).to_numpy()
-            for g in np.unique(of).tolist():
-                x = _vectors(batch.column(1).filter(pa.array(of == g)))
-                for k, with_what in sent.value.get(g, {}).items():
-                    for at in range(0, len(x), _ROWS):
-                        now = sums(with_what, x[at : at + _ROWS])
-                        found[g, k] = found[g, k] + now if (g, k) in found else now
-        yield from packed(found)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, int], Sums] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                now = Sums.from_bytes(r["sums"], r["k"])
-                found[r["g"], r["k"]] = found[r["g"], r["k"]] + now if (r["g"], r["k"]) in found else now
-        yield from packed(found)
-
-    out = rows.select("__g", "x").mapInArrow(local, schema).repartition("g", "k").mapInArrow(add, schema).collect()
-    sent.unpersist()
-    return {(r["g"], r["k"]): Sums.from_bytes(r["sums"], r["k"]) for r in out}
-
-
-def _fit_across(df: DataFrame, groups: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
-    """``_fit_groups`` for larger groups, a wave of them, all rounds across tasks."""
-    sizes = {r["__g"]: r["__n"] for r in groups.collect()}
-    rows = df.join(F.broadcast(groups.drop("__n")), list(keys)).select("__g", *keys, F.col("node_id").cast("int").alias("node_id"), F.col("embedding").cast("array<double>").alias("x"))
-    whole = _summed(rows, {g: {1: None} for g in sizes}, lambda _, x: Sums.of(x, np.ones((len(x), 1))))
-    turned = rows.sparkSession.sparkContext.broadcast({g: axes(whole[g, 1]) for g in sizes})
-
-    @F.pandas_udf("array<double>")
-    def along(of: pd.Series, x: pd.Series) -> pd.Series:
-        return pd.Series([((np.asarray(v) - turned.value[g][0]) @ turned.value[g][1]).tolist() for g, v in zip(of, x, strict=True)], dtype=object)
-
-    reduced = written(rows.withColumn("x", along("__g", "x")))
-    # the same rows that ``seeds`` would take
-    order = Window.partitionBy("__g").orderBy(_hash(F.col("node_id").cast("long")), "node_id")
-    some = reduced.withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= SEED_ROWS)
-    drawn = some.select("__g", "node_id", "x").toPandas()
-    centres = {g: seeds(np.array(part["x"].tolist()), part["node_id"].to_numpy(), min(most, sizes[g] - 1)) for g, part in drawn.groupby("__g")}
-    first = _summed(reduced, {g: {k: c[:k] for k in range(1, len(c) + 1)} for g, c in centres.items()}, lambda c, x: Sums.of(x, nearest(x, c)))
-    fits = {gk: Fit(s, sizes[gk[0]]) for gk, s in first.items()}
-    while going := {gk: f for gk, f in fits.items() if not f.done}:
-        held: dict[int, dict[int, object]] = {}
-        for (g, k), f in going.items():
-            held.setdefault(g, {})[k] = f.mixture
-        for gk, s in _summed(reduced, held, lambda mixture, x: mixture.sums(x)).items():
-            fits[gk].add(s)
-    best: dict[int, tuple[float, int, Mixture]] = {}
-    for (g, k), f in sorted(fits.items()):
-        value = bic(f.likelihood, sizes[g], f.mixture.mean.shape[1], k) if np.isfinite(f.likelihood) else np.inf
-        if value < best.get(g, (np.inf,))[0]:
-            best[g] = value, k, f.mixture
-    chosen = rows.sparkSession.sparkContext.broadcast({g: b[2] for g, b in best.items()})
-
-    @F.pandas_udf("array<double>")
-    def member(of: pd.Series, x: pd.Series) -> pd.Series:
-        out = [[1.0]] * len(x)
-        for g in of.unique():
-            if g in chosen.value:
-                at = np.flatnonzero((of == g).to_numpy())
-                found, _ = chosen.value[g].memberships(np.array(x.iloc[at].tolist()))
-                for k, m in zip(at.tolist(), found.tolist(), strict=True):
-                    out[k] = m
-        return pd.Series(out, dtype=object)
-
-    return reduced.select(*keys, "node_id", member("__g", "x").alias("probabilities"))
-
-
 def _assigned(members: DataFrame, keys: Sequence[str], out: str, threshold: float) -> DataFrame:
     """``keys, node_id, out``: every cluster above the threshold."""
     df = members.select(*keys, "node_id", F.posexplode("probabilities").alias(out, "__p"))
@@ -381,6 +99,11 @@ def cluster_layer(nodes: DataFrame, key: str = "document_id", threshold: float =
     return cut(out)
 
 
+def memberships(nodes: DataFrame, key: str = "document_id", most: int = MAX_CLUSTERS) -> DataFrame:
+    """``key, node_id, probabilities`` of each ``key``'s ``node_id, embedding`` rows: memberships in the clusters of one pass."""
+    return _fit_groups(nodes.select(key, "node_id", "embedding"), [key], most)
+
+
 def _parts(x: np.ndarray, ids: np.ndarray, threshold: float, most: int) -> list[np.ndarray]:
     """Places of the members of each cluster that has some."""
     member = best_mixture(reduce(x), ids, most) if len(x) > 1 else np.ones((len(x), 1))

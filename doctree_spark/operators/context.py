@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from doctree_spark.functions.text import strip, token_count
+from doctree_spark.functions.plugins import TOKENS, Tokens
+from doctree_spark.functions.text import strip
+from doctree_spark.operators.models import Calls, call_model
 
 SNIPPETS = 3
 # What stands between texts and before snippets, what is said without a context, and
@@ -19,19 +19,22 @@ SNIPPET_HEAD = "\n\n=== Web Search Results ===\n"
 NO_RESULT = "No relevant information found in the document for this query."
 REFUSAL = "The document does not contain information about this topic."
 REASONS = ("why", "how", "what causes", "what role", "what happens", "explain", "describe", "design", "compare", "contrast", "interact")
-Generator = Callable[[list[str]], list[str]]
+#: What a generator is asked where nothing else is given; both fields must be there once.
+PROMPT = "Passages from the document:\n\n{context}\n\nAnswer from them alone: {question}"
+#: Answers (prompt, temperature) pairs.
+Generator = Callable[[list[tuple[str, float]]], list[str]]
 
 
-def assemble_context(retrieved: DataFrame, nodes: DataFrame, max_tokens: int) -> DataFrame:
+def assemble_context(retrieved: DataFrame, nodes: DataFrame, max_tokens: int, tokens: Tokens = TOKENS) -> DataFrame:
     """``query_id, context, tokens, leaves, summaries, dropped``: leaves first, each text that still fits.
 
     Tokens are counted from the texts; a separator costs its tokens except before the first.
     """
     texts = nodes.select("document_id", "node_id", F.col("text").alias("__text"))
-    row = F.struct("layer", "rank", F.col("__text").alias("text"), token_count(F.col("__text")).alias("t"))
-    df = retrieved.select("query_id", "document_id", "node_id", "layer", "rank").join(texts, ["document_id", "node_id"])
-    df = df.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    between = token_count(F.lit(SEPARATOR))
+    row = F.struct("layer", "rank", F.col("__text").alias("text"), F.col("__t").alias("t"))
+    df = retrieved.select("query_id", "document_id", "node_id", "layer", "rank").join(texts, ["document_id", "node_id"]).withColumn("__t", tokens.of(F.col("__text")))
+    df = df.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).withColumn("__between", tokens.of(F.lit(SEPARATOR)))
+    between = F.col("__between")
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("taken"))
 
     def step(a: Column, x: Column) -> Column:
@@ -61,32 +64,30 @@ def append_snippets(contexts: DataFrame, flags: DataFrame, snippets: DataFrame,
     return df.withColumn("context", F.when(more, F.concat("context", F.lit(SNIPPET_HEAD), "__block")).otherwise(F.col("context"))).withColumn("external", more).drop("__block")
 
 
-def prepare_answers(contexts: DataFrame, make: Callable[[], Generator] | None = None, reasons: tuple[str, ...] = REASONS) -> DataFrame:
-    """Adds ``mode, temperature, prompt, answer`` to ``query_id, question, query_type, context``.
+def prepare_answers(contexts: DataFrame, make: Callable[[], Generator] | None = None, reasons: tuple[str, ...] = REASONS, calls: Calls = Calls(), form: str = PROMPT, tokens: Tokens = TOKENS) -> DataFrame:  # noqa: B008
+    """Adds ``mode, temperature, prompt, answer`` to ``query_id, question, query_type, context``, and with a model ``answer_error, answer_attempts``.
 
     Broad and comparative questions, and those that begin like one for reasons, are inferential.
-    Without a context there is a fixed refusal and no prompt. ``make`` builds a model that
-    answers prompts; without it answers other than refusals are null.
+    Without a context there is a fixed refusal and no prompt; else the prompt is ``form`` with
+    both fields filled in. ``make`` builds a model that answers pairs of prompt and temperature,
+    in batches; a prompt at which it fails in all attempts has no answer, and says why. Without
+    a model answers other than refusals are null.
     """
     starts = F.lit(False)
     for r in reasons:
         starts = starts | F.lower("question").startswith(r)
     inferential = F.coalesce(F.col("query_type").isin("broad", "comparative"), F.lit(False)) | starts
     none = strip(F.coalesce("context", F.lit(""))).isin("", NO_RESULT)
-    prompt = F.concat(F.lit("Context:\n"), F.col("context"), F.lit("\n\nQuestion: "), F.col("question"))
     df = contexts.withColumn("mode", F.when(inferential, "inferential").otherwise("factual"))
-    df = df.withColumn("temperature", F.when(inferential, 0.1).otherwise(0.0)).withColumn("prompt", F.when(~none, prompt))
-    answer = F.lit(None).cast("string")
-    if make:
-
-        @F.pandas_udf(T.StringType())
-        def generate(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = make()
-            for s in prompts:
-                asked = s.notna()
-                out = pd.Series([None] * len(s), dtype=object)
-                out[asked] = model(s[asked].tolist())
-                yield out
-
-        answer = generate("prompt")
-    return df.withColumn("answer", F.when(F.col("prompt").isNull(), REFUSAL).otherwise(answer))
+    df = df.withColumn("temperature", F.when(inferential, 0.1).otherwise(0.0)).withColumn("prompt", F.when(~none, _filled(form)))
+    df = call_model(df, ["prompt", "temperature"], "answer", make, calls, tokens.of(F.col("prompt"))) if make else df.withColumn("answer", F.lit(None).cast("string"))
+    return df.withColumn("answer", F.when(F.col("prompt").isNull(), REFUSAL).otherwise(F.col("answer")))
+
+
+def _filled(form: str) -> Column:
+    head, tail = form.split("{context}")
+    if "{question}" in head:
+        before, between = head.split("{question}")
+        return F.concat(F.lit(before), "question", F.lit(between), "context", F.lit(tail))
+    between, after = tail.split("{question}")
+    return F.concat(F.lit(head), "context", F.lit(between), "question", F.lit(after))

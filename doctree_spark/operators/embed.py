@@ -7,7 +7,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,14 +64,23 @@ def hash_embedder() -> Embedder:
     return embed
 
 
-def embed(df: DataFrame, text_col: str, out_col: str = "embedding", make: Callable[[], Embedder] = hash_embedder, batch: int = BATCH) -> DataFrame:
-    """Adds ``out_col`` (array<double>). ``make`` builds the model once in each worker; null texts count as empty."""
+def embed(df: DataFrame, text_col: str, out_col: str = "embedding", make: Callable[[], Embedder] = hash_embedder, batch: int = BATCH, deal: bool = False) -> DataFrame:
+    """Adds ``out_col`` (array<double>). ``make`` builds the model once in each worker; null texts count as empty.
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    The model gets ``batch`` texts at a time, and what it gives is handed on before the next
+    batches are asked for. With ``deal``, rows go to all of the session's shuffle partitions
+    first: for inputs of few files and models that cost more than moving a text.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make()
         for s in texts:
-            values = s.tolist()
-            yield pd.Series([list(map(float, v)) for k in range(0, len(values), batch) for v in model(values[k : k + batch])], dtype=object)
+            values = s.to_pylist()
+            vectors = [np.asarray(v, float) for k in range(0, len(values), batch) for v in model(values[k : k + batch])]
+            ends = np.concatenate([[0], np.cumsum([len(v) for v in vectors])]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(vectors) if vectors else np.zeros(0)))
 
+    if deal:
+        df = df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism))
     return df.withColumn(out_col, run(F.coalesce(F.col(text_col), F.lit(""))))

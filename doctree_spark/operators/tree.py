@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from doctree_spark.functions.text import shortened, strip, token_count, truncated
+from doctree_spark.functions.plugins import TOKENS, Tokens
+from doctree_spark.functions.text import shortened, strip, truncated
+from doctree_spark.operators.models import Calls, call_model
 from doctree_spark.sources.lineage import cut
 
 PROBABILITY = 0.1
@@ -62,14 +62,15 @@ def overflow_clusters(members: DataFrame, max_tokens: int = MAX_CLUSTER_TOKENS)
     return df.filter((F.col("tokens") > max_tokens) & (F.col("members") > 1))
 
 
-def cluster_context(members: DataFrame, max_tokens: int = MAX_CONTEXT_TOKENS) -> DataFrame:
+def cluster_context(members: DataFrame, max_tokens: int = MAX_CONTEXT_TOKENS, tokens: Tokens = TOKENS) -> DataFrame:
     """``document_id, cluster, context``: members' texts in order while they fit.
 
     The first that doesn't is cut to as many whole words as fit, and is the last. A limit of 0
-    or less is none. Separators cost nothing. Tokens never span words, so the tokens of the
-    first words are the sum of theirs.
+    or less is none. Separators cost nothing. The first words of a text cost the sum of what
+    each costs alone, whatever ``tokens`` counts.
     """
-    row = F.struct("node_id", "text", token_count(F.col("text")).alias("t"))
+    row = F.struct("node_id", "text", F.col("__t").alias("t"))
+    members = members.select("document_id", "cluster", "node_id", "text", tokens.of(F.col("text")).alias("__t"))
     df = members.groupBy("document_id", "cluster").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     if max_tokens <= 0:
         return df.select("document_id", "cluster", F.array_join(F.transform("rows", lambda r: r.text), "\n\n").alias("context"))
@@ -82,7 +83,8 @@ def cluster_context(members: DataFrame, max_tokens: int = MAX_CONTEXT_TOKENS) ->
     df = df.withColumn("f", F.aggregate("rows", start, step))
     words = F.filter(F.split(F.coalesce(F.get("rows", F.col("f.whole")).text, F.lit("")), r"\s+"), lambda w: w != "")
     df = df.withColumn("words", F.when(F.col("f.full"), words).otherwise(F.array().cast("array<string>")))
-    sums = F.aggregate("words", F.struct(F.col("f.used").alias("used"), F.lit(0).alias("n"), F.lit(True).alias("on")), _count_words(max_tokens), lambda a: a.n)
+    df = df.withColumn("costs", tokens.each(F.col("words")))
+    sums = F.aggregate("costs", F.struct(F.col("f.used").alias("used"), F.lit(0).alias("n"), F.lit(True).alias("on")), _count_words(max_tokens), lambda a: a.n)
     df = df.withColumn("n", sums)
     cut_off = F.when(F.col("n") > 0, F.array(F.array_join(F.slice("words", F.lit(1), F.col("n")), " "))).otherwise(F.array().cast("array<string>"))
     texts = F.concat(F.transform(F.slice("rows", F.lit(1), F.col("f.whole")), lambda r: r.text), cut_off)
@@ -90,8 +92,8 @@ def cluster_context(members: DataFrame, max_tokens: int = MAX_CONTEXT_TOKENS) ->
 
 
 def _count_words(max_tokens: int) -> Callable[[Column, Column], Column]:
-    def step(a: Column, w: Column) -> Column:
-        used = a.used + token_count(w)
+    def step(a: Column, cost: Column) -> Column:
+        used = a.used + cost
         on = a.on & (used <= max_tokens)
         return F.struct(used.alias("used"), (a.n + on.cast("int")).alias("n"), on.alias("on"))
 
@@ -104,40 +106,20 @@ def fallback_summary(df: DataFrame, text_col: str, out_col: str = "summary", mos
     return df.withColumn(out_col, shortened(text, most) if sentence else truncated(text, most))
 
 
-def summarize_clusters(contexts: DataFrame, make: Callable[[], Summarizer] | None = None, retries: int = 1, parallel: int | None = None, sentence: bool = True) -> DataFrame:
-    """Adds ``summary``: the model's, or an extractive one where it fails or says nothing ``retries`` times, and ``generated``, whether it is the model's.
+def summarize_clusters(contexts: DataFrame, make: Callable[[], Summarizer] | None = None, calls: Calls = Calls(), sentence: bool = True, tokens: Tokens = TOKENS) -> DataFrame:  # noqa: B008
+    """Adds ``summary``, ``generated``, whether it is the model's, and ``summary_error``, ``summary_attempts`` (``call_model``).
 
-    ``make`` builds the model once in each worker; ``parallel`` is how many tasks call it at a
-    time. The result is kept, so that nothing calls the model twice. What stands in for a model
-    that fails is cut behind a sentence or, without ``sentence``, plain first characters;
-    without any model it is cut behind a sentence.
+    Where the model fails at a context or says nothing in all attempts, an extractive summary
+    stands in: cut behind a sentence or, without ``sentence``, plain first characters; without
+    any model it is cut behind a sentence. The result is kept, so that nothing calls the model twice.
     """
     if make is None:
-        return fallback_summary(contexts, "context").withColumn("generated", F.lit(False))
-
-    @F.pandas_udf(T.StringType())
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = make()
-        for s in texts:
-            yield pd.Series([_tried(model, t, retries) for t in s], dtype=object)
-
-    df = contexts.repartition(parallel) if parallel else contexts
+        return fallback_summary(contexts, "context").withColumns({"generated": F.lit(False), "summary_error": F.lit(None).cast("string"), "summary_attempts": F.lit(0)})
     plain = shortened(F.col("context")) if sentence else truncated(F.col("context"))
-    df = cut(df.withColumn("summary", run("context")))
+    df = cut(call_model(contexts, ["context"], "summary", make, calls, tokens.of(F.col("context"))))
     return df.withColumn("generated", F.col("summary").isNotNull()).withColumn("summary", F.coalesce("summary", plain))
 
 
-def _tried(model: Summarizer, text: str, retries: int) -> str | None:
-    for _ in range(max(1, retries)):
-        try:
-            said = (model([text])[0] or "").strip()
-        except Exception:  # a model may fail in any way; the extractive summary stands in
-            continue
-        if said:
-            return said
-    return None
-
-
 def verdicts(df: DataFrame, verdict_col: str = "verdict") -> DataFrame:
     """Adds ``passed, claim``: PASS in any case passes; FAIL: x claims x; else all of it is the claim. Null (an error) passes."""
     v = strip(F.col(verdict_col))
@@ -163,36 +145,27 @@ def verify_summaries(contexts: DataFrame, summarize: Callable[[DataFrame, int],
     return done, done.groupBy("document_id").agg(F.count_if(~F.col("passed")).alias("failures"))
 
 
-def judged(make: Callable[[], Verifier]) -> Callable[[DataFrame], DataFrame]:
-    """A step that adds ``verdict`` to rows with ``context, summary, generated``; ``make`` builds the model once in each worker.
+def judged(make: Callable[[], Verifier], calls: Calls = Calls(), tokens: Tokens = TOKENS) -> Callable[[DataFrame], DataFrame]:  # noqa: B008
+    """A step that adds ``verdict`` to rows with ``context, summary, generated``, in batches (``call_model``).
 
-    Extractive summaries aren't judged; a model that fails leaves a null verdict.
+    Extractive summaries aren't judged; where the model fails, the verdict is null.
     """
 
-    @F.pandas_udf(T.StringType())
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = make()
-        for contexts, summaries in parts:
-            yield pd.Series([None if s is None else _verdict(model, c, s) for c, s in zip(contexts, summaries, strict=True)], dtype=object)
+    def step(df: DataFrame) -> DataFrame:
+        judged = call_model(df, ["context", F.when(F.col("generated"), F.col("summary"))], "verdict", make, calls, tokens.of(F.col("context")) + tokens.of(F.col("summary")))
+        return judged.drop("verdict_error", "verdict_attempts")
 
-    return lambda df: df.withColumn("verdict", run("context", F.when(F.col("generated"), F.col("summary"))))
-
-
-def _verdict(model: Verifier, context: str, summary: str) -> str | None:
-    try:
-        return model([(context, summary)])[0]
-    except Exception:  # a model may fail in any way; then the summary passes
-        return None
+    return step
 
 
-def make_parents(clusters: DataFrame, next_ids: DataFrame) -> DataFrame:
+def make_parents(clusters: DataFrame, next_ids: DataFrame, tokens: Tokens = TOKENS) -> DataFrame:
     """Parents of ``document_id, cluster, node_id, layer`` rows with ``summary`` (one a cluster): ids follow ``next_id`` in cluster order.
 
     ``next_ids`` has ``document_id, next_id``. No embedding yet.
     """
     df = clusters.groupBy("document_id", "cluster").agg(F.array_sort(F.collect_list("node_id")).alias("children"), F.max("layer").alias("layer"), F.min("summary").alias("text"))
     df = df.join(next_ids, "document_id")
-    return df.select("document_id", (F.col("next_id") + F.col("cluster")).cast("int").alias("node_id"), (F.col("layer") + 1).alias("layer"), "text", "children", token_count(F.col("text")).alias("token_count"))
+    return df.select("document_id", (F.col("next_id") + F.col("cluster")).cast("int").alias("node_id"), (F.col("layer") + 1).alias("layer"), "text", "children", tokens.of(F.col("text")).alias("token_count"))
 
 
 def resume_pending(contexts: DataFrame, checkpoint: DataFrame, key: list[str]) -> DataFrame:

@@ -30,6 +30,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_in_buckets(df: DataFrame, by: list[str], buckets: int) -> DataFrame:
+    """``written``, as a table in buckets: joins on ``by`` meet its rows without moving them."""
+    path = shared_dir(df.sparkSession)
+    name = f"kept_{path.rsplit('/', 1)[-1]}"
+    df.repartition(buckets, *by).write.format("parquet").bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and checkpointed in the shared folder."""
     sc = df.sparkSession.sparkContext

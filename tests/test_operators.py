@@ -1,11 +1,20 @@
 """Reference operators on small hand-written cases, mostly at their limits."""
 
+import hashlib
+import json
+import time
+import uuid
+from pathlib import Path
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from doctree_spark.functions import plugins
 from doctree_spark.functions.text import sentences, shortened, token_count
-from doctree_spark.operators import analytics, ask, build, chunk, classify, cluster, context, embed, ingest, library, retrieve, tree
+from doctree_spark.operators import analytics, ask, build, chunk, classify, cluster, context, embed, grouped, ingest, library, mixture, retrieve, tree
+from doctree_spark.operators.models import Calls, call_model
 from doctree_spark.sources import store
 
 NODES = "document_id string, node_id int, layer int, text string, embedding array<double>, children array<int>, token_count int"
@@ -29,6 +38,58 @@ def test_text_functions(spark):
     assert got == ["x" * 790 + "...", "x" * 800 + "...", "x" * 799 + "."[:0] + "." + "...", "No content to summarize.", "a b"]
 
 
+def test_plugged_tokens_and_sentences(spark):
+    """The public byte-pair vocabulary as counter, through chunks, contexts and assembly, against a plain walk."""
+    public, library = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
+    path = public.path("word_bpe_49k.json")
+
+    def make():
+        known = library.Tokenizer.from_file(path)
+        return lambda texts: [len(e.ids) for e in known.encode_batch(texts, add_special_tokens=False)]
+
+    count, tokens = make(), plugins.counting(make)
+    draw = np.random.default_rng(5)
+    texts = ["".join(f"{' '.join(draw.choice(['internationalisation', 'of', 'x', 'Zürich', 'abcdefghij'], draw.integers(1, 30)))}. " for _ in range(40)), "one sentence only", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "document_id int, text string")
+    got = [(r.document_id, r.text, r.token_count) for r in chunk.chunk_documents(df, 60, 5, tokens=tokens).orderBy("document_id", "chunk_no").collect()]
+    want = []
+    for k, text in enumerate(texts):
+        chunks, used = [], None
+        for s in [x.strip() for x in (text or "").replace(". ", ".\0").split("\0") if x.strip()]:
+            n = count([s])[0]
+            if n > 60 or used is None or used + n > 60:
+                chunks.append([s])
+            else:
+                chunks[-1].append(s)
+            used = None if n > 60 else n if len(chunks[-1]) == 1 else used + n
+        want += [(k, t, n) for c in chunks if (n := count([t := " ".join(c)])[0]) >= 5]
+    assert got == want and len(want) > 5
+    rows = spark.createDataFrame([("d", 0, 1, "internationalisation of x"), ("d", 0, 2, "abcdefghij abcdefghij x")], "document_id string, cluster int, node_id int, text string")
+    each = count(["internationalisation of x", "abcdefghij"])
+    assert tree.cluster_context(rows, each[0] + each[1], tokens).head().context == "internationalisation of x\n\nabcdefghij"
+    halves = plugins.splitting(lambda: lambda ts: [t.split(";") for t in ts])
+    assert chunked(spark, "a b ; ;c", chunk_tokens=2, least_tokens=1, split=halves) == [(0, 0, 2), (1, 0, 1)]
+    odd = spark.createDataFrame([(None, None), ("x", ["a", "b c"]), ("y", [])], "t string, l array<string>")
+    assert [(r.a, r.b, r.c) for r in odd.select(tokens.of(F.col("t")).alias("a"), tokens.each(F.col("l")).alias("b"), halves.each(F.col("l")).alias("c")).collect()] == [(None, None, None), (1, [1, 2], [["a"], ["b c"]]), (1, [], [])]
+
+
+def test_model_classifier(spark):
+    asked = spark.createDataFrame([("a", "collapsed", "x"), ("b", None, "why x"), ("c", None, "sure"), ("d", None, "unsure"), ("e", None, "breaks")], "query_id string, override string, query string")
+    seen = ("sure", "unsure", "breaks")
+
+    def make():
+        def run(texts):
+            assert set(texts) <= set(seen)
+            if "breaks" in texts:
+                raise ValueError
+            return [("broad", 0.45 if t == "sure" else 0.449) for t in texts]
+
+        return run
+
+    rows = {r.query_id: (r.query_type, r.confidence, r.strategy) for r in classify.classify(asked, None, make=make, calls=Calls(items=1)).collect()}
+    assert rows == {"a": ("override", 1.0, "collapsed"), "b": ("specific", 1.0, "traversal"), "c": ("broad", 0.45, "collapsed"), "d": ("specific", 0.449, "traversal"), "e": ("specific", None, "traversal")}
+
+
 def test_chunks_at_their_limits(spark):
     # 99 words and a full stop are exactly 100 tokens
     full = words(99) + "."
@@ -173,10 +234,117 @@ def test_failing_summarizer_falls_back(spark):
         return run
 
     df = spark.createDataFrame([("d", 0, "some text")], "document_id string, cluster int, context string")
-    assert tree.summarize_clusters(df, broken, 2).head().summary == "some text"
+    r = tree.summarize_clusters(df, broken, Calls(attempts=2)).head()
+    assert (r.summary, r.generated, r.summary_error, r.summary_attempts) == ("some text", False, "RuntimeError: ", 2)
     assert tree.summarize_clusters(df, lambda: lambda ts: [" said "]).head().summary == "said"
 
 
+def counting_model(log, seconds=0.0):
+    """A model that writes a file a call: how many items, when it began and ended. Words say what it does with them."""
+
+    def make():
+        seen = set()
+
+        def run(items):
+            began = time.time()
+            time.sleep(seconds)
+            with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+                json.dump([len(items), began, time.time(), sorted(items)], f)
+            if any("breaks" in t for t in items):
+                raise ValueError("broken call")
+            again = [t for t in items if "later" in t and t not in seen]
+            seen.update(items)
+            return ["" if t in again or "never" in t else t.upper() for t in items]
+
+        return run
+
+    return make
+
+
+def calls_in(log):
+    return [json.loads(x.read_text()) for x in log.iterdir()]
+
+
+def asked_rows(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "id int, context string").withColumns({"said": F.lit(1), "__x": F.lit("x")})
+
+
+def test_calls_are_batched(spark, tmp_path):
+    n = 103
+    df = asked_rows(spark, [f"t{k}" for k in range(n)])
+    rows = call_model(df, ["context"], "said", counting_model(tmp_path), Calls(items=10, parallel=1)).collect()
+    assert {(r.id, r.said, r.said_error, r.said_attempts, r["__x"]) for r in rows} == {(k, f"T{k}", None, 1, "x") for k in range(n)}
+    assert sorted(c[0] for c in calls_in(tmp_path)) == [3] + [10] * 10
+
+
+def test_batches_run_over_arrow_batches(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        call_model(asked_rows(spark, ["t"] * 100), ["context"], "said", counting_model(tmp_path), Calls(items=16, parallel=1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(c[0] for c in calls_in(tmp_path)) == [4] + [16] * 6
+
+
+def test_batches_by_tokens(spark, tmp_path):
+    texts = ["a " * n for n in (3, 3, 3, 20, 1, 1, 9, 10, 2)]
+    call_model(asked_rows(spark, texts).coalesce(1), ["context"], "said", counting_model(tmp_path), Calls(items=3, tokens=10), token_count(F.col("context"))).collect()
+    assert sorted(len(" ".join(c[3]).split()) for c in calls_in(tmp_path)) == sorted([9, 20, 2, 9, 10, 2])
+
+
+@pytest.mark.parametrize("parallel, threads", [(2, 1), (4, 4), (3, 2)])
+def test_calls_at_a_time_are_bounded(spark, tmp_path, parallel, threads):
+    call_model(asked_rows(spark, [f"t{k}" for k in range(64)]).repartition(8), ["context"], "said", counting_model(tmp_path, 0.05), Calls(items=4, parallel=parallel, threads=threads)).collect()
+    spans = [c[1:3] for c in calls_in(tmp_path)]
+    assert len(spans) <= 16 + parallel
+    most = max(sum(a <= t < b for a, b in spans) for t, _ in spans)
+    assert most <= parallel and (threads == 1 or most > 1)
+
+
+def test_only_failed_items_are_tried_again(spark, tmp_path):
+    texts = [f"t{k}" for k in range(20)] + ["later", "never", None]
+    df = asked_rows(spark, texts)
+    rows = {r.context: (r.said, r.said_error, r.said_attempts) for r in call_model(df, ["context"], "said", counting_model(tmp_path), Calls(items=30, attempts=3, delay=0.2, parallel=1)).collect()}
+    assert rows["t3"] == ("T3", None, 1) and rows["later"] == ("LATER", None, 2) and rows["never"] == (None, "no answer", 3) and rows[None] == (None, None, 0)
+    found = sorted(calls_in(tmp_path), key=lambda c: c[1])
+    assert [c[0] for c in found] == [22, 2, 1]
+    first, second = (found[k + 1][1] - found[k][2] for k in (0, 1))
+    assert first >= 0.2 and second >= 0.4
+
+
+def test_a_breaking_item_takes_none_with_it(spark, tmp_path):
+    df = asked_rows(spark, [f"t{k}" for k in range(15)] + ["breaks"])
+    rows = {r.context: (r.said, r.said_error, r.said_attempts) for r in call_model(df, ["context"], "said", counting_model(tmp_path), Calls(items=16, attempts=3, parallel=1)).collect()}
+    assert rows.pop("breaks") == (None, "ValueError: broken call", 3)
+    assert all(said == t.upper() and error is None for t, (said, error, _) in rows.items())
+    short = call_model(df, ["context"], "said", lambda: lambda ts: ts[1:], Calls(items=16)).head()
+    assert short.said is None and "answers to" in short.said_error
+    assert call_model(df.limit(0), ["context"], "said", counting_model(tmp_path)).count() == 0
+
+    def lost():
+        def run(items):
+            raise ConnectionError("gone")
+
+        return run
+
+    with pytest.raises(Exception, match="gone"):
+        call_model(df, ["context"], "said", lost, Calls(fatal=(ConnectionError,))).collect()
+
+
+def test_a_generator_that_fails_loses_its_row_only(spark):
+    def make():
+        def run(pairs):
+            if any("poison" in p for p, _ in pairs):
+                raise RuntimeError("no")
+            return [f"{t}" for _, t in pairs]
+
+        return run
+
+    df = spark.createDataFrame([(str(k), "why" if k % 2 else "x", "specific", "poison" if k == 3 else f"c{k}") for k in range(8)], "query_id string, question string, query_type string, context string")
+    rows = {r.query_id: (r.answer, r.answer_error) for r in context.prepare_answers(df, make, calls=Calls(attempts=2), form="{question}? {context}").collect()}
+    assert rows == {str(k): (None, "RuntimeError: no") if k == 3 else ("0.1" if k % 2 else "0.0", None) for k in range(8)}
+
+
 def test_mixture_finds_planted_clusters():
     draw = np.random.default_rng(0)
     x = np.concatenate([draw.normal(c, 0.1, (40, 3)) for c in ((0, 0, 0), (5, 0, 0), (0, 5, 0))])
@@ -224,13 +392,40 @@ def test_groups_of_any_size_are_fitted_alike(spark, monkeypatch):
     nodes = spark.createDataFrame(rows, "document_id string, node_id int, embedding array<double>").repartition(3)
     in_tasks = sorted(map(tuple, cluster.cluster_layer(nodes, most=6).collect()))
     monkeypatch.setattr(cluster, "LARGE", 60)
-    monkeypatch.setattr(cluster, "WAVE", 3)
+    monkeypatch.setattr(grouped, "BLOCK_ROWS", 25)
+    monkeypatch.setattr(grouped, "PART_BLOCKS", 2)
     assert sorted(map(tuple, cluster.cluster_layer(nodes, most=6).collect())) == in_tasks
-    ids = spark.range(0, 2**31 - 1, 99_999_989).withColumn("h", cluster._hash(F.col("id"))).toPandas()
-    assert (cluster._hash(ids["id"].to_numpy()) == ids["h"]).all()
+    ids = spark.range(0, 2**31 - 1, 99_999_989).withColumn("h", mixture.scattered(F.col("id"))).toPandas()
+    assert (mixture.scattered(ids["id"].to_numpy()) == ids["h"]).all()
     assert {d: len({c for e, c, _ in in_tasks if e == d}) for d in ("one", "low", "same", "single")} == {"one": 1, "low": 2, "same": 1, "single": 1}
 
 
+def test_many_large_groups_take_as_many_jobs_as_one(spark, monkeypatch):
+    """Rounds are jobs, groups aren't."""
+    draw = np.random.default_rng(2)
+    tracker, right, rounds = spark.sparkContext.statusTracker(), grouped._stepped, []
+
+    def counted(*args):
+        rounds.append(1)
+        return right(*args)
+
+    monkeypatch.setattr(grouped, "_stepped", counted)
+
+    def jobs(groups):
+        rounds.clear()
+        rows = [(f"g{g}", n, [float(x) for x in v]) for g in range(groups) for n, v in enumerate(draw.normal(size=(30, 2)))]
+        nodes = spark.createDataFrame(rows, "document_id string, node_id int, embedding array<double>")
+        spark.sparkContext.setJobGroup(f"of {groups}", "")
+        out = grouped.fit_grouped(nodes, ["document_id"], 2)
+        assert out.count() == len(rows)
+        spark.sparkContext.setJobGroup("others", "")
+        return len(tracker.getJobIdsForGroup(f"of {groups}")), len(rounds)
+
+    one, many = jobs(1), jobs(12)
+    # what comes before the rounds, and each round, take the same jobs
+    assert many[0] <= one[0] + (many[1] - one[1]) * one[0] / one[1] + 3, (one, many)
+
+
 def forest_chunks(spark, n=12):
     draw = np.random.default_rng(3)
     kinds = [[f"t{k}w{j}" for j in range(12)] for k in range(6)]
@@ -298,6 +493,28 @@ def test_a_build_that_died_is_resumed(spark, tmp_path, monkeypatch):
     assert not (tmp_path / "kept").exists()
 
 
+def test_summaries_are_kept_by_slices(spark, tmp_path):
+    """A model that is lost half way: what earlier slices made is there, and isn't asked for again."""
+    chunks, log = forest_chunks(spark, 24), tmp_path / "log"
+    log.mkdir()
+
+    def make(log=str(log), most=2):
+        def run(texts):
+            if len(list(Path(log).iterdir())) >= most:
+                raise ConnectionError("gone")
+            Path(log, uuid.uuid4().hex).write_text("".join(texts))
+            return [" ".join(t.split()[:40]) for t in texts]
+
+        return run
+
+    how = {"most_clusters": 5, "calls": Calls(items=1, fatal=(ConnectionError,)), "slice_items": 1, "kept": f"{tmp_path}/kept"}
+    with pytest.raises(Exception, match="gone"):
+        build.build_forest(chunks, make_summarizer=make, **how)
+    assert spark.read.parquet(f"{tmp_path}/kept").count() == 2
+    nodes, _ = build.build_forest(chunks, make_summarizer=lambda: make(most=10**6), **how)
+    assert len(list(log.iterdir())) == nodes.filter("layer > 0").count()
+
+
 def test_scores_by_blocks_equal_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "BLOCK_NODES", 7)
     monkeypatch.setattr(retrieve, "SALT_QUERIES", 3)
@@ -329,7 +546,7 @@ def test_questions_end_to_end(spark):
     examples = embed.embed(spark.createDataFrame([(0, "which one", "specific")], "example_id int, text string, label string"), "text")
     asked = spark.createDataFrame([("a", "d", "red apples vs blue boats"), ("b", "d", "collapsed: green hills"), ("c", "d", "zebra"), ("e", "other", "red"), ("f", "d", "  ")], "query_id string, document_id string, query string")
     snippets = spark.createDataFrame([("a", 1, "T", "B", "H"), ("c", 1, "T", "B", "H")], "query_id string, pos long, title string, body string, href string")
-    answers, found = ask.ask(asked, examples, nodes, trees, snippets, k=1, relevance=0.2, layer_score=0.1, insufficient=0.9, make_generator=lambda: lambda ps: [p.upper() for p in ps])
+    answers, found = ask.ask(asked, examples, nodes, trees, snippets, k=1, relevance=0.2, layer_score=0.1, insufficient=0.9, make_generator=lambda: lambda ps: [p.upper() for p, _ in ps])
     rows = {r.query_id: r for r in answers.collect()}
     got = {q: [r.node_id for r in found.orderBy("rank").collect() if r.query_id == q] for q in rows}
     assert got == {"a": [0, 1], "b": got["b"], "c": [], "e": []} and got["b"][0] == 2 and set(got["b"]) == {0, 1, 2}
@@ -385,6 +602,90 @@ def test_tree_files(spark, small, tmp_path):
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, nodes.select(columns).collect()))
 
 
+def test_large_trees_go_in_parts(spark, tmp_path):
+    """No row above its part's nodes, the parts of a document are its JSON, and files are fewer than documents."""
+    texts = F.concat(F.lit('said "}}" and ,"nodes":{ '), F.col("id").cast("string"), F.lit(" \\ \n{ü"))
+    nodes = spark.range(30_000).select(F.lit("big").alias("document_id"), F.col("id").cast("int").alias("node_id"), F.lit(0).alias("layer"), texts.alias("text"), F.array(F.lit(0.0)).alias("embedding"), F.array().cast("array<int>").alias("children"), F.lit(3).alias("token_count"))
+    small = spark.range(300).select(F.concat(F.lit("s"), "id").alias("document_id"), F.lit(0).alias("node_id"), F.lit(0).alias("layer"), F.lit("}}}").alias("text"), F.array(F.lit(0.0)).alias("embedding"), F.array(F.lit(1)).alias("children"), F.lit(None).cast("int").alias("token_count"))
+    nodes = nodes.unionByName(small)
+    trees = nodes.select("document_id").distinct().union(spark.createDataFrame([("bare",)], "document_id string")).select("document_id", F.array(F.lit(0)).alias("root_ids"), F.lit(1).alias("num_layers"), F.lit('m",').alias("embed_model"), F.lit(None).cast("string").alias("source"))
+    store.write_tree_json(nodes, trees, f"{tmp_path}/t")
+    parts = spark.read.json(f"{tmp_path}/t").collect()
+    assert max(len(r.json) for r in parts) < 200 * store.PART_NODES and len(list((tmp_path / "t").iterdir())) < 50
+    whole = json.loads("".join(r.json for r in sorted((r for r in parts if r.document_id == "big"), key=lambda r: r.part)))
+    assert len(whole["nodes"]) == 30_000 and whole["embed_model"] == 'm",' and whole["source_pdf"] is None and whole["nodes"]["29999"]["text"].startswith('said "}}"')
+    assert json.loads(next(r.json for r in parts if r.document_id == "bare"))["nodes"] == {}
+    columns = ["document_id", "node_id", "layer", "text", "children", "token_count"]
+    got = store.read_tree_json(spark, f"{tmp_path}/t").select(columns)
+    assert got.exceptAll(nodes.select(columns)).isEmpty() and got.count() == nodes.count()
+    spaced = json.dumps({"nodes": whole["nodes"] and {"7": whole["nodes"]["7"]}, "num_layers": 1, "root_ids": [7]}, indent=1)
+    assert [r.node_id for r in store.parse_tree_json(spark.createDataFrame([("x", spaced)], "document_id string, json string")).collect()] == [7]
+
+
+def scans_below_joins(plan):
+    """For each scan of a table in buckets, what stands between it and the join above it."""
+    lines, found = plan.splitlines(), []
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+    for k, line in enumerate(lines):
+        if "Scan parquet" in line and "nodes_" in line:
+            above, at = [], depth(line)
+            for other in reversed(lines[:k]):
+                if depth(other) < at:
+                    at = depth(other)
+                    above.append(other)
+                    if "Join" in other:
+                        break
+            found.append(above)
+    return found
+
+
+def test_nodes_in_buckets_are_not_shuffled(spark, small, tmp_path, monkeypatch):
+    """Traversal, texts, vectors and distances meet the nodes where they lie; large documents are in all buckets."""
+    nodes, trees = small
+    big = spark.range(400).select(F.lit("d").alias("document_id"), (F.col("id") + 100).cast("int").alias("node_id"), F.lit(0).alias("layer"), F.lit("t").alias("text"), F.array(F.lit(0.0), F.lit(1.0)).alias("embedding"), F.array().cast("array<int>").alias("children"), F.lit(1).alias("token_count"))
+    store.save_forest(nodes.unionByName(big), trees, f"{tmp_path}/f", rows=50)
+    files = list((tmp_path / "f" / "nodes").rglob("*.parquet"))
+    assert [p.name for p in (tmp_path / "f" / "nodes").iterdir()] == ["buckets=9"] and len(files) == 9
+    loaded, _ = store.load_forest(spark, f"{tmp_path}/f")
+    plans, right = [], retrieve.cut
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return right(df)
+
+    monkeypatch.setattr(retrieve, "cut", cut)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = spark.createDataFrame([("q", "d", [1.0, 0.0])], "query_id string, document_id string, embedding array<double>")
+        found = retrieve.retrieve_traversal(asked, loaded, trees, 2, layer_score=-1.0)
+        rest = [retrieve.dedupe_similar(found, loaded), retrieve.insufficiency(found, asked, loaded), context.assemble_context(found, loaded, 100)]
+        plans += [df._jdf.queryExecution().executedPlan().toString() for df in rest]
+        assert all(df.count() for df in rest)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    between = [x for plan in plans for x in scans_below_joins(plan)]
+    assert len(between) >= 5 and not any("Exchange" in line for x in between for line in x), between
+
+
+def test_buckets_grow_with_the_forest(spark, small, tmp_path):
+    """Batches go into the same buckets until these are too full; a batch that is written again stands once."""
+    nodes, trees = small
+    part = lambda n: (nodes.withColumn("document_id", F.concat("document_id", F.lit(f"_{n}"))), trees.withColumn("document_id", F.concat("document_id", F.lit(f"_{n}"))))
+    names = lambda: sorted(p.name for p in (tmp_path / "f" / "nodes").iterdir())
+    size, seen = nodes.count(), set()
+    for n in range(7):
+        store.save_forest(*part(n), f"{tmp_path}/f", batch=n, rows=1)
+        seen.add(tuple(names()))
+        assert store.load_forest(spark, f"{tmp_path}/f")[0].count() == size * (n + 1)
+    assert all(len(x) == 1 for x in seen) and len(seen) == 2
+    store.save_forest(*part(6), f"{tmp_path}/f", batch=6, rows=1)
+    assert store.load_forest(spark, f"{tmp_path}/f")[0].count() == size * 7
+    (tmp_path / "f" / "nodes" / "buckets=900").mkdir()  # a write that died
+    assert store.load_forest(spark, f"{tmp_path}/f")[0].count() == size * 7
+    with pytest.raises(ValueError, match="already"):
+        store.save_forest(*part(0), f"{tmp_path}/f")
+
+
 def test_store_checks(spark, small, tmp_path):
     nodes, trees = small
     store.save_forest(nodes, trees, f"{tmp_path}/f")
@@ -436,3 +737,64 @@ def test_a_library_grows_by_batches(spark, tmp_path):
     assert second == {"a.txt": 1, "b.md": 2, "d.txt": 2, "e.txt": 2, "f.txt": 2}
     nodes, trees = library.forest(spark, path, "hash-64")
     assert nodes.count() == trees.count() == 2
+
+
+def test_a_poison_document_fails_alone(spark, tmp_path):
+    """Its message is kept, the others are completed, and statuses were noted on the way."""
+    path, seen = f"{tmp_path}/library", []
+    rows = [(f"{k}.txt", f"{words(45, f'w{k}')} {'poison' if k == 3 else ''}.", k) for k in range(8)]
+    ups = spark.createDataFrame(rows, "filename string, content string, upload_time long").withColumn("upload_time", F.timestamp_seconds("upload_time"))
+
+    def make():
+        right = embed.hash_embedder()
+
+        def run(texts):
+            if any("poison" in t for t in texts):
+                raise RuntimeError("no such letters")
+            return right(texts)
+
+        return run
+
+    right = build.build_forest
+
+    def watched(*args, **kw):
+        seen.append({r.status for r in library.statuses(spark, path).collect()})
+        return right(*args, **kw)
+
+    library.build.build_forest, kept = watched, library.build.build_forest
+    try:
+        done = {r.filename: r.status for r in library.add_uploads(ups, path, make_embedder=make, most_layers=1).collect()}
+    finally:
+        library.build.build_forest = kept
+    assert done.pop("3.txt") == "failed: RuntimeError: no such letters" and set(done.values()) == {"completed"} and len(done) == 7
+    assert set(map(frozenset, seen)) == {frozenset({"processing"})}
+    noted = {r.status: r.n for r in library.events(spark, path).groupBy("status").agg(F.count("*").alias("n")).collect()}
+    assert noted == {"processing": 8, "completed": 7, "failed: RuntimeError: no such letters": 1}
+    assert library.forest(spark, path)[0].count() == 7
+    again = {r.filename: (r.status, r.batch) for r in library.add_uploads(ups, path, most_layers=1).collect()}
+    assert again["3.txt"] == ("completed", 2) and again["1.txt"] == ("completed", 1)
+    with pytest.raises(Exception, match="no such letters"):
+        library.add_uploads(ups, f"{tmp_path}/other", most_failures=0, make_embedder=make, most_layers=1)
+
+
+def test_lookups_read_one_row_group(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", "65536")
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size.row.check.min", "10")
+    try:
+        records = spark.range(60_000).select(F.md5(F.col("id").cast("string")).alias("query_id"), F.sha2(F.col("id").cast("string"), 512).alias("nodes"))
+        analytics.log_queries(records.filter("hash(query_id) % 2 = 0"), f"{tmp_path}/log")
+        analytics.log_queries(records.filter("hash(query_id) % 2 <> 0"), f"{tmp_path}/log")
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
+        spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size.row.check.min")
+    wanted = spark.createDataFrame([(hashlib.md5(b"77").hexdigest(),)], "query_id string")
+    found = analytics.find_queries(spark.read.parquet(f"{tmp_path}/log"), wanted)
+    assert found.count() == 1
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan()
+    scan = plan.collectLeaves().head()
+    groups = [pq.ParquetFile(f).metadata for f in (tmp_path / "log").glob("*.parquet")]
+    sizes = [m.row_group(k).num_rows for m in groups for k in range(m.num_row_groups)]
+    assert len(sizes) > 20 and scan.metrics().apply("numOutputRows").value() <= max(sizes)
+    many = analytics.find_queries(spark.read.parquet(f"{tmp_path}/log"), records.limit(500))
+    assert many.count() == 500
