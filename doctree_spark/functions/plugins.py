@@ -66,7 +66,8 @@ def counting(make: Callable[[], Callable[[list[str]], list[int]]]) -> Tokens:
             found = _counts(count(flat.to_pylist()), len(flat)) if len(flat) else pa.array([], pa.int32())
             yield _like(lists, found)
 
-    return Tokens(of, each)
+    # else the optimizer would draw a call into lambdas, where Python can't be called
+    return Tokens(of.asNondeterministic(), each.asNondeterministic())
 
 
 def splitting(make: Callable[[], Callable[[list[str]], list[list[str]]]]) -> Sentences:
@@ -82,7 +83,7 @@ def splitting(make: Callable[[], Callable[[list[str]], list[list[str]]]]) -> Sen
                 raise ValueError(f"{len(said)} splits of {len(flat)} texts")
             yield _like(lists, pa.array([[b for s in x if (b := s.strip())] for x in said], pa.list_(pa.string())))
 
-    return Sentences(each)
+    return Sentences(each.asNondeterministic())
 
 
 def _like(lists: pa.Array, values: pa.Array) -> pa.Array:

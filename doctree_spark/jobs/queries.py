@@ -41,7 +41,7 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _SAVED:
         path = shared_dir(spark)
         nodes = written(d.forest(spark, sf_dir))
-        store.save_forest(nodes, d.trees(nodes), path)
+        store.save_forest(nodes, d.trees(nodes), path, vectors="array<double>")
         d.forest_queries(store.open_nodes(spark, path)).write.parquet(f"{path}/queries")
         _SAVED[key] = path
     return store.open_nodes(spark, _SAVED[key])

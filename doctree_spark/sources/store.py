@@ -36,7 +36,7 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.meta\.json$", "").alias("document_id"), found["original_filename"].alias("original_filename"))
 
 
-def save_forest(nodes: DataFrame, trees: DataFrame, path: str, batch: int | None = None, rows: int = BUCKET_ROWS) -> None:
+def save_forest(nodes: DataFrame, trees: DataFrame, path: str, batch: int | None = None, rows: int = BUCKET_ROWS, vectors: str = "array<float>") -> None:
     """Nodes and trees below ``path``, nodes in buckets by document and node.
 
     Whatever joins on both columns meets the nodes where they lie; a large document is spread over
@@ -46,7 +46,7 @@ def save_forest(nodes: DataFrame, trees: DataFrame, path: str, batch: int | None
     are written anew into more of them, which readers see when the last file is there.
     """
     spark = nodes.sparkSession
-    nodes = nodes.withColumn("embedding", F.col("embedding").cast("array<float>")).withColumn("batch", F.lit(batch or 0))
+    nodes = nodes.withColumn("embedding", F.col("embedding").cast(vectors)).withColumn("batch", F.lit(batch or 0))
     have = _buckets(spark, path)
     if have and batch is None:
         raise ValueError(f"{path} has a forest already")
