@@ -151,12 +151,49 @@ TEMPLATES = {
     "CC0-1.0": "Released into the public domain under CC0 1.0.",
 }
 
+# How licenses are named in one sentence, and the sentences that name them. Apart from
+# an SPDX tag they end with the name, so that what stands before them needn't be known.
+TITLES = {
+    "MIT": ["MIT License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GPL v2"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GPL v3"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License"],
+    "ISC": ["ISC License"],
+    "Zlib": ["zlib License"],
+    "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0"],
+    "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0"],
+    "EPL-2.0": ["Eclipse Public License, Version 2.0", "Eclipse Public License 2.0"],
+    "Unlicense": ["Unlicense"],
+}
+TAG = "SPDX-License-Identifier: {}"
+#: Variants of a license in tags.
+TAGGED = {"GPL-2.0": ["GPL-2.0-only", "GPL-2.0-or-later"], "GPL-3.0": ["GPL-3.0-only", "GPL-3.0-or-later"], "LGPL-2.1": ["LGPL-2.1-only", "LGPL-2.1-or-later"], "LGPL-3.0": ["LGPL-3.0-only", "LGPL-3.0-or-later"], "AGPL-3.0": ["AGPL-3.0-only", "AGPL-3.0-or-later"]}
+SENTENCES = ("licensed under the {}", "licensed under {}", "licensed under the terms of the {}", "distributed under the {}", "distributed under {}", "released under the {}", "available under the {}")
+
+
+def notices() -> dict[str, str]:
+    """Templates of tags and short sentences, as ``<license>-tag`` and ``<license>-notice``, numbered from the second on."""
+    out: dict[str, str] = {}
+    for name, titles in TITLES.items():
+        out |= {f"{v}-tag": TAG.format(v) for v in (name, *TAGGED.get(name, ()))}
+        said = [s.format(t) for t in titles for s in SENTENCES]
+        out |= {f"{name}-notice{k + 1 if k else ''}": text for k, text in enumerate(said) if f"{text[0].upper()}{text[1:]}." not in TEMPLATES.values()}
+    return out
+
+
 # Words that tell licenses apart. A statement that has one more or one less than the
 # template is no statement of it; nor is one that lacks a number of the template.
 NAMES = ("affero", "apache", "boost", "bsd", "commons", "eclipse", "general", "gnu", "isc", "lesser", "library", "mit", "mozilla", "noncommercial", "noderivatives", "sharealike", "not")
 
+EVERY = TEMPLATES | notices()
+
 #: A line with one of these may be part of a license statement.
-CUE = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|public domain"
+CUE = r"(?i)licen[cs]e|\bgpl\b|copyright|permission|redistribut|warrant|public domain"
 #: A template's wording is looked at when it saves this share of a block's compressed size or of its own, ...
 LEAST_SAVED = 0.2
 #: ... and confirmed when at most this share of the template's words differ, and none that tells licenses apart.
@@ -202,6 +239,8 @@ class Scanner:
         dictionary = lambda t: zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.given = {k: zstandard.ZstdCompressor(level=3, dict_data=dictionary(t)) for k, t in self.templates.items()}
         self.words = {k: _words(t) for k, t in self.templates.items()}
+        # those of which no word may differ, as they stand in joined words
+        self.exact = {k: _joined(w) for k, w in self.words.items() if MOST_DIFFERENT * len(w) < 1}
         self.own = {k: len(self.alone.compress(t.encode())) for k, t in self.templates.items()}
         self.longest = max((len(t) for t in self.templates.values()), default=0)
 
@@ -245,8 +284,9 @@ class Scanner:
                 continue
             have = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text, a, b)]
             matcher = SequenceMatcher(None, [], [h[0] for h in have], autojunk=False)
+            joined = _joined([h[0] for h in have])
             for name in near:
-                sure = self.statements(name, have, matcher)
+                sure = self.statements(name, have, matcher) if name not in self.exact or self.exact[name] in joined else []
                 spans = [(*x, True) for x in sure]
                 if not sure and plain - size[name] >= LEAST_SAVED * plain and have:
                     spans = [(*self.wording(name, have), False)]
@@ -296,6 +336,10 @@ class Scanner:
         return first, last, max(len(want), last - first) - len(mine), missing, added
 
 
+def _joined(words: list[str]) -> str:
+    return f"\0{chr(0).join(words)}\0"
+
+
 def _words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
@@ -310,7 +354,7 @@ def _distinct(found: list[dict]) -> list[dict]:
     return sorted(out, key=lambda f: (f["start"], f["end"], f["rank"], f["license"]))
 
 
-def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = EVERY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """License statements in whole texts, one row each.
 
     Returns:

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from doctree_spark.llm import bpe_transducer, conversation_repair, secrets, spelling
+from doctree_spark.llm import bpe_transducer, conversation_repair, licenses, secrets, spelling
 
 # ---- transducer
 
@@ -386,3 +386,27 @@ def test_time_follows_length():
             secrets.find_secrets(text)
             took.append(time.process_time() - began)
         assert took[1] < 0.5 + 10 * took[0], (unit, took)
+
+
+# ---- licenses
+
+
+@pytest.mark.parametrize("said, license", [
+    ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("This project is licensed under the MIT License.", "MIT"), ("Licensed under the terms of the MIT license.", "MIT"), ("Distributed under Apache License 2.0.", "Apache-2.0"), ("Released under the MIT License.", "MIT"),
+    ("// SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("Our code is available under the Mozilla Public License 2.0, as ever", "MPL-2.0"), ("licensed under the GNU General Public License v2.0 only", "GPL-2.0"), ("it is licensed under GPL v3!", "GPL-3.0"),
+])
+def test_short_notices(said, license):
+    for text in (said, f"some words here\n{said}\nand there", f"{'word ' * 60}{said}{' word' * 60}"):
+        found = {f["license"] for f in licenses.Scanner(licenses.EVERY).scan(text) if f["confirmed"]}
+        assert found and all(x.startswith(license) for x in found), (text, found)
+
+
+def test_other_versions_and_words_are_no_notices():
+    scanner = licenses.Scanner(licenses.EVERY)
+    for said in ("SPDX-License-Identifier: Apache-1.1", "licensed under the Apache License, Version 1.1", "not to be licensed, under the MIT terms", "licensed under the Mozilla Public License 1.1", "SPDX-License-Identifier: GPL-3.0-with-exception"):
+        assert not [f for f in scanner.scan(said) if f["confirmed"]], said
+    every = [t for t in licenses.EVERY.values()]
+    assert len(set(every)) == len(every)
+    for name, text in licenses.notices().items():
+        found = {f["license"] for f in scanner.scan(text) if f["confirmed"]}
+        assert name in found, (name, found)
