@@ -21,13 +21,14 @@ import heapq
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from doctree_spark.llm.shared import table
 from doctree_spark.llm.token_counts import _SPACE as _WHITE
@@ -37,12 +38,14 @@ from doctree_spark.llm.token_counts import MAX_VOCABULARY_BYTES, _byte_letters
 CHUNK = 1 << 16
 UNSURE = 3
 #: Pieces whose tokens are kept, and the longest kept, in bytes.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 CACHE_BYTES = 64
 #: Windows up to this many bytes look for the lowest pair in a list, longer ones in a heap.
 SHORT = 64
 #: Ids decoded at a time.
 DECODE_IDS = 1 << 18
+#: Ids handed on at a time, at least those of one text.
+GIVEN_IDS = 1 << 19
 #: A pair of ids, and a rank with an id, are one number each.
 BITS = 20
 _IDS = (1 << BITS) - 1
@@ -299,33 +302,60 @@ def _sent(df: DataFrame, vocabulary: str):
     return df.sparkSession.sparkContext.broadcast(content)
 
 
-def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """Adds ``out_col array<int>``, the token ids of every whole text.
+def _passed(df: DataFrame, out: list[T.StructField], needs: str, columns: Callable[[pa.Array], Iterator[tuple]], keep: list[str] | None) -> DataFrame:
+    """``df`` (its columns ``keep``, None: all) with ``out`` added; ``columns`` takes the values of ``needs`` and gives the new arrays for some rows at a time."""
+    names = [f.name for f in out]
+    kept = [c for c in (df.columns if keep is None else keep) if c not in names]
+    schema = T.StructType([*(df.schema[c] for c in kept), *out])
+    sent = df.select(*kept, F.col(needs).alias("__needs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for new in columns(batch.column(len(kept))):
+                n = len(new[0])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in batch.columns[: len(kept)]), *new], names=schema.fieldNames())
+                at += n
+
+    return sent.mapInArrow(run, schema)
+
+
+def _lists(parts: list[bytes], ends: list[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+
+
+def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Adds ``out_col array<int>``, the token ids of every whole text, and with ``decoded_col`` the text that these ids decode to.
 
     Args:
-        docs: any table with ``text_col``; a column named ``out_col`` is replaced, others stay.
+        docs: any table with ``text_col``; columns named like new ones are replaced, others stay.
+        keep: the columns to keep; what isn't needed needn't travel.
         vocabulary: path of the vocabulary file, read by the driver and broadcast
             (refused above ``MAX_VOCABULARY_BYTES``).
 
     A null text counts as empty: no ids. Special strings in a text are their tokens. Rows may
-    repeat; an empty table gives an empty one.
+    repeat; an empty table gives an empty one. Rows are handed on some ``GIVEN_IDS`` ids at a time.
     """
     sent = _sent(docs, vocabulary)
 
-    @F.arrow_udf("array<int>")
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def ids(texts: pa.Array) -> Iterator[tuple]:
         encoder = _encoder(sent.value)
-        for texts in batches:
-            parts, ends = [], [0]
-            for text in texts:
-                n = ends[-1]
-                for part in encoder.parts(text.as_py()):
-                    parts.append(part)
-                    n += len(part) // 4
-                ends.append(n)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
-
-    return docs.withColumn(out_col, ids(F.coalesce(F.col(text_col), F.lit(""))))
+        decoder = Decoder(encoder.vocabulary)
+        parts, ends, decoded = [], [0], []
+        for text in texts:
+            own = b"".join(encoder.parts(text.as_py() or ""))
+            parts.append(own)
+            ends.append(ends[-1] + len(own) // 4)
+            if decoded_col:
+                decoded.append("".join(decoder.parts(np.frombuffer(own, np.int32))))
+            if ends[-1] >= GIVEN_IDS:
+                yield (_lists(parts, ends), pa.array(decoded, pa.string())) if decoded_col else (_lists(parts, ends),)
+                parts, ends, decoded = [], [0], []
+        if len(ends) > 1:
+            yield (_lists(parts, ends), pa.array(decoded, pa.string())) if decoded_col else (_lists(parts, ends),)
+
+    fields = [T.StructField(out_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])]
+    return _passed(docs, fields, text_col, ids, keep)
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -335,19 +365,24 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str =
     """
     sent = _sent(df, vocabulary)
 
-    @F.arrow_udf("string")
-    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        decoder = Decoder(_known(sent.value))
-        for lists in batches:
-            yield pa.array([None if not x.is_valid else "".join(decoder.parts(x.values.drop_null().to_numpy(zero_copy_only=False))) for x in lists], pa.string())
+    def texts(lists: pa.Array) -> Iterator[tuple]:
+        decoder, out, given = Decoder(_known(sent.value)), [], 0
+        for x in lists:
+            out.append("".join(decoder.parts(x.values.drop_null().to_numpy(zero_copy_only=False))) if x.is_valid else None)
+            given += len(x.values) if x.is_valid else 0
+            if given >= GIVEN_IDS:
+                yield (pa.array(out, pa.string()),)
+                out, given = [], 0
+        if out:
+            yield (pa.array(out, pa.string()),)
 
-    return df.withColumn(out_col, texts(F.col(ids_col)))
+    return _passed(df, [T.StructField(out_col, T.StringType())], ids_col, texts, None)
 
 
 def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    both = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "ids"), vocabulary)
+    both = encode(table(spark, sf_dir, "documents"), vocabulary, decoded_col="decoded", keep=["doc_id"])
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
