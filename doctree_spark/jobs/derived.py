@@ -5,7 +5,7 @@ Each derivation stands twice, as DataFrames here and as SQL in ``sql.py``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doctree_spark.functions.text import shortened, token_count
@@ -124,29 +124,37 @@ def forest_queries(nodes: DataFrame) -> DataFrame:
     return df.select(F.concat("document_id", F.lit("_"), F.col("node_id").cast("string")).alias("query_id"), "document_id", vector.alias("embedding"))
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query_id, query``: questions from the first words of user turns."""
-    words = F.split("text", " ")
-    w1, w2 = F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.coalesce(F.get(words, F.lit(1)), F.lit(""))
+def _templated(number: Column, w1: Column, w2: Column) -> Column:
+    """A question about two words, its form by ``number``."""
     said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     forms = F.array(
         said("what is ", w1), said("what are the main ", w1), said("compare ", w1, " ", w2, " and ", w2), said("how do ", w1, " and ", w2, " ", w1, " differ?"),
         said(w1, " vs ", w2), said("why ", w1), said("collapsed: define ", w1), said(w1, " ", w2),
     )
+    return F.get(forms, (number % 8).cast("int"))
+
+
+def _two(words: Column) -> list[Column]:
+    return [F.coalesce(F.get(words, F.lit(k)), F.lit("")) for k in (0, 1)]
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_id, query``: questions from the first words of user turns."""
     df = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    return df.select(F.concat(F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("query_id"), F.get(forms, (F.col("conv_id") % 8).cast("int")).alias("query"))
+    return df.select(F.concat(F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("query_id"), _templated(F.col("conv_id"), *_two(F.split("text", " "))).alias("query"))
 
 
 def asked_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query_id, document_id, query``: the questions, each about the document of its conversation's number."""
-    return questions(spark, sf_dir).withColumn("document_id", F.concat(F.lit("d"), F.substring_index("query_id", "_", 1)))
+    """``query_id, document_id, query``: of every document a question about its own first two words."""
+    words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
+    df = table(spark, sf_dir, "documents")
+    name = F.col("doc_id").cast("string")
+    return df.select(F.concat(name, F.lit("_0")).alias("query_id"), F.concat(F.lit("d"), name).alias("document_id"), _templated(F.col("doc_id"), *_two(words)).alias("query"))
 
 
 def question_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as external snippets of the first question of each conversation."""
-    first = questions(spark, sf_dir).groupBy(F.substring_index("query_id", "_", 1).alias("conv")).agg(F.min("query_id").alias("query_id"))
-    pages = snippets(spark, sf_dir).withColumn("conv", F.floor(F.col("pos") / 4).cast("string")).drop("query_id")
-    return pages.join(first, "conv").select("query_id", "pos", "title", "body", "href")
+    """Pages as external snippets of documents' questions, four each while there are pages."""
+    return snippets(spark, sf_dir).withColumn("query_id", F.concat(F.floor(F.col("pos") / 4).cast("string"), F.lit("_0")))
 
 
 def examples(spark: SparkSession) -> DataFrame:

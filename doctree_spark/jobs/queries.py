@@ -14,7 +14,7 @@ from doctree_spark.jobs import standins
 from doctree_spark.jobs.sql import ASK_INSUFFICIENT, ASK_LAYER, ASK_RELEVANCE
 from doctree_spark.operators import analytics, ask, build, chunk, classify, cluster, context, embed, ingest, library, retrieve, tree
 from doctree_spark.operators.models import Calls
-from doctree_spark.sources import store
+from doctree_spark.sources import files, store
 from doctree_spark.sources.lineage import cut, shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,26 @@ def supported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("filename", F.lit(True).alias("accepted")).union(rejects.select("filename", F.lit(False)))
 
 
+@query
+def uploads_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as files of their uploads' names and read back, whole."""
+    path = shared_dir(spark)
+    files.write_files(d.uploads(spark, sf_dir), path)
+    good, rejects = store.read_uploads(spark, path)
+    both = good.withColumn("accepted", F.lit(True)).unionByName(rejects.withColumn("accepted", F.lit(False)))
+    return both.select("filename", "accepted", F.sha2("content", 256).alias("content_sha256"), F.octet_length("content").alias("bytes"))
+
+
+@query
+def sidecars_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sidecar of every document, written as files and read back; every seventh can't be read."""
+    path = shared_dir(spark)
+    said = F.when(F.col("doc_id") % 7 == 0, "{broken").otherwise(F.to_json(F.struct(F.concat(F.lit('own "'), "filename", F.lit('"')).alias("original_filename"))))
+    rows = d.uploads(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), F.lit(".meta.json")).alias("filename"), said.alias("content"))
+    files.write_files(rows, path)
+    return store.read_sidecars(spark, path)
+
+
 @query
 def find_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = d.catalog(spark, sf_dir)

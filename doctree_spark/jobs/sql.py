@@ -169,6 +169,8 @@ QUESTIONS = f"""questions AS (SELECT conv_id || '_' || turn AS query_id, conv_id
   WHEN 2 THEN 'compare ' || w1 || ' ' || w2 || ' and ' || w2 WHEN 3 THEN 'how do ' || w1 || ' and ' || w2 || ' ' || w1 || ' differ?' WHEN 4 THEN w1 || ' vs ' || w2
   WHEN 5 THEN 'why ' || w1 WHEN 6 THEN 'collapsed: define ' || w1 ELSE w1 || ' ' || w2 END AS query
   FROM (SELECT conv_id, turn, text, {_W.format(1)} AS w1, {_W.format(2)} AS w2 FROM conversations WHERE role = 'user'))"""
+#: The same of every document, about its own first two words; ``conv_id`` is the document's number.
+ASKED_QUESTIONS = QUESTIONS.replace(f"{_W.format(1)} AS w1, {_W.format(2)} AS w2 FROM conversations WHERE role = 'user'", "coalesce(ws[1], '') AS w1, coalesce(ws[2], '') AS w2 FROM (SELECT doc_id AS conv_id, 0 AS turn, text, regexp_extract_all(text, '\\p{L}+') AS ws FROM documents)")
 _CLEAN = "regexp_replace(" + _strip("lower(query)") + ", '\\?+$', '')"
 _RULE = "CASE " + " ".join(f"WHEN regexp_matches({_CLEAN}, '{p}') THEN '{name}'" for p, name in RULES) + " END"
 _PREFIXED = f"""prefixed AS (SELECT query_id, conv_id, said, nullif(lower(regexp_extract({_strip('query')}, '(?i)^(collapsed|traversal):', 1)), '') AS override,
@@ -257,7 +259,7 @@ half_scored AS MATERIALIZED (SELECT query_id, h.document_id, node_id, layer, rou
 half_once AS (SELECT *, row_number() OVER (PARTITION BY query_id, node_id ORDER BY part, rank) AS nth FROM (SELECT * REPLACE (split_part(query_id, '#', 1) AS query_id), CAST(split_part(query_id, '#', 2) AS INTEGER) AS part FROM half_few)),
 merged AS MATERIALIZED (SELECT query_id, document_id, node_id, layer, score, token_count, part, CAST(row_number() OVER (PARTITION BY query_id ORDER BY part, rank) AS INTEGER) AS rank FROM half_once WHERE nth = 1)"""
 #: CTE ``found``: nodes behind every question.
-_ASKED = f"""{CLASSIFIED}, {_decomposed("SELECT query_id, query FROM classified WHERE query_type = 'comparative'").replace("subs AS MATERIALIZED", "every_sub AS")},
+_ASKED = f"""{CLASSIFIED.replace(QUESTIONS, ASKED_QUESTIONS)}, {_decomposed("SELECT query_id, query FROM classified WHERE query_type = 'comparative'").replace("subs AS MATERIALIZED", "every_sub AS")},
 subs AS MATERIALIZED (SELECT * FROM every_sub WHERE query_id IN (SELECT query_id FROM every_sub GROUP BY query_id HAVING count(*) = 2)), {_COMPARED},
 one_text AS (SELECT query_id, query AS text FROM classified), {_vectors('one_e', 'one_text', 'query_id')},
 one_q AS MATERIALIZED (SELECT query_id, 'd' || conv_id AS document_id, e AS q, coalesce(override, CASE WHEN query_type = 'broad' THEN 'collapsed' ELSE 'traversal' END) AS strategy FROM one_e JOIN classified USING (query_id)),
@@ -289,6 +291,8 @@ s AS (SELECT *, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN document_id WHEN 2
 b AS (SELECT *, regexp_replace(CASE WHEN starts_with(stored, document_id) THEN substr(stored, length(document_id) + 1) ELSE stored END, '^_+', '') AS bare FROM s)
 SELECT document_id, coalesce(own, CASE WHEN bare = '' OR starts_with(bare, '.') THEN stored ELSE bare END, 'Unknown Document') AS display_name FROM b""",
     "supported_files": f"WITH {UPLOADS} SELECT filename, regexp_matches(filename, '\\.(pdf|txt|md)$') AS accepted FROM uploads",
+    "uploads_from_files": f"WITH RECURSIVE {UPLOADS} SELECT u.filename, regexp_matches(u.filename, '\\.(pdf|txt|md)$') AS accepted, sha256(text) AS content_sha256, CAST(octet_length(encode(text)) AS INTEGER) AS bytes FROM uploads u JOIN documents USING (doc_id)",
+    "sidecars_from_files": f"WITH RECURSIVE {UPLOADS} SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN doc_id % 7 <> 0 THEN 'own \"' || filename || '\"' END AS original_filename FROM uploads",
     "find_documents": f"""WITH {UPLOADS}, named AS (SELECT filename, arg_min(document_id, (upload_time, document_id)) AS document_id, arg_min(status, (upload_time, document_id)) AS status FROM catalog GROUP BY filename)
 SELECT doc_id AS request_id, document_id, status FROM uploads JOIN catalog USING (document_id) WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, n.document_id, n.status FROM uploads u JOIN named n USING (filename) WHERE doc_id % 2 <> 0""",
     "library_batches": f"""WITH RECURSIVE {UPLOADS}, good AS (SELECT u.*, text FROM uploads u JOIN documents d USING (doc_id) WHERE regexp_matches(filename, '\\.(pdf|txt|md)$')),
@@ -333,7 +337,7 @@ SELECT query_id, query_type, confidence, coalesce(override, CASE WHEN query_type
 scored_c AS (SELECT s.* FROM scored s SEMI JOIN asked_c USING (query_id)), {_fill('flat', 'scored_c', 500)}, {_traversal('down', 'asked_t', 0.1)},
 both_ways AS (SELECT {_FOUND} FROM flat UNION ALL SELECT {_FOUND} FROM down), {_in_scope('kept', 'both_ways', 0.45)}, {_distinct('few', 'kept', 0.45)}
 SELECT {_FOUND}, CASE WHEN length(query_id) % 2 = 0 THEN 'collapsed' ELSE 'traversal' END AS strategy FROM few""",
-    "comparative_merge": f"WITH RECURSIVE {NODES}, {QUESTIONS}, {_decomposed(f'SELECT query_id, query FROM questions WHERE {_RULE} = $$comparative$$')}, {_COMPARED} SELECT query_id, document_id, node_id, layer, score, token_count, part, rank FROM merged",
+    "comparative_merge": f"WITH RECURSIVE {NODES}, {ASKED_QUESTIONS}, {_decomposed(f'SELECT query_id, query FROM questions WHERE {_RULE} = $$comparative$$')}, {_COMPARED} SELECT query_id, document_id, node_id, layer, score, token_count, part, rank FROM merged",
     "ask_nodes": f"WITH RECURSIVE {NODES}, {_ASKED} SELECT {_FOUND} FROM found",
     "ask_batch": f"""WITH RECURSIVE {NODES}, {_ASKED}, {_ASSEMBLE}, {_best('found', ASK_INSUFFICIENT, 'one_q')},
 firsts_q AS (SELECT conv_id, min(query_id) AS query_id FROM questions GROUP BY conv_id),

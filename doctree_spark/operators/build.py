@@ -47,12 +47,13 @@ def build_forest(
     top = written(tree.leaf_nodes(embed(chunks, "text", make=make_embedder, deal=True)).select(NODE))
     layers, failures, complete = top, None, False
     for layer in range(1, most_layers):
-        sizes = top.groupBy("document_id").agg(F.count("*").alias("__n")).filter(F.col("__n") > least_nodes)
-        growing = top.join(sizes.select("document_id"), "document_id", "left_semi")
-        if growing.isEmpty():
+        sizes = top.groupBy("document_id").agg(F.count("*").alias("__n"))
+        growing, largest = sizes.agg(F.count_if(F.col("__n") > least_nodes), F.max("__n")).head()
+        if not growing:
             complete = True
             break
-        clusters = cluster.split_overflow(cluster.cluster_layer(growing, most=most_clusters), growing, max_cluster_tokens, most=most_clusters)
+        growing = top.join(sizes.filter(F.col("__n") > least_nodes).select("document_id"), "document_id", "left_semi")
+        clusters = cluster.split_overflow(cluster.cluster_layer(growing, most=most_clusters, largest=largest), growing, max_cluster_tokens, most=most_clusters, largest=largest)
         several = clusters.groupBy("document_id").agg(F.max("cluster").alias("__last")).filter("__last > 0").select("document_id")
         clusters = cut(clusters.join(several, "document_id", "left_semi"))
         members = clusters.join(growing.select("document_id", "node_id", "layer", "text"), ["document_id", "node_id"])
@@ -63,9 +64,6 @@ def build_forest(
         next_ids = growing.groupBy("document_id").agg((F.max("node_id") + F.lit(1).cast("long")).alias("next_id"))
         parents = tree.make_parents(members.join(said.select("document_id", "cluster", "summary"), ["document_id", "cluster"]), next_ids, tokens)
         top = written(embed(parents, "text", make=make_embedder).select(NODE))
-        if top.isEmpty():
-            complete = True
-            break
         layers = layers.union(top)
     last = layers.groupBy("document_id").agg(F.max("layer").alias("__top"))
     trees = layers.join(last, "document_id").groupBy("document_id").agg(F.array_sort(F.collect_list(F.when(F.col("layer") == F.col("__top"), F.col("node_id")))).alias("root_ids"), (F.max("__top") + 1).alias("num_layers"))

@@ -70,11 +70,12 @@ def _numbered(df: DataFrame, key: str, parts: Sequence[str]) -> DataFrame:
     return df.join(named, [key, *parts]).select(key, "cluster", "node_id")
 
 
-def cluster_layer(nodes: DataFrame, key: str = "document_id", threshold: float = PROBABILITY, most: int = MAX_CLUSTERS) -> DataFrame:
+def cluster_layer(nodes: DataFrame, key: str = "document_id", threshold: float = PROBABILITY, most: int = MAX_CLUSTERS, largest: int | None = None) -> DataFrame:
     """``key, cluster, node_id``: clusters of each ``key``'s ``node_id, embedding`` rows, in two passes.
 
     A node joins every cluster in which its membership is over ``threshold``. The second pass
     divides each cluster of the first. Each tries up to ``most`` clusters. Where a key's rows fit in a task, so do both passes.
+    No key has more rows than ``largest``, where that is known: then they needn't be counted.
     """
     rows = nodes.select(key, "node_id", "embedding")
 
@@ -88,10 +89,10 @@ def cluster_layer(nodes: DataFrame, key: str = "document_id", threshold: float =
                 number += 1
         return pd.concat(out) if out else pd.DataFrame({key: pdf[key].iloc[:0], "cluster": [], "node_id": []})
 
-    large = _large(rows, [key])
+    large = None if largest is not None and largest <= LARGE else _large(rows, [key])
     schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, cluster int, node_id int"
-    out = _spread(rows.join(large, key, "left_anti"), [key]).groupBy(key).applyInPandas(both, schema)
-    if not large.isEmpty():
+    out = _spread(rows if large is None else rows.join(large, key, "left_anti"), [key]).groupBy(key).applyInPandas(both, schema)
+    if large is not None and not large.isEmpty():
         big = rows.join(large, key, "left_semi")
         first = cut(_assigned(_fit_groups(big, [key], most), [key], "__global", threshold))
         second = _fit_groups(first.join(big, [key, "node_id"]), [key, "__global"], most)
@@ -110,7 +111,7 @@ def _parts(x: np.ndarray, ids: np.ndarray, threshold: float, most: int) -> list[
     return [at for m in member.T if len(at := np.flatnonzero(m > threshold))]
 
 
-def split_overflow(clusters: DataFrame, nodes: DataFrame, max_tokens: int = MAX_CLUSTER_TOKENS, rounds: int = SPLIT_ROUNDS, most: int = MAX_CLUSTERS) -> DataFrame:
+def split_overflow(clusters: DataFrame, nodes: DataFrame, max_tokens: int = MAX_CLUSTER_TOKENS, rounds: int = SPLIT_ROUNDS, most: int = MAX_CLUSTERS, largest: int | None = None) -> DataFrame:
     """Clusters over ``max_tokens`` clustered again, up to ``rounds`` times; one that doesn't divide stays whole.
 
     Clusters are numbered anew, parts in their cluster's place. ``overflow_clusters`` of what
@@ -120,11 +121,13 @@ def split_overflow(clusters: DataFrame, nodes: DataFrame, max_tokens: int = MAX_
     tokens = nodes.select("document_id", "node_id", "embedding", "token_count")
     for _ in range(rounds):
         over = overflow_clusters(df.filter("NOT __whole").join(tokens, ["document_id", "node_id"]).withColumn("cluster", F.col("__path")), max_tokens)
-        over = cut(over.select("document_id", F.col("cluster").alias("__path"), F.to_json(F.struct("document_id", "cluster")).alias("__key")))
-        if over.isEmpty():
+        over = cut(over.select("document_id", F.col("cluster").alias("__path"), F.to_json(F.struct("document_id", "cluster")).alias("__key"), "members"))
+        widest = over.agg(F.max("members")).head()[0]
+        if widest is None:
             break
+        over = over.drop("members")
         again = df.join(over, ["document_id", "__path"])
-        parts = cluster_layer(again.join(tokens, ["document_id", "node_id"]), "__key", most=most)
+        parts = cluster_layer(again.join(tokens, ["document_id", "node_id"]), "__key", most=most, largest=widest if largest is None else min(widest, largest))
         divided = parts.groupBy("__key").agg((F.max("cluster") > 0).alias("__divided"))
         fresh = parts.join(over, "__key").join(divided, "__key")
         fresh = fresh.select("document_id", "node_id", F.when(F.col("__divided"), F.concat("__path", F.array("cluster"))).otherwise(F.col("__path")).alias("__path"), (~F.col("__divided")).alias("__whole"))

@@ -15,7 +15,7 @@ from doctree_spark.functions import plugins
 from doctree_spark.functions.text import sentences, shortened, token_count
 from doctree_spark.operators import analytics, ask, build, chunk, classify, cluster, context, embed, grouped, ingest, library, mixture, retrieve, tree
 from doctree_spark.operators.models import Calls, call_model
-from doctree_spark.sources import store
+from doctree_spark.sources import files, store
 
 NODES = "document_id string, node_id int, layer int, text string, embedding array<double>, children array<int>, token_count int"
 
@@ -413,7 +413,7 @@ def test_many_large_groups_take_as_many_jobs_as_one(spark, monkeypatch):
 
     def jobs(groups):
         rounds.clear()
-        rows = [(f"g{g}", n, [float(x) for x in v]) for g in range(groups) for n, v in enumerate(draw.normal(size=(30, 2)))]
+        rows = [(f"g{g}", n, [float(x) for x in v]) for g in range(groups) for n, v in enumerate(draw.normal(size=(30, 2)) + 50 * (np.arange(30) % 2)[:, None])]
         nodes = spark.createDataFrame(rows, "document_id string, node_id int, embedding array<double>")
         spark.sparkContext.setJobGroup(f"of {groups}", "")
         out = grouped.fit_grouped(nodes, ["document_id"], 2)
@@ -712,6 +712,18 @@ def test_uploads_and_sidecars_from_files(spark, tmp_path):
     assert got == {"k1": "own.pdf", "k2": None}
 
 
+def test_files_get_their_names(spark, tmp_path):
+    rows = [(f"n {k}.txt", b"x" * k if k else None) for k in range(40)]
+    df = spark.createDataFrame(rows, "filename string, content binary").repartition(6)
+    for _ in range(2):  # a second run leaves the same files
+        files.write_files(df, f"{tmp_path}/f")
+    assert {p.name: p.read_bytes() for p in (tmp_path / "f").iterdir()} == {n: c or b"" for n, c in rows}
+    files.write_files(df.limit(0), f"{tmp_path}/none")
+    for name in ("", "a/b", None):
+        with pytest.raises(Exception, match="no file name"):
+            files.write_files(spark.createDataFrame([(name, b"")], "filename string, content binary"), f"{tmp_path}/g")
+
+
 def test_embedding_of_empty_text_is_zero(spark):
     df = spark.createDataFrame([("",), (None,), ("a b a",)], "t string")
     vectors = [r.embedding for r in embed.embed(df, "t").collect()]
@@ -742,7 +754,7 @@ def test_a_library_grows_by_batches(spark, tmp_path):
 def test_a_poison_document_fails_alone(spark, tmp_path):
     """Its message is kept, the others are completed, and statuses were noted on the way."""
     path, seen = f"{tmp_path}/library", []
-    rows = [(f"{k}.txt", f"{words(45, f'w{k}')} {'poison' if k == 3 else ''}.", k) for k in range(8)]
+    rows = [(f"{k}.txt", f"{words(45, f'w{k}')} {'poison' if k == 3 else ''}.", k) for k in range(4)]
     ups = spark.createDataFrame(rows, "filename string, content string, upload_time long").withColumn("upload_time", F.timestamp_seconds("upload_time"))
 
     def make():
@@ -766,11 +778,11 @@ def test_a_poison_document_fails_alone(spark, tmp_path):
         done = {r.filename: r.status for r in library.add_uploads(ups, path, make_embedder=make, most_layers=1).collect()}
     finally:
         library.build.build_forest = kept
-    assert done.pop("3.txt") == "failed: RuntimeError: no such letters" and set(done.values()) == {"completed"} and len(done) == 7
+    assert done.pop("3.txt") == "failed: RuntimeError: no such letters" and set(done.values()) == {"completed"} and len(done) == 3
     assert set(map(frozenset, seen)) == {frozenset({"processing"})}
     noted = {r.status: r.n for r in library.events(spark, path).groupBy("status").agg(F.count("*").alias("n")).collect()}
-    assert noted == {"processing": 8, "completed": 7, "failed: RuntimeError: no such letters": 1}
-    assert library.forest(spark, path)[0].count() == 7
+    assert noted == {"processing": 4, "completed": 3, "failed: RuntimeError: no such letters": 1}
+    assert library.forest(spark, path)[0].count() == 3
     again = {r.filename: (r.status, r.batch) for r in library.add_uploads(ups, path, most_layers=1).collect()}
     assert again["3.txt"] == ("completed", 2) and again["1.txt"] == ("completed", 1)
     with pytest.raises(Exception, match="no such letters"):
