@@ -194,7 +194,10 @@ def score(docs: DataFrame, model: Model | None, grades: int, id_col: str = "doc_
 
 
 def select_documents(docs: DataFrame, model: Model | None, grade: int, least: float, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, unchanged, whose probability of ``grade`` or better is ``least`` or more; all of them without a model."""
+    """Rows of ``docs``, unchanged, whose probability of ``grade`` or better is ``least`` or more; all of them without a model.
+
+    A null text counts as empty; rows may repeat, and are judged each for itself.
+    """
     if model is None:
         return docs
     sent, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)

@@ -99,7 +99,8 @@ def write_archives(records: DataFrame, path: str) -> None:
 
     Records are written in classes of size, each with as many to a file as ``ARCHIVE_BYTES``
     allow, so that a few long pages don't make all archives small, nor one too large to read.
-    A class with no records costs a scan, and is left out where none is that long.
+    A class with no records costs a scan, and is left out where none is that long. Without any
+    record there is a folder without archives, which reads as no records.
     """
     size = F.octet_length("record")
     longest = records.agg(F.max(size)).head()[0] or 0
