@@ -158,8 +158,9 @@ def body_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def empty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without text among those whose margins take all: blocks must lie in the first eighth."""
-    return chunk.empty_documents(chunk.body_text(d.blocks(spark, sf_dir).filter("block_no > 0"), 0.125))
+    """Documents that have no text left where first lines are pictures and margins begin behind the first eighth."""
+    first = F.when(F.col("block_no") == 0, 1).otherwise(F.col("block_type"))
+    return chunk.empty_documents(chunk.body_text(d.blocks(spark, sf_dir).withColumn("block_type", first), 0.125))
 
 
 @query
