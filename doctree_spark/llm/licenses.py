@@ -176,21 +176,16 @@ TAGGED = {"GPL-2.0": ["GPL-2.0-only", "GPL-2.0-or-later"], "GPL-3.0": ["GPL-3.0-
 SENTENCES = ("licensed under the {}", "licensed under {}", "licensed under the terms of the {}", "distributed under the {}", "distributed under {}", "released under the {}", "available under the {}")
 
 
-def notices() -> dict[str, str]:
-    """Templates of tags and short sentences, as ``<license>-tag`` and ``<license>-notice``, numbered from the second on."""
-    out: dict[str, str] = {}
-    for name, titles in TITLES.items():
-        out |= {f"{v}-tag": TAG.format(v) for v in (name, *TAGGED.get(name, ()))}
-        said = [s.format(t) for t in titles for s in SENTENCES]
-        out |= {f"{name}-notice{k + 1 if k else ''}": text for k, text in enumerate(said) if f"{text[0].upper()}{text[1:]}." not in TEMPLATES.values()}
-    return out
+def notices() -> dict[str, list[str]]:
+    """Tags and short sentences of each license, as ``<license>-notice``. Together they are one dictionary; each is a statement, word for word."""
+    return {f"{name}-notice": [*(TAG.format(v) for v in (name, *TAGGED.get(name, ()))), *(s.format(t) for t in titles for s in SENTENCES)] for name, titles in TITLES.items()}
 
 
 # Words that tell licenses apart. A statement that has one more or one less than the
 # template is no statement of it; nor is one that lacks a number of the template.
 NAMES = ("affero", "apache", "boost", "bsd", "commons", "eclipse", "general", "gnu", "isc", "lesser", "library", "mit", "mozilla", "noncommercial", "noderivatives", "sharealike", "not")
 
-EVERY = TEMPLATES | notices()
+NOTICES = notices()
 
 #: A line with one of these may be part of a license statement.
 CUE = r"(?i)licen[cs]e|\bgpl\b|copyright|permission|redistribut|warrant|public domain"
@@ -233,11 +228,13 @@ def candidate_blocks(text: str, longest: int) -> Iterator[tuple[int, int]]:
 class Scanner:
     """Compressors and words of the templates."""
 
-    def __init__(self, templates: Mapping[str, str]) -> None:
+    def __init__(self, templates: Mapping[str, str], notices: Mapping[str, list[str]] | None = None) -> None:
+        self.notices = {k: [_joined(_words(x)) for x in said] for k, said in (notices or {}).items()}
         self.templates = dict(templates)
+        texts = self.templates | {k: " ".join(said) for k, said in (notices or {}).items()}
         self.alone = zstandard.ZstdCompressor(level=3)
         dictionary = lambda t: zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.given = {k: zstandard.ZstdCompressor(level=3, dict_data=dictionary(t)) for k, t in self.templates.items()}
+        self.given = {k: zstandard.ZstdCompressor(level=3, dict_data=dictionary(t)) for k, t in texts.items()}
         self.words = {k: _words(t) for k, t in self.templates.items()}
         # those of which no word may differ, as they stand in joined words
         self.exact = {k: _joined(w) for k, w in self.words.items() if MOST_DIFFERENT * len(w) < 1}
@@ -248,9 +245,10 @@ class Scanner:
         """Blocks of a text and the templates they are held against.
 
         These are each line with a cue, each run of lines around cues as long as the longest
-        template and, for templates short against such a run, windows around its cues.
+        template and, for templates short against such a run, windows around its cues; for
+        notices, windows in runs that are too long to be looked at as a whole.
         """
-        seen, every = set(), list(self.templates)
+        seen, every = set(), [*self.templates, *self.notices]
         for a, b in candidate_blocks(text, self.longest):
             cues = list(_CUE.finditer(text, a, b))
             for m in cues:
@@ -263,6 +261,12 @@ class Scanner:
             if (a, b) not in seen and b - a <= 4 * self.longest:
                 seen.add((a, b))
                 yield a, b, every
+            if b - a > 4 * self.longest and self.notices:
+                last = -math.inf
+                for m in cues:
+                    if m.start() >= last + self.longest / 2:
+                        last = m.start()
+                        yield max(a, m.start() - self.longest), min(b, m.end() + self.longest), list(self.notices)
             for name, template in self.templates.items():
                 if b - a > 2 * REACH * len(template):
                     last = -math.inf
@@ -278,7 +282,7 @@ class Scanner:
             plain = len(self.alone.compress(block))
             size = {k: len(self.given[k].compress(block)) for k in names}
             # short templates, of which no word may differ, save a few bytes only: any saving will do
-            least = {k: LEAST_SAVED * min(plain, self.own[k]) if MOST_DIFFERENT * len(self.words[k]) >= 1 else 1 for k in names}
+            least = {k: LEAST_SAVED * min(plain, self.own[k]) if k in self.words and k not in self.exact else 1 for k in names}
             near = [k for k in names if plain - size[k] >= least[k]]
             if not near:
                 continue
@@ -286,9 +290,12 @@ class Scanner:
             matcher = SequenceMatcher(None, [], [h[0] for h in have], autojunk=False)
             joined = _joined([h[0] for h in have])
             for name in near:
-                sure = self.statements(name, have, matcher) if name not in self.exact or self.exact[name] in joined else []
+                if name in self.notices:
+                    sure = [(have[i][1], have[j - 1][2], 0, [], []) for i, j in _places(self.notices[name], joined)]
+                else:
+                    sure = self.statements(name, have, matcher) if name not in self.exact or self.exact[name] in joined else []
                 spans = [(*x, True) for x in sure]
-                if not sure and plain - size[name] >= LEAST_SAVED * plain and have:
+                if not sure and name in self.words and plain - size[name] >= LEAST_SAVED * plain and have:
                     spans = [(*self.wording(name, have), False)]
                 if not spans:
                     continue
@@ -340,6 +347,16 @@ def _joined(words: list[str]) -> str:
     return f"\0{chr(0).join(words)}\0"
 
 
+def _places(said: list[str], joined: str) -> Iterator[tuple[int, int]]:
+    """Numbers of the first word of each place where one of the sentences stands, and of the word behind it."""
+    for sentence in said:
+        at = joined.find(sentence)
+        while at >= 0:
+            i = joined.count("\0", 0, at)
+            yield i, i + sentence.count("\0") - 1
+            at = joined.find(sentence, at + 1)
+
+
 def _words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
@@ -350,11 +367,14 @@ def _distinct(found: list[dict]) -> list[dict]:
     for f in sorted(found, key=lambda f: (not f["confirmed"], f["different"], f["rank"])):
         best.setdefault((f["start"], f["end"], f["license"]), f)
     sure = [f for f in best.values() if f["confirmed"]]
+    # a notice inside a longer statement of its license is part of that
+    own = {id(f) for f in sure if f["license"].endswith("-notice") and any(o["license"].startswith(f["license"][:-7]) and not o["license"].endswith("-notice") and o["start"] <= f["start"] and f["end"] <= o["end"] for o in sure)}
+    sure = [f for f in sure if id(f) not in own]
     out = sure + [f for f in best.values() if not f["confirmed"] and not any(f["start"] < s["end"] and s["start"] < f["end"] for s in sure)]
     return sorted(out, key=lambda f: (f["start"], f["end"], f["rank"], f["license"]))
 
 
-def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = EVERY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", notices: Mapping[str, list[str]] = NOTICES) -> DataFrame:
     """License statements in whole texts, one row each.
 
     Returns:
@@ -364,10 +384,10 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = EVERY, id_col:
         is one of each), ``confirmed``. Texts without a cue, null and empty ones have no
         rows. Ids may repeat or be null. No shuffle; texts without a cue never reach Python.
     """
-    sent = dict(templates)
+    sent = dict(templates), dict(notices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(sent)
+        scanner = Scanner(*sent)
         for batch in batches:
             ids, rows = [], []
             for i, text in enumerate(batch.column(1)):
