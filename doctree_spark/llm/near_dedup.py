@@ -9,7 +9,8 @@ Nodes under one key aren't all compared. Under each key the most central node, t
 shares most keys with others, leads: it is held against the rest, and what is linked becomes one
 component. Members left outside their leader's component are compared with all other members of its group,
 in blocks, from the shingles in which they differ from the leader: with h the leader's shingles,
-|x and y| = |x and h| + |y and h| - |h| + |dx and dy|. So a group of thousands of variants costs
+|x and y| = |x and h| + |y and h| - |h| + |dx and dy|, by which most pairs can't be links unless they
+share rare ones of these; only such are compared. So a group of thousands of variants costs
 about one comparison each, pairs that aren't links never become rows, and no link that shares a
 key is lost. Keys and leaders with many members are salted: the one row that all of them meet is
 repeated for every ``SALT_MEMBERS`` of them.
@@ -37,6 +38,8 @@ ROWS = 2
 BLOCK_SHINGLES = 250_000
 #: Members of a key or a leader that meet it under one salt.
 SALT_MEMBERS = 500
+#: What comparing one candidate costs, in common shingles counted; where that is dearer, all of them are counted together.
+PAIR_COST = 1500
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -188,23 +191,51 @@ def _links_outside(placed: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 class _Outside:
-    """A block of members outside, by the shingles in which they differ from the leader."""
+    """A block of members outside, by the shingles in which they differ from the leader.
+
+    A link to any of them takes at least so many differing shingles in common, by sizes alone; of
+    a member's d differing shingles, any d - least + 1 then meet one of each node it is linked
+    with. So the rarest of these in the block find the candidates, and these are compared.
+    """
 
     def __init__(self, rows: list[tuple[list, np.ndarray]]) -> None:
         self.node, self.n, self.both, self.c = (np.array([r[k] for r, _ in rows], np.int64) for k in (4, 5, 6, 8))
-        shingles = np.concatenate([d for _, d in rows]) if rows else np.empty(0, np.int64)
+        self.sets = [d for _, d in rows]
+        shingles = np.concatenate(self.sets) if rows else np.empty(0, np.int64)
         order = np.argsort(shingles, kind="stable")
         self.shingles, self.owner = shingles[order], np.repeat(np.arange(len(rows)), [len(d) for _, d in rows])[order]
+        # by 100 + PERCENT times, so that bounds are whole numbers
+        self.least = int((PERCENT * self.n - (100 + PERCENT) * self.both).min()) if rows else 0
+        self.compared = 0
 
     def links(self, row: list, differ: np.ndarray) -> list[int]:
         """Nodes of the block, in other components, that are similar enough to the member ``row``."""
         node, n, both, leader_n, c = row[4:9]
+        if not len(self.node):
+            return []
+        least = -(-(PERCENT * n + (100 + PERCENT) * (leader_n - both) + self.least) // (100 + PERCENT))
+        if least > len(differ):
+            return []
         low, high = (np.searchsorted(self.shingles, differ, side) for side in ("left", "right"))
-        times = high - low
+        times, every = high - low, np.arange(len(self.node))
+        if least > 1:
+            rare = np.argpartition(times, len(differ) - least)[: len(differ) - least + 1]
+            met = np.unique(self._owners(low[rare], times[rare]))
+        else:
+            met = np.unique(self._owners(low, times)) if least == 1 else every
+        self.compared += len(met)
+        if len(met) * PAIR_COST <= times.sum():
+            inside = np.array([len(np.intersect1d(self.sets[k], differ, assume_unique=True)) for k in met.tolist()], np.int64)
+        else:
+            inside = np.bincount(self._owners(low, times), minlength=len(self.node))[met]
+        common = self.both[met] + both - leader_n + inside
+        good = (100 * common >= PERCENT * (self.n[met] + n - common)) & (self.c[met] != c) & (self.node[met] != node)
+        return self.node[met][good].tolist()
+
+    def _owners(self, low: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Members that have the shingles found at ``low``, ``times`` each."""
         at = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-        common = self.both + both - leader_n + np.bincount(self.owner[at], minlength=len(self.node))
-        good = (100 * common >= PERCENT * (self.n + n - common)) & (self.c != c) & (self.node != node)
-        return self.node[good].tolist()
+        return self.owner[at]
 
 
 def _salt(members: Column) -> Column:
