@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctree_spark.sources.lineage import shared_dir, written
+from doctree_spark.sources.lineage import shared_dir, written, written_alone
 
-__all__ = ["SPACE", "WORD_GAP", "byte_table", "hashed_words", "shared_dir", "table", "words", "words_of", "written"]
+__all__ = ["SPACE", "WORD_GAP", "byte_table", "hashed_words", "shared_dir", "table", "words", "words_of", "written", "written_alone"]
 
 #: Words are maximal runs of characters other than ASCII white space.
 WORD_GAP = r"[\x20\x09-\x0D]+"

@@ -12,6 +12,15 @@ A word that is no symbol has a probability in its class: its count, discounted,
 with what the discounts leave. Words of one class and texts of all words so have probabilities
 that sum to one at most, which a test counts out.
 
+On these stands a third tree, of contexts of up to ``DEEP`` words, every word a symbol of its own and
+every context that was seen a state, without a least share. It grows with the corpus, so it is never
+in one place: each position goes, with the words before it, to the bucket of its context's last word
+(where that is a symbol of the word tree, of its last words down to the first that is none), and all
+states that it can be in are there. A state of n occurrences, k different words after them, mixes these by
+their shares with what the shorter context says; the weight of the latter is the chance of a new word, from
+the k - 1 of n - 1 occurrences that brought one. Contexts of symbols alone stand in the word tree, and here
+when they have all ``DEEP`` words.
+
 Everything counted is counted over all training texts, every word with its own count, however
 many there are. Words that are frequent for the corpus go to the tasks, the others meet their
 counts and spellings, once each, by a shuffle. What is sent is bounded by the least shares below:
@@ -30,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doctree_spark.llm.shared import SPACE, Words, byte_table, table, words_of, written
+from doctree_spark.llm.shared import SPACE, Words, byte_table, table, words_of, written, written_alone
 
 #: Words with this share of all tokens are symbols of the word tree, ...
 SYMBOL_SHARE = 2e-3
@@ -53,6 +62,19 @@ FIRST_WORD = FIRST_CLASS + CLASSES
 LETTER_END, LETTER_START = 256, 257
 #: Bytes of text handled at a time.
 SLICE_BYTES = 2 << 20
+#: Most words of a context of any words, ...
+DEEP = 4
+#: ... chance that one of 1, 2, ... words that was seen once goes on with another word, and how many occurrences that counts for.
+NEW = (0.98, 0.9, 0.5, 0.15)
+NEW_WEIGHT = 2.0
+#: Words whose positions go to the buckets together, positions of a bucket, in the mean, and parts in which a task mixes one.
+DEAL_WORDS = 1_500_000
+BUCKET_POSITIONS = 500_000
+PARTS = 4
+#: Buckets are dealt in turns, one behind the other, so that not all positions lie on disk at once.
+DEEP_TURNS = 2
+#: In place of the hash of a word: the end of a text, and what stands before it.
+END_HASH, START_HASH = 0, 1
 _WORDS = byte_table(SPACE)
 
 
@@ -180,7 +202,7 @@ def grow_tree(grams: DataFrame, depth: int, bits: int, share: float = CONTEXT_SH
     """
     masks = F.lit([(1 << (bits * d)) - 1 for d in range(depth + 1)])
     cut = grams.select(F.posexplode(masks).alias("depth", "mask"), F.shiftright("code", bits).alias("past"), F.col("code").bitwiseAND(F.lit((1 << bits) - 1)).alias("symbol"), "n")
-    by_symbol = written(cut.groupBy("depth", F.col("past").bitwiseAND(F.col("mask")).alias("context"), "symbol").agg(F.sum("n").alias("n")))
+    by_symbol = written_alone(cut.groupBy("depth", F.col("past").bitwiseAND(F.col("mask")).alias("context"), "symbol").agg(F.sum("n").alias("n")))
     totals = by_symbol.groupBy("depth", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     whole = by_symbol.filter("depth = 0").agg(F.sum("n").alias("whole"))
     frequent = written(totals.join(F.broadcast(whole)).filter(F.col("total") >= F.col("whole") * share).drop("whole"))
@@ -285,7 +307,7 @@ _TWOS = math.log2(10)
 def train(rows: DataFrame) -> tuple[Model, Spelling, DataFrame]:
     """Models from the ``held_out, text`` rows that aren't held out, and the table of all words' counts (``word_counts``)."""
     texts = rows.filter("NOT held_out").select("text")
-    counts = written(word_counts(rows))
+    counts = written_alone(word_counts(rows))
     ends = texts.select(F.count("*")).head()[0]
     once, twice, kinds, tokens = counts.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).head()
     tokens, kinds = tokens + ends, kinds + (ends > 0)
@@ -305,9 +327,9 @@ def train(rows: DataFrame) -> tuple[Model, Spelling, DataFrame]:
     discount = once / (once + 2 * twice) if once and twice else 0.5
     emissions = np.log10((n - discount) / np.maximum(in_class[of], 1))
     emissions[top] = 0.0
-    word_rows = grow_tree(written(word_grams(texts, Symbols(h[top], symbols[top]))), WORD_DEPTH, WORD_BITS).toArrow()
+    word_rows = grow_tree(written_alone(word_grams(texts, Symbols(h[top], symbols[top]))), WORD_DEPTH, WORD_BITS).toArrow()
     rare = counts.filter((F.col("n") > 0) & (F.col("n") < least_count(tokens))).select("class", "word")
-    letter_rows = grow_tree(written(letter_grams(rare)), LETTER_DEPTH, LETTER_BITS).toArrow()
+    letter_rows = grow_tree(written_alone(letter_grams(rare)), LETTER_DEPTH, LETTER_BITS).toArrow()
     word_tree = Tree.of(word_rows, WORD_DEPTH, WORD_BITS, FIRST_WORD + len(top))
     letter_tree = Tree.of(letter_rows, LETTER_DEPTH, LETTER_BITS, LETTER_START)
     return Model(h, n, symbols, emissions, tokens, kinds, ends, word_tree), Spelling(letter_tree, in_class, kinds_in_class, discount), counts
@@ -350,11 +372,243 @@ class Scorer:
         return np.diff(w.begin) + 1, sums(have).astype(np.int64) + (m.ends > 0), sums(base) + end_base, sums(score) + logs[ends - WORD_DEPTH], w.hashes[~have].view(np.int64), rare_before
 
 
-def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _joined(x: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of sequences ``x`` with one more word each."""
+    x = (x ^ (x >> np.uint64(29))) * _MIX + word
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _key_depth(alone: list[np.ndarray]) -> np.ndarray:
+    """How many of the last words name a position's bucket: up to the first that is ``alone`` enough (no symbol), or all."""
+    depth = np.full(len(alone[0]), len(alone))
+    for d in range(len(alone), 0, -1):
+        depth[alone[d - 1]] = d
+    return depth
+
+
+class _Words:
+    """Distinct words by hash, as the word tree has them: symbols, emissions (0 where the word isn't frequent), and which are frequent."""
+
+    def __init__(self, model: Model, hashes: np.ndarray, classes: np.ndarray) -> None:
+        place = np.minimum(np.searchsorted(model.hashes, hashes), max(0, len(model.hashes) - 1))
+        known = model.hashes[place] == hashes if len(model.hashes) else np.zeros(len(hashes), bool)
+        self.symbols, self.emissions = FIRST_CLASS + classes.astype(np.int64), np.zeros(len(hashes))
+        self.symbols[known], self.emissions[known] = model.symbols[place[known]], model.emissions[place[known]]
+        for h, symbol in ((END_HASH, END), (START_HASH, START)):
+            self.symbols[hashes == h], self.emissions[hashes == h] = symbol, 0.0
+        self.frequent = known | (hashes == END_HASH)
+        self.alone = (self.symbols >= FIRST_CLASS) & (self.symbols < FIRST_WORD)
+
+
+_DEALT = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("classes", pa.binary()), ("ids", pa.binary()), ("texts", pa.binary()), ("held", pa.binary()), ("of", pa.binary())])
+
+
+def _by_count(model: Model) -> np.ndarray:
+    """Frequent words, most frequent first, behind the two symbols that are no words: so numbers of most are small."""
+    return np.concatenate([np.array([END_HASH, START_HASH], np.uint64), model.hashes[np.argsort(-model.counts, kind="stable")]])
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers below 2^32, bytes of equal place side by side."""
+    return pa.compress(x.astype(np.uint32).reshape(-1, 1).view(np.uint8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Keys, flags, where each text's words begin, words and their classes, of so many texts as have ``DEAL_WORDS``."""
+    parts, n = [], 0
+    for batch in batches:
+        keys, held, done = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), 0
+        for w in words_of(batch.column(2), _WORDS, SLICE_BYTES):
+            to = done + len(w.begin) - 1
+            parts.append((keys[done:to], held[done:to], np.diff(w.begin), w.hashes, classes_of(w).astype(np.uint8)))
+            done, n = to, n + len(w.hashes)
+            if n >= DEAL_WORDS:
+                yield _one(parts)
+                parts, n = [], 0
+    if parts:
+        yield _one(parts)
+
+
+def _one(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    keys, held, sizes, hashes, classes = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return keys, held, np.concatenate([[0], np.cumsum(sizes)]), hashes, classes
+
+
+def _deal(rows: DataFrame, sent, buckets: int, depth: int, turn: int) -> DataFrame:
+    """Positions of all texts of ``key, held_out, text`` rows, each with the ``depth`` words before it, packed by bucket.
+
+    Only buckets of one ``turn`` of ``DEEP_TURNS``. A row has ``n`` positions: ``ids`` of the word and
+    those before it, latest first (twice a place among frequent words, or twice and one a place among ``hashes``
+    and ``classes`` of others), and ``of``, the place of their text among ``texts`` (keys) and ``held``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        ranked = _by_count(model)
+        order = np.argsort(ranked)
+        in_order = ranked[order]
+        for key, out, begin, every, kinds in _gathered(batches):
+            u, where, own = np.unique(every, return_index=True, return_inverse=True)
+            hashes = np.concatenate([np.array([END_HASH, START_HASH], np.uint64), u])
+            classes = np.concatenate([np.zeros(2, np.uint8), kinds[where]])
+            alone = _Words(model, hashes, classes).alone
+            found = np.minimum(np.searchsorted(in_order, hashes), len(in_order) - 1)
+            frequent, rank = in_order[found] == hashes, order[found]
+            line, at, ends = _lines(own + 2, begin, START_HASH, END_HASH, depth)
+            place = np.sort(np.concatenate([at, ends]))
+            text = np.repeat(np.arange(len(key)), np.diff(begin) + 1)
+            # what stands first in its text has no word before it
+            some = line[place - 1] != START_HASH
+            place, text = place[some], text[some]
+            deep, x, bucket = _key_depth([alone[line[place - d]] for d in range(1, depth + 1)]), np.zeros(len(place), np.uint64), np.zeros(len(place), np.int64)
+            for d in range(1, depth + 1):
+                x = _joined(x, hashes[line[place - d]])
+                bucket[deep == d] = (x[deep == d] % np.uint64(buckets)).astype(np.int64)
+            mine = np.flatnonzero(bucket % DEEP_TURNS == turn)
+            mine = mine[np.argsort(bucket[mine], kind="stable")]
+            bucket, place, text = bucket[mine], place[mine], text[mine]
+            if not len(mine):
+                continue
+            ids = np.stack([line[place - k] for k in range(depth + 1)])
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            packed = []
+            for a, b in zip(first, np.append(first[1:], len(bucket)), strict=True):
+                part = ids[:, a:b].ravel()
+                usual = frequent[part]
+                others, number = np.unique(part[~usual], return_inverse=True)
+                code = 2 * rank[part]
+                code[~usual] = 2 * number + 1
+                begins = np.diff(text[a:b], prepend=-1) > 0
+                own_texts = text[a:b][begins]
+                packed.append((bucket[a], b - a, hashes[others].tobytes(), classes[others].tobytes(), _packed(code), key[own_texts].tobytes(), out[own_texts].tobytes(), _packed(np.cumsum(begins) - 1)))
+            yield from pa.table([pa.array(c, f.type) for c, f in zip(zip(*packed, strict=True), _DEALT, strict=True)], schema=_DEALT).to_batches(max_chunksize=64)
+
+    return rows.mapInArrow(run, "bucket int, n int, hashes binary, classes binary, ids binary, texts binary, held binary, of binary")
+
+
+class Deep:
+    """A bucket of positions: what the contexts in it say of the word that follows."""
+
+    def __init__(self, words: np.ndarray, alone: np.ndarray, learnt: np.ndarray) -> None:
+        """``words``: in rows, the hashes of the words and of those before them, latest first; ``alone``: which of the latter are no symbols."""
+        self.words, self.learnt = words, learnt
+        self.first = _key_depth(list(alone))
+
+    def mixed(self) -> tuple[np.ndarray, np.ndarray]:
+        """``a, b`` of each position: its word has the probability a + b * p, with p that of the two other trees."""
+        count = self.words.shape[1]
+        a, b, x = np.zeros(count), np.ones(count), np.zeros(count, np.uint64)
+        met = np.ones(count, bool)
+        for d, new in zip(range(1, len(self.words)), NEW, strict=True):
+            x = _joined(x, self.words[d])
+            here = self.first <= d
+            # contexts that are met nowhere else, nor are longer ones: seen once, if learnt, and with this word
+            lone = here & ~met & self.learnt
+            a[lone], b[lone] = 1 - new + new * a[lone], new * b[lone]
+            at = np.flatnonzero(here & met)
+            if not len(at):
+                continue
+            learnt = self.learnt[at].astype(float)
+            own, times = np.unique(x[at], return_inverse=True, return_counts=True)[1:]
+            n = np.bincount(own, learnt)
+            _, some, pair = np.unique(_joined(x[at], self.words[0, at]), return_index=True, return_inverse=True)
+            both = np.bincount(pair, learnt)
+            kinds = np.bincount(own[some], both > 0, minlength=len(n))
+            seen = n[own] > 0
+            n_at, at_seen = n[own][seen], at[seen]
+            left = (kinds[own][seen] - 1 + NEW_WEIGHT * new) / (n_at - 1 + NEW_WEIGHT)
+            a[at_seen] = (1 - left) * both[pair][seen] / n_at + left * a[at_seen]
+            b[at_seen] *= left
+            met[at] = times[own] > 1
+        return a, b
+
+
+def deep_gains(rows: DataFrame, model: Model, known: DataFrame, depth: int) -> DataFrame:
+    """``key, gain``: what contexts of up to ``depth`` words add to the score of all ``key, held_out, text`` rows of a key together.
+
+    ``known`` has ``h, log`` of words that aren't frequent, log10 of their probability in their class.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    at_once = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(model.tokens / BUCKET_POSITIONS / DEEP_TURNS))
+    arrow = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("t", pa.float64()), ("gain", pa.float64())])
+
+    def mixed(blocks: list[dict], ranked: np.ndarray) -> Iterator[pa.RecordBatch]:
+        model, parts = sent.value, []
+        usual = _Words(model, ranked, np.zeros(len(ranked), np.uint8))
+        for r in blocks:
+            code = _unpacked(r["ids"], r["n"] * (depth + 1)).reshape(depth + 1, r["n"])
+            others = np.frombuffer(r["hashes"], np.uint64)
+            w = _Words(model, others, np.frombuffer(r["classes"], np.uint8))
+            # places among frequent words, then among the others
+            ids = np.where(code & 1, len(ranked) + (code >> 1), code >> 1)
+            take = lambda c, k: np.concatenate([getattr(usual, c), getattr(w, c)])[k]  # noqa: B023, E731
+            symbols = take("symbols", ids[: WORD_DEPTH + 1])
+            past = np.zeros(r["n"], np.int64)
+            for d in range(WORD_DEPTH, 0, -1):
+                past = past << WORD_BITS | symbols[d]
+            logs = model.word_tree.logs[model.word_tree.states(past), symbols[0]] + take("emissions", ids[0])
+            of = _unpacked(r["of"], r["n"])
+            words, alone = np.concatenate([ranked, others])[ids], take("alone", ids[1:])
+            # equal contexts are in one part: it goes by the words that name the bucket
+            deep, named = _key_depth(list(alone)), np.zeros(r["n"], np.uint64)
+            for d in range(1, depth + 1):
+                named = np.where(deep >= d, _joined(named, words[d]), named)
+            parts.append((words, alone, ~np.frombuffer(r["held"], bool)[of], np.frombuffer(r["texts"], np.int64)[of], logs, take("frequent", ids[0]), (named >> np.uint64(40)).astype(np.int64) % PARTS))
+        for part in range(PARTS):
+            yield from told_of(*(np.concatenate([p[k][..., p[-1] == part] for p in parts], axis=-1) for k in range(6)))
+
+    def told_of(words: np.ndarray, alone: np.ndarray, learnt: np.ndarray, key: np.ndarray, logs: np.ndarray, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = Deep(words, alone, learnt).mixed()
+        # nothing said of the word: its probability only shrinks, whatever it is
+        now = frequent | (a == 0)
+        gain = np.log10(np.where(now, a, 0) * 10.0 ** -np.where(now, logs, 0) + b)
+        told, of = np.unique(key[now & (b < 1)], return_inverse=True)
+        yield from _batches(arrow, told, None, None, None, None, np.bincount(of, gain[now & (b < 1)], minlength=len(told)))
+        rare = ~now
+        yield from _batches(arrow, key[rare], words[0, rare].view(np.int64), a[rare], b[rare], logs[rare], None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: list[dict] = []
+        ranked = _by_count(sent.value)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                if blocks and blocks[0]["bucket"] != r["bucket"]:
+                    yield from mixed(blocks, ranked)
+                    blocks = []
+                blocks.append(r)
+        if blocks:
+            yield from mixed(blocks, ranked)
+
+    told = None
+    for turn in range(DEEP_TURNS):
+        dealt = _deal(rows, sent, at_once * DEEP_TURNS, depth, turn).repartition(at_once, "bucket").sortWithinPartitions("bucket")
+        part = written_alone(dealt.mapInArrow(run, "key long, h long, a double, b double, t double, gain double"))
+        told = part if told is None else told.union(part)
+    rare = told.filter("h IS NOT NULL").join(known.select("h", "log"), "h").select("key", F.log10(F.col("a") * F.pow(F.lit(10.0), -F.col("t") - F.col("log")) + F.col("b")).alias("gain"))
+    return told.filter("h IS NULL").select("key", "gain").union(rare).groupBy("key").agg(F.sum("gain").alias("gain"))
+
+
+def _batches(schema: pa.Schema, *columns: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    n = len(columns[0])
+    yield from pa.table([pa.nulls(n, f.type) if c is None else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema).to_batches(max_chunksize=50_000)
+
+
+def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text", depth: int = 0) -> DataFrame:
     """Scores of all texts by a model of those that aren't held out.
 
     Args:
         docs: rows with an id, a text and a boolean column ``held_out``.
+        depth: most words of contexts of any words, 0 (only contexts of the word tree's symbols count) or ``DEEP``.
 
     Returns:
         ``id_col, held_out boolean, n_tokens, n_known, train_tokens long, base_score, score
@@ -364,10 +618,13 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
         empty. Ids may repeat or be null. Without training rows the trees are uniform.
     """
     rows = docs.select(F.col(id_col), F.col(held_out).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    if depth:
+        # equal texts score equally, so that texts find their gains whatever order rows are read in
+        rows = rows.withColumn("__key", F.xxhash64("__text"))
     model, spelling, counts = train(rows.select("held_out", F.col("__text").alias("text")))
     sc = docs.sparkSession.sparkContext
     sent, spell = sc.broadcast(model), sc.broadcast(spelling)
-    schema = T.StructType([*rows.schema[:2]]).add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double").add("rare", T.ArrayType(T.LongType()))
+    schema = T.StructType([*rows.schema[:2], *rows.schema[3:]]).add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double").add("rare", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
@@ -378,7 +635,7 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
                 part = batch.slice(at, len(w.begin) - 1)
                 at += part.num_rows
                 rare = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(rare))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, numbers), rare], names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *part.columns[3:], *map(pa.array, numbers), rare], names=schema.fieldNames())
 
     def log_in_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -393,6 +650,11 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
     unit = math.log10(model.tokens + model.kinds + 1)
     more = rare.join(known, "h").groupBy("__row").agg(F.count_if(F.col("n") > 0).alias("__known"), F.sum(F.log10(F.col("n") + 1) - unit).alias("__base"), F.sum("log").alias("__score"))
     out = scored.drop("rare").join(more, "__row", "left")
+    if depth:
+        gains = deep_gains(rows.select("__key", "held_out", "__text"), model, known, depth)
+        copies = scored.groupBy("__key").agg(F.count("*").alias("__copies"))
+        gains = written_alone(gains.join(copies, F.col("key") == F.col("__key")).select("__key", (F.col("gain") / F.col("__copies")).alias("__gain")))
+        out = out.join(gains, "__key", "left").withColumn("score", F.col("score") + F.coalesce("__gain", F.lit(0)))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select(
         id_col, "held_out", "n_tokens", (F.col("n_known") + zero("__known")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
@@ -403,4 +665,4 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
 def op9_suffix_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
-    return score(docs.withColumn("held_out", held), "held_out")
+    return score(docs.withColumn("held_out", held), "held_out", depth=DEEP)

@@ -30,6 +30,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_alone(df: DataFrame) -> DataFrame:
+    """``written``, after which Spark removes the shuffle files that it took."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return written(df)
+    finally:
+        conf.set(name, before)
+
+
 def written_in_buckets(df: DataFrame, by: list[str], buckets: int) -> DataFrame:
     """``written``, as a table in buckets: joins on ``by`` meet its rows without moving them."""
     path = shared_dir(df.sparkSession)
