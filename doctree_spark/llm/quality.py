@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from operator import eq
 
@@ -39,6 +39,8 @@ RATE = 0.1
 #: Letters of a word that count as its beginning.
 HEAD = 4
 CACHE_WORDS = 500_000
+#: Rated documents whose features the fit looks at together.
+PIECE_ROWS = 1000
 
 _WORD = re.compile(r"\w+")
 _KINDS = 8
@@ -107,13 +109,25 @@ def fit(sizes: np.ndarray, flat: np.ndarray, x: np.ndarray, grade: np.ndarray, g
 
     ``flat`` and ``x`` are the buckets and values of all rows behind each other, ``sizes`` of each.
     """
-    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    seen = np.bincount(flat, minlength=features)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    pieces = [(slice(begin[a], begin[min(a + PIECE_ROWS, len(sizes))]), np.arange(a, min(a + PIECE_ROWS, len(sizes)), dtype=np.int32)) for a in range(0, len(sizes), PIECE_ROWS)]
+    return _fit([(rows, sizes[rows], flat[at], x[at]) for at, rows in pieces], grade, grades, features, least, rounds, ridge)
+
+
+def _fit(pieces: Sequence[tuple[np.ndarray, ...]], grade: np.ndarray, grades: int, features: int, least: int = LEAST_DOCS, rounds: int = ROUNDS, ridge: float = RIDGE) -> Model:
+    """``fit`` of pieces: numbers of some rows in order, their sizes, buckets and values. Only values that the fit uses are held in wide types."""
+    seen, off = np.zeros(features, np.int64), np.zeros(features)
+    for rows, sizes, flat, _ in pieces:
+        seen += np.bincount(flat, minlength=features)
+        off += np.bincount(flat, np.repeat(grade[rows] - grade.mean(), sizes), minlength=features)
     # of the word buckets, those whose documents' mean grade is far from the overall mean
-    apart = np.abs(np.bincount(flat, grade[row] - grade.mean(), minlength=features)) / (np.sqrt(np.maximum(seen, 1)) * max(grade.std(), 1e-9))
-    use = ((seen >= least) & (apart >= APART) | (np.arange(features) >= features - _SHAPES))[flat]
-    flat, x, row = flat[use], x[use].astype(float), row[use]
-    own, flat = np.unique(flat, return_inverse=True)
+    apart = np.abs(off) / (np.sqrt(np.maximum(seen, 1)) * max(grade.std(), 1e-9))
+    used, kept = (seen >= least) & (apart >= APART) | (np.arange(features) >= features - _SHAPES), []
+    for rows, sizes, flat, x in pieces:
+        use = used[flat]
+        kept.append((rows, np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[use], flat[use], x[use]))
+    own = np.flatnonzero(np.bincount(np.concatenate([np.unique(flat) for _, _, flat, _ in kept]), minlength=features))
+    kept = [(rows, row, np.searchsorted(own, flat).astype(np.int32), x) for rows, row, flat, x in kept]
     n, m = len(grade), grades - 1
     w = np.zeros(len(own))
     share = np.array([(grade < k).mean() for k in range(1, grades)]).clip(0.01, 0.99)
@@ -122,7 +136,9 @@ def fit(sizes: np.ndarray, flat: np.ndarray, x: np.ndarray, grade: np.ndarray, g
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (w, theta)]
     for t in range(1, rounds + 1):
         cuts = np.concatenate([theta[:1], theta[0] + np.cumsum(np.exp(theta[1:]))])
-        s = np.bincount(row, x * w[flat], minlength=n)
+        s = np.empty(n)
+        for rows, row, flat, x in kept:
+            s[rows] = np.bincount(row, x * w[flat], minlength=len(rows))
         edges = np.concatenate([[-np.inf], cuts, [np.inf]])
         with np.errstate(over="ignore"):
             low, high = (1 / (1 + np.exp(-np.clip(edges[grade + k] - s, -40, 40))) for k in (0, 1))
@@ -130,7 +146,9 @@ def fit(sizes: np.ndarray, flat: np.ndarray, x: np.ndarray, grade: np.ndarray, g
         p = np.maximum(high - low, 1e-12)
         by_score = 1 - low - high
         by_cut = np.bincount(grade, -high * (1 - high) / p, minlength=grades)[:m] + np.bincount(grade, low * (1 - low) / p, minlength=grades)[1:]
-        grad_w = np.bincount(flat, x * by_score[row], minlength=len(own)) + ridge * w
+        grad_w = ridge * w
+        for rows, row, flat, x in kept:
+            grad_w += np.bincount(flat, x * by_score[rows][row], minlength=len(own))
         grad_t = np.concatenate([[by_cut.sum()], np.cumsum(by_cut[::-1])[::-1][1:] * np.exp(theta[1:])])
         for p_, g, (a, b) in zip((w, theta), (grad_w, grad_t), moments, strict=True):
             a += 0.1 * (g - a)
@@ -150,21 +168,48 @@ def train(docs: DataFrame, rated: DataFrame, grades: int, sample: int = SAMPLE)
     """
     chosen = rated.filter("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    schema = T.StructType().add("doc_id", "long").add("grade", "integer").add("index", T.ArrayType(T.IntegerType())).add("value", T.ArrayType(T.FloatType()))
+    schema = T.StructType().add("doc_id", "long").add("grade", "integer").add("index", T.ArrayType(T.IntegerType())).add("shapes", T.ArrayType(T.FloatType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
             found = [features(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i[:-_SHAPES].astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([v[-_SHAPES:].astype(np.float32) for _, v in found], pa.list_(pa.float32()))], names=schema.fieldNames())
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade"))), "doc_id").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("text").alias("text"))
-    got = rows.mapInArrow(run, schema).toArrow().combine_chunks().sort_by("doc_id")
+    got = rows.mapInArrow(run, schema).toArrow()
     if not got.num_rows:
         return None
-    index, value = (got.column(c).combine_chunks() for c in ("index", "value"))
-    return fit(index.value_lengths().to_numpy(), index.flatten().to_numpy(), value.flatten().to_numpy(), got.column("grade").to_numpy().astype(np.int64), grades, Features().size)
+    # the table is neither joined nor sorted as a whole: a piece of it at a time is brought into order and widened
+    ids = got.column("doc_id").to_numpy()
+    model = _fit(_Pieces(got.select(["index", "shapes"]), np.argsort(ids)), got.column("grade").to_numpy().astype(np.int64)[np.argsort(ids)], grades, Features().size)
+    del got
+    pa.default_memory_pool().release_unused()
+    return model
+
+
+class _Pieces(Sequence):
+    """Rows of a table with ``index`` (buckets of words, of value 1) and ``shapes`` (values of the other features), in an order, as ``_fit`` takes them."""
+
+    def __init__(self, table: pa.Table, order: np.ndarray) -> None:
+        self.table, self.order = table, order
+
+    def __len__(self) -> int:
+        return -(-len(self.order) // PIECE_ROWS)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, ...]:
+        if k >= len(self):
+            raise IndexError(k)
+        at = self.order[k * PIECE_ROWS : (k + 1) * PIECE_ROWS]
+        piece = self.table.take(pa.array(at)).combine_chunks()
+        index, shapes = (piece.column(c).combine_chunks() for c in range(2))
+        words = index.value_lengths().to_numpy().astype(np.int64)
+        ends, others = np.cumsum(words), Features().words + np.arange(_SHAPES, dtype=np.int32)
+        # behind the words of a row its other features
+        flat = np.insert(index.flatten().to_numpy(), np.repeat(ends, _SHAPES), np.tile(others, len(at)))
+        x = np.insert(np.ones(ends[-1], np.float32), np.repeat(ends, _SHAPES), shapes.flatten().to_numpy())
+        return k * PIECE_ROWS + np.arange(len(at), dtype=np.int32), words + _SHAPES, flat, x
 
 
 def score(docs: DataFrame, model: Model | None, grades: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
