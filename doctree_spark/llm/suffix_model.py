@@ -68,7 +68,7 @@ DEEP = 4
 NEW = (0.98, 0.9, 0.5, 0.15)
 NEW_WEIGHT = 2.0
 #: Words whose positions go to the buckets together, positions of a bucket, in the mean, and parts in which a task mixes one.
-DEAL_WORDS = 1_500_000
+DEAL_WORDS = 750_000
 BUCKET_POSITIONS = 500_000
 PARTS = 4
 #: Buckets are dealt in turns, one behind the other, so that not all positions lie on disk at once.
