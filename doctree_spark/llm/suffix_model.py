@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,12 +68,11 @@ DEEP = 4
 #: ... chance that one of 1, 2, ... words that was seen once goes on with another word, and how many occurrences that counts for.
 NEW = (0.98, 0.9, 0.5, 0.15)
 NEW_WEIGHT = 2.0
-#: Words whose positions go to the buckets together, positions of a bucket, in the mean, and parts in which a task mixes one.
+#: Words whose positions go to the buckets together, and positions of a bucket, in the mean.
 DEAL_WORDS = 750_000
 BUCKET_POSITIONS = 500_000
-PARTS = 4
 #: Buckets are dealt in turns, one behind the other, so that not all positions lie on disk at once.
-DEEP_TURNS = 2
+DEEP_TURNS = 3
 #: In place of the hash of a word: the end of a text, and what stands before it.
 END_HASH, START_HASH = 0, 1
 _WORDS = byte_table(SPACE)
@@ -404,7 +404,15 @@ class _Words:
         self.alone = (self.symbols >= FIRST_CLASS) & (self.symbols < FIRST_WORD)
 
 
-_DEALT = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("classes", pa.binary()), ("ids", pa.binary()), ("texts", pa.binary()), ("held", pa.binary()), ("of", pa.binary())])
+_BLOCK = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("held", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("hashes", pa.binary()), ("classes", pa.binary())])
+_DEALT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("texts", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("classes", pa.binary()), ("ids", pa.binary()), ("of", pa.binary()), ("learnt", pa.binary())])
+_TOLD = pa.schema([("block", pa.int64()), ("sums", pa.binary()), ("row", pa.int64()), ("h", pa.int64()), ("a", pa.float32()), ("b", pa.float32())])
+_GAINS = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("gain", pa.float64())])
+#: A text's number is its block's and, in so many bits, its place there; a block's is its task's and its place there.
+TEXT_BITS, BLOCK_BITS = 22, 24
+#: Buckets of a task in the mean, and texts whose sums it holds at a time.
+TASK_BUCKETS = 2
+HELD_TEXTS = 1 << 20
 
 
 def _by_count(model: Model) -> np.ndarray:
@@ -422,15 +430,23 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows, one at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Keys, flags, where each text's words begin, words and their classes, of so many texts as have ``DEAL_WORDS``."""
+    """Keys, flags and sizes of texts, their words and the words' classes, of so many texts as have ``DEAL_WORDS`` with their ends."""
     parts, n = [], 0
     for batch in batches:
         keys, held, done = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), 0
         for w in words_of(batch.column(2), _WORDS, SLICE_BYTES):
             to = done + len(w.begin) - 1
             parts.append((keys[done:to], held[done:to], np.diff(w.begin), w.hashes, classes_of(w).astype(np.uint8)))
-            done, n = to, n + len(w.hashes)
+            n += to - done + len(w.hashes)
+            done = to
             if n >= DEAL_WORDS:
                 yield _one(parts)
                 parts, n = [], 0
@@ -439,167 +455,245 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, .
 
 
 def _one(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    keys, held, sizes, hashes, classes = (np.concatenate(c) for c in zip(*parts, strict=True))
-    return keys, held, np.concatenate([[0], np.cumsum(sizes)]), hashes, classes
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def _deal(rows: DataFrame, sent, buckets: int, depth: int, turn: int) -> DataFrame:
-    """Positions of all texts of ``key, held_out, text`` rows, each with the ``depth`` words before it, packed by bucket.
+def in_blocks(rows: DataFrame, sent) -> DataFrame:
+    """Texts of ``key, held_out, text`` rows, many in a row: ``keys``, ``held``, their ``sizes`` in words, and the words' ``codes``.
 
-    Only buckets of one ``turn`` of ``DEEP_TURNS``. A row has ``n`` positions: ``ids`` of the word and
-    those before it, latest first (twice a place among frequent words, or twice and one a place among ``hashes``
-    and ``classes`` of others), and ``of``, the place of their text among ``texts`` (keys) and ``held``.
+    A code is twice a place among frequent words, or twice and one a place among ``hashes`` and ``classes`` of others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        ranked = _by_count(model)
+        ranked = _by_count(sent.value)
         order = np.argsort(ranked)
-        in_order = ranked[order]
-        for key, out, begin, every, kinds in _gathered(batches):
-            u, where, own = np.unique(every, return_index=True, return_inverse=True)
-            hashes = np.concatenate([np.array([END_HASH, START_HASH], np.uint64), u])
-            classes = np.concatenate([np.zeros(2, np.uint8), kinds[where]])
-            alone = _Words(model, hashes, classes).alone
-            found = np.minimum(np.searchsorted(in_order, hashes), len(in_order) - 1)
-            frequent, rank = in_order[found] == hashes, order[found]
-            line, at, ends = _lines(own + 2, begin, START_HASH, END_HASH, depth)
-            place = np.sort(np.concatenate([at, ends]))
-            text = np.repeat(np.arange(len(key)), np.diff(begin) + 1)
+        in_order, task = ranked[order], TaskContext.get().partitionId()
+        for block, (keys, held, sizes, every, kinds) in enumerate(_gathered(batches)):
+            u, own = np.unique(every, return_inverse=True)
+            classes = np.zeros(len(u), np.uint8)
+            classes[own] = kinds
+            found = np.minimum(np.searchsorted(in_order, u), len(in_order) - 1)
+            rare = in_order[found] != u
+            code = 2 * order[found]
+            code[rare] = 2 * np.arange(np.count_nonzero(rare)) + 1
+            columns = task << BLOCK_BITS | block, keys.tobytes(), held.tobytes(), _packed(sizes), _packed(code[own]), u[rare].tobytes(), classes[rare].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, _BLOCK, strict=True)], schema=_BLOCK)
+
+    return rows.mapInArrow(run, "block long, keys binary, held binary, sizes binary, codes binary, hashes binary, classes binary")
+
+
+def _deal(blocks: DataFrame, sent, buckets: int, depth: int, turn: int) -> DataFrame:
+    """Positions of all texts of ``in_blocks``, each with the ``depth`` words before it, packed by bucket.
+
+    Only buckets of one ``turn`` of ``DEEP_TURNS``. A row has ``n`` positions of a block of ``texts``, in their order:
+    ``ids``, codes of the word and those before it, latest first, by ``hashes`` and ``classes`` of the row; ``of``, the
+    steps from text to text; and a bit for those ``learnt``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranked = _by_count(sent.value)
+        usual = _Words(sent.value, ranked, np.zeros(len(ranked), np.uint8)).alone
+        for r in _each(batches):
+            sizes = _unpacked(r["sizes"], len(r["held"])).astype(np.int64)
+            begin = np.concatenate([[0], np.cumsum(sizes)])
+            others, classes = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["classes"], np.uint8)
+            hashes, alone = np.concatenate([ranked, others]), np.concatenate([usual, np.ones(len(others), bool)])
+            x = _joined(np.zeros(len(hashes), np.uint64), hashes)
+            by_word = np.where(alone, (x % np.uint64(buckets)).astype(np.int64), -1)
+            # codes 0 and 2 are the end and what stands before a text
+            line, at, ends = _lines(_unpacked(r["codes"], begin[-1]), begin, 2, 0, depth)
+            line = line.astype(np.uint32)
+            ids = np.where(line & 1, len(ranked) + (line >> 1), line >> 1)
+            here = np.zeros(len(line), bool)
+            here[at], here[ends] = True, True
             # what stands first in its text has no word before it
-            some = line[place - 1] != START_HASH
-            place, text = place[some], text[some]
-            deep, x, bucket = _key_depth([alone[line[place - d]] for d in range(1, depth + 1)]), np.zeros(len(place), np.uint64), np.zeros(len(place), np.int64)
-            for d in range(1, depth + 1):
-                x = _joined(x, hashes[line[place - d]])
-                bucket[deep == d] = (x[deep == d] % np.uint64(buckets)).astype(np.int64)
+            here[begin[:-1] + np.arange(len(sizes)) * (depth + 1) + depth] = False
+            place = np.flatnonzero(here)
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            bucket = by_word[ids[place - 1]]
+            rest = np.flatnonzero(bucket < 0)
+            named = x[ids[place[rest] - 1]]
+            for d in range(2, depth + 1):
+                word = ids[place[rest] - d]
+                named = _joined(named, hashes[word])
+                last = alone[word] | (d == depth)
+                bucket[rest[last]] = (named[last] % np.uint64(buckets)).astype(np.int64)
+                rest, named = rest[~last], named[~last]
             mine = np.flatnonzero(bucket % DEEP_TURNS == turn)
-            mine = mine[np.argsort(bucket[mine], kind="stable")]
-            bucket, place, text = bucket[mine], place[mine], text[mine]
             if not len(mine):
                 continue
-            ids = np.stack([line[place - k] for k in range(depth + 1)])
+            mine = mine[np.argsort(bucket[mine].astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")]
+            bucket, place, text = bucket[mine], place[mine], text[mine]
             first = np.flatnonzero(np.diff(bucket, prepend=-1))
-            packed = []
-            for a, b in zip(first, np.append(first[1:], len(bucket)), strict=True):
-                part = ids[:, a:b].ravel()
-                usual = frequent[part]
-                others, number = np.unique(part[~usual], return_inverse=True)
-                code = 2 * rank[part]
-                code[~usual] = 2 * number + 1
-                begins = np.diff(text[a:b], prepend=-1) > 0
-                own_texts = text[a:b][begins]
-                packed.append((bucket[a], b - a, hashes[others].tobytes(), classes[others].tobytes(), _packed(code), key[own_texts].tobytes(), out[own_texts].tobytes(), _packed(np.cumsum(begins) - 1)))
+            edges = np.append(first, len(bucket))
+            code = np.concatenate([line[place - k] for k in range(depth + 1)])
+            # others have their place among those of their row
+            odd = np.flatnonzero(code & 1)
+            in_row = np.repeat(np.arange(len(first)), np.diff(edges))[odd % len(place)]
+            pairs, number = np.unique(in_row * len(others) + (code[odd] >> 1), return_inverse=True)
+            begins = np.searchsorted(pairs, np.arange(len(first) + 1) * len(others))
+            code[odd] = 2 * (number - begins[in_row]) + 1
+            code, own = code.reshape(depth + 1, -1), pairs % max(1, len(others))
+            learnt, packed = np.frombuffer(r["held"], np.uint8)[text] == 0, []
+            for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                some = own[begins[k] : begins[k + 1]]
+                packed.append((bucket[a], r["block"], len(sizes), b - a, others[some].tobytes(), classes[some].tobytes(), _packed(code[:, a:b].ravel()), _packed(np.diff(text[a:b], prepend=0)), np.packbits(learnt[a:b]).tobytes()))
             yield from pa.table([pa.array(c, f.type) for c, f in zip(zip(*packed, strict=True), _DEALT, strict=True)], schema=_DEALT).to_batches(max_chunksize=64)
 
-    return rows.mapInArrow(run, "bucket int, n int, hashes binary, classes binary, ids binary, texts binary, held binary, of binary")
+    return blocks.mapInArrow(run, "bucket int, block long, texts int, n int, hashes binary, classes binary, ids binary, of binary, learnt binary")
 
 
 class Deep:
     """A bucket of positions: what the contexts in it say of the word that follows."""
 
     def __init__(self, words: np.ndarray, alone: np.ndarray, learnt: np.ndarray) -> None:
-        """``words``: in rows, the hashes of the words and of those before them, latest first; ``alone``: which of the latter are no symbols."""
+        """``words``: in rows, the words (hashes, or numbers in 32 bits) and those before them, latest first; ``alone``: which of the latter are no symbols."""
+        if words.dtype.itemsize > 4:
+            words = np.unique(words, return_inverse=True)[1].reshape(words.shape).astype(np.int32)
         self.words, self.learnt = words, learnt
         self.first = _key_depth(list(alone))
 
     def mixed(self) -> tuple[np.ndarray, np.ndarray]:
         """``a, b`` of each position: its word has the probability a + b * p, with p that of the two other trees."""
         count = self.words.shape[1]
-        a, b, x = np.zeros(count), np.ones(count), np.zeros(count, np.uint64)
-        met = np.ones(count, bool)
+        a, b, met = np.zeros(count), np.ones(count), np.ones(count, bool)
+        # positions whose context is met elsewhere, and the numbers of these contexts
+        at, group = np.arange(count), np.zeros(count, np.int64)
+        bits = int(self.words.max(initial=1)).bit_length()
         for d, new in zip(range(1, len(self.words)), NEW, strict=True):
-            x = _joined(x, self.words[d])
             here = self.first <= d
             # contexts that are met nowhere else, nor are longer ones: seen once, if learnt, and with this word
             lone = here & ~met & self.learnt
             a[lone], b[lone] = 1 - new + new * a[lone], new * b[lone]
-            at = np.flatnonzero(here & met)
             if not len(at):
                 continue
-            learnt = self.learnt[at].astype(float)
-            own, times = np.unique(x[at], return_inverse=True, return_counts=True)[1:]
-            n = np.bincount(own, learnt)
-            _, some, pair = np.unique(_joined(x[at], self.words[0, at]), return_index=True, return_inverse=True)
-            both = np.bincount(pair, learnt)
-            kinds = np.bincount(own[some], both > 0, minlength=len(n))
-            seen = n[own] > 0
-            n_at, at_seen = n[own][seen], at[seen]
-            left = (kinds[own][seen] - 1 + NEW_WEIGHT * new) / (n_at - 1 + NEW_WEIGHT)
-            a[at_seen] = (1 - left) * both[pair][seen] / n_at + left * a[at_seen]
-            b[at_seen] *= left
-            met[at] = times[own] > 1
+            context = group << bits | self.words[d, at]
+            if int(context.max()).bit_length() + bits > 63:
+                context = np.unique(context, return_inverse=True)[1]
+            key = context << bits | self.words[0, at]
+            order = np.argsort(key)
+            key, at = key[order], at[order]
+            new_pair, new_context = np.diff(key, prepend=-1) != 0, np.diff(key >> bits, prepend=-1) != 0
+            pair, own = np.cumsum(new_pair) - 1, np.cumsum(new_context) - 1
+            pairs, contexts = np.flatnonzero(new_pair), np.flatnonzero(new_context)
+            learnt = np.concatenate([[0], np.cumsum(self.learnt[at])])
+            both, n = (np.diff(learnt[np.append(begins, len(at))]) for begins in (pairs, contexts))
+            kinds = np.bincount(own[pairs], both > 0, minlength=len(contexts))
+            left = np.where((n > 0) & here[at[contexts]], (kinds - 1 + NEW_WEIGHT * new) / (np.maximum(n, 1) - 1 + NEW_WEIGHT), 1.0)
+            says = (1 - left[own[pairs]]) * both / np.maximum(n, 1)[own[pairs]]
+            left = left[own]
+            a[at] = says[pair] + left * a[at]
+            b[at] *= left
+            again = (np.diff(contexts, append=len(at)) > 1)[own]
+            met[at[~again]] = False
+            at, group = at[again], own[again]
         return a, b
 
 
+class _Mixer:
+    """Scores buckets of positions of ``_deal``, and adds up what is said of each text."""
+
+    def __init__(self, model: Model, depth: int) -> None:
+        self.model, self.depth, self.ranked = model, depth, _by_count(model)
+        self.usual = _Words(model, self.ranked, np.zeros(len(self.ranked), np.uint8))
+        self.states = model.word_tree.states(np.arange(1 << (WORD_BITS * WORD_DEPTH)))
+        # sums of texts, by block
+        self.sums: dict[int, np.ndarray] = {}
+
+    def of(self, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        """Rows of the positions of one bucket whose words aren't frequent; gains of all others go to the sums."""
+        sizes = np.array([r["n"] for r in rows])
+        code = np.concatenate([_unpacked(r["ids"], r["n"] * (self.depth + 1)).reshape(-1, r["n"]) for r in rows], axis=1)
+        text = np.concatenate([np.cumsum(_unpacked(r["of"], r["n"]), dtype=np.int64) for r in rows])
+        learnt = np.concatenate([np.unpackbits(np.frombuffer(r["learnt"], np.uint8), count=r["n"]) for r in rows]).astype(bool)
+        hashes = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+        others, number = np.unique(np.concatenate(hashes), return_inverse=True)
+        classes, count = np.zeros(len(others), np.int64), len(text)
+        classes[number] = np.frombuffer(b"".join(r["classes"] for r in rows), np.uint8)
+        ids = (code >> 1).astype(np.int32).ravel()
+        odd = np.flatnonzero(code.ravel() & 1)
+        before = np.repeat(np.cumsum([0, *map(len, hashes[:-1])]), sizes)
+        ids[odd] = len(self.ranked) + number[before[odd % count] + ids[odd]]
+        ids = ids.reshape(code.shape)
+        with_others = lambda of_usual, x: np.concatenate([of_usual, x])
+        symbols = with_others(self.usual.symbols, FIRST_CLASS + classes)
+        past = np.zeros(count, np.int64)
+        for d in range(WORD_DEPTH, 0, -1):
+            past = past << WORD_BITS | symbols[ids[d]]
+        logs = self.model.word_tree.logs[self.states[past], symbols[ids[0]]] + with_others(self.usual.emissions, np.zeros(len(others)))[ids[0]]
+        a, b = Deep(ids, with_others(self.usual.alone, np.ones(len(others), bool))[ids[1:]], learnt).mixed()
+        # nothing said of the word: its probability only shrinks, whatever it is
+        now = with_others(self.usual.frequent, np.zeros(len(others), bool))[ids[0]] | (a == 0)
+        a *= 10.0**-logs
+        gain = np.where(now, np.log10(a + b), 0.0)
+        texts = np.array([r["texts"] for r in rows])
+        sums = np.bincount(np.repeat(np.cumsum(texts) - texts, sizes) + text, gain, minlength=texts.sum())
+        for r, part in zip(rows, np.split(sums, np.cumsum(texts)[:-1]), strict=True):
+            self.sums[r["block"]] = self.sums.get(r["block"], 0) + part
+        rare = np.flatnonzero(~now)
+        block = np.repeat(np.array([r["block"] for r in rows]), sizes)[rare]
+        yield from _batches(_TOLD, None, None, block << TEXT_BITS | text[rare], others[ids[0, rare] - len(self.ranked)].view(np.int64), a[rare].astype(np.float32), b[rare].astype(np.float32))
+
+    def told(self) -> Iterator[pa.RecordBatch]:
+        """The sums so far, a row for each block; they begin anew."""
+        for block, sums in self.sums.items():
+            columns = block, sums.astype(np.float32).tobytes(), None, None, None, None
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, _TOLD, strict=True)], schema=_TOLD)
+        self.sums = {}
+
+
 def deep_gains(rows: DataFrame, model: Model, known: DataFrame, depth: int) -> DataFrame:
     """``key, gain``: what contexts of up to ``depth`` words add to the score of all ``key, held_out, text`` rows of a key together.
 
     ``known`` has ``h, log`` of words that aren't frequent, log10 of their probability in their class.
     """
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-    at_once = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(model.tokens / BUCKET_POSITIONS / DEEP_TURNS))
-    arrow = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("t", pa.float64()), ("gain", pa.float64())])
-
-    def mixed(blocks: list[dict], ranked: np.ndarray) -> Iterator[pa.RecordBatch]:
-        model, parts = sent.value, []
-        usual = _Words(model, ranked, np.zeros(len(ranked), np.uint8))
-        for r in blocks:
-            code = _unpacked(r["ids"], r["n"] * (depth + 1)).reshape(depth + 1, r["n"])
-            others = np.frombuffer(r["hashes"], np.uint64)
-            w = _Words(model, others, np.frombuffer(r["classes"], np.uint8))
-            # places among frequent words, then among the others
-            ids = np.where(code & 1, len(ranked) + (code >> 1), code >> 1)
-            take = lambda c, k: np.concatenate([getattr(usual, c), getattr(w, c)])[k]  # noqa: B023, E731
-            symbols = take("symbols", ids[: WORD_DEPTH + 1])
-            past = np.zeros(r["n"], np.int64)
-            for d in range(WORD_DEPTH, 0, -1):
-                past = past << WORD_BITS | symbols[d]
-            logs = model.word_tree.logs[model.word_tree.states(past), symbols[0]] + take("emissions", ids[0])
-            of = _unpacked(r["of"], r["n"])
-            words, alone = np.concatenate([ranked, others])[ids], take("alone", ids[1:])
-            # equal contexts are in one part: it goes by the words that name the bucket
-            deep, named = _key_depth(list(alone)), np.zeros(r["n"], np.uint64)
-            for d in range(1, depth + 1):
-                named = np.where(deep >= d, _joined(named, words[d]), named)
-            parts.append((words, alone, ~np.frombuffer(r["held"], bool)[of], np.frombuffer(r["texts"], np.int64)[of], logs, take("frequent", ids[0]), (named >> np.uint64(40)).astype(np.int64) % PARTS))
-        for part in range(PARTS):
-            yield from told_of(*(np.concatenate([p[k][..., p[-1] == part] for p in parts], axis=-1) for k in range(6)))
-
-    def told_of(words: np.ndarray, alone: np.ndarray, learnt: np.ndarray, key: np.ndarray, logs: np.ndarray, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b = Deep(words, alone, learnt).mixed()
-        # nothing said of the word: its probability only shrinks, whatever it is
-        now = frequent | (a == 0)
-        gain = np.log10(np.where(now, a, 0) * 10.0 ** -np.where(now, logs, 0) + b)
-        told, of = np.unique(key[now & (b < 1)], return_inverse=True)
-        yield from _batches(arrow, told, None, None, None, None, np.bincount(of, gain[now & (b < 1)], minlength=len(told)))
-        rare = ~now
-        yield from _batches(arrow, key[rare], words[0, rare].view(np.int64), a[rare], b[rare], logs[rare], None)
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast(model)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at_once = max(least, math.ceil(model.tokens / BUCKET_POSITIONS / DEEP_TURNS))
+    tasks = max(least, math.ceil(at_once / TASK_BUCKETS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: list[dict] = []
-        ranked = _by_count(sent.value)
-        for batch in batches:
-            for k in range(batch.num_rows):
-                r = batch.slice(k, 1).to_pylist()[0]
-                if blocks and blocks[0]["bucket"] != r["bucket"]:
-                    yield from mixed(blocks, ranked)
-                    blocks = []
-                blocks.append(r)
-        if blocks:
-            yield from mixed(blocks, ranked)
-
-    told = None
+        mixer, held = _Mixer(sent.value, depth), []
+        for r in _each(batches):
+            if held and held[0]["bucket"] != r["bucket"]:
+                yield from mixer.of(held)
+                held = []
+                if sum(map(len, mixer.sums.values())) > HELD_TEXTS:
+                    yield from mixer.told()
+            held.append(r)
+        if held:
+            yield from mixer.of(held)
+        yield from mixer.told()
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows of a block lie together, that with its keys first
+        block, keys, sums = None, np.zeros(0, np.int64), np.zeros(0)
+        for r in _each(batches):
+            if r["block"] != block:
+                if block is not None:
+                    yield from _batches(_GAINS, block << TEXT_BITS | np.arange(len(keys)), keys, sums)
+                block, keys = r["block"], np.frombuffer(r["keys"], np.int64)
+                sums = np.zeros(len(keys))
+            else:
+                sums += np.frombuffer(r["sums"], np.float32)
+        if block is not None:
+            yield from _batches(_GAINS, block << TEXT_BITS | np.arange(len(keys)), keys, sums)
+
+    blocks, told = written(in_blocks(rows, sent)), None
     for turn in range(DEEP_TURNS):
-        dealt = _deal(rows, sent, at_once * DEEP_TURNS, depth, turn).repartition(at_once, "bucket").sortWithinPartitions("bucket")
-        part = written_alone(dealt.mapInArrow(run, "key long, h long, a double, b double, t double, gain double"))
+        dealt = _deal(blocks, sent, at_once * DEEP_TURNS, depth, turn).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+        part = written_alone(dealt.mapInArrow(run, "block long, sums binary, row long, h long, a float, b float"))
         told = part if told is None else told.union(part)
-    rare = told.filter("h IS NOT NULL").join(known.select("h", "log"), "h").select("key", F.log10(F.col("a") * F.pow(F.lit(10.0), -F.col("t") - F.col("log")) + F.col("b")).alias("gain"))
-    return told.filter("h IS NULL").select("key", "gain").union(rare).groupBy("key").agg(F.sum("gain").alias("gain"))
+    sums = blocks.select("block", "keys", F.lit(None).cast("binary").alias("sums")).union(told.filter("sums IS NOT NULL").select("block", F.lit(None).cast("binary"), "sums"))
+    sums = sums.repartition(least, "block").sortWithinPartitions("block", F.col("keys").isNull())
+    texts = written_alone(sums.mapInArrow(added, "row long, key long, gain double"))
+    rare = told.filter("h IS NOT NULL").join(known.select("h", "log"), "h").groupBy("row").agg(F.sum(F.log10(F.col("a") * F.pow(F.lit(10.0), -F.col("log")) + F.col("b"))).alias("more"))
+    return texts.join(rare, "row", "left").groupBy("key").agg(F.sum(F.col("gain") + F.coalesce("more", F.lit(0.0))).alias("gain"))
 
 
 def _batches(schema: pa.Schema, *columns: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    n = len(columns[0])
+    n = max(len(c) for c in columns if c is not None)
     yield from pa.table([pa.nulls(n, f.type) if c is None else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema).to_batches(max_chunksize=50_000)
 
 
