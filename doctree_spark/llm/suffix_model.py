@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -142,31 +142,18 @@ def _lines(symbols: np.ndarray, begin: np.ndarray, start: np.ndarray | int, end:
     return line, at, ends
 
 
-class Symbols:
-    """Symbols of words: their own or else their class's."""
-
-    def __init__(self, hashes: np.ndarray, symbols: np.ndarray) -> None:
-        self.hashes, self.symbols = hashes, symbols
-
-    def of(self, h: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return FIRST_CLASS + classes
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.symbols[at], FIRST_CLASS + classes)
-
-
-def word_grams(texts: DataFrame, symbols: Symbols) -> DataFrame:
-    """``code, n``: word symbols with their past, counted over all ``text`` rows."""
-    sent = texts.sparkSession.sparkContext.broadcast(symbols)
+def word_grams(blocks: DataFrame, sent) -> DataFrame:
+    """``code, n``: word symbols with their past, counted over the texts of ``in_blocks`` that aren't held out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w in words_of(batch.column(0), _WORDS, SLICE_BYTES):
-                line, at, ends = _lines(sent.value.of(w.hashes, classes_of(w)), w.begin, START, END, WORD_DEPTH)
-                codes = _codes(line, WORD_DEPTH, WORD_BITS)
-                yield from _gram_rows(codes[np.concatenate([at, ends]) - WORD_DEPTH], _GRAMS)
+        usual = Usual(sent.value)
+        for r in _each(batches):
+            block = Block(r, usual)
+            line, at, ends = _lines(block.table(usual.symbols, FIRST_CLASS + block.classes)[block.words], block.begin, START, END, WORD_DEPTH)
+            codes = _codes(line, WORD_DEPTH, WORD_BITS)
+            yield from _gram_rows(codes[np.concatenate([at[block.learnt[block.text]], ends[block.learnt]]) - WORD_DEPTH], _GRAMS)
 
-    return texts.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return blocks.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _spelled(words: pa.Array, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +259,7 @@ class Model:
     tokens: int
     kinds: int
     ends: int
-    word_tree: Tree
+    word_tree: Tree | None = None
 
 
 @dataclass
@@ -306,9 +293,14 @@ _TWOS = math.log2(10)
 
 def train(rows: DataFrame) -> tuple[Model, Spelling, DataFrame]:
     """Models from the ``held_out, text`` rows that aren't held out, and the table of all words' counts (``word_counts``)."""
-    texts = rows.filter("NOT held_out").select("text")
-    counts = written_alone(word_counts(rows))
-    ends = texts.select(F.count("*")).head()[0]
+    return _train(rows.select(F.lit(0).alias("id"), "held_out", "text"))[:3]
+
+
+def _train(rows: DataFrame) -> tuple[Model, Spelling, DataFrame, DataFrame]:
+    """``train`` of ``id, held_out, text`` rows, and these in blocks (``in_blocks``)."""
+    sc = rows.sparkSession.sparkContext
+    counts = written_alone(word_counts(rows.select("held_out", "text")))
+    ends = rows.filter("NOT held_out").select(F.count("*")).head()[0]
     once, twice, kinds, tokens = counts.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).head()
     tokens, kinds = tokens + ends, kinds + (ends > 0)
     own = counts.filter(F.col("n") >= least_count(tokens)).select("h", "class", "n").toArrow()
@@ -327,12 +319,15 @@ def train(rows: DataFrame) -> tuple[Model, Spelling, DataFrame]:
     discount = once / (once + 2 * twice) if once and twice else 0.5
     emissions = np.log10((n - discount) / np.maximum(in_class[of], 1))
     emissions[top] = 0.0
-    word_rows = grow_tree(written_alone(word_grams(texts, Symbols(h[top], symbols[top]))), WORD_DEPTH, WORD_BITS).toArrow()
+    model = Model(h, n, symbols, emissions, tokens, kinds, ends)
+    sent = sc.broadcast(model)
+    blocks = written(in_blocks(rows, sent))
+    word_rows = grow_tree(written_alone(word_grams(blocks.filter("block IS NOT NULL").select(_BLOCK.names), sent)), WORD_DEPTH, WORD_BITS).toArrow()
     rare = counts.filter((F.col("n") > 0) & (F.col("n") < least_count(tokens))).select("class", "word")
     letter_rows = grow_tree(written_alone(letter_grams(rare)), LETTER_DEPTH, LETTER_BITS).toArrow()
-    word_tree = Tree.of(word_rows, WORD_DEPTH, WORD_BITS, FIRST_WORD + len(top))
+    model = replace(model, word_tree=Tree.of(word_rows, WORD_DEPTH, WORD_BITS, FIRST_WORD + len(top)))
     letter_tree = Tree.of(letter_rows, LETTER_DEPTH, LETTER_BITS, LETTER_START)
-    return Model(h, n, symbols, emissions, tokens, kinds, ends, word_tree), Spelling(letter_tree, in_class, kinds_in_class, discount), counts
+    return model, Spelling(letter_tree, in_class, kinds_in_class, discount), counts, blocks
 
 
 def least_count(tokens: int) -> float:
@@ -340,36 +335,25 @@ def least_count(tokens: int) -> float:
 
 
 class Scorer:
-    """Scores of texts as far as frequent words go, and the other words' hashes."""
+    """Scores of texts as far as frequent words go."""
 
     def __init__(self, model: Model) -> None:
-        self.model = model
-        self.unit = math.log10(model.tokens + model.kinds + 1)
+        self.model, self.usual = model, Usual(model)
+        unit = math.log10(model.tokens + model.kinds + 1)
+        self.base = np.log10(self.usual.counts + 1) - unit
         # states of all pasts of the word tree, by their code
         self.states = model.word_tree.states(np.arange(1 << (WORD_BITS * WORD_DEPTH)))
 
-    def of(self, w: Words) -> tuple[np.ndarray, ...]:
-        """Tokens, known tokens, base scores, scores of the texts, and words that aren't frequent: hashes, and how many before each text."""
-        m, texts = self.model, len(w.begin) - 1
-        h, own = np.unique(w.hashes, return_inverse=True)
-        place = np.searchsorted(m.hashes, h)
-        have = np.zeros(len(h), bool)
-        if len(m.hashes):
-            place = np.minimum(place, len(m.hashes) - 1)
-            have = m.hashes[place] == h
-        place, have = place[own], have[own]
-        symbols = FIRST_CLASS + classes_of(w)
-        symbols[have] = m.symbols[place[have]]
-        line, at, ends = _lines(symbols, w.begin, START, END, WORD_DEPTH)
+    def of(self, block: Block) -> tuple[np.ndarray, ...]:
+        """Tokens, known tokens, base scores and scores of the texts."""
+        usual, texts, none = self.usual, len(block.learnt), np.zeros(len(block.others))
+        line, at, ends = _lines(block.table(usual.symbols, FIRST_CLASS + block.classes)[block.words], block.begin, START, END, WORD_DEPTH)
         codes = _codes(line, WORD_DEPTH, WORD_BITS)
-        logs = m.word_tree.logs[self.states[codes >> WORD_BITS], codes & ((1 << WORD_BITS) - 1)].astype(float)
-        score, base = logs[at - WORD_DEPTH], np.zeros(len(symbols))
-        score[have] += m.emissions[place[have]]
-        base[have] = np.log10(m.counts[place[have]] + 1) - self.unit
-        sums = lambda x: np.bincount(w.text, x, minlength=texts)
-        rare_before = np.concatenate([[0], np.cumsum(~have)])[w.begin]
-        end_base = math.log10(m.ends + 1) - self.unit
-        return np.diff(w.begin) + 1, sums(have).astype(np.int64) + (m.ends > 0), sums(base) + end_base, sums(score) + logs[ends - WORD_DEPTH], w.hashes[~have].view(np.int64), rare_before
+        logs = self.model.word_tree.logs[self.states[codes >> WORD_BITS], codes & ((1 << WORD_BITS) - 1)].astype(float)
+        score = logs[at - WORD_DEPTH] + block.table(usual.emissions, none)[block.words]
+        sums = lambda x: np.bincount(block.text, x, minlength=texts)
+        known = sums(block.words < len(usual.hashes)).astype(np.int64) + (self.model.ends > 0)
+        return np.diff(block.begin) + 1, known, sums(block.table(self.base, none)[block.words]) + self.base[0], sums(score) + logs[ends - WORD_DEPTH]
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -390,24 +374,23 @@ def _key_depth(alone: list[np.ndarray]) -> np.ndarray:
     return depth
 
 
-class _Words:
-    """Distinct words by hash, as the word tree has them: symbols, emissions (0 where the word isn't frequent), and which are frequent."""
+class Usual:
+    """Frequent words, most frequent first, behind the two symbols that are no words: so numbers of most are small."""
 
-    def __init__(self, model: Model, hashes: np.ndarray, classes: np.ndarray) -> None:
-        place = np.minimum(np.searchsorted(model.hashes, hashes), max(0, len(model.hashes) - 1))
-        known = model.hashes[place] == hashes if len(model.hashes) else np.zeros(len(hashes), bool)
-        self.symbols, self.emissions = FIRST_CLASS + classes.astype(np.int64), np.zeros(len(hashes))
-        self.symbols[known], self.emissions[known] = model.symbols[place[known]], model.emissions[place[known]]
-        for h, symbol in ((END_HASH, END), (START_HASH, START)):
-            self.symbols[hashes == h], self.emissions[hashes == h] = symbol, 0.0
-        self.frequent = known | (hashes == END_HASH)
+    def __init__(self, model: Model) -> None:
+        order = np.argsort(-model.counts, kind="stable")
+        behind = lambda end, start, x: np.concatenate([np.array([end, start], x.dtype), x[order]])
+        self.hashes, self.symbols = behind(END_HASH, START_HASH, model.hashes), behind(END, START, model.symbols)
+        self.emissions, self.counts = behind(0, 0, model.emissions), behind(model.ends, 0, model.counts)
         self.alone = (self.symbols >= FIRST_CLASS) & (self.symbols < FIRST_WORD)
 
 
-_BLOCK = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("held", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("hashes", pa.binary()), ("classes", pa.binary())])
+_BLOCK = pa.schema([("block", pa.int64()), ("held", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("hashes", pa.binary()), ("classes", pa.binary())])
 _DEALT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("texts", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("classes", pa.binary()), ("ids", pa.binary()), ("of", pa.binary()), ("learnt", pa.binary())])
 _TOLD = pa.schema([("block", pa.int64()), ("sums", pa.binary()), ("row", pa.int64()), ("h", pa.int64()), ("a", pa.float32()), ("b", pa.float32())])
-_GAINS = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("gain", pa.float64())])
+_TOLD_SQL = "block long, sums binary, row long, h long, a float, b float"
+_GAINS = pa.schema([("row", pa.int64()), ("gain", pa.float64())])
+_SCORED = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("h", pa.int64())])
 #: A text's number is its block's and, in so many bits, its place there; a block's is its task's and its place there.
 TEXT_BITS, BLOCK_BITS = 22, 24
 #: Buckets of a task in the mean, and texts whose sums it holds at a time.
@@ -415,11 +398,6 @@ TASK_BUCKETS = 2
 HELD_TEXTS = 1 << 20
 
 
-def _by_count(model: Model) -> np.ndarray:
-    """Frequent words, most frequent first, behind the two symbols that are no words: so numbers of most are small."""
-    return np.concatenate([np.array([END_HASH, START_HASH], np.uint64), model.hashes[np.argsort(-model.counts, kind="stable")]])
-
-
 def _packed(x: np.ndarray) -> bytes:
     """Numbers below 2^32, bytes of equal place side by side."""
     return pa.compress(x.astype(np.uint32).reshape(-1, 1).view(np.uint8).T.tobytes(), codec="zstd", asbytes=True)
@@ -437,38 +415,39 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Keys, flags and sizes of texts, their words and the words' classes, of so many texts as have ``DEAL_WORDS`` with their ends."""
-    parts, n = [], 0
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, tuple[np.ndarray, ...]]]:
+    """Ids of texts, and their flags, sizes, words and the words' classes, of so many texts as have ``DEAL_WORDS`` with their ends."""
+    ids, parts, n = [], [], 0
     for batch in batches:
-        keys, held, done = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), 0
+        held, done = batch.column(1).to_numpy(zero_copy_only=False).astype(bool), 0
         for w in words_of(batch.column(2), _WORDS, SLICE_BYTES):
             to = done + len(w.begin) - 1
-            parts.append((keys[done:to], held[done:to], np.diff(w.begin), w.hashes, classes_of(w).astype(np.uint8)))
+            ids.append(batch.column(0).slice(done, to - done))
+            parts.append((held[done:to], np.diff(w.begin), w.hashes, classes_of(w).astype(np.uint8)))
             n += to - done + len(w.hashes)
             done = to
             if n >= DEAL_WORDS:
-                yield _one(parts)
-                parts, n = [], 0
+                yield pa.concat_arrays(ids), tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+                ids, parts, n = [], [], 0
     if parts:
-        yield _one(parts)
-
-
-def _one(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+        yield pa.concat_arrays(ids), tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
 def in_blocks(rows: DataFrame, sent) -> DataFrame:
-    """Texts of ``key, held_out, text`` rows, many in a row: ``keys``, ``held``, their ``sizes`` in words, and the words' ``codes``.
+    """Texts of ``id, held_out, text`` rows, many in a row: their flags (``held``), ``sizes`` in words, and the words' ``codes``.
 
     A code is twice a place among frequent words, or twice and one a place among ``hashes`` and ``classes`` of others.
+    Besides these rows one for each text: its id, flag and number (``row``).
     """
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema[:2]]).add("row", "long").add("block", "long")
+    for name in _BLOCK.names[1:]:
+        schema = schema.add(name, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked = _by_count(sent.value)
+        ranked = Usual(sent.value).hashes
         order = np.argsort(ranked)
         in_order, task = ranked[order], TaskContext.get().partitionId()
-        for block, (keys, held, sizes, every, kinds) in enumerate(_gathered(batches)):
+        for k, (ids, (held, sizes, every, kinds)) in enumerate(_gathered(batches)):
             u, own = np.unique(every, return_inverse=True)
             classes = np.zeros(len(u), np.uint8)
             classes[own] = kinds
@@ -476,10 +455,35 @@ def in_blocks(rows: DataFrame, sent) -> DataFrame:
             rare = in_order[found] != u
             code = 2 * order[found]
             code[rare] = 2 * np.arange(np.count_nonzero(rare)) + 1
-            columns = task << BLOCK_BITS | block, keys.tobytes(), held.tobytes(), _packed(sizes), _packed(code[own]), u[rare].tobytes(), classes[rare].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, _BLOCK, strict=True)], schema=_BLOCK)
+            block = task << BLOCK_BITS | k
+            columns = block, held.tobytes(), _packed(sizes), _packed(code[own]), u[rare].tobytes(), classes[rare].tobytes()
+            texts = [ids, pa.array(held), pa.array(block << TEXT_BITS | np.arange(len(held))), *(pa.nulls(len(held), f.type) for f in _BLOCK)]
+            yield pa.RecordBatch.from_arrays(texts, names=schema.fieldNames())
+            one = [pa.nulls(1, ids.type), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()), *(pa.array([c], f.type) for c, f in zip(columns, _BLOCK, strict=True))]
+            yield pa.RecordBatch.from_arrays(one, names=schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)
+
+
+class Block:
+    """A row of ``in_blocks``: its texts' words by number, frequent ones by their places in ``Usual``, others behind these."""
+
+    def __init__(self, r: dict, usual: Usual) -> None:
+        self.number, self.learnt = r["block"], np.frombuffer(r["held"], np.uint8) == 0
+        sizes = _unpacked(r["sizes"], len(self.learnt)).astype(np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(sizes)])
+        self.others, self.classes = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["classes"], np.uint8).astype(np.int64)
+        code = _unpacked(r["codes"], self.begin[-1])
+        self.words = np.where(code & 1, len(usual.hashes) + (code >> 1), code >> 1).astype(np.int32)
+
+    @property
+    def text(self) -> np.ndarray:
+        """Number of each word's text."""
+        return np.repeat(np.arange(len(self.learnt)), np.diff(self.begin))
 
-    return rows.mapInArrow(run, "block long, keys binary, held binary, sizes binary, codes binary, hashes binary, classes binary")
+    def table(self, usual: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Values by the words' numbers."""
+        return np.concatenate([usual, others])
 
 
 def _deal(blocks: DataFrame, sent, buckets: int, depth: int, turn: int) -> DataFrame:
@@ -491,30 +495,26 @@ def _deal(blocks: DataFrame, sent, buckets: int, depth: int, turn: int) -> DataF
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked = _by_count(sent.value)
-        usual = _Words(sent.value, ranked, np.zeros(len(ranked), np.uint8)).alone
+        usual = Usual(sent.value)
+        frequent = len(usual.hashes)
         for r in _each(batches):
-            sizes = _unpacked(r["sizes"], len(r["held"])).astype(np.int64)
-            begin = np.concatenate([[0], np.cumsum(sizes)])
-            others, classes = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["classes"], np.uint8)
-            hashes, alone = np.concatenate([ranked, others]), np.concatenate([usual, np.ones(len(others), bool)])
+            block = Block(r, usual)
+            others = len(block.others)
+            hashes, alone = block.table(usual.hashes, block.others), block.table(usual.alone, np.ones(others, bool))
             x = _joined(np.zeros(len(hashes), np.uint64), hashes)
             by_word = np.where(alone, (x % np.uint64(buckets)).astype(np.int64), -1)
-            # codes 0 and 2 are the end and what stands before a text
-            line, at, ends = _lines(_unpacked(r["codes"], begin[-1]), begin, 2, 0, depth)
-            line = line.astype(np.uint32)
-            ids = np.where(line & 1, len(ranked) + (line >> 1), line >> 1)
-            here = np.zeros(len(line), bool)
+            # the first two of the frequent words are the end and what stands before a text
+            line, at, ends = _lines(block.words, block.begin, 1, 0, depth)
+            line, here = line.astype(np.int32), np.zeros(len(line), bool)
             here[at], here[ends] = True, True
             # what stands first in its text has no word before it
-            here[begin[:-1] + np.arange(len(sizes)) * (depth + 1) + depth] = False
-            place = np.flatnonzero(here)
-            text = np.repeat(np.arange(len(sizes)), sizes)
-            bucket = by_word[ids[place - 1]]
+            here[block.begin[:-1] + np.arange(len(block.learnt)) * (depth + 1) + depth] = False
+            place, text = np.flatnonzero(here), block.text
+            bucket = by_word[line[place - 1]]
             rest = np.flatnonzero(bucket < 0)
-            named = x[ids[place[rest] - 1]]
+            named = x[line[place[rest] - 1]]
             for d in range(2, depth + 1):
-                word = ids[place[rest] - d]
+                word = line[place[rest] - d]
                 named = _joined(named, hashes[word])
                 last = alone[word] | (d == depth)
                 bucket[rest[last]] = (named[last] % np.uint64(buckets)).astype(np.int64)
@@ -526,18 +526,18 @@ def _deal(blocks: DataFrame, sent, buckets: int, depth: int, turn: int) -> DataF
             bucket, place, text = bucket[mine], place[mine], text[mine]
             first = np.flatnonzero(np.diff(bucket, prepend=-1))
             edges = np.append(first, len(bucket))
-            code = np.concatenate([line[place - k] for k in range(depth + 1)])
+            word = np.concatenate([line[place - k] for k in range(depth + 1)])
             # others have their place among those of their row
-            odd = np.flatnonzero(code & 1)
-            in_row = np.repeat(np.arange(len(first)), np.diff(edges))[odd % len(place)]
-            pairs, number = np.unique(in_row * len(others) + (code[odd] >> 1), return_inverse=True)
-            begins = np.searchsorted(pairs, np.arange(len(first) + 1) * len(others))
-            code[odd] = 2 * (number - begins[in_row]) + 1
-            code, own = code.reshape(depth + 1, -1), pairs % max(1, len(others))
-            learnt, packed = np.frombuffer(r["held"], np.uint8)[text] == 0, []
+            rare, code = np.flatnonzero(word >= frequent), 2 * word
+            in_row = np.repeat(np.arange(len(first)), np.diff(edges))[rare % len(place)]
+            pairs, number = np.unique(in_row * others + (word[rare] - frequent), return_inverse=True)
+            begins = np.searchsorted(pairs, np.arange(len(first) + 1) * others)
+            code[rare] = 2 * (number - begins[in_row]) + 1
+            code, own = code.reshape(depth + 1, -1), pairs % max(1, others)
+            classes, learnt, packed = block.classes.astype(np.uint8), block.learnt[text], []
             for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                 some = own[begins[k] : begins[k + 1]]
-                packed.append((bucket[a], r["block"], len(sizes), b - a, others[some].tobytes(), classes[some].tobytes(), _packed(code[:, a:b].ravel()), _packed(np.diff(text[a:b], prepend=0)), np.packbits(learnt[a:b]).tobytes()))
+                packed.append((bucket[a], block.number, len(block.learnt), b - a, block.others[some].tobytes(), classes[some].tobytes(), _packed(code[:, a:b].ravel()), _packed(np.diff(text[a:b], prepend=0)), np.packbits(learnt[a:b]).tobytes()))
             yield from pa.table([pa.array(c, f.type) for c, f in zip(zip(*packed, strict=True), _DEALT, strict=True)], schema=_DEALT).to_batches(max_chunksize=64)
 
     return blocks.mapInArrow(run, "bucket int, block long, texts int, n int, hashes binary, classes binary, ids binary, of binary, learnt binary")
@@ -594,8 +594,7 @@ class _Mixer:
     """Scores buckets of positions of ``_deal``, and adds up what is said of each text."""
 
     def __init__(self, model: Model, depth: int) -> None:
-        self.model, self.depth, self.ranked = model, depth, _by_count(model)
-        self.usual = _Words(model, self.ranked, np.zeros(len(self.ranked), np.uint8))
+        self.model, self.depth, self.usual = model, depth, Usual(model)
         self.states = model.word_tree.states(np.arange(1 << (WORD_BITS * WORD_DEPTH)))
         # sums of texts, by block
         self.sums: dict[int, np.ndarray] = {}
@@ -613,7 +612,8 @@ class _Mixer:
         ids = (code >> 1).astype(np.int32).ravel()
         odd = np.flatnonzero(code.ravel() & 1)
         before = np.repeat(np.cumsum([0, *map(len, hashes[:-1])]), sizes)
-        ids[odd] = len(self.ranked) + number[before[odd % count] + ids[odd]]
+        frequent = len(self.usual.hashes)
+        ids[odd] = frequent + number[before[odd % count] + ids[odd]]
         ids = ids.reshape(code.shape)
         with_others = lambda of_usual, x: np.concatenate([of_usual, x])
         symbols = with_others(self.usual.symbols, FIRST_CLASS + classes)
@@ -622,17 +622,15 @@ class _Mixer:
             past = past << WORD_BITS | symbols[ids[d]]
         logs = self.model.word_tree.logs[self.states[past], symbols[ids[0]]] + with_others(self.usual.emissions, np.zeros(len(others)))[ids[0]]
         a, b = Deep(ids, with_others(self.usual.alone, np.ones(len(others), bool))[ids[1:]], learnt).mixed()
-        # nothing said of the word: its probability only shrinks, whatever it is
-        now = with_others(self.usual.frequent, np.zeros(len(others), bool))[ids[0]] | (a == 0)
         a *= 10.0**-logs
-        gain = np.where(now, np.log10(a + b), 0.0)
+        gain = np.where(ids[0] < frequent, np.log10(a + b), 0.0)
         texts = np.array([r["texts"] for r in rows])
         sums = np.bincount(np.repeat(np.cumsum(texts) - texts, sizes) + text, gain, minlength=texts.sum())
         for r, part in zip(rows, np.split(sums, np.cumsum(texts)[:-1]), strict=True):
             self.sums[r["block"]] = self.sums.get(r["block"], 0) + part
-        rare = np.flatnonzero(~now)
+        rare = np.flatnonzero(ids[0] >= frequent)
         block = np.repeat(np.array([r["block"] for r in rows]), sizes)[rare]
-        yield from _batches(_TOLD, None, None, block << TEXT_BITS | text[rare], others[ids[0, rare] - len(self.ranked)].view(np.int64), a[rare].astype(np.float32), b[rare].astype(np.float32))
+        yield from _batches(_TOLD, None, None, block << TEXT_BITS | text[rare], others[ids[0, rare] - frequent].view(np.int64), a[rare].astype(np.float32), b[rare].astype(np.float32))
 
     def told(self) -> Iterator[pa.RecordBatch]:
         """The sums so far, a row for each block; they begin anew."""
@@ -642,12 +640,13 @@ class _Mixer:
         self.sums = {}
 
 
-def deep_gains(rows: DataFrame, model: Model, known: DataFrame, depth: int) -> DataFrame:
-    """``key, gain``: what contexts of up to ``depth`` words add to the score of all ``key, held_out, text`` rows of a key together.
+def deep_gains(blocks: DataFrame, model: Model, depth: int) -> tuple[DataFrame, DataFrame]:
+    """What contexts of up to ``depth`` words add to the score of texts ``in_blocks``.
 
-    ``known`` has ``h, log`` of words that aren't frequent, log10 of their probability in their class.
+    ``row, gain`` for the words that are frequent; ``row, h, a, b`` for each of the others, first words of texts aside: with p, its
+    probability in its class, log10(a + b * p) takes the place of log10(p).
     """
-    spark = rows.sparkSession
+    spark = blocks.sparkSession
     sent = spark.sparkContext.broadcast(model)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     at_once = max(least, math.ceil(model.tokens / BUCKET_POSITIONS / DEEP_TURNS))
@@ -667,29 +666,25 @@ def deep_gains(rows: DataFrame, model: Model, known: DataFrame, depth: int) -> D
         yield from mixer.told()
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows of a block lie together, that with its keys first
-        block, keys, sums = None, np.zeros(0, np.int64), np.zeros(0)
+        block, sums = None, None
         for r in _each(batches):
-            if r["block"] != block:
-                if block is not None:
-                    yield from _batches(_GAINS, block << TEXT_BITS | np.arange(len(keys)), keys, sums)
-                block, keys = r["block"], np.frombuffer(r["keys"], np.int64)
-                sums = np.zeros(len(keys))
-            else:
-                sums += np.frombuffer(r["sums"], np.float32)
+            own = np.frombuffer(r["sums"], np.float32).astype(float)
+            if r["block"] == block:
+                sums += own
+                continue
+            if block is not None:
+                yield from _batches(_GAINS, block << TEXT_BITS | np.arange(len(sums)), sums)
+            block, sums = r["block"], own
         if block is not None:
-            yield from _batches(_GAINS, block << TEXT_BITS | np.arange(len(keys)), keys, sums)
+            yield from _batches(_GAINS, block << TEXT_BITS | np.arange(len(sums)), sums)
 
-    blocks, told = written(in_blocks(rows, sent)), None
+    told = None
     for turn in range(DEEP_TURNS):
         dealt = _deal(blocks, sent, at_once * DEEP_TURNS, depth, turn).repartition(tasks, "bucket").sortWithinPartitions("bucket")
-        part = written_alone(dealt.mapInArrow(run, "block long, sums binary, row long, h long, a float, b float"))
+        part = written_alone(dealt.mapInArrow(run, _TOLD_SQL))
         told = part if told is None else told.union(part)
-    sums = blocks.select("block", "keys", F.lit(None).cast("binary").alias("sums")).union(told.filter("sums IS NOT NULL").select("block", F.lit(None).cast("binary"), "sums"))
-    sums = sums.repartition(least, "block").sortWithinPartitions("block", F.col("keys").isNull())
-    texts = written_alone(sums.mapInArrow(added, "row long, key long, gain double"))
-    rare = told.filter("h IS NOT NULL").join(known.select("h", "log"), "h").groupBy("row").agg(F.sum(F.log10(F.col("a") * F.pow(F.lit(10.0), -F.col("log")) + F.col("b"))).alias("more"))
-    return texts.join(rare, "row", "left").groupBy("key").agg(F.sum(F.col("gain") + F.coalesce("more", F.lit(0.0))).alias("gain"))
+    sums = told.filter("sums IS NOT NULL").select("block", "sums").repartition(least, "block").sortWithinPartitions("block")
+    return sums.mapInArrow(added, "row long, gain double"), told.filter("h IS NOT NULL").select("row", "h", "a", "b")
 
 
 def _batches(schema: pa.Schema, *columns: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -711,25 +706,25 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
         with one added to every count, ``score`` that of the suffix trees. A null text counts as
         empty. Ids may repeat or be null. Without training rows the trees are uniform.
     """
-    rows = docs.select(F.col(id_col), F.col(held_out).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    if depth:
-        # equal texts score equally, so that texts find their gains whatever order rows are read in
-        rows = rows.withColumn("__key", F.xxhash64("__text"))
-    model, spelling, counts = train(rows.select("held_out", F.col("__text").alias("text")))
+    rows = docs.select(F.col(id_col), F.col(held_out).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    model, spelling, counts, table = _train(rows)
+    blocks = table.filter("block IS NOT NULL").select(_BLOCK.names)
     sc = docs.sparkSession.sparkContext
     sent, spell = sc.broadcast(model), sc.broadcast(spelling)
-    schema = T.StructType([*rows.schema[:2], *rows.schema[3:]]).add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double").add("rare", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for batch in batches:
-            at = 0
-            for w in words_of(batch.column(2), _WORDS, SLICE_BYTES):
-                *numbers, rare, before = scorer.of(w)
-                part = batch.slice(at, len(w.begin) - 1)
-                at += part.num_rows
-                rare = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(rare))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *part.columns[3:], *map(pa.array, numbers), rare], names=schema.fieldNames())
+        for r in _each(batches):
+            block = Block(r, scorer.usual)
+            row, frequent = block.number << TEXT_BITS | np.arange(len(block.learnt)), len(scorer.usual.hashes)
+            yield from _batches(_SCORED, row, *scorer.of(block), None)
+            # the other words, of which contexts of any words tell all but a text's first
+            rare = block.words >= frequent
+            if depth:
+                later = np.ones(len(rare), bool)
+                later[block.begin[:-1][np.diff(block.begin) > 0]] = False
+                rare &= ~later
+            yield from _batches(_SCORED, row[block.text[rare]], None, None, None, None, block.others[block.words[rare] - frequent].view(np.int64))
 
     def log_in_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -737,22 +732,24 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
                 logs = spell.value.log_in_class(batch.column(2), batch.column(1).to_numpy(), batch.column(3).to_numpy())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(logs)], names=["h", "n", "log"])
 
-    scored = written(rows.mapInArrow(run, schema)).withColumn("__row", F.monotonically_increasing_id())
+    scored = written(blocks.mapInArrow(run, "row long, n_tokens long, n_known long, base_score double, score double, h long"))
     # the other words meet their counts and spellings by a shuffle; the frequent ones, most tokens, were scored in place
-    rare = scored.select("__row", F.explode("rare").alias("h"))
+    rare = scored.filter("h IS NOT NULL").select("row", "h", F.lit(0.0).cast("float").alias("a"), F.lit(1.0).cast("float").alias("b"))
+    out = table.filter("row IS NOT NULL").select(id_col, "held_out", "row").join(scored.filter("h IS NULL").drop("h"), "row")
+    if depth:
+        gains, more = deep_gains(blocks, model, depth)
+        rare, out = rare.union(more), out.join(gains, "row", "left")
+    else:
+        out = out.withColumn("gain", F.lit(0.0))
     known = counts.filter(F.col("n") < least_count(model.tokens)).mapInArrow(log_in_class, "h long, n long, log double")
     unit = math.log10(model.tokens + model.kinds + 1)
-    more = rare.join(known, "h").groupBy("__row").agg(F.count_if(F.col("n") > 0).alias("__known"), F.sum(F.log10(F.col("n") + 1) - unit).alias("__base"), F.sum("log").alias("__score"))
-    out = scored.drop("rare").join(more, "__row", "left")
-    if depth:
-        gains = deep_gains(rows.select("__key", "held_out", "__text"), model, known, depth)
-        copies = scored.groupBy("__key").agg(F.count("*").alias("__copies"))
-        gains = written_alone(gains.join(copies, F.col("key") == F.col("__key")).select("__key", (F.col("gain") / F.col("__copies")).alias("__gain")))
-        out = out.join(gains, "__key", "left").withColumn("score", F.col("score") + F.coalesce("__gain", F.lit(0)))
+    # however long a word is, its own probability may come to nothing here
+    adds = F.when(F.col("a") > 0, F.log10(F.col("a") + F.col("b") * F.pow(F.lit(10.0), F.col("log")))).otherwise(F.col("log") + F.log10("b"))
+    told = rare.join(known, "h").groupBy("row").agg(F.count_if(F.col("n") > 0).alias("__known"), F.sum(F.log10(F.col("n") + 1) - unit).alias("__base"), F.sum(adds).alias("__score"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select(
+    return out.join(told, "row", "left").select(
         id_col, "held_out", "n_tokens", (F.col("n_known") + zero("__known")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + zero("__base")).alias("base_score"), (F.col("score") + zero("__score")).alias("score"),
+        (F.col("base_score") + zero("__base")).alias("base_score"), (F.col("score") + zero("gain") + zero("__score")).alias("score"),
     )
 
 
