@@ -543,6 +543,13 @@ def _deal(blocks: DataFrame, sent, buckets: int, depth: int, turn: int) -> DataF
     return blocks.mapInArrow(run, "bucket int, block long, texts int, n int, hashes binary, classes binary, ids binary, of binary, learnt binary")
 
 
+def _begins(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
 class Deep:
     """A bucket of positions: what the contexts in it say of the word that follows."""
 
@@ -573,14 +580,14 @@ class Deep:
             key = context << bits | self.words[0, at]
             order = np.argsort(key)
             key, at = key[order], at[order]
-            new_pair, new_context = np.diff(key, prepend=-1) != 0, np.diff(key >> bits, prepend=-1) != 0
+            new_pair, new_context = _begins(key), _begins(key >> bits)
             pair, own = np.cumsum(new_pair) - 1, np.cumsum(new_context) - 1
             pairs, contexts = np.flatnonzero(new_pair), np.flatnonzero(new_context)
             learnt = np.concatenate([[0], np.cumsum(self.learnt[at])])
             both, n = (np.diff(learnt[np.append(begins, len(at))]) for begins in (pairs, contexts))
             kinds = np.bincount(own[pairs], both > 0, minlength=len(contexts))
             left = np.where((n > 0) & here[at[contexts]], (kinds - 1 + NEW_WEIGHT * new) / (np.maximum(n, 1) - 1 + NEW_WEIGHT), 1.0)
-            says = (1 - left[own[pairs]]) * both / np.maximum(n, 1)[own[pairs]]
+            says = ((1 - left) / np.maximum(n, 1))[own[pairs]] * both
             left = left[own]
             a[at] = says[pair] + left * a[at]
             b[at] *= left
@@ -635,7 +642,7 @@ class _Mixer:
     def told(self) -> Iterator[pa.RecordBatch]:
         """The sums so far, a row for each block; they begin anew."""
         for block, sums in self.sums.items():
-            columns = block, sums.astype(np.float32).tobytes(), None, None, None, None
+            columns = block, sums.tobytes(), None, None, None, None
             yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, _TOLD, strict=True)], schema=_TOLD)
         self.sums = {}
 
@@ -668,7 +675,7 @@ def deep_gains(blocks: DataFrame, model: Model, depth: int) -> tuple[DataFrame,
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, sums = None, None
         for r in _each(batches):
-            own = np.frombuffer(r["sums"], np.float32).astype(float)
+            own = np.frombuffer(r["sums"], float).copy()
             if r["block"] == block:
                 sums += own
                 continue
@@ -745,7 +752,7 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
     unit = math.log10(model.tokens + model.kinds + 1)
     # however long a word is, its own probability may come to nothing here
     adds = F.when(F.col("a") > 0, F.log10(F.col("a") + F.col("b") * F.pow(F.lit(10.0), F.col("log")))).otherwise(F.col("log") + F.log10("b"))
-    told = rare.join(known, "h").groupBy("row").agg(F.count_if(F.col("n") > 0).alias("__known"), F.sum(F.log10(F.col("n") + 1) - unit).alias("__base"), F.sum(adds).alias("__score"))
+    told = rare.join(known.hint("shuffle_hash"), "h").groupBy("row").agg(F.count_if(F.col("n") > 0).alias("__known"), F.sum(F.log10(F.col("n") + 1) - unit).alias("__base"), F.sum(adds).alias("__score"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.join(told, "row", "left").select(
         id_col, "held_out", "n_tokens", (F.col("n_known") + zero("__known")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
