@@ -47,20 +47,24 @@ def build_forest(
     top = written(tree.leaf_nodes(embed(chunks, "text", make=make_embedder, deal=True)).select(NODE))
     layers, failures, complete = top, None, False
     for layer in range(1, most_layers):
-        sizes = top.groupBy("document_id").agg(F.count("*").alias("__n"))
-        growing, largest = sizes.agg(F.count_if(F.col("__n") > least_nodes), F.max("__n")).head()
+        sizes = top.groupBy("document_id").agg(F.count("*").alias("__n"), F.sum("token_count").alias("__tokens"))
+        growing, largest, longest = sizes.agg(F.count_if(F.col("__n") > least_nodes), F.max("__n"), F.max("__tokens")).head()
         if not growing:
             complete = True
             break
         growing = top.join(sizes.filter(F.col("__n") > least_nodes).select("document_id"), "document_id", "left_semi")
-        clusters = cluster.split_overflow(cluster.cluster_layer(growing, most=most_clusters, largest=largest), growing, max_cluster_tokens, most=most_clusters, largest=largest)
+        clusters = cluster.cluster_layer(growing, most=most_clusters, largest=largest)
+        # no cluster has more tokens than its document's layer
+        if longest > max_cluster_tokens:
+            clusters = cluster.split_overflow(clusters, growing, max_cluster_tokens, most=most_clusters, largest=largest)
         several = clusters.groupBy("document_id").agg(F.max("cluster").alias("__last")).filter("__last > 0").select("document_id")
         clusters = cut(clusters.join(several, "document_id", "left_semi"))
         members = clusters.join(growing.select("document_id", "node_id", "layer", "text"), ["document_id", "node_id"])
         contexts = tree.cluster_context(members, max_context_tokens, tokens).withColumn("layer", F.lit(layer))
         said = _summaries(contexts, make_summarizer, make_verifier, calls, attempts, kept, slice_items, tokens)
-        failed = said.groupBy("document_id").agg(F.count_if(~F.col("passed")).alias("failures"))
-        failures = failed if failures is None else failures.union(failed)
+        if make_verifier:
+            failed = said.groupBy("document_id").agg(F.count_if(~F.col("passed")).alias("failures"))
+            failures = failed if failures is None else failures.union(failed)
         next_ids = growing.groupBy("document_id").agg((F.max("node_id") + F.lit(1).cast("long")).alias("next_id"))
         parents = tree.make_parents(members.join(said.select("document_id", "cluster", "summary"), ["document_id", "cluster"]), next_ids, tokens)
         top = written(embed(parents, "text", make=make_embedder).select(NODE))
@@ -99,7 +103,8 @@ def _summaries(contexts: DataFrame, make_summarizer: Callable | None, make_verif
     if make_verifier or kept and make_summarizer:
         pending = cut(pending)
     if not kept:
-        return cut(made(pending))
+        # without a verifier they are read once
+        return cut(made(pending)) if make_verifier else made(pending)
     slices = -(-pending.count() // slice_items) if make_summarizer else 1
     for k in range(slices):
         part = pending if slices == 1 else pending.filter(F.pmod(F.xxhash64(*_KEY), F.lit(slices)) == k)

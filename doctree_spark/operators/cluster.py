@@ -1,21 +1,22 @@
 """Soft clusters of a layer's nodes: reduced vectors, Gaussian mixtures, their number by BIC, two passes.
 
-A group of up to ``LARGE`` rows is fitted in one task by numpy. The rows of larger ones stay
-where they are, and what moves are sums (``grouped``). Both ways take the same steps from the
+A group of up to ``LARGE`` rows is fitted in one task by numpy, together with the task's other
+groups of as many rows, ``ROWS_AT_ONCE`` rows at a time. The rows of larger ones stay where they are, and what moves are sums (``grouped``). Both ways take the same steps from the
 same first centres, so the size of a group decides where it is fitted, not how.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doctree_spark.operators.grouped import fit_grouped
-from doctree_spark.operators.mixture import MAX_CLUSTERS, Mixture, Sums, best_mixture, reduce
+from doctree_spark.operators.mixture import MAX_CLUSTERS, Mixture, Sums, best_mixture, best_of_all, reduce
 from doctree_spark.operators.tree import MAX_CLUSTER_TOKENS, PROBABILITY, overflow_clusters
 from doctree_spark.sources.lineage import cut
 
@@ -24,25 +25,76 @@ __all__ = ["MAX_CLUSTERS", "Mixture", "Sums", "best_mixture", "cluster_layer", "
 #: Rows that one task fits; larger groups are fitted across tasks.
 LARGE = 5000
 SPLIT_ROUNDS = 5
+#: Rows whose groups a task takes together.
+ROWS_AT_ONCE = 8192
 #: Tasks that fit groups, as a multiple of the session's shuffle partitions.
 TASKS = 2
 
 
+Group = tuple[np.ndarray, np.ndarray]
+
+
 def _fit_groups(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
     """``keys, node_id, probabilities`` of ``keys, node_id, embedding`` rows."""
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", node_id int, probabilities array<double>"
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node_id")
-        x, ids = np.array(pdf["embedding"].tolist(), float), pdf["node_id"].to_numpy()
-        member = best_mixture(reduce(x), ids, most) if len(x) > 1 else np.ones((len(x), 1))
-        return pdf[[*keys, "node_id"]].assign(probabilities=member.tolist())
+    def fit(groups: list[Group]) -> Iterator[tuple[np.ndarray, list]]:
+        for i, member in enumerate(best_of_all(groups, most)):
+            yield np.full(len(member), i), [groups[i][1], member.tolist()]
 
     large = _large(df, keys)
-    out = _spread(df.join(large, list(keys), "left_anti"), keys).groupBy(*keys).applyInPandas(fit, schema)
+    out = _by_group(df.join(large, list(keys), "left_anti"), keys, fit, {"node_id": "int", "probabilities": "array<double>"})
     return out if large.isEmpty() else out.unionByName(fit_grouped(df.join(large, list(keys), "left_semi"), keys, most))
 
 
+def _by_group(df: DataFrame, keys: Sequence[str], fit: Callable[[list[Group]], Iterator[tuple[np.ndarray, list]]], columns: dict[str, str]) -> DataFrame:
+    """``keys`` and ``columns`` that ``fit`` gives of many groups' rows and ids: for each some rows, with the group of each."""
+    types = [pa.list_(pa.float64()) if t == "array<double>" else pa.int32() for t in columns.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in _whole_groups(batches, keys):
+            ids, vectors = rows.column("node_id").to_numpy(), rows.column("embedding").combine_chunks()
+            at, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False).astype(float)
+            ends = [*starts[1:], len(rows)]
+            given = [(flat[at[a] : at[b]].reshape(b - a, -1), ids[a:b]) for a, b in zip(starts, ends, strict=True)]
+            found = list(fit(given))
+            if found:
+                places = pa.array(starts[np.concatenate([g for g, _ in found])])
+                made = [pa.array(np.concatenate(c), t) if t == pa.int32() else pa.array([v for part in c for v in part], t) for c, t in zip(zip(*(c for _, c in found), strict=True), types, strict=True)]
+                out = pa.table([*(rows.column(k).take(places) for k in keys), *made], names=[*keys, *columns])
+                yield from out.combine_chunks().to_batches()
+
+    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), *(f"{c} {t}" for c, t in columns.items())])
+    return _spread(df.select(*keys, "node_id", "embedding"), keys).sortWithinPartitions(*keys, "node_id").mapInArrow(run, schema)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by ``keys`` as tables of whole groups, of ``ROWS_AT_ONCE`` rows or one group more, with the groups' first places."""
+    held: list[pa.RecordBatch] = []
+
+    def cut_off(last: bool) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        rows = pa.Table.from_batches(held)
+        new = np.zeros(len(rows), bool)
+        new[:1] = True
+        for k in keys:
+            here, before = rows.column(k).slice(1).combine_chunks(), rows.column(k).slice(0, max(len(rows) - 1, 0)).combine_chunks()
+            other = pc.or_(pc.fill_null(pc.not_equal(here, before), False), pc.not_equal(pc.is_null(here), pc.is_null(before)))
+            new[1:] |= other.to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(new)
+        end = len(rows) if last or not len(starts) else int(starts[-1])
+        held[:] = rows.slice(end).to_batches()
+        if end:
+            yield rows.slice(0, end).combine_chunks(), starts if last else starts[:-1]
+
+    for batch in batches:
+        # from here on, no batch is larger
+        for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+            held.append(batch.slice(k, ROWS_AT_ONCE))
+            if sum(b.num_rows for b in held) >= ROWS_AT_ONCE:
+                yield from cut_off(False)
+    if held:
+        yield from cut_off(True)
+
+
 def _spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows by ``keys`` in ``TASKS`` times the session's shuffle partitions.
 
@@ -79,19 +131,17 @@ def cluster_layer(nodes: DataFrame, key: str = "document_id", threshold: float =
     """
     rows = nodes.select(key, "node_id", "embedding")
 
-    def both(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node_id")
-        x, ids = np.array(pdf["embedding"].tolist(), float), pdf["node_id"].to_numpy()
-        out, number = [], 0
-        for members in _parts(x, ids, threshold, most):
-            for part in _parts(x[members], ids[members], threshold, most):
-                out.append(pd.DataFrame({key: pdf[key].iloc[0], "cluster": number, "node_id": ids[members[part]]}))
-                number += 1
-        return pd.concat(out) if out else pd.DataFrame({key: pdf[key].iloc[:0], "cluster": [], "node_id": []})
+    def both(groups: list[Group]) -> Iterator[tuple[np.ndarray, list]]:
+        parts = [(i, at) for i, found in enumerate(_parts(groups, threshold, most)) for at in found]
+        again = _parts([(groups[i][0][at], groups[i][1][at]) for i, at in parts], threshold, most)
+        numbers = [0] * len(groups)
+        for (i, at), found in zip(parts, again, strict=True):
+            for part in found:
+                yield np.full(len(part), i), [np.full(len(part), numbers[i]), groups[i][1][at[part]]]
+                numbers[i] += 1
 
     large = None if largest is not None and largest <= LARGE else _large(rows, [key])
-    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, cluster int, node_id int"
-    out = _spread(rows if large is None else rows.join(large, key, "left_anti"), [key]).groupBy(key).applyInPandas(both, schema)
+    out = _by_group(rows if large is None else rows.join(large, key, "left_anti"), [key], both, {"cluster": "int", "node_id": "int"})
     if large is not None and not large.isEmpty():
         big = rows.join(large, key, "left_semi")
         first = cut(_assigned(_fit_groups(big, [key], most), [key], "__global", threshold))
@@ -105,10 +155,9 @@ def memberships(nodes: DataFrame, key: str = "document_id", most: int = MAX_CLUS
     return _fit_groups(nodes.select(key, "node_id", "embedding"), [key], most)
 
 
-def _parts(x: np.ndarray, ids: np.ndarray, threshold: float, most: int) -> list[np.ndarray]:
-    """Places of the members of each cluster that has some."""
-    member = best_mixture(reduce(x), ids, most) if len(x) > 1 else np.ones((len(x), 1))
-    return [at for m in member.T if len(at := np.flatnonzero(m > threshold))]
+def _parts(groups: list[Group], threshold: float, most: int) -> list[list[np.ndarray]]:
+    """Of each group, the places of the members of each cluster that has some."""
+    return [[at for m in member.T if len(at := np.flatnonzero(m > threshold))] for member in best_of_all(groups, most)]
 
 
 def split_overflow(clusters: DataFrame, nodes: DataFrame, max_tokens: int = MAX_CLUSTER_TOKENS, rounds: int = SPLIT_ROUNDS, most: int = MAX_CLUSTERS, largest: int | None = None) -> DataFrame:

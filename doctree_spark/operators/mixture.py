@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,8 +17,9 @@ ITERATIONS = 100
 TOLERANCE = 1e-3
 #: Rows of a group among which first centres are drawn, those with the smallest hashes of their ids.
 SEED_ROWS = 1000
-#: Rows looked at together.
+#: Rows looked at together, and numbers in an array over several groups.
 ROWS = 1000
+AT_ONCE = 2_000_000
 _SCATTER = 2_654_435_761
 
 
@@ -69,6 +72,24 @@ def reduce(x: np.ndarray, components: int = COMPONENTS) -> np.ndarray:
     return (x - mean) @ v
 
 
+def reduced(x: np.ndarray, components: int = COMPONENTS) -> np.ndarray:
+    """``reduce`` of groups with equally many rows: by group, row, component.
+
+    Groups with no more rows than columns take the axes from the products of their rows, a smaller matrix.
+    """
+    n, d = x.shape[1:]
+    k = min(components, n - 2, d)
+    if k < 1 or n > d:
+        return np.stack([reduce(g, components) for g in x])
+    x = x - x.mean(axis=1, keepdims=True)
+    value, u = np.linalg.eigh(x @ x.transpose(0, 2, 1))
+    value, u = value[:, None, ::-1][:, :, :k], u[:, :, ::-1][:, :, :k]
+    v = x.transpose(0, 2, 1) @ u
+    there = value > 1e-14 * value[:, :, :1]
+    v = np.where(there, v / np.sqrt(np.where(there, value, 1.0)), 0.0)
+    return x @ (v * np.where(np.take_along_axis(v, np.abs(v).argmax(axis=1)[:, None], axis=1) < 0, -1.0, 1.0))
+
+
 def scattered(ids: np.ndarray | Column) -> np.ndarray | Column:
     """Scattered order of node ids, in arrays and in columns of long."""
     return ids * _SCATTER % (1 << 32)
@@ -79,15 +100,22 @@ def seeds(x: np.ndarray, ids: np.ndarray, most: int, seed: int = SEED) -> np.nda
 
     Of many rows, those with the ``SEED_ROWS`` smallest hashes of their ids are drawn from.
     """
-    x = x[np.lexsort((ids, scattered(ids.astype(np.int64))))[:SEED_ROWS]]
-    draw = np.random.default_rng(seed)
-    chosen = [int(draw.integers(len(x)))]
-    far = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+    return seeds_of_all(x[None], ids[None], most, seed)[0]
+
+
+def seeds_of_all(x: np.ndarray, ids: np.ndarray, most: int, seed: int = SEED) -> np.ndarray:
+    """``seeds`` of groups with equally many rows."""
+    # no two ids have one hash
+    order = np.argsort(scattered(ids.astype(np.int64)), axis=1, kind="stable")[:, :SEED_ROWS]
+    x = np.take_along_axis(x, order[:, :, None], axis=1)
+    draw, group = np.random.default_rng(seed), np.arange(len(x))
+    chosen = [np.full(len(x), draw.integers(x.shape[1]))]
+    far = ((x - x[group, chosen[0]][:, None]) ** 2).sum(axis=2)
     for _ in range(1, most):
-        at = draw.random() * far.sum()
-        chosen.append(int(min(np.searchsorted(np.cumsum(far), at, "right"), len(x) - 1)))
-        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
-    return x[chosen]
+        at = draw.random() * far.sum(axis=1)
+        chosen.append(np.minimum((np.cumsum(far, axis=1) <= at[:, None]).sum(axis=1), x.shape[1] - 1))
+        far = np.minimum(far, ((x - x[group, chosen[-1]][:, None]) ** 2).sum(axis=2))
+    return x[group[:, None], np.stack(chosen, axis=1)]
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -191,20 +219,92 @@ def best_mixture(x: np.ndarray, ids: np.ndarray | None = None, most: int = MAX_C
 
     The ridge bounds every density, so numbers whose BIC can't be smaller aren't fitted.
     """
-    n, d = x.shape
+    ids = np.arange(len(x)) if ids is None else ids
+    return best_mixtures(x[None], ids[None], most)[0]
+
+
+def best_mixtures(x: np.ndarray, ids: np.ndarray, most: int = MAX_CLUSTERS) -> list[np.ndarray]:
+    """``best_mixture`` of groups with equally many rows, which advance together: small ones cost their arithmetic, not a call each."""
+    groups, n, d = x.shape
     most = min(most, n - 1)
-    if most < 1:
-        return np.ones((n, 1))
-    ids = np.arange(n) if ids is None else ids
-    first = seeds(x, ids, most)
-    best, member = np.inf, np.ones((n, 1))
+    out = [np.ones((n, 1))] * groups
+    if most < 2:
+        return out
+    first, best, going = seeds_of_all(x, ids, most), np.full(groups, np.inf), np.arange(groups)
     for k in range(1, most + 1):
-        if least_bic(n, d, k) >= best:
+        going = going[least_bic(n, d, k) < best[going]]
+        if not len(going):
             break
-        fit = Fit(Sums.of(x, nearest(x, first[:k])), n)
-        while not fit.done:
-            fit.add(fit.mixture.sums(x))
-        value = bic(fit.likelihood, n, d, k)
-        if value < best:
-            best, member = value, fit.mixture.memberships(x)[0]
-    return member
+        together = max(1, AT_ONCE // (k * n * d))
+        for at in range(0, len(going), together):
+            part = going[at : at + together]
+            likelihood, member = _fitted(x[part], first[part, :k])
+            value = bic(likelihood, n, d, k)
+            for i in np.flatnonzero(value < best[part]):
+                best[part[i]], out[part[i]] = value[i], member[i].T.copy()
+    return out
+
+
+def _fitted(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihoods, -inf where a fit fails, and memberships (group, cluster, row) of mixtures from ``centres``: the rounds of ``Fit``."""
+    groups, n, d = x.shape
+    k = centres.shape[1]
+    likelihood, members = np.full(groups, -np.inf), np.zeros((groups, k, n))
+    near = np.stack([((x - c[:, None]) ** 2).sum(axis=2) for c in centres.transpose(1, 0, 2)], axis=1).argmin(axis=1)
+    member = (near[:, None, :] == np.arange(k)[:, None]).astype(float)
+    outer = (x[:, :, :, None] * x[:, :, None, :]).reshape(groups, n, d * d)
+    going, last = np.arange(groups), np.full(groups, -np.inf)
+    for rounds in range(1, ITERATIONS + 1):
+        whole = member.sum(axis=2)
+        size = whole + 1e-10
+        mean = member @ x / size[:, :, None]
+        spread = (member @ outer).reshape(-1, k, d, d) / size[:, :, None, None] - mean[..., :, None] * mean[..., None, :] * (whole / size)[..., None, None] + RIDGE * np.eye(d)
+        lower, good = _factors(spread)
+        if not good.all():
+            going, last, x, outer, size, mean, lower = (a[good] for a in (going, last, x, outer, size, mean, lower))
+            if not len(going):
+                break
+        top = np.log(size / n) - 0.5 * d * np.log(2 * np.pi) - np.log(np.diagonal(lower, axis1=2, axis2=3)).sum(axis=2)
+        away = (x[:, None] - mean[:, :, None]) @ np.linalg.inv(lower).transpose(0, 1, 3, 2)
+        log = top[:, :, None] - 0.5 * np.einsum("gknd,gknd->gkn", away, away)
+        high = log.max(axis=1, keepdims=True)
+        member = np.exp(log - high)
+        total = member.sum(axis=1, keepdims=True)
+        member /= total
+        found = (high + np.log(total))[:, 0].sum(axis=1)
+        done = (np.abs(found / n - last) < TOLERANCE) | (rounds == ITERATIONS)
+        likelihood[going[done]], members[going[done]] = found[done], member[done]
+        last = found / n
+        if done.any():
+            going, last, x, outer, member = (a[~done] for a in (going, last, x, outer, member))
+            if not len(going):
+                break
+    return likelihood, members
+
+
+def _factors(spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cholesky factors by group and cluster, those of groups that have them all; and which groups have."""
+    try:
+        return np.linalg.cholesky(spread), np.ones(len(spread), bool)
+    except np.linalg.LinAlgError:
+        lower, good = np.zeros_like(spread), np.zeros(len(spread), bool)
+        for i, s in enumerate(spread):
+            try:
+                lower[i], good[i] = np.linalg.cholesky(s), True
+            except np.linalg.LinAlgError:
+                pass
+        return lower, good
+
+
+def best_of_all(groups: Sequence[tuple[np.ndarray, np.ndarray]], most: int = MAX_CLUSTERS) -> list[np.ndarray]:
+    """Memberships by the best mixture of each group's reduced rows, of ``rows, ids``; groups of one shape are fitted together."""
+    out, alike = [], defaultdict(list)
+    for i, (x, _) in enumerate(groups):
+        out.append(np.ones((len(x), 1)))
+        if len(x) > 2:
+            alike[x.shape].append(i)
+    for which in alike.values():
+        found = best_mixtures(reduced(np.stack([groups[i][0] for i in which])), np.stack([groups[i][1] for i in which]), most)
+        for i, member in zip(which, found, strict=True):
+            out[i] = member
+    return out
