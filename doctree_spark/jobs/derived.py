@@ -146,10 +146,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asked_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``query_id, document_id, query``: of every document a question about its own first two words."""
-    words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
+    # a question has its words many times in its expression: they are looked for at the text's beginning only
+    words = [F.coalesce(F.regexp_extract("text", rf"^(?:\P{{L}}*+\p{{L}}++){{{k}}}\P{{L}}*+(\p{{L}}++)", 1), F.lit("")) for k in (0, 1)]
     df = table(spark, sf_dir, "documents")
     name = F.col("doc_id").cast("string")
-    return df.select(F.concat(name, F.lit("_0")).alias("query_id"), F.concat(F.lit("d"), name).alias("document_id"), _templated(F.col("doc_id"), *_two(words)).alias("query"))
+    return df.select(F.concat(name, F.lit("_0")).alias("query_id"), F.concat(F.lit("d"), name).alias("document_id"), _templated(F.col("doc_id"), *words).alias("query"))
 
 
 def question_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
