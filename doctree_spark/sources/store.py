@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doctree_spark.operators.ingest import supported
+from doctree_spark.sources.files import read_files
 
 #: Nodes in a bucket, and how many times as many let all be dealt anew.
 BUCKET_ROWS, GROWTH = 200_000, 4
@@ -22,18 +23,16 @@ _NODES = ',"nodes":{'
 _ENTRIES = "map<string, struct<index:int, text:string, layer:int, children:array<int>, token_count:int>>"
 
 
-def read_uploads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Files below ``path`` as uploads (``filename, content, upload_time``): supported ones, and rejects."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return supported(files.select(name.alias("filename"), "content", F.col("modificationTime").alias("upload_time")))
+def read_uploads(spark: SparkSession, path: str, hidden: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Files below ``path`` as uploads (``filename, content, upload_time``): supported ones, and rejects (``read_files``)."""
+    return supported(read_files(spark, path, hidden=hidden))
 
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """``document_id, original_filename`` from ``<id>.meta.json`` files; unreadable ones have a null name."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.meta.json").text(path).withColumn("path", F.input_file_name())
-    found = F.from_json(F.regexp_replace("value", "^﻿", ""), "original_filename string")
-    return files.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.meta\.json$", "").alias("document_id"), found["original_filename"].alias("original_filename"))
+    files = read_files(spark, path, ".meta.json")
+    found = F.from_json(F.regexp_replace(F.col("content").cast("string"), "^\ufeff", ""), "original_filename string")
+    return files.select(F.regexp_replace("filename", r"\.meta\.json$", "").alias("document_id"), found["original_filename"].alias("original_filename"))
 
 
 def save_forest(nodes: DataFrame, trees: DataFrame, path: str, batch: int | None = None, rows: int = BUCKET_ROWS, vectors: str = "array<float>") -> None:
