@@ -13,10 +13,12 @@ from doctree_spark.functions.vector import added, doubles, unit
 from doctree_spark.operators.chunk import chunk_documents
 from doctree_spark.operators.embed import embed
 from doctree_spark.operators.ingest import with_document_id
-from doctree_spark.sources.lineage import cut
+from doctree_spark.sources.lineage import written_alone
 
 DIMENSIONS = 64
 MODEL = "hash-64"
+#: How layers are written that stay until the forest is saved.
+SMALL = {"compression": "zstd"}
 EXAMPLES = [
     ("which value does the setting have", "specific"),
     ("who wrote it and in which year", "specific"),
@@ -74,37 +76,38 @@ def sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.concat(head, text).alias("text"))
 
 
-def _parents(children: DataFrame, membership: DataFrame, first: DataFrame, layer: int) -> DataFrame:
-    """Nodes above ``children``, by ``document_id, node_id, cluster`` rows; ids from ``first`` on."""
-    df = membership.join(children.select("document_id", "node_id", "embedding", "text"), ["document_id", "node_id"])
+def _parents(members: DataFrame, first: DataFrame, layer: int) -> DataFrame:
+    """Nodes above ``document_id, cluster, node_id, embedding, text`` rows; ids from ``first`` on."""
     row = F.struct("node_id", doubles(F.col("embedding")).alias("embedding"), "text")
-    df = df.groupBy("document_id", "cluster").agg(F.array_sort(F.collect_list(row)).alias("rows")).join(first, "document_id")
+    df = members.groupBy("document_id", "cluster").agg(F.array_sort(F.collect_list(row)).alias("rows")).join(first, "document_id")
     text = shortened(F.array_join(F.transform("rows", lambda r: r.text), "\n\n"))
     df = df.select("document_id", (F.col("first") + F.col("cluster")).cast("int").alias("node_id"), F.lit(layer).alias("layer"), text.alias("text"), added(F.transform("rows", lambda r: r.embedding), DIMENSIONS).alias("sum"), F.transform("rows", lambda r: r.node_id).alias("children"))
     return df.select("document_id", "node_id", "layer", "text", unit(F.col("sum")).alias("embedding"), "children", token_count(F.col("text")).alias("token_count"))
 
 
-def leaf_clusters(leaves: DataFrame) -> DataFrame:
-    """``document_id, node_id, cluster``: leaves in fours; the fourth of every other four is in the next one too."""
+def leaf_clusters(leaves: DataFrame, *more: str) -> DataFrame:
+    """``document_id, node_id, cluster`` and ``more``: leaves in fours; the fourth of every other four is in the next one too."""
     sizes = leaves.groupBy("document_id").agg(F.ceil(F.count("*") / 4).alias("groups"))
     own = F.floor(F.col("node_id") / 4).cast("int")
     both = F.when((F.col("node_id") % 8 == 3) & (own + 1 < F.col("groups")), F.array(own, own + 1)).otherwise(F.array(own))
-    return leaves.join(sizes, "document_id").select("document_id", "node_id", F.explode(both).alias("cluster"))
+    return leaves.join(sizes, "document_id").select("document_id", "node_id", *more, F.explode(both).alias("cluster"))
 
 
 def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of a tree of three layers for every document with chunks: its chunks, whole, and two layers above them."""
+    """Nodes of a tree of three layers for every document with chunks: its chunks, whole, and two layers above them.
+
+    Texts and vectors move once for a layer, as members are met, counted and grouped by document.
+    """
     chunks = embed(chunk_documents(sectioned(spark, sf_dir)), "text", deal=True)
     leaves = chunks.select(
         F.concat(F.lit("d"), F.col("document_id").cast("string")).alias("document_id"), F.col("chunk_no").alias("node_id"), F.lit(0).alias("layer"), "text",
         "embedding", F.array().cast("array<int>").alias("children"), "token_count",
     )
-    leaves = cut(leaves)
+    leaves = written_alone(leaves, **SMALL)
     sizes = leaves.groupBy("document_id").agg(F.count("*").alias("leaves"))
-    layer1 = cut(_parents(leaves, leaf_clusters(leaves), sizes.select("document_id", F.col("leaves").alias("first")), 1))
-    sized = layer1.join(sizes, "document_id")
-    groups = sized.select("document_id", "node_id", F.floor((F.col("node_id") - F.col("leaves")) / 4).cast("int").alias("cluster"))
-    layer2 = _parents(layer1, groups, sizes.select("document_id", (F.col("leaves") + F.ceil(F.col("leaves") / 4)).alias("first")), 2)
+    layer1 = written_alone(_parents(leaf_clusters(leaves, "embedding", "text"), sizes.select("document_id", F.col("leaves").alias("first")), 1), **SMALL)
+    groups = layer1.join(sizes, "document_id").withColumn("cluster", F.floor((F.col("node_id") - F.col("leaves")) / 4).cast("int"))
+    layer2 = written_alone(_parents(groups, sizes.select("document_id", (F.col("leaves") + F.ceil(F.col("leaves") / 4)).alias("first")), 2), **SMALL)
     return leaves.union(layer1).union(layer2)
 
 

@@ -23,20 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and is computed once."""
+def written(df: DataFrame, **options: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, written with ``options``: cuts lineage and is computed once."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written_alone(df: DataFrame) -> DataFrame:
+def written_alone(df: DataFrame, **options: str) -> DataFrame:
     """``written``, after which Spark removes the shuffle files that it took."""
     conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(name)
     conf.set(name, "true")
     try:
-        return written(df)
+        return written(df, **options)
     finally:
         conf.set(name, before)
 

@@ -17,6 +17,8 @@ BY = ("document_id", "node_id")
 #: Keys of a file for which its Bloom filter is made, and keys that a lookup hands to the scan.
 KEYS_IN_FILE, LOOKUP_KEYS = 1_000_000, 64
 _NAME = "buckets="
+#: Of nodes' files: a quarter to a third smaller than Spark's default.
+COMPRESSION = "zstd"
 #: Node ids in a part of a tree's JSON, what stands before the first node, and the type of a part's nodes.
 PART_NODES = 1000
 _NODES = ',"nodes":{'
@@ -82,7 +84,7 @@ def _table(spark: SparkSession, path: str, buckets: int, schema: T.StructType) -
     at = spark._jvm.org.apache.hadoop.fs.Path(root)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY (batch) CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{root.replace(chr(39), chr(92) + chr(39))}'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (compression '{COMPRESSION}') PARTITIONED BY (batch) CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{root.replace(chr(39), chr(92) + chr(39))}'")
     spark.catalog.recoverPartitions(name)
     return name
 
